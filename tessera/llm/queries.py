@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, length_histogram, packing, quality_rules
+from tessera.llm import decontaminate, length_histogram, packing, quality_classifier, quality_rules, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op7_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op8_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
@@ -36,6 +44,8 @@ QUERIES = {
     "op3_length_histogram": op3_length_histogram,
     "op4_concat_and_cut": op4_concat_and_cut,
     "op7_boosted_quality": op7_boosted_quality,
+    "op8_ordinal_quality": op8_ordinal_quality,
+    "op9_ordinal_toxicity": op9_ordinal_toxicity,
     "op10_prefix_containment": op10_prefix_containment,
 }
 
