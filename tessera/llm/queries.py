@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, length_histogram, packing, quality_classifier, quality_rules, toxicity
+from tessera.llm import decontaminate, length_histogram, packing, quality_classifier, quality_rules, repeats, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op4_concat_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_previous_factors(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
+    return found.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -43,6 +49,7 @@ def op10_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_length_histogram": op3_length_histogram,
     "op4_concat_and_cut": op4_concat_and_cut,
+    "op6_previous_factors": op6_previous_factors,
     "op7_boosted_quality": op7_boosted_quality,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_ordinal_toxicity": op9_ordinal_toxicity,

@@ -19,9 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once as Parquet and reads it back: lineage ends here, and a lost executor costs no recomputation beyond it."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df once as Parquet and reads it back: lineage ends here, and a lost executor costs no recomputation beyond it.
+
+    by: a column with few values; rows with another value are not read when it is filtered for one.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -51,11 +51,11 @@ def mapped(strings: pa.Array, table: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(strings), [None, strings.buffers()[1], pa.py_buffer(table[bytes_of(strings)])])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches whose texts together take about SLICE_BYTES."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches whose texts together take about `size` bytes."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
-        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // size)) + 1
         for start, end in zip([0, *edges], [*edges, batch.num_rows]):
             if end > start:
                 yield batch.slice(start, end - start)
