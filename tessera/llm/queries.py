@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, length_histogram, packing, quality_classifier, quality_rules, repeats, toxicity
+from tessera.llm import decontaminate, katz, length_histogram, packing, quality_classifier, quality_rules, repeats, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op4_concat_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    found = katz.score(table(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_previous_factors(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
@@ -49,6 +55,7 @@ def op10_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_length_histogram": op3_length_histogram,
     "op4_concat_and_cut": op4_concat_and_cut,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_previous_factors": op6_previous_factors,
     "op7_boosted_quality": op7_boosted_quality,
     "op8_ordinal_quality": op8_ordinal_quality,
