@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, katz, length_histogram, packing, quality_classifier, quality_rules, repeats, toxicity
+from tessera.llm import decontaminate, jaccard, katz, length_histogram, packing, quality_classifier, quality_rules, repeats, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_count_tree_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return length_histogram.length_histogram(length_histogram.encoded_lengths(table(spark, folder, "documents")))
 
@@ -53,6 +57,7 @@ def op10_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_count_tree_join": op1_count_tree_join,
     "op3_length_histogram": op3_length_histogram,
     "op4_concat_and_cut": op4_concat_and_cut,
     "op5_katz_backoff": op5_katz_backoff,
