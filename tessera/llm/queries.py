@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, katz, length_histogram, packing, quality_classifier, quality_rules, repeats, toxicity
+from tessera.llm import decontaminate, jaccard, katz, length_histogram, packing, quality_classifier, quality_rules, repeats, revisits, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_count_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
 
+def op2_not_modified(spark: SparkSession, folder: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(table(spark, folder, "pages")))
+    headers = F.concat_ws(";", F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select("record_id", "url", "response_id", "outcome", headers.alias("headers"), F.coalesce("digest", F.lit("")).alias("digest"))
+
+
 def op3_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return length_histogram.length_histogram(length_histogram.encoded_lengths(table(spark, folder, "documents")))
 
@@ -58,6 +64,7 @@ def op10_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_count_tree_join": op1_count_tree_join,
+    "op2_not_modified": op2_not_modified,
     "op3_length_histogram": op3_length_histogram,
     "op4_concat_and_cut": op4_concat_and_cut,
     "op5_katz_backoff": op5_katz_backoff,
@@ -87,4 +94,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_prefix_containment": CONTAINMENT_SQL}
+REVISITS_SQL = r"""
+WITH parts AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+hosts AS (SELECT *, regexp_extract(bare, '^[^/?]*') AS host, regexp_replace(substr(bare, length(regexp_extract(bare, '^[^/?]*')) + 1), '(^|[?&])(ref|utm_[a-z]+)=[^&]*', '\1', 'g') AS rest FROM parts),
+named AS (SELECT page_id, html, md5(coalesce(html, '')) AS digest,
+    regexp_replace(lower(host), ':(80|443)$', '') || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '[?&]+$', ''), '[?]&+', '?', 'g'), '&&+', '&', 'g'), '/(index[.]html?)?$', '') AS url,
+    CAST('0x' || md5(coalesce(url, ''))[1:1] AS BIGINT) AS own, CAST('0x' || md5(coalesce(html, ''))[1:4] AS BIGINT) AS delay FROM hosts),
+asks AS (SELECT page_id * 2 + 1 AS record_id, url, page_id * 60 + 1 + delay AS ts, 't' || (page_id % 1000) AS changed,
+    CASE WHEN own = 0 THEN 'other' WHEN own = 1 THEN NULL ELSE digest END AS tag FROM named),
+found AS (SELECT a.*, p.page_id, p.digest, p.digest AS own_tag, 't' || (p.page_id % 1000) AS own_changed
+    FROM asks a ASOF LEFT JOIN (SELECT *, page_id * 60 AS ts FROM named) p ON a.url = p.url AND a.ts > p.ts)
+SELECT record_id, url, page_id * 2 AS response_id, outcome,
+    CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=' || ts || ';etag="' || digest || '"' ELSE '' END AS headers,
+    CASE WHEN outcome = 'resolved' THEN digest ELSE '' END AS digest
+FROM (SELECT *, CASE WHEN page_id IS NULL THEN 'missing' WHEN coalesce(tag = own_tag, changed = own_changed) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_not_modified": REVISITS_SQL, "op10_prefix_containment": CONTAINMENT_SQL}
