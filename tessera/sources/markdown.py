@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_folders(spark: SparkSession, root: str) -> DataFrame:
     """(folder, kind, path, text) of every root/folder/kind.md."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(f"{root.rstrip('/')}/*/")
+    files = spark.read.option("pathGlobFilter", "*.md").text(f"{root.rstrip('/')}/*/", wholetext=True)
     parts = F.split(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "/")
     return files.select(F.element_at(parts, -2).alias("folder"), F.regexp_replace(F.element_at(parts, -1), r"\.md$", "").alias("kind"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
