@@ -308,7 +308,9 @@ def _join(docs: DataFrame, key: str, text: str, size: int, percent: int, frequen
     cells = texts.select("batch", "a", "b", "c", "d", "e").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_show(percent, buckets, frequent, block), _CELLS)
     maybe = cells.groupBy("bucket").applyInArrow(_bound(percent), "one long, two long")
     clusters = components(maybe)
-    clusters = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("members")), "component")
+    # written first, so that the join stands alone in its stage and a large cluster's rows can be split
+    members = materialize(clusters.groupBy("component").agg(F.count("*").alias("members")), "jaccard-members")
+    clusters = clusters.join(members, "component")
     kind = docs.schema[key].dataType
     out = T.StructType([T.StructField("key", kind), *T.StructType.fromDDL("n_shingles long, node long, batch long, at long").fields])
     listed = texts.select("batch", "keys", "a", "b").mapInArrow(_listed(key), out)
@@ -328,7 +330,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     """
     _, found = _join(docs.select(key, text), key, text, size, percent, frequent, block)
     found = found.withColumn("component", F.coalesce("component", "node"))
-    least = found.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("least"))
+    least = materialize(found.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("least")), "jaccard-least")
     whole = found.join(least, "component", "left")
     return whole.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
