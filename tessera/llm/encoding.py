@@ -7,11 +7,32 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tessera.llm.text import words
+from tessera.llm.text import byte_table, bytes_of, mapped, offsets_of, words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
 SEPARATOR = "\x01"
+_LOWER = byte_table(lower=True)
+#: Texts by which it shows whether a tokenizer lowers A-Z first and parts a full stop or comma from a letter before it.
+_TRIALS = ("Ab. cD, efghij.", "THE, Thing. of,", "xq. zzkv, Ing.")
+
+
+def _stops_apart(strings: pa.Array) -> pa.Array:
+    """The strings, A-Z lowered, with a blank before each full stop or comma that stands between a-z and white space or the end."""
+    strings = mapped(strings, _LOWER)
+    data, offsets = bytes_of(strings), offsets_of(strings).astype(np.int64)
+    if len(data) < 2:
+        return strings
+    stop = (data == 46) | (data == 44)
+    after = np.ones(len(data), bool)
+    after[:-1] = (data[1:] == 32) | ((data[1:] >= 9) & (data[1:] <= 13))
+    after[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    before = np.zeros(len(data), bool)
+    before[1:] = (data[:-1] >= 97) & (data[:-1] <= 122)
+    before[offsets[:-1][np.diff(offsets) > 0]] = False
+    place = np.flatnonzero(stop & after & before)
+    wider = (offsets + np.searchsorted(place, offsets)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(strings), [None, pa.py_buffer(wider), pa.py_buffer(np.insert(data, place, 32).tobytes())])
 
 
 class WordEncoder:
@@ -28,6 +49,11 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
+        plain = [self._ids(x) for x in _TRIALS]
+        self.apart = plain == [self._ids(x) for x in _stops_apart(pa.array(_TRIALS)).to_pylist()]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
         alone = [w for w in new if self.separator is None or SEPARATOR in w]
@@ -44,7 +70,7 @@ class WordEncoder:
 
     def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the end), and all ids in a row."""
-        starts, flat = words(strings)
+        starts, flat = words(_stops_apart(strings) if self.apart else strings)  # fewer different words
         if not len(flat):
             return np.zeros(len(strings) + 1, np.int64), np.zeros(0, self.dtype)
         coded = flat.dictionary_encode()
