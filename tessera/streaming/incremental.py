@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,18 +37,15 @@ def message_rows(messages: DataFrame, agent: Column) -> DataFrame:
 
 def append_new(batch: DataFrame, path: str, key: str) -> None:
     """Appends the batch's first row of each key that the Parquet table at path lacks; a replayed batch adds nothing."""
-    spark = batch.sparkSession
     rows = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-    if _exists(spark, path):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+    try:
+        rows = rows.join(batch.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     rows.write.mode("append").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def stream_into(source: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
     """Runs over what the stream has now, each batch appended by `append_new`; started again, it goes on where it stopped."""
     return source.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
