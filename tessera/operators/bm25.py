@@ -2,41 +2,59 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
+from tessera.sources.tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): how often each term stands in each document, and the document's number of tokens."""
-    tokens = docs.select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return tokens.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl")
+@dataclass
+class Index:
+    """postings: (key, term, tf, dl); terms: (term, df); and three numbers of the whole collection."""
 
+    postings: DataFrame
+    terms: DataFrame
+    documents: int
+    mean_length: float
+    mean_idf: float
 
-def term_statistics(index: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, df, idf, avgdl). A negative idf is replaced by EPSILON times the mean idf of the whole vocabulary, negatives included.
 
-    The two totals are single rows, joined by broadcast.
-    """
-    sizes = index.select(key, "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+def _raw_idf(documents: int) -> Column:
+    return F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def _busy(docs: DataFrame) -> DataFrame:
+    """docs over all cores, where a small input comes in fewer partitions than that: making tokens is the work."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """Tokenizes once and writes postings and document frequencies; only the numbers come to the driver."""
+    tokens = _busy(docs.select(key, text)).select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = written(tokens.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl"), "postings")
+    terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    documents, size = docs.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    mean = terms.agg(F.avg(_raw_idf(documents))).first()[0] or 0.0
+    return Index(postings, terms, documents, size / max(documents, 1), mean)
 
 
-def scores(queries: DataFrame, index: DataFrame, statistics: DataFrame, key: str = "doc_id", query_id: str = "query_id", text: str = "query") -> DataFrame:
+def scores(queries: DataFrame, index: Index, key: str = "doc_id", query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, key, score) of every document that shares a term with the query; a query's repeated terms count as often.
 
-    Queries come first: only postings of their terms are joined, and sums are made before anything is ordered.
+    A negative idf is replaced by EPSILON times the mean idf of the whole vocabulary, negatives included. Queries come first: only
+    postings of their terms are joined, and sums are made before anything is ordered.
     """
     asked = queries.select(query_id, F.explode(tokenize(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    known = asked.join(statistics, "term")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return index.join(known, "term").groupBy(query_id, key).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
+    raw = _raw_idf(index.documents)
+    known = asked.join(index.terms, "term").select(query_id, "term", "times", F.when(raw < 0, EPSILON * index.mean_idf).otherwise(raw).alias("idf"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
+    return index.postings.join(known, "term").groupBy(query_id, key).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int, group: str = "query_id", key: str = "doc_id", by: Column | None = None) -> DataFrame:
@@ -45,13 +63,12 @@ def ranked(scored: DataFrame, k: int, group: str = "query_id", key: str = "doc_i
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", query_id: str = "query_id", allowed: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", query_id: str = "query_id", allowed: Column | None = None, index: Index | None = None) -> DataFrame:
     """BM25's k best documents of each query; allowed (over columns of docs and queries) filters after global statistics.
 
-    Documents without a shared term score 0 and are left out.
+    Documents without a shared term score 0 and are left out. Without an index of docs one is built.
     """
-    index = postings(docs, key)
-    found = scores(queries, index, term_statistics(index, key), key, query_id)
+    found = scores(queries, index or build(docs, key), key, query_id)
     if allowed is not None:
         extra = [c for c in docs.columns if c not in (key, "text")]
         found = found.join(docs.select(key, *extra), key).join(queries.drop("query"), query_id).where(allowed).select(query_id, key, "score")

@@ -11,6 +11,7 @@ from tessera.functions import chunking, text as T
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees, vectors
 from tessera.plans import search
 from tessera.sources import envelopes
+from tessera.sources.tables import new_path, written
 from tessera.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,8 +90,7 @@ both_ AS (SELECT *, 0 AS part FROM a UNION ALL SELECT b.*, 1 FROM b ANTI JOIN a
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank) - 1 AS INTEGER) AS rank FROM both_""")
 def bm25_fallback_merge(spark: SparkSession, folder: str) -> DataFrame:
     docs, asked = table(spark, folder, "documents").select("doc_id", "text", "source", "lang", "n_chars"), _asked(spark, folder)
-    index = bm25.postings(docs)
-    scored = bm25.scores(asked, index, bm25.term_statistics(index))
+    scored = written(bm25.scores(asked, bm25.build(docs)), "scores")
     allowed = scored.join(docs.drop("text"), "doc_id").join(asked.drop("query"), "query_id").where("source = wanted and lang = 'fr' and n_chars > 3000").select("query_id", "doc_id", "score")
     found = bm25.with_fallback(bm25.ranked(allowed, 5), bm25.ranked(scored, 5))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -168,7 +168,7 @@ SELECT b.query_id, CAST(b.rank AS INTEGER) AS rank, b.source AS law_id, '§' ||
 FROM boosted b JOIN firsts USING (query_id) WHERE b.rank < 5""")
 def citations_verdict(spark: SparkSession, folder: str) -> DataFrame:
     asked, docs = _asked(spark, folder), table(spark, folder, "documents").select("doc_id", "text", "source")
-    hits = _hybrid(spark, folder)
+    hits = written(_hybrid(spark, folder), "hits")
     rows = hits.join(docs, "doc_id").join(fusion.verdicts(asked, hits), "query_id")
     article = F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조의2"))
     rows = rows.withColumn("c", fusion.citation(F.col("source"), F.col("source"), article, F.lit("2026-04-01"), F.col("text")))
@@ -183,8 +183,8 @@ sums AS (SELECT k, query_id, doc_id, sum(s) AS score, min(place) AS place FROM p
 SELECT CAST(k AS DOUBLE) AS k, query_id, doc_id, CAST(row_number() OVER (PARTITION BY k, query_id ORDER BY round(score, 12) DESC, place, doc_id) - 1 AS INTEGER) AS rank FROM sums QUALIFY rank < 5""")
 def constant_sweep(spark: SparkSession, folder: str) -> DataFrame:
     asked = _asked(spark, folder)
-    lexical = bm25.search(asked, table(spark, folder, "documents").select("doc_id", "text"), 20)
-    near = _near(spark, folder).join(asked.select("query_id"), "query_id", "left_semi")
+    lexical = written(bm25.search(asked, table(spark, folder, "documents").select("doc_id", "text"), 20), "lexical")
+    near = written(_near(spark, folder).join(asked.select("query_id"), "query_id", "left_semi"), "near")
     return search.sweep(near, lexical, [30.0, 60.0, 100.0]).select("k", "query_id", "doc_id", "rank")
 
 
@@ -347,15 +347,7 @@ def message_normalize(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY ALL")
 def stream_append(spark: SparkSession, folder: str) -> DataFrame:
     """The events as a stream into a table, twice from the start: the replay adds nothing."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     schema = table(spark, folder, "events").schema
     for run in range(2):
         source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)

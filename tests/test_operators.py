@@ -39,8 +39,7 @@ def test_bm25_matches_the_formula_and_floors_negative_weights(spark):
         if any(q in t for q in ("aa", "bb")):
             want[k] = s
     asked = spark.createDataFrame([(7, "aa bb zz")], "query_id long, query string")
-    index = bm25.postings(docs)
-    found = {r.doc_id: r.score for r in bm25.scores(asked, index, bm25.term_statistics(index)).collect()}
+    found = {r.doc_id: r.score for r in bm25.scores(asked, bm25.build(docs)).collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
     assert raw["aa"] < 0
 
