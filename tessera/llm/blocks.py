@@ -6,7 +6,7 @@ one row back. Keys that a batch holds often travel once, so a frequent key costs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
-from tessera.llm.text import SLICE_BYTES, slices
+from tessera.llm.text import SLICE_BYTES, release, slices
 
 #: Buckets for each shuffle partition: more, so that the partitions even out.
 BUCKETS_PER_PARTITION = 4
@@ -31,6 +31,22 @@ def numbered(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
         yield (part << 32) + number, rows
 
 
+def released(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """f of one table or two, after which freed memory goes back to the system."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        out = f(rows)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        release()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:
     """The array's bytes, low ones of all values first, compressed; of ascending whole numbers the differences."""
     values = np.ascontiguousarray(values)

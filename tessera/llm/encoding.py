@@ -42,7 +42,7 @@ class WordEncoder:
     At most `remembered` words are kept; beyond that the memory starts anew.
     """
 
-    def __init__(self, path: str = WORD_BPE, remembered: int = 500_000, words_per_call: int = 2_000):
+    def __init__(self, path: str = WORD_BPE, remembered: int = 250_000, words_per_call: int = 2_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered, self.words_per_call = remembered, words_per_call
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, spread, unpack
+from tessera.llm.blocks import bucket_count, lists, numbered, pack, released, runs, spread, unpack
 from tessera.llm.components import components
 from tessera.llm.count_tree import CountTree, needed
 from tessera.llm.scratch import materialize
@@ -191,7 +191,7 @@ def _show(percent: int, buckets: int, frequent: int, block: int):
         columns = list(zip(*out)) or [()] * 6
         return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], ["bucket", "a", "b", "c", "d", "e"])
 
-    return show
+    return released(show)
 
 
 def _edges(own: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def _bound(percent: int):
         one, two = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table({"one": pa.array(one), "two": pa.array(two)})
 
-    return bound
+    return released(bound)
 
 
 def _spell(size: int, buckets: int, block: int):
@@ -248,7 +248,7 @@ def _spell(size: int, buckets: int, block: int):
         columns = list(zip(*out)) or [()] * 6
         return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], ["bucket", "a", "b", "c", "d", "e"])
 
-    return spell
+    return released(spell)
 
 
 def overlaps(starts: np.ndarray, hashes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -282,7 +282,7 @@ def _verify(percent: int):
         one, two = _edges(own, label)
         return pa.table({"one": pa.array(one), "two": pa.array(two)})
 
-    return check
+    return released(check)
 
 
 def _listed(key: str | None):

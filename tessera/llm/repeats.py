@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, spread, unpack
+from tessera.llm.blocks import bucket_count, lists, numbered, pack, released, runs, spread, unpack
 from tessera.llm.scratch import materialize
 from tessera.llm.suffixes import longest_previous_factor
-from tessera.llm.text import SLICE_BYTES, bytes_of, mixed, offsets_of, utf8
+from tessera.llm.text import bytes_of, mixed, offsets_of, utf8
 
 LENGTH, GRAM = 200, 32
 #: Stretches around one gram that are compared in suffix order in one task. Where there are more, each window goes by its own hashes.
 SUFFIX_GROUP = 256
+#: Bytes of text in a batch: a task needs about 80 times as much for the hashes of all places.
+BATCH_BYTES = 2 << 20
 REPEATED, OWNER, SHARED, CROWDED = 1, 2, 4, 8
 _PLACE_BITS = np.uint64(28)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +150,13 @@ def _answer(asked: pa.Table, suffix_group: int) -> pa.Table:
     return pa.table({"batch": asked["batch"], "bucket": asked["bucket"], "state": pa.array([pack(found[e - n : e]) for e, n in zip(ends, sizes)], pa.binary())})
 
 
+def _states(suffix_group: int):
+    def states(asked: pa.Table) -> pa.Table:
+        return _answer(asked, suffix_group)
+
+    return released(states)
+
+
 class _Batch:
     """A batch's row of kind `text` with the states of its stretches, as the buckets have told."""
 
@@ -196,7 +205,7 @@ def _questions(buckets: int, length: int):
                         out[c].append(v)
         return pa.table({"kind": pa.array(out["kind"], pa.string()), "bucket": pa.array(out["bucket"], pa.int32()), "batch": pa.array(out["batch"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in "abcd"}})
 
-    return ask
+    return released(ask)
 
 
 def _settle(length: int, keep_first: bool):
@@ -239,7 +248,7 @@ def _settle(length: int, keep_first: bool):
             "kinds": pa.array([pack(kinds[p].astype(np.uint32)) for p in parts], pa.binary()), "places": pa.array([pack(place[p].astype(np.uint16)) for p in parts], pa.binary()),
         })
 
-    return settle
+    return released(settle)
 
 
 def _joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,10 +298,10 @@ def _cut(length: int, keep_first: bool, whole_characters: bool):
         rest = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(left)]).astype(np.int32)), pa.py_buffer(data[kept > 0].tobytes())])
         return pa.table({"key": keys, "n_bytes": pa.array(sizes, pa.int64()), "spans": spans, "kept": rest})
 
-    return cut
+    return released(cut)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_first: bool = False, whole_characters: bool = False, suffix_group: int = SUFFIX_GROUP, batch_bytes: int = SLICE_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_first: bool = False, whole_characters: bool = False, suffix_group: int = SUFFIX_GROUP, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Each row's other columns with n_bytes, spans (array of byte ranges, ends excluded) and kept (the bytes beyond the spans).
 
     The spans are all bytes covered by a string of `length` bytes that also starts elsewhere in any text, the same included;
@@ -309,7 +318,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     buckets = bucket_count(docs.sparkSession)
     table = _read(rows, length, buckets, batch_bytes)
     asked = table.where("kind = 'ask'").select("bucket", "batch", "a", "b", "c")
-    answers = materialize(asked.groupBy("bucket").applyInArrow(lambda asked: _answer(asked, suffix_group), "batch long, bucket int, state binary"), "repeats-states")
+    answers = materialize(asked.groupBy("bucket").applyInArrow(_states(suffix_group), "batch long, bucket int, state binary"), "repeats-states")
     texts = table.where("kind = 'text'").select("batch", "keys", "a", "b", "c", "d", "e", "body")
     questions = texts.drop("keys").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_questions(buckets, length), "kind string, bucket int, batch long, a binary, b binary, c binary, d binary")
     settled = materialize(questions.groupBy("bucket").applyInArrow(_settle(length, keep_first), _TOLD), "repeats-windows")

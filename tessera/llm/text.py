@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,16 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from task to task, and would keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def byte_table(lower: bool = True, separators: bytes = b"") -> np.ndarray:
     """256 bytes: A-Z become a-z when lower is set, and the separators become blanks; all others map to themselves."""
     table = np.arange(256, dtype=np.uint8)
@@ -59,6 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
         for start, end in zip([0, *edges], [*edges, batch.num_rows]):
             if end > start:
                 yield batch.slice(start, end - start)
+                release()
 
 
 def words(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
