@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.encoding import WORD_BPE, encoder
+from tessera.llm.scratch import materialize
 from tessera.llm.text import slices, utf8
 
 #: Lengths that share a block: sums go by block first, so that no task gets more rows than there are blocks or lengths in one.
@@ -34,6 +35,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     docs_below, tokens_below: the others. truncated_tokens: all tokens left when each document is cut at this length.
     """
     counts = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = materialize(counts, "lengths")  # a row for each length: texts are encoded once, though the sums below read it twice
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
