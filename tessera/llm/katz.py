@@ -1,16 +1,17 @@
 """Katz backoff: Good-Turing discounted pair counts over exact word counts, with backoff weights that normalise exactly.
 
-Texts are read once, in batches that keep their words as numbers of the batch's own vocabulary. Counts live in tables that are
-partitioned by hash buckets: each batch asks a bucket once for each different word or pair, and gets the corpus counts back.
+Texts are read once, in batches that keep their words as numbers of the batch's own vocabulary. Counts live in hash buckets: each
+batch asks a bucket once for each different word or pair, and gets the corpus counts back. A word's bucket numbers it; pairs are
+keyed by both numbers, and a pair's bucket also answers what is known of its first word. No task knows the whole vocabulary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,32 +20,24 @@ from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, unpack
 from tessera.llm.scratch import materialize
 from tessera.llm.text import byte_table, hashed, mapped, mixed, utf8, words
 
-#: Bits of a word's number in a pair. Words with at least the share 2**-20 of the training tokens may be a pair's words: 1,048,576
-#: of them at most, for shares sum to 1, so what every task must know of them has a proven bound. All other words get their exact
-#: word counts alone; the counts of pairs are in tables that grow with the text.
-_BITS = 20
-PAIR_SHARE = 2.0**-_BITS
+#: Pairs that begin with a word of this share of the training tokens or more are dealt over all buckets, those of other words stand in
+#: the bucket of their first word. Shares sum to 1, so there are 16,384 such words at most. All pairs count either way.
+SPREAD_SHARE = 2.0**-14
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 END = np.uint64(0)  # stands for the end of a text, and before its first word
+NONE = (1 << 32) - 1  # the number of words that no pair is made of
+_LOW = np.uint64(NONE)
 _LOWER = byte_table(lower=True)
+_SUMS = [*(f"n{r}" for r in range(1, DISCOUNTED + 1)), "n", "lower"]
 
 
 def _word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(word) >> np.uint64(16)) % np.uint64(buckets)
 
 
-def _asks(key: np.ndarray, times: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """Keys (different ones) and their counts for each bucket, ascending."""
-    order = np.lexsort((key, bucket))
-    edges = runs(bucket[order])
-    for begin, end in zip(edges[:-1], edges[1:]):
-        some = order[begin:end]
-        yield int(bucket[some[0]]), pack(key[some], True), pack(times[some].astype(np.uint32))
-
-
 def _read(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind `text` (a batch: keys, training flags, sizes, its vocabulary's hashes, tokens as numbers in it) and `ask`."""
+    """A row for each batch: its vocabulary's hashes by bucket, tokens as numbers in it, sizes, training flags, and keys."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in numbered(batches):
@@ -52,42 +45,67 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
             coded = flat.dictionary_encode()
             own = np.maximum(hashed(coded.dictionary), np.uint64(1)) if len(flat) else np.zeros(0, np.uint64)
             vocabulary, local = np.unique(np.append(own, END), return_inverse=True)
-            token = np.insert(local[:-1][np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int64), starts[1:], 0)  # END is the smallest
+            order = np.lexsort((vocabulary, _word_bucket(vocabulary, buckets)))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            local = place[local]
+            token = np.insert(local[:-1][np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int64), starts[1:], local[-1])
             size = np.diff(starts) + 1
             train = np.asarray(rows.column("train").fill_null(True)).astype(bool)
-            times = np.bincount(token[np.repeat(train, size)], minlength=len(vocabulary))
-            out = [("text", None, number, pack(vocabulary, True), pack(token.astype(np.uint32)), pack(size.astype(np.uint32)), pack(train.astype(np.uint8)))]
-            out += [("ask", b, number, k, t, None, None) for b, k, t in _asks(vocabulary, times, _word_bucket(vocabulary, buckets))]
-            columns = list(zip(*out))
-            keys = rows.column("key")
-            both = pa.concat_arrays([lists(keys), pa.nulls(len(out) - 1, pa.list_(keys.type))])
-            kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), both], ["kind", "bucket", "batch", "a", "b", "c", "d", "keys"])
-
-    out = T.StructType.fromDDL("kind string, bucket int, batch long, a binary, b binary, c binary, d binary").add("keys", T.ArrayType(docs.schema["key"].dataType))
-    return materialize(docs.mapInArrow(read, out), "katz-texts", by="kind")
-
-
-def _count(asked: pa.Table) -> pa.Table:
-    """A bucket's part of a count table (kind `table`: keys, counts, and how many keys have the count 1, 2, ...), and what each batch asked for."""
-    parts = [unpack(x, np.uint64, True) for x in asked["a"].to_pylist()]
-    key, times = np.concatenate(parts), np.concatenate([unpack(x, np.uint32) for x in asked["b"].to_pylist()]).astype(np.int64)
-    known, at = np.unique(key, return_inverse=True)
-    total = np.zeros(len(known), np.int64)
-    np.add.at(total, at, times)
-    seen = total > 0
-    bins = np.bincount(np.minimum(total[seen], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-    ends = np.cumsum([len(p) for p in parts])
-    told = [pack(total[at[e - len(p) : e]]) for e, p in zip(ends, parts)]
-    count = len(parts)
-    return pa.table({
-        "kind": pa.array(["table", *["told"] * count]), "bucket": pa.array([asked["bucket"][0].as_py()] * (count + 1), pa.int32()), "batch": pa.array([None, *asked["batch"].to_pylist()], pa.int64()),
-        "a": pa.array([pack(known[seen], True), *told], pa.binary()), "b": pa.array([pack(total[seen]), *[None] * count], pa.binary()),
-        "n": pa.array([int(total.sum()), *[None] * count], pa.int64()), "v": pa.array([int(seen.sum()), *[None] * count], pa.int64()), "bins": pa.array([bins.tolist(), *[None] * count], pa.list_(pa.int64())),
-    })
-
-
-_COUNTS = "kind string, bucket int, batch long, a binary, b binary, n long, v long, bins array<long>"
+            packed = [pack(vocabulary[order]), pack(token.astype(np.uint32)), pack(size.astype(np.uint32)), pack(train.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), lists(rows.column("key"))], ["batch", "a", "b", "c", "d", "keys"])
+
+    out = T.StructType.fromDDL("batch long, a binary, b binary, c binary, d binary").add("keys", T.ArrayType(docs.schema["key"].dataType))
+    return materialize(docs.mapInArrow(read, out), "katz-texts")
+
+
+def _word_asks(buckets: int):
+    """For each batch and bucket the different words, ascending, and how often training texts of the batch hold them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                vocabulary, token, size, train = (unpack(rows.column(c)[k].as_py(), t) for c, t in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32), ("d", np.uint8)))
+                times = np.bincount(token[np.repeat(train.astype(bool), size)], minlength=len(vocabulary)).astype(np.uint32)
+                bucket = _word_bucket(vocabulary, buckets).astype(np.int32)
+                edges = runs(bucket)
+                parts = list(zip(edges[:-1], edges[1:]))
+                columns = [pa.array(bucket[edges[:-1]]), pa.array([rows.column("batch")[k].as_py()] * len(parts), pa.int64())]
+                columns += [pa.array([pack(vocabulary[i:j], True) for i, j in parts], pa.binary()), pa.array([pack(times[i:j]) for i, j in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "batch", "a", "b"])
+
+    return ask
+
+
+_WORDS = "kind string, bucket int, batch long, a binary, b binary, n long, v long"
+
+
+def _count_words(buckets: int):
+    """A bucket's counts in descending order (kind `table`; a word's number is its place there), and what each batch asked for: counts and numbers."""
+
+    def count(asked: pa.Table) -> pa.Table:
+        bucket = asked["bucket"][0].as_py()
+        parts = [unpack(x, np.uint64, True) for x in asked["a"].to_pylist()]
+        times = np.concatenate([unpack(x, np.uint32) for x in asked["b"].to_pylist()]).astype(np.int64)
+        known, at = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, at, times)
+        order = np.lexsort((known, -total))
+        seen = int((total > 0).sum())
+        if seen * buckets >= NONE:
+            raise ValueError(f"more than {NONE // buckets} different words in one of {buckets} buckets: numbers of words have 32 bits")
+        number = np.full(len(known), NONE, np.int64)
+        number[order[:seen]] = np.arange(seen) * buckets + bucket
+        ends = np.cumsum([len(p) for p in parts])
+        told = [at[e - len(p) : e] for e, p in zip(ends, parts)]
+        size = len(parts)
+        return pa.table({
+            "kind": pa.array(["table", *["told"] * size]), "bucket": pa.array([bucket] * (size + 1), pa.int32()), "batch": pa.array([None, *asked["batch"].to_pylist()], pa.int64()),
+            "a": pa.array([pack(total[order[:seen]]), *(pack(total[x]) for x in told)], pa.binary()), "b": pa.array([None, *(pack(number[x].astype(np.uint32)) for x in told)], pa.binary()),
+            "n": pa.array([int(total.sum()), *[None] * size], pa.int64()), "v": pa.array([seen, *[None] * size], pa.int64()),
+        })
+
+    return count
 
 
 def discounts(bins: np.ndarray) -> np.ndarray:
@@ -103,98 +121,135 @@ def discounts(bins: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
 class Katz:
-    """What all executors need to know of the model: its size is bound by PAIR_SHARE. Counts of words and pairs stay in the tables."""
-
-    tokens: int
-    types: int
-    words: np.ndarray  # hashes of the words that pairs are made of, ascending
-    counts: np.ndarray
-    discount: np.ndarray
-    below: np.ndarray  # what a pair's discounted count is divided by, for each word before it
-    backoff: np.ndarray
-
-    def number(self, word: np.ndarray) -> np.ndarray:
-        """Each word's place in words; -1 for others."""
-        if not len(self.words):
-            return np.full(len(word), -1)
-        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        return np.where(self.words[at] == word, at, -1)
+    """What all executors know of the model: sizes, limits and discounts, and sums for the words whose pairs are dealt over all buckets (16,384 at most)."""
+
+    def __init__(self, tokens: int, types: int, buckets: int, least: float):
+        self.tokens, self.types, self.buckets = tokens, types, buckets
+        self.least, self.spread = least, max(1.0, SPREAD_SHARE * tokens)
+        self.discount = np.ones(DISCOUNTED + 1)
+        self.numbers, self.sums = np.zeros(0, np.int64), np.zeros((0, len(_SUMS)), np.int64)  # of spread words, ascending
 
     def word_probability(self, count: np.ndarray) -> np.ndarray:
         """One is added to each count; what no training text holds counts as one word more."""
         return (np.asarray(count, float) + 1) / (self.tokens + self.types + 1)
 
-    def probability(self, before: np.ndarray, pair_count: np.ndarray, word_count: np.ndarray) -> np.ndarray:
-        """before: the number of the word before (-1: none of words). A pair that was seen has its discounted share, others back off."""
-        lower = self.word_probability(word_count)
-        if not len(self.words):
-            return lower
-        taken = np.where(pair_count > DISCOUNTED, 1.0, self.discount[np.minimum(pair_count, DISCOUNTED)]) * pair_count / self.below[before]
-        return np.where(before < 0, lower, np.where(pair_count > 0, taken, self.backoff[before] * lower))
-
-
-def _pairs(token: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the number of the word before it, and the pair's key, or -1 where one of the two has no number."""
-    first = np.cumsum(size) - size
-    before = np.concatenate([[0], token[:-1]])
-    before[first] = 0
-    one, two = number[before], number[token]
-    return one, np.where((one >= 0) & (two >= 0), (one << _BITS) | np.maximum(two, 0), -1)
-
-
-def _pair_asks(sent, buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ = sent.value
-        for rows in batches:
-            for k in range(rows.num_rows):
-                vocabulary, token, size, train = (unpack(rows.column(c)[k].as_py(), t, up) for c, t, up in (("a", np.uint64, True), ("b", np.uint32, False), ("c", np.uint32, False), ("d", np.uint8, False)))
-                size = size.astype(np.int64)
-                _, key = _pairs(token.astype(np.int64), size, words_.number(vocabulary))
-                has = key >= 0
-                own, at = np.unique(key[has].astype(np.uint64), return_inverse=True)
-                times = np.bincount(at, np.repeat(train, size)[has], len(own)) if len(own) else np.zeros(0)
-                out = list(zip(*_asks(own, times, _word_bucket(own, buckets)))) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([rows.column("batch")[k].as_py()] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "batch", "a", "b"])
+    def weights(self, count: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words before others, by their counts and sums: what a pair's discounted count is divided by, and the backoff weight."""
+        r = np.arange(1, DISCOUNTED + 1)
+        low = sums[:, :DISCOUNTED]
+        mass = low @ (r * self.discount[1:]) + sums[:, DISCOUNTED] - low @ r
+        below = np.maximum(count, 1).astype(float)
+        below = np.where(mass < below - 1e-9 * below, below, below + 1)  # something must be left for what was not seen
+        return below, (1 - mass / below) / (1 - sums[:, DISCOUNTED + 1] / (self.tokens + self.types + 1))
+
+    def pairs(self, token: np.ndarray, size: np.ndarray, count: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Different pairs by bucket: keys, buckets, and a token of each. For each token: the one before, whether it asks, and its pair's place (for those that ask).
+
+        count and number are those of the batch's words. A pair whose second word is part of no pair asks for its first word alone.
+        """
+        before = np.concatenate([token[-1:], token[:-1]])  # the last of all is an end, and stands before the first
+        number = np.where((number != NONE) & (count >= self.least), number, NONE).astype(np.uint64)
+        one, two = number[before], number[token]
+        asks = one != _LOW
+        key, some, at = np.unique((one[asks] << np.uint64(32)) | two[asks], return_index=True, return_inverse=True)
+        some = np.flatnonzero(asks)[some]
+        home = (key >> np.uint64(32)) % np.uint64(self.buckets)
+        bucket = np.where(count[before[some]] >= self.spread, _word_bucket(key, self.buckets), home).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return key[order], bucket[order], some[order], before, asks, place[at]
+
+
+def _told(told: pa.Table, order: str, column: str, kind: type) -> np.ndarray:
+    """A batch's answers, in the order of buckets."""
+    rows = told.filter(pc.equal(told["order"], order)).sort_by("bucket")
+    return np.concatenate([unpack(x, kind) for x in rows[column].to_pylist()] or [np.zeros(0, kind)])
+
+
+_PAIR_ASKS = "bucket int, batch long, a binary, b binary, c binary, d binary"
+
+
+def _pair_asks(sent):
+    def ask(row: pa.Table, told: pa.Table) -> pa.Table:
+        model = sent.value
+        token, size, train = (unpack(row[c][0].as_py(), t) for c, t in (("b", np.uint32), ("c", np.uint32), ("d", np.uint8)))
+        token, size = token.astype(np.int64), size.astype(np.int64)
+        count, number = _told(told, "word", "a", np.int64), _told(told, "word", "b", np.uint32).astype(np.int64)
+        key, bucket, some, _, asks, at = model.pairs(token, size, count, number)
+        one, two = (key >> np.uint64(32)).astype(np.uint32), (key & _LOW).astype(np.uint32)
+        times = np.bincount(at, np.repeat(train, size)[asks], len(key)).astype(np.uint32) if len(key) else np.zeros(0, np.uint32)
+        times[two == NONE] = 0
+        second = count[token[some]]
+        edges = runs(bucket)
+        parts = list(zip(edges[:-1], edges[1:]))
+        columns = [pa.array(bucket[edges[:-1]], pa.int32()), pa.array([row["batch"][0].as_py()] * len(parts), pa.int64())]
+        columns += [pa.array([f(i, j) for i, j in parts], pa.binary()) for f in (lambda i, j: pack(one[i:j], True), lambda i, j: pack(two[i:j]), lambda i, j: pack(times[i:j]), lambda i, j: pack(second[i:j]))]
+        return pa.table(columns, ["bucket", "batch", "a", "b", "c", "d"])
 
     return ask
 
 
-def _frequent(table: DataFrame, least: float) -> DataFrame:
-    """(word, n): the table's words with that count or more."""
+_PAIRS = "kind string, bucket int, batch long, a binary, b binary, bins array<long>"
+
+
+def _count_pairs(spread: np.ndarray):
+    """What each batch asked a bucket for: the pairs' counts, and the sums of their first words (whole ones but for spread words, whose parts are of kind `spread`)."""
+
+    def count(asked: pa.Table) -> pa.Table:
+        parts = [(unpack(a, np.uint32, True).astype(np.uint64) << np.uint64(32)) | unpack(b, np.uint32) for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist())]
+        times, second = (np.concatenate([unpack(x, t) for x in asked[c].to_pylist()]).astype(np.int64) for c, t in (("c", np.uint32), ("d", np.int64)))
+        known, some, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, at, times)
+        bins = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+        first = (known >> np.uint64(32)).astype(np.int64)
+        lead = runs(first)[:-1]
+        lower = np.where(total > 0, second[some] + 1, 0)
+        sums = np.stack([np.add.reduceat(v, lead) for v in (*((total == r).astype(np.int64) for r in range(1, DISCOUNTED + 1)), total, lower)], axis=1)
+        group = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(known))))
+        wide = np.isin(first[lead], spread)
+        counts, firsts, end = [], [], 0
+        for p in parts:
+            own = at[end : end + len(p)]
+            end += len(p)
+            counts.append(pack(total[own]))
+            firsts.append(pack(np.ascontiguousarray(sums[group[own[runs(p >> np.uint64(32))[:-1]]]].T).reshape(-1)))
+        size = len(parts)
+        return pa.table({
+            "kind": pa.array(["spread", *["told"] * size]), "bucket": pa.array([asked["bucket"][0].as_py()] * (size + 1), pa.int32()), "batch": pa.array([None, *asked["batch"].to_pylist()], pa.int64()),
+            "a": pa.array([pack(first[lead][wide]), *counts], pa.binary()), "b": pa.array([pack(sums[wide].reshape(-1)), *firsts], pa.binary()),
+            "bins": pa.array([bins.tolist(), *[None] * size], pa.list_(pa.int64())),
+        })
+
+    return count
+
+
+def _spread_words(table: DataFrame, least: float, buckets: int) -> np.ndarray:
+    """The numbers of words with that count or more."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
-                key, count = unpack(a, np.uint64, True), unpack(b, np.int64)
-                high = count >= least
-                yield pa.RecordBatch.from_arrays([pa.array(key[high].view(np.int64)), pa.array(count[high])], ["word", "n"])
+            for bucket, a in zip(rows.column("bucket").to_pylist(), rows.column("a").to_pylist()):
+                high = int((unpack(a, np.int64) >= least).sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(high, dtype=np.int64) * buckets + bucket)], ["word"])
 
-    return table.select("a", "b").mapInArrow(choose, "word long, n long")
+    return np.sort(table.select("bucket", "a").mapInArrow(choose, "word long").toPandas()["word"].to_numpy(np.int64))
 
 
-def _by_first(table: DataFrame, sent) -> DataFrame:
-    """For each first word of pairs: how many pairs have the count 1, 2 ..., their counts' sum, and the sum of the second words' counts and 1."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread_sums(table: DataFrame) -> DataFrame:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
-                key, count = unpack(a, np.uint64, True).astype(np.int64), unpack(b, np.int64)
-                edges = runs(key >> _BITS)
-                lead = edges[:-1]
-                if not len(lead):
-                    continue
-                add = lambda v: np.add.reduceat(v.astype(np.int64), lead)
-                columns = [key[lead] >> _BITS, *(add(count == r) for r in range(1, DISCOUNTED + 1)), add(count), add(sent.value.counts[key & ((1 << _BITS) - 1)] + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                first, sums = unpack(a, np.int64), unpack(b, np.int64).reshape(-1, len(_SUMS))
+                yield pa.RecordBatch.from_arrays([pa.array(first), *(pa.array(x) for x in np.ascontiguousarray(sums.T))], ["first", *_SUMS])
 
-    names = ["first", *(f"n{r}" for r in range(1, DISCOUNTED + 1)), "n", "lower"]
-    rows = table.select("a", "b").mapInArrow(sums, ", ".join(f"`{c}` long" for c in names))
-    return rows.groupBy("first").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    rows = table.select("a", "b").mapInArrow(parts, ", ".join(f"`{c}` long" for c in ["first", *_SUMS]))
+    return rows.groupBy("first").agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
-def _scores(sent, buckets: int, kind: str):
+def _scores(sent):
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def score(row: pa.Table, told: pa.Table) -> pa.Table:
@@ -202,70 +257,63 @@ def _scores(sent, buckets: int, kind: str):
             values = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
             return pa.table([row["keys"].combine_chunks().values[:0], *(pa.array(v) for v in values)], ["key", *names])
         model = sent.value
-        vocabulary, token, size = (unpack(row[c][0].as_py(), t, up) for c, t, up in (("a", np.uint64, True), ("b", np.uint32, False), ("c", np.uint32, False)))
-        token, size = token.astype(np.int64), size.astype(np.int64)
-
-        def counts(order: str, key: np.ndarray) -> np.ndarray:
-            rows = told.filter(pa.compute.equal(told["order"], order)).sort_by("bucket")
-            found = np.concatenate([unpack(x, np.int64) for x in rows["a"].to_pylist()] or [np.zeros(0, np.int64)])
-            out = np.zeros(len(key), np.int64)
-            out[np.lexsort((key, _word_bucket(key, buckets)))] = found
-            return out
-
-        word_count = counts("word", vocabulary)[token]
-        before, key = _pairs(token, size, model.number(vocabulary))
-        own, at = np.unique(key[key >= 0].astype(np.uint64), return_inverse=True)
-        pair_count = np.zeros(len(token), np.int64)
-        if len(own):
-            pair_count[key >= 0] = counts("pair", own)[at]
-        first = np.cumsum(size) - size
-        base, full = np.log10(model.word_probability(word_count)), np.log10(model.probability(before, pair_count, word_count))
-        values = [size, np.add.reduceat((word_count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(full, first)]
+        token, size = (unpack(row[c][0].as_py(), np.uint32).astype(np.int64) for c in ("b", "c"))
+        count, number = _told(told, "word", "a", np.int64), _told(told, "word", "b", np.uint32).astype(np.int64)
+        key, bucket, some, before, asks, at = model.pairs(token, size, count, number)
+        base = model.word_probability(count)[token]
+        full = base.copy()
+        if len(key):
+            rows = told.filter(pc.equal(told["order"], "pair")).sort_by("bucket")
+            sums = np.concatenate([unpack(x, np.int64).reshape(len(_SUMS), -1) for x in rows["b"].to_pylist()], axis=1).T
+            edges = runs(bucket, key >> np.uint64(32))
+            lead = edges[:-1]
+            first = (key[lead] >> np.uint64(32)).astype(np.int64)
+            if len(model.numbers):
+                place = np.minimum(np.searchsorted(model.numbers, first), len(model.numbers) - 1)
+                sums = np.where((model.numbers[place] == first)[:, None], model.sums[place], sums)
+            below, backoff = model.weights(count[before[some[lead]]], sums)
+            group = np.repeat(np.arange(len(lead)), np.diff(edges))
+            pair = _told(told, "pair", "a", np.int64)
+            taken = np.where(pair > DISCOUNTED, 1.0, model.discount[np.minimum(pair, DISCOUNTED)]) * pair / below[group]
+            full[asks] = np.where(pair[at] > 0, taken[at], backoff[group][at] * base[asks])
+        begin = np.cumsum(size) - size
+        values = [size, np.add.reduceat((count[token] > 0).astype(np.int64), begin), np.add.reduceat(np.log10(base), begin), np.add.reduceat(np.log10(full), begin)]
         return pa.table([row["keys"].combine_chunks().flatten(), *(pa.array(v) for v in values)], ["key", *names])
 
     return score
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", pair_share: float = PAIR_SHARE) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", pair_share: float = 0.0) -> DataFrame:
     """For each row: key, n_tokens, n_known (tokens that training texts hold), train_tokens, base_score and score (sums of log10).
 
     training tells the rows that the model learns from; null counts as true. Null and empty texts are their end alone. Repeated
     rows stay, and learn as often as they stand there. Without training rows every word has the same probability, 1. Other
-    columns go. A pair of words is counted if both have a share of pair_share or more of the training tokens.
+    columns go. All pairs are counted; with pair_share only those whose words both have that share of the training tokens or more.
     """
-    if pair_share < PAIR_SHARE:
-        raise ValueError(f"pair_share is 2**-{_BITS} at least: pairs are numbered by {_BITS} bits a word")
     spark = docs.sparkSession
     buckets = bucket_count(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), training.alias("train"))
-    table = _read(rows, buckets)
-    asked = table.where("kind = 'ask'").select("bucket", "batch", "a", "b")
-    unigrams = materialize(asked.groupBy("bucket").applyInArrow(_count, _COUNTS), "katz-words", by="kind")
-    size = unigrams.where("kind = 'table'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    texts = _read(rows, buckets)
+    asked = texts.select("batch", "a", "b", "c", "d").mapInArrow(_word_asks(buckets), "bucket int, batch long, a binary, b binary")
+    unigrams = materialize(asked.groupBy("bucket").applyInArrow(_count_words(buckets), _WORDS), "katz-words", by="kind")
+    table = unigrams.where("kind = 'table'")
+    size = table.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, types = int(size.n or 0), int(size.v or 0)
-    frequent = _frequent(unigrams.where("kind = 'table'"), max(1.0, pair_share * tokens)).toPandas()  # 1 / pair_share rows at most
-    word, count = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
-    order = np.argsort(word)
-    model = Katz(tokens, types, word[order], count[order], np.ones(DISCOUNTED + 1), np.ones(len(word)), np.ones(len(word)))
-    sent = spark.sparkContext.broadcast(model)
-    texts = table.where("kind = 'text'").select("batch", "keys", "a", "b", "c", "d")
-    asked = texts.drop("keys").mapInArrow(_pair_asks(sent, buckets), "bucket int, batch long, a binary, b binary")
-    pairs = materialize(asked.groupBy("bucket").applyInArrow(_count, _COUNTS), "katz-pairs", by="kind")
-    bins = pairs.where("kind = 'table'").agg(*(F.sum(F.col("bins")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1))).first()
-    model.discount = discounts(np.array([b or 0 for b in bins]))
-    sums = _by_first(pairs.where("kind = 'table'"), sent).toPandas()  # a row for each frequent word at most
-    at = sums["first"].to_numpy(np.int64)
-    low = np.stack([sums[f"n{r}"].to_numpy(np.int64) for r in range(1, DISCOUNTED + 1)], axis=1).reshape(-1, DISCOUNTED)
-    r = np.arange(1, DISCOUNTED + 1)
-    mass = low @ (r * model.discount[1:]) + sums["n"].to_numpy(np.int64) - low @ r
-    below = model.counts[at].astype(float)
-    below = np.where(mass < below - 1e-9 * below, below, below + 1)  # something must be left for what was not seen
-    model.below = model.counts.astype(float)
-    model.below[at] = below
-    model.backoff[at] = (1 - mass / below) / (1 - sums["lower"].to_numpy(np.int64) / (tokens + types + 1))
+    model = Katz(tokens, types, buckets, max(1.0, pair_share * tokens))
+    spread = _spread_words(table, model.spread, buckets)  # 1 / SPREAD_SHARE rows at most
     sent = spark.sparkContext.broadcast(model)
-    told = unigrams.where("kind = 'told'").select("batch", "bucket", "a", F.lit("word").alias("order")).unionByName(pairs.where("kind = 'told'").select("batch", "bucket", "a", F.lit("pair").alias("order")))
+    told = unigrams.where("kind = 'told'").select("batch", "bucket", "a", "b", F.lit("word").alias("order"))
+    asked = texts.select("batch", "b", "c", "d").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_pair_asks(sent), _PAIR_ASKS)
+    pairs = materialize(asked.groupBy("bucket").applyInArrow(_count_pairs(spread), _PAIRS), "katz-pairs", by="kind")
+    parts = pairs.where("kind = 'spread'")
+    bins = parts.agg(*(F.sum(F.col("bins")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1))).first()
+    sums = _spread_sums(parts).toPandas().sort_values("first")  # a row for each spread word at most
+    final = Katz(tokens, types, buckets, model.least)
+    final.discount = discounts(np.array([b or 0 for b in bins]))
+    final.numbers, final.sums = sums["first"].to_numpy(np.int64), sums[_SUMS].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(final)
+    told = told.unionByName(pairs.where("kind = 'told'").select("batch", "bucket", "a", "b", F.lit("pair").alias("order")))
     kind = rows.schema["key"].dataType
     out = T.StructType([T.StructField("key", kind), *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
-    found = texts.drop("d").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scores(sent, buckets, kind.simpleString()), out)
+    found = texts.select("batch", "keys", "b", "c").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scores(sent), out)
     return found.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

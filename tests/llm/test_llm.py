@@ -221,6 +221,34 @@ def test_katz_is_exact_and_normalised(spark, docs, none):
     assert all(r.score == r.base_score == 0.0 and r.n_known == 0 for r in untrained)
 
 
+def test_katz_counts_pairs_of_words_of_any_share(spark):
+    many = [(k, " ".join(f"v{k}x{j}" for j in range(60_000))) for k in range(20)]
+    rows = [*many, (100, "rare once"), (101, "rare once"), (102, "new words")]
+    found = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 101).where("doc_id > 99").collect()}
+    assert found[100].train_tokens * 2.0**-20 > 1 and found[101].n_known == 3
+    one, two = Counter(), Counter()
+    for k, t in rows:
+        if k != 101:
+            w = [*t.split(), None]
+            one.update(w)
+            two.update(zip([None, *w[:-1]], w))
+    total = sum(one.values()) + len(one) + 1
+    d = katz.discounts(np.array([sum(n == r for n in two.values()) for r in range(1, katz.DISCOUNTED + 2)]))
+    taken = lambda n: n * (d[n] if n <= katz.DISCOUNTED else 1)
+
+    def p(a, b):
+        after = {y: n for (x, y), n in two.items() if x == a}
+        mass = sum(map(taken, after.values()))
+        below = one[a] if mass < one[a] * (1 - 1e-9) else one[a] + 1
+        if b in after:
+            return taken(after[b]) / below
+        return (1 - mass / below) / (1 - sum(one[y] + 1 for y in after) / total) * (one[b] + 1) / total
+
+    for k, text in rows[-3:]:
+        w = [*text.split(), None]
+        assert found[k].score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *w[:-1]], w)), abs=1e-9)
+
+
 def test_pairs_beat_words_on_held_out_text(spark):
     rows = queries.op5_katz_backoff(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).collect()[0]
     assert rows.s > rows.b
