@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tessera.llm.text import byte_table, bytes_of, mapped, offsets_of, words
+from tessera.llm.text import byte_table, bytes_of, offsets_of, words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
@@ -18,21 +18,36 @@ _TRIALS = ("Ab. cD, efghij.", "THE, Thing. of,", "xq. zzkv, Ing.")
 
 
 def _stops_apart(strings: pa.Array) -> pa.Array:
-    """The strings, A-Z lowered, with a blank before each full stop or comma that stands between a-z and white space or the end."""
-    strings = mapped(strings, _LOWER)
+    """The strings with a blank before each full stop or comma that stands between A-Z, a-z and white space or the end, and A-Z lowered
+    where that changes no id: not in words with `<|`, for special tokens are matched as they stand, and not before characters beyond
+    ASCII, which may compose with the capital but not with the small letter. ASCII never composes with ASCII."""
     data, offsets = bytes_of(strings), offsets_of(strings).astype(np.int64)
     if len(data) < 2:
         return strings
+    begin, end = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0]
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    lowered = _LOWER[data]
+    letter = (lowered >= 97) & (lowered <= 122)
+    composing = np.flatnonzero(data[1:] >= 128)
+    lowered[composing] = data[composing]
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(special):
+        edge = space.copy()
+        edge[begin] = True
+        word = np.cumsum(edge, dtype=np.int32)
+        kept = np.zeros(int(word[-1]) + 1, bool)
+        kept[word[special]] = True
+        lowered = np.where(kept[word], data, lowered)
     stop = (data == 46) | (data == 44)
     after = np.ones(len(data), bool)
-    after[:-1] = (data[1:] == 32) | ((data[1:] >= 9) & (data[1:] <= 13))
-    after[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    after[:-1] = space[1:]
+    after[end - 1] = True
     before = np.zeros(len(data), bool)
-    before[1:] = (data[:-1] >= 97) & (data[:-1] <= 122)
-    before[offsets[:-1][np.diff(offsets) > 0]] = False
+    before[1:] = letter[:-1]
+    before[begin] = False
     place = np.flatnonzero(stop & after & before)
     wider = (offsets + np.searchsorted(place, offsets)).astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(strings), [None, pa.py_buffer(wider), pa.py_buffer(np.insert(data, place, 32).tobytes())])
+    return pa.Array.from_buffers(pa.string(), len(strings), [None, pa.py_buffer(wider), pa.py_buffer(np.insert(lowered, place, 32).tobytes())])
 
 
 class WordEncoder:
@@ -50,7 +65,8 @@ class WordEncoder:
         alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
         plain = [self._ids(x) for x in _TRIALS]
-        self.apart = plain == [self._ids(x) for x in _stops_apart(pa.array(_TRIALS)).to_pylist()]
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = all(x.startswith("<|") and not set(x) & set(" .,") for x in added) and plain == [self._ids(x) for x in _stops_apart(pa.array(_TRIALS)).to_pylist()]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

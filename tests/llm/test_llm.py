@@ -152,6 +152,15 @@ def test_words_encode_as_the_whole_text(text):
     assert ids[starts[0] : starts[1]].tolist() == ids_of(text) == ids[starts[2] : starts[3]].tolist() and starts[1] == starts[2]
 
 
+@pytest.mark.parametrize("text", ["x <|ENDOFTEXT|> y", "x <|EndOfText|>. Y", "a<|endoftext|>B. <|endoftext|>, C", "H\u0331 a", "xJ\u030c, W\u030a. T\u0308", "ÉA. The END, <| Of.", "<"])
+def test_capitals_encode_as_in_the_whole_text(text):
+    import pyarrow as pa
+
+    assert encoder().apart
+    starts, ids = encoder().encode(pa.array([text, "|", text, "The. END,"]))
+    assert [ids[i:j].tolist() for i, j in zip(starts[:-1], starts[1:])] == [ids_of(x) for x in (text, "|", text, "The. END,")]
+
+
 def test_histogram_answers_for_every_limit(docs, none):
     lengths = [len(ids_of(t)) for _, t in awkward()]
     table = length_histogram.length_histogram(length_histogram.encoded_lengths(docs))
