@@ -63,9 +63,9 @@ def _set_hashes(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(np.diff(starts) > 0, np.maximum(found, np.uint64(1)), np.uint64(0))
 
 
-def _grouped(row: np.ndarray, hashes: np.ndarray, count: int, width: int) -> np.ndarray:
+def _grouped(row: np.ndarray, hashes: np.ndarray, count: int, width: int, kind: type = np.uint16) -> np.ndarray:
     """How many of each row's shingles fall in each of 2**width groups."""
-    return np.bincount((row << width) | (hashes >> np.uint64(64 - width)).astype(np.int64), minlength=count << width).reshape(count, 1 << width).astype(np.uint16)
+    return np.bincount((row << width) | (hashes >> np.uint64(64 - width)).astype(np.int64), minlength=count << width).reshape(count, 1 << width).astype(kind)
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -277,7 +277,7 @@ def _verify(percent: int):
         order = np.lexsort((own, n, cell))
         hashes, cell, own, n = hashes[spread(starts[order], n[order])], cell[order], own[order], n[order]
         starts = np.concatenate([[0], np.cumsum(n)])
-        counts = _grouped(np.repeat(np.arange(len(n)), n), hashes, len(n), 7)
+        counts = _grouped(np.repeat(np.arange(len(n)), n), hashes, len(n), 7, np.uint32)  # sets of any size in few groups
         label = CountTree(counts, n, cell, percent).connect(lambda one, two: overlaps(starts, hashes, one, two) >= needed(n[one], n[two], percent))
         one, two = _edges(own, label)
         return pa.table({"one": pa.array(one), "two": pa.array(two)})

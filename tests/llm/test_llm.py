@@ -108,6 +108,16 @@ def test_no_pair_is_lost_by_the_tree():
     assert (label == count_tree.merged(300, one[close], two[close])).all() and close.sum() > 20
 
 
+def test_long_sets_are_verified_with_whole_counts():
+    import pyarrow as pa
+    from tessera.llm.blocks import pack
+
+    one = np.arange(70_000, dtype=np.uint64)  # all in one group
+    columns = [np.ones(2, np.uint64), np.array([5, 6], np.uint64), np.array([len(one)] * 2, np.uint32)]
+    rows = pa.table({**{c: [pack(v)] for c, v in zip("abc", columns)}, "d": [pack(np.concatenate([one, one]), True)]})
+    assert jaccard._verify(85)(rows).num_rows == 1
+
+
 def test_components_of_paths_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (500, 500), (None, 3)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "one long, two long")).collect()}
