@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are held against all rows at once. More queries go in several jobs.
+#: Query vectors that are held against all rows at once. More queries go in several blocks.
 QUERY_BLOCK = 100_000
 
 
@@ -19,9 +21,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
     """(query_id, key, distance, rank): the k nearest rows of each query, ties by key. queries: query_id and qvec.
 
     The queries are packed into one array row and sent to all tasks, so the vectors are read once and never shuffled; each task
-    keeps k rows of a query before anything moves. More than QUERY_BLOCK queries are an error: give them in blocks.
+    keeps k rows of a query before anything moves. More than QUERY_BLOCK queries are counted first and go in blocks by the hash of
+    query_id, each of which reads the vectors once; one query_id with more rows than that is an error.
     allowed: a filter over columns of vectors and queries (all columns of queries can be used).
     """
+    blocks = -(-2 * queries.count() // QUERY_BLOCK)  # about half full, for hashes are uneven
+    if blocks > 2:
+        parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, [_nearest(p, vectors, k, key, query_id, vector, allowed) for p in parts])
+    return _nearest(queries, vectors, k, key, query_id, vector, allowed)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_id: str, vector: str, allowed: Column | None) -> DataFrame:
     extra = [c for c in queries.columns if c not in (query_id, "qvec")]
     packed = queries.agg(F.collect_list(F.struct(query_id, "qvec", *extra)).alias("packed"))
     packed = packed.withColumn("packed", F.when(F.size("packed") <= QUERY_BLOCK, F.col("packed")).otherwise(F.raise_error(F.lit(f"more than {QUERY_BLOCK} queries at once"))))

@@ -55,6 +55,13 @@ def test_nearest_breaks_ties_by_key_and_skips_other_lengths(spark):
     assert [(r.vec_id, r.rank) for r in vectors.nearest(asked, rows, 2).orderBy("rank").collect()] == [(1, 0), (3, 1)]
 
 
+def test_nearest_takes_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    rows = spark.createDataFrame([(k, [float(k)]) for k in range(30)], "vec_id long, embedding array<float>")
+    asked = rows.selectExpr("vec_id AS query_id", "embedding AS qvec")
+    assert sorted((r.query_id, r.vec_id, r.rank) for r in vectors.nearest(asked, rows, 1).collect()) == [(k, k, 0) for k in range(30)]
+
+
 def test_filter_gives_way_where_it_leaves_nothing(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, None)], "g int, t string")
     assert sorted((r.g, r.t) for r in vectors.unless_empty(rows, F.col("t") == "a", "g").collect() if r.t) == [(1, "a"), (2, "b")]
