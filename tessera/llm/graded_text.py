@@ -10,34 +10,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ordinal
-from tessera.llm.quality_rules import sampled_labels
+from tessera.llm.blocks import lists, pack, unpack
+from tessera.llm.labelled import labelled_texts
 from tessera.llm.text import slices, utf8
 
-#: Turns texts into entries (row, column, value) of a sparse matrix.
-Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Turns texts into entries (row, column, value) of a sparse matrix; None for values that are all 1.
+Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, features: Features, width: int, most: int, key: str = "doc_id", text: str = "text", **settings) -> ordinal.OrdinalModel:
-    """Fits on the entries of at most `most` labelled documents, made on the executors."""
-    sample = F.broadcast(sampled_labels(labels, grade, key, most))  # `most` rows at most
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key").select("grade", "text")
+    """Fits on the entries of at most `most` labelled documents, made on the executors.
+
+    They come to the driver packed, a row for each batch, and are put in the order of the keys' hashes, so that the fit doesn't
+    depend on how the rows are dealt.
+    """
+    sample = labelled_texts(docs, labels, grade, key, text, most).select("place.*", "grade", "text")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             row, column, value = features(utf8(part.column("text")))
-            order = np.argsort(row, kind="stable")
-            ends = pa.array(np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("grade"), pa.ListArray.from_arrays(ends, pa.array(column[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[order].astype(np.float32)))], ["grade", "columns", "values"]
-            )
-
-    found = rows.mapInArrow(entries, "grade int, columns array<int>, `values` array<float>").orderBy("grade", F.xxhash64("columns", "values")).toArrow()
-    grades = np.asarray(found["grade"].combine_chunks(), dtype=np.int64) if len(found) else np.zeros(0, np.int64)
-    lists = found["columns"].combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
-    sizes = np.diff(np.asarray(lists.offsets)) if len(found) else np.zeros(0, np.int64)
-    column = np.asarray(lists.flatten(), dtype=np.int64)
-    value = np.asarray(found["values"].combine_chunks().flatten(), dtype=np.float64) if len(found) else np.zeros(0)
-    return ordinal.fit(np.repeat(np.arange(len(grades)), sizes), column, value, grades, width, **settings)
+            order = np.lexsort((column, row))
+            sizes = np.bincount(row, minlength=part.num_rows).astype(np.uint32)
+            packed = [pack(sizes), pack(column[order].astype(np.int32)), None if value is None else pack(value[order].astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([lists(part.column(c)) for c in ("hash", "key", "grade")] + [pa.array([x], pa.binary()) for x in packed], ["hash", "key", "grade", "sizes", "columns", "values"])
+
+    rows = sample.mapInArrow(entries, "hash array<long>, key array<string>, grade array<int>, sizes binary, columns binary, `values` binary").collect()
+    places = [(h, k, at, own, g) for at, r in enumerate(rows) for own, (h, k, g) in enumerate(zip(r.hash, r.key, r.grade))]
+    sizes = [unpack(r.sizes, np.uint32).astype(np.int64) for r in rows]
+    ends = [np.cumsum(s) for s in sizes]
+    places.sort()
+    starts = np.concatenate([[0], np.cumsum([sizes[at][own] for _, _, at, own, _ in places])]).astype(np.int64)
+    columns = np.empty(starts[-1], np.int32)
+    values = np.empty(starts[-1], np.float32) if any(r["values"] is not None for r in rows) else None
+    to = {(at, own): n for n, (_, _, at, own, _) in enumerate(places)}
+    for at, r in enumerate(rows):  # one batch unpacked at a time
+        for held, name, kind in ((columns, "columns", np.int32), (values, "values", np.float32)):
+            if held is not None:
+                part = unpack(r[name], kind)
+                for own, (end, size) in enumerate(zip(ends[at], sizes[at])):
+                    n = to[at, own]
+                    held[starts[n] : starts[n + 1]] = part[end - size : end]
+    return ordinal.fit(starts, columns, values, np.array([g for *_, g in places], np.int64), width, **settings)
 
 
 def grade(docs: DataFrame, model: ordinal.OrdinalModel, features: Features, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import boosted_trees
+from tessera.llm.labelled import labelled_texts
 from tessera.llm.statistics import COUNTS, counts, document_counts, features
 from tessera.llm.text import slices, utf8
 
@@ -19,17 +20,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_LABELLED = 20_000
 
 
-def sampled_labels(labels: DataFrame, grade, key: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """(key, grade) of at most `most` labelled rows, by the hash of their keys. Rows without key or grade are left out."""
-    rows = labels.select(F.col(key).alias("key"), grade.cast("int").alias("grade")).where("key is not null and grade is not null")
-    return rows.orderBy(F.xxhash64("key"), "key", "grade").limit(most)
-
-
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> boosted_trees.Forest:
-    """Fits the trees on at most `most` labelled documents: only their statistics come to the driver."""
-    sample = F.broadcast(sampled_labels(labels, F.col("quality"), key, most))  # `most` rows at most
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key")
-    found = document_counts(rows.withColumn("key", F.struct("key", "grade")), "key").select("key.grade", *COUNTS).orderBy(*COUNTS, "grade").toPandas()
+    """Fits the trees on at most `most` labelled documents: only their statistics come to the driver, and are put in order there."""
+    sample = labelled_texts(docs, labels, F.col("quality"), key, text, most)
+    found = document_counts(sample.withColumn("place", F.struct("place", "grade")), "place").select("place.place.*", "place.grade", *COUNTS).toPandas().sort_values(["hash", "key"])
     x, names = features({c: found[c].to_numpy() for c in COUNTS})
     return boosted_trees.fit(x, (found["grade"].to_numpy() > 0).astype(float), np.array([-1 if n in FALLING else 0 for n in names]))
 

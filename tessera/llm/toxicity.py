@@ -23,13 +23,13 @@ def severity():
     return F.col("toxic") + F.when((F.col("toxic") > 0) & (F.coalesce("quality", F.lit(1)) == 0), 1).otherwise(0)
 
 
-def toxicity_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def toxicity_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, None]:
     """1 for each hashed word, and each beginning of a longer word, that a text holds, however often; upper and lower case are alike."""
     starts, flat = words(mapped(strings, WORD_BYTES))
     coded, row = flat.dictionary_encode(), rows_of(starts)
     index, count = np.asarray(coded.indices), len(coded.dictionary)
     if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), None
     lengths = np.asarray(pc.utf8_length(coded.dictionary))
     held = np.unique(row.astype(np.int64) * count + index)  # a text's different words
     row, index = held // count, held % count
@@ -40,7 +40,7 @@ def toxicity_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
         long = (lengths > size)[index]
         cells.append(row[long] * WIDTH + column[index[long]])
     cell = np.unique(np.concatenate(cells))
-    return cell // WIDTH, cell % WIDTH, np.ones(len(cell))
+    return cell // WIDTH, cell % WIDTH, None
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED, least: float = 0.5) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import boosted_trees, components, count_tree, decontaminate, graded_text, jaccard, katz, length_histogram, ordinal, packing, quality_classifier, quality_rules, queries, repeats, revisits, suffixes, toxicity
+from tessera.llm import boosted_trees, components, count_tree, decontaminate, jaccard, katz, labelled, length_histogram, ordinal, packing, quality_classifier, quality_rules, queries, repeats, revisits, suffixes, toxicity
 from tessera.llm.encoding import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -373,34 +373,62 @@ def test_trees_learn_and_stay_monotone():
     assert np.allclose(boosted_trees.fit(x, np.ones(2000), np.zeros(3)).probability(x[:2]), 0.999)
 
 
-def test_ordinal_grades():
+@pytest.mark.parametrize("presence", [False, True])
+def test_ordinal_grades(presence):
     rng = np.random.default_rng(1)
     grades = rng.integers(0, 3, 900)
-    row = np.repeat(np.arange(900), 2)
     column = np.stack([grades * 10 + rng.integers(0, 10, 900), 30 + rng.integers(0, 30, 900)], axis=1).ravel()
-    model = ordinal.fit(row, column, np.ones(1800), grades, 64)
-    tails = model.tails(model.scores(row, column, np.ones(1800), 900))
+    value = None if presence else np.ones(1800, np.float32)
+    model = ordinal.fit(np.arange(901) * 2, column, value, grades, 64)
+    tails = model.tails(model.scores(np.repeat(np.arange(900), 2), column, value, 900))
     assert (np.diff(model.thresholds) >= 0).all() and (tails[:, 0] >= tails[:, 1] - 1e-12).all()
     assert (np.round(tails.sum(axis=1)) == grades).mean() > 0.9
 
 
+def test_sums_over_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    starts = np.concatenate([[0], np.cumsum(rng.integers(0, 9, 50))])
+    column, value = rng.integers(0, 12, starts[-1]).astype(np.int32), rng.random(starts[-1])
+    dense = np.zeros((50, 12))
+    np.add.at(dense, (np.repeat(np.arange(50), np.diff(starts)), column), value)
+    for piece in (1, 7, 1 << 20):
+        monkeypatch.setattr(ordinal._Entries, "PIECE", piece)
+        held = ordinal._Entries(starts, column, value, 12)
+        assert np.allclose(held.by_row(np.arange(12.0)), dense @ np.arange(12.0)) and np.allclose(held.by_column(np.arange(50.0)), np.arange(50.0) @ dense)
+
+
 @pytest.mark.parametrize("which", ["quality", "toxic"])
 def test_classifiers_on_held_out_labels(spark, which):
-    folder = "/root/testdata/sf0.01"
+    """Each class by itself: a constant answer is right for all of one and none of the other."""
+    folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     odd = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
-    module, column = (quality_classifier, "selected") if which == "quality" else (toxicity, "toxic")
-    found = module.classify(docs, labels.where(~odd)).withColumnRenamed("toxic", "found").withColumnRenamed("selected", "found")
-    rows = found.join(labels.where(odd), "doc_id").select(F.col("found").alias("f"), (F.col("quality" if which == "quality" else "toxic") > 0).alias("y")).collect()
-    share = sum(r.f == r.y for r in rows) / len(rows)
-    most = max(sum(r.y for r in rows), sum(not r.y for r in rows)) / len(rows)
-    assert share >= max(0.85, most - 0.02), (share, most)
+    module, column, chance = (quality_classifier, "selected", "p_good") if which == "quality" else (toxicity, "toxic", "p_toxic")
+    found = module.classify(docs, labels.where(~odd)).select("doc_id", F.col(column).alias("f"), F.col(chance).alias("p"))
+    rows = found.join(labels.where(odd), "doc_id").select("f", "p", (F.col(which) > 0).alias("y")).collect()
+    ours, theirs = [r for r in rows if r.y], [r for r in rows if not r.y]
+    right, left = sum(r.f for r in ours) / len(ours), sum(not r.f for r in theirs) / len(theirs)
+    above = sum((a.p > b.p) + (a.p == b.p) / 2 for a in ours for b in theirs) / len(ours) / len(theirs)
+    assert right > 0.7 and left > 0.8 and above > 0.9, (right, left, above)
+
+
+def test_a_sample_is_bounded_by_keys_and_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100, "clash") for k in range(40)] + [(7, "y" * 500, "clash")] * 300 + [(None, "n", "clash")], "doc_id long, text string, grade string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(7, 0)] * 9 + [(None, 1), (3, None), (99, 1)], "doc_id long, quality int")
+    whole = labelled.labelled_texts(docs, labels, F.col("quality")).select("place.key", "grade", F.length("text").alias("n")).collect()
+    assert sorted((int(r.key), r.grade, r.n) for r in whole) == [(k, 0 if k == 7 else k % 2, 100) for k in range(20)]
+    assert labelled.labelled_texts(docs, labels, F.col("quality"), most=5).count() <= 5
+    some = {r.key for r in labelled.labelled_texts(docs, labels, F.col("quality"), most_bytes=650).select("place.key").collect()}
+    assert some == {r.key for r in sorted(labelled.labelled_texts(docs, labels, F.col("quality")).select("place.*").collect())[:6]}
+    assert labelled.labelled_texts(docs.limit(0), labels, F.col("quality")).count() == 0
+    repeated = quality_classifier.classify(docs, labels).collect()
+    assert len(repeated) == 341 and len({r.p_good for r in repeated if r.doc_id != 7}) <= 2
 
 
 def test_classifiers_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(docs, labels).count() == len(awkward()) == toxicity.classify(docs, labels).count()
-    assert toxicity.classify(docs.limit(0), labels).count() == 0 and graded_text.__doc__
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
 # ---- 10
