@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import shown_date
-
 # Kinds of statutes by code, and heading patterns.
-KINDS = {"A0001": "법률", "A0002": "대통령령", "A0003": "총리령", "A0004": "부령"}
+KINDS = {"A0002": "법률", "A0003": "시행령", "A0004": "시행규칙", "A0005": "고시"}
 ARTICLE_HEADING = r"##### (제\d+조(?:의\d+)?)"
 
 
@@ -26,15 +24,23 @@ def body(summary: Column, holding: Column, full: Column, limit: int = 2000) -> C
     return F.when(s != "", s).when(h != "", F.concat(h, F.when(f != "", F.concat(F.lit("\n\n"), F.substring(f, 1, limit))).otherwise(""))).otherwise(f)
 
 
-def decision(court: Column, number: Column, date: Column, name: Column, sections: dict[str, Column], limit: int = 8000) -> Column:
-    """`[court number (date)] name` and, each after a blank line, the sections that aren't empty under their labels."""
+def _dotted(date: Column) -> Column:
+    return F.concat_ws(".", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))
+
+
+def _labelled(court: Column, number: Column, shown: Column, name: Column, sections: dict[str, Column], limit: int) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
-    shown = F.when(text(date).rlike("^.{8}$"), F.concat_ws(".", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))).otherwise(text(date))
     head = F.concat(F.lit("["), text(court), F.lit(" "), text(number), F.lit(" ("), shown, F.lit(")] "), text(name))
     parts = [F.when(text(c) != "", F.concat(F.lit(f"\n{label}:\n"), c)) for label, c in sections.items()]
     return F.substring(F.concat_ws("\n", head, *parts), 1, limit)
 
 
+def decision(court: Column, number: Column, date: Column, name: Column, sections: dict[str, Column], limit: int = 8000) -> Column:
+    """`[court number (date)] name` and, each after a blank line, the sections that aren't empty under their labels."""
+    given = F.coalesce(date, F.lit(""))
+    return _labelled(court, number, F.when(F.length(given) == 8, _dotted(given)).otherwise(given), name, sections, limit)
+
+
 def article_body(paragraphs: Column, content: Column) -> Column:
     """An article of paragraphs (array<struct<text,items array<string>>>): a line each, items two blanks in; without paragraphs its content."""
     lines = F.flatten(F.transform(paragraphs, lambda p: F.concat(F.array(_strip(p["text"])), F.transform(F.filter(F.coalesce(p["items"], F.array().cast("array<string>")), lambda i: _strip(i) != ""), lambda i: F.concat(F.lit("  "), _strip(i))))))
@@ -78,6 +84,13 @@ def with_suffix(messages: Column, suffix: str) -> Column:
     return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when(F.coalesce(add(m, i), F.lit(False)), F.concat(m["content"], F.lit(" " + suffix))).otherwise(m["content"]).alias("content")))
 
 
-def interpretation(title: Column, number: Column, date: Column, sections: dict[str, Column], reason: Column, limit: int = 8000, reason_limit: int = 3000) -> Column:
-    """Like a decision, with the reason, cut, as the last section."""
-    return decision(title, number, shown_date(F.coalesce(date, F.lit(""))), F.lit(""), {**sections, "이유": F.substring(F.coalesce(reason, F.lit("")), 1, reason_limit)}, limit)
+def interpretation(issuer: Column, number: Column, date: Column, listed: Column, title: Column, sections: dict[str, Column], reason: Column, limit: int = 8000, reason_limit: int = 3000) -> Column:
+    """Like a decision, with the reason, cut, as the last section. A date that isn't eight characters long gives way to the listed one."""
+    shown = F.when(F.length(date) == 8, _dotted(date)).otherwise(F.coalesce(listed, F.lit("")))
+    return _labelled(issuer, number, shown, title, {**sections, "이유": F.substring(F.coalesce(reason, F.lit("")), 1, reason_limit)}, limit)
+
+
+def constitutional(number: Column, name: Column, text: Column, limit: int = 8000) -> Column:
+    """A head with the case's number and name, then the body; null without a body or a number."""
+    good = (F.coalesce(number, F.lit("")) != "") & (_strip(text) != "")
+    return F.when(good, F.substring(F.concat(F.lit("[헌법재판소 "), number, F.lit("] "), F.coalesce(name, F.lit("")), F.lit("\n"), text), 1, limit))

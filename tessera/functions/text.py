@@ -19,9 +19,10 @@ def tokenize(text: Column) -> Column:
 
     Null counts as empty. A word of two characters appears twice, once as a word and once as its only shingle.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    pairs = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    return F.when(F.size(words) > 0, F.concat(words, pairs)).otherwise(F.array(F.lit(EMPTY_TOKEN)))
+    pairs = lambda w: F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    all_ = lambda words: F.when(F.size(words) > 0, F.concat(words, F.flatten(F.transform(words, pairs)))).otherwise(F.array(F.lit(EMPTY_TOKEN)))
+    # an array of one list of words: the lambda's variable stands for it, so the pattern is looked for once a row
+    return F.transform(F.array(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))), all_)[0]
 
 
 def longest(values: Column) -> Column:
@@ -49,14 +50,15 @@ def strip_html(html: Column) -> Column:
 
 def normal_date(date: Column) -> Column:
     """YYYY-MM-DD for eight digits with or without dots and dashes; anything else stays as it is."""
-    digits = F.regexp_replace(date, "[.-]", "")
+    digits = F.regexp_replace(date, r"[.-]|^\s+|\s+$", "")
     return F.when(digits.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))).otherwise(date)
 
 
 def shown_date(date: Column) -> Column:
-    """YYYY.MM.DD for eight digits; seven characters are malformed and become empty; anything else stays."""
-    dotted = F.concat_ws(".", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))
-    return F.when(F.length(date) == 7, "").when(date.rlike("^[0-9]{8}$"), dotted).otherwise(date)
+    """YYYY.MM.DD for eight digits, dots not counted; seven characters are malformed and become empty; anything else stays."""
+    bare = F.translate(date, ".", "")
+    dotted = F.concat_ws(".", F.substring(bare, 1, 4), F.substring(bare, 5, 2), F.substring(bare, 7, 2))
+    return F.when(F.length(bare) == 7, "").when(bare.rlike("^[0-9]{8}$"), dotted).otherwise(date)
 
 
 def frontmatter(text: Column) -> Column:
@@ -80,8 +82,10 @@ def excerpt(document: Column, size: int = 400) -> Column:
 
 
 def article_label(number: Column) -> Column:
-    """`제N조` for a whole number, anything else as it is."""
-    return F.when(number.rlike(r"^\s*[+-]?\d+\s*$"), F.concat(F.lit("제"), F.trim(number).cast("int").cast("string"), F.lit("조"))).otherwise(number)
+    """`제N조` around the number, without white space and, if it is a whole one, leading zeros; null for nothing."""
+    bare = F.nullif(F.regexp_replace(number, r"^\s+|\s+$", ""), F.lit(""))
+    whole = F.when(bare.rlike(r"^[+-]?\d+$"), F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), r"^(-?)0+(?=\d)", "$1"))
+    return F.concat(F.lit("제"), F.coalesce(whole, bare), F.lit("조"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -113,11 +117,12 @@ def passes(reply: Column) -> Column:
 
 
 def is_fixed_point(one: Column, two: Column, least_length: float = 0.85, least_same: float = 0.8) -> Column:
-    """Whether two texts say much the same, place by place: blanks and line ends don't count; short ones must be equal."""
+    """Whether two texts say much the same, place by place: blanks and line ends don't count; short ones must be equal. Nothing is like nothing."""
     a, b = F.translate(F.coalesce(one, F.lit("")), " \n", ""), F.translate(F.coalesce(two, F.lit("")), " \n", "")
     low, high = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     same = F.size(F.filter(F.arrays_zip(F.split(F.substr(a, F.lit(1), low), "").alias("x"), F.split(F.substr(b, F.lit(1), low), "").alias("y")), lambda p: p["x"] == p["y"]))
-    return F.when((F.length(a) < 100) | (F.length(b) < 100), a == b).when(low / high < least_length, F.lit(False)).otherwise(same / high > least_same)
+    nothing = (F.coalesce(one, F.lit("")) == "") | (F.coalesce(two, F.lit("")) == "")
+    return F.when(nothing, F.lit(False)).when((F.length(a) < 100) | (F.length(b) < 100), a == b).when(low / high < least_length, F.lit(False)).otherwise(same / high > least_same)
 
 
 def hit_strings(text: Column, wanted: Column) -> Column:
@@ -132,8 +137,8 @@ def hit_articles(text: Column, wanted: Column) -> Column:
 
 
 def hit_rate(hits: Column, wanted: Column) -> Column:
-    """The share of hits, of one at least, to two places."""
-    return F.round(F.size(hits) / F.greatest(F.lit(1), F.size(wanted)), 2)
+    """The share of hits, of one at least, to two places, halves to the even one."""
+    return F.bround(F.size(hits) / F.greatest(F.lit(1), F.size(wanted)), 2)
 
 
 def signed(value: Column) -> Column:
@@ -141,9 +146,23 @@ def signed(value: Column) -> Column:
 
 
 def safe_identifier(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, r"(?U)\W", "_"), 1, 40)
+    """At most 40 characters, `_` for all but ASCII letters, digits and `_`; different texts may come to the same."""
+    return F.substring(F.regexp_replace(text, "[^A-Za-z0-9_]", "_"), 1, 40)
 
 
 def strip_line_number(line: Column) -> Column:
-    """A search hit's line without `path:12:` or `12-` before it."""
-    return F.regexp_replace(line, r"^(?:[^:\n]*:)?\d+[:-]\s?", "")
+    """A search hit's line without `path:12:` or `path-12-` before it."""
+    return F.regexp_replace(line, r"(?s)^[^:]+[-:](\d+)[-:](.*)$", "$2")
+
+
+def joined_excerpt(lines: Column, size: int = 400) -> Column:
+    """The lines (one string) without what a search put before them, stripped, with a middle dot between those that aren't empty."""
+    bare = F.transform(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda x: F.regexp_replace(strip_line_number(x), r"^\s+|\s+$", ""))
+    return F.substring(F.concat_ws(" · ", F.filter(bare, lambda x: x != "")), 1, size)
+
+
+def mock_reply(messages: Column) -> Column:
+    """A reply that depends on nothing but the messages (array<struct<role,content>>): twelve digits of the checksum of their JSON, keys in order."""
+    escaped = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    shown = F.transform(messages, lambda m: F.concat(F.lit('{"content": '), escaped(m["content"]), F.lit(', "role": '), escaped(m["role"]), F.lit("}")))
+    return F.concat(F.lit("[dry_run] deterministic mock response hash="), F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", shown), F.lit("]")), 256), 1, 12))

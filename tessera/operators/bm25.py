@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
-from tessera.sources.tables import written
+from tessera.sources.tables import new_path, snapshot, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries without enough hits that are sent to all tasks; more are an error.
+MOST_SHORT = 100_000
 
 
 @dataclass
@@ -34,14 +37,36 @@ def _busy(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """Tokenizes once and writes postings and document frequencies; only the numbers come to the driver."""
-    tokens = _busy(docs.select(key, text)).select(key, tokenize(F.col(text)).alias("tokens")).select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = written(tokens.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl"), "postings")
-    terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    documents, size = docs.count(), postings.agg(F.sum("tf")).first()[0] or 0
-    mean = terms.agg(F.avg(_raw_idf(documents))).first()[0] or 0.0
-    return Index(postings, terms, documents, size / max(documents, 1), mean)
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> Index:
+    """Tokenizes once and writes postings and document frequencies; only the numbers come to the driver. path: where, else a new folder."""
+    spark = docs.sparkSession
+    path = path or new_path(spark, "bm25")
+    tokens = _busy(docs.select(F.col(key).alias("key"), text)).select("key", tokenize(F.col(text)).alias("tokens")).select("key", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = tokens.groupBy("key", "dl", "term").agg(F.count("*").alias("tf")).select("key", "term", "tf", "dl")
+    postings.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings")
+    held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/terms")
+    terms, n = spark.read.parquet(f"{path}/terms"), docs.count()
+    numbers = terms.agg(F.lit(n).cast("long").alias("documents"), (F.coalesce(F.sum("cf"), F.lit(0)) / F.lit(max(n, 1))).alias("mean_length"), F.coalesce(F.avg(_raw_idf(n)), F.lit(0.0)).alias("mean_idf"))
+    numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")  # last: an index with numbers is whole
+    return load(spark, path, key)
+
+
+def load(spark: SparkSession, path: str, key: str = "doc_id") -> Index:
+    """An index that `build` has written."""
+    numbers = spark.read.parquet(f"{path}/numbers").first()
+    return Index(spark.read.parquet(f"{path}/postings").withColumnRenamed("key", key), spark.read.parquet(f"{path}/terms"), numbers.documents, numbers.mean_length, numbers.mean_idf)
+
+
+def kept(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Index:
+    """The index of these very files in the folder, built if it isn't there: named by the files' sizes and times, never by a count of rows."""
+    path = f"{folder.rstrip('/')}/bm25-{snapshot(docs)}-{key}-{text}"
+    try:
+        return load(docs.sparkSession, path, key)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return build(docs, key, text, path)
 
 
 def scores(queries: DataFrame, index: Index, key: str = "doc_id", query_id: str = "query_id", text: str = "query") -> DataFrame:
@@ -60,19 +85,40 @@ def scores(queries: DataFrame, index: Index, key: str = "doc_id", query_id: str
 def ranked(scored: DataFrame, k: int, group: str = "query_id", key: str = "doc_id", by: Column | None = None) -> DataFrame:
     """The k best rows of each query with rank from 0; equal scores (to nine places) go by key."""
     order = Window.partitionBy(group).orderBy(F.desc(F.round("score", 9)) if by is None else by, key)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
 
+def filled(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", query_id: str = "query_id", allowed: Column | None = None) -> DataFrame:
+    """scored, and with score 0, for each query with fewer than k rows of no negative score, the first k documents by key that it lacks.
 
-def search(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", query_id: str = "query_id", allowed: Column | None = None, index: Index | None = None) -> DataFrame:
+    Only such queries meet the documents again, by key alone; each task keeps so many documents of a query before anything moves
+    that k are left whichever of them have a score. A stated set of MOST_SHORT queries at most goes to all tasks.
+    """
+    counts = scored.groupBy(query_id).agg(F.count("*").alias("held"), F.count_if(F.col("score") >= 0).alias("good"))
+    short = queries.drop("query").join(counts, query_id, "left").where(F.coalesce("good", F.lit(0)) < k).withColumn("held", F.coalesce("held", F.lit(0)))
+    size = short.agg(F.count("*").alias("n"), F.max("held").alias("m")).first()
+    if not size.n:
+        return scored
+    if size.n > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} queries without {k} hits at once")
+    pairs = docs.drop("text").crossJoin(F.broadcast(short.drop("good", "held")))
+    pairs = (pairs if allowed is None else pairs.where(allowed)).select(query_id, key)
+    first = pairs.withColumn("n", F.row_number().over(Window.partitionBy(query_id).orderBy(key))).where(F.col("n") <= k + size.m).drop("n")
+    return scored.unionByName(first.join(scored.select(query_id, key), [query_id, key], "left_anti").withColumn("score", F.lit(0.0)))
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", query_id: str = "query_id", allowed: Column | None = None, index: Index | None = None, scored: DataFrame | None = None) -> DataFrame:
     """BM25's k best documents of each query; allowed (over columns of docs and queries) filters after global statistics.
 
-    Documents without a shared term score 0 and are left out. Without an index of docs one is built.
+    Documents without a shared term score 0, and follow by key where a query has too few others. Without an index of docs one is
+    built. scored: what `scores` gave for these queries, if it is there already.
     """
-    found = scores(queries, index or build(docs, key), key, query_id)
+    found = scores(queries, index or build(docs, key), key, query_id) if scored is None else scored
     if allowed is not None:
         extra = [c for c in docs.columns if c not in (key, "text")]
         found = found.join(docs.select(key, *extra), key).join(queries.drop("query"), query_id).where(allowed).select(query_id, key, "score")
-    return ranked(found, k, query_id, key)
+    found = written(found, "scored") if scored is None or allowed is not None else found
+    return ranked(filled(found, queries, docs, k, key, query_id, allowed), k, query_id, key)
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame, least: int = 5, key: str = "doc_id", query_id: str = "query_id") -> DataFrame:

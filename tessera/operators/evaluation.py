@@ -48,6 +48,29 @@ def sums_where(rows: DataFrame, value: Column, conditions: dict[str, Column]) ->
     return rows.agg(*[F.coalesce(F.sum(F.when(c, value)), F.lit(0)).alias(n) for n, c in conditions.items()])
 
 
+def floor_average(total: Column, count: Column) -> Column:
+    """The whole part of a mean, rounded down; 0 for a count of 0."""
+    return F.when(count > 0, F.floor(total / count)).otherwise(0).cast("long")
+
+
+def all_ok(checks: DataFrame, ok: str = "ok") -> DataFrame:
+    """One row: whether every check holds; null is a check that doesn't, and without checks all do."""
+    return checks.agg(F.coalesce(F.every(F.coalesce(F.col(ok), F.lit(False))), F.lit(True)).alias("ok"))
+
+
+def smallest_enough(rows: DataFrame, parameter: str, measure: str, least: float, default: float) -> DataFrame:
+    """One row: the smallest parameter whose measure comes to `least`, or the default."""
+    return rows.agg(F.coalesce(F.min(F.when(F.col(measure) >= least, F.col(parameter))), F.lit(default)).alias(parameter))
+
+
+def compared(questions: DataFrame, one: DataFrame, two: DataFrame, scores: DataFrame, key: str, names: tuple[str, str] = ("one", "two")) -> DataFrame:
+    """questions with the answers of two systems and the scores of both by key; what is missing is null. Columns get the systems' names before them."""
+    out = questions
+    for name, table in zip(names, (one, two)):
+        out = out.join(table.select(key, *[F.col(c).alias(f"{name}_{c}") for c in table.columns if c != key]), key, "left")
+    return out.join(scores, key, "left")
+
+
 def best(rows: DataFrame, parameter: str, *measures: str) -> DataFrame:
     """The parameter with the largest measures, compared in turn; of equal ones the smallest parameter."""
     return rows.orderBy(*[F.desc(m) for m in measures], parameter).limit(1).select(parameter, *measures)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import article_reference, excerpt
+from tessera.functions.text import article_reference, excerpt, joined_excerpt
 
 RRF_K, BOOST, FULL_SCORE = 60, 0.3, 0.033
 
@@ -15,13 +15,14 @@ def reciprocal_ranks(first: DataFrame, second: DataFrame, top: int = 20, k: floa
     part = lambda rows, n: rows.select(query_id, key, (1 / (F.lit(k) + F.col("rank") + 1)).alias("s"), F.struct(F.lit(n).alias("list"), F.col("rank").alias("at")).alias("place"))
     fused = part(first, 0).unionByName(part(second, 1)).groupBy(query_id, key).agg(F.sum("s").alias("score"), F.min("place").alias("place"))
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 12)), "place", key)
-    return fused.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).drop("place")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank") - 1).drop("place")
 
 
-def name_matches(name: Column, folder: Column, wanted: Column) -> Column:
-    """Whether a document's name or folder is the wanted name, or starts with it and a blank."""
+def name_matches(name: Column, folder: Column, wanted: Column, aliases: Column | None = None) -> Column:
+    """Whether a document's name or folder is the wanted name, or starts with it and a blank, or one of the aliases stands in its name."""
     start = F.concat(wanted, F.lit(" "))
-    return (folder == wanted) | (name == wanted) | name.startswith(start) | folder.startswith(start)
+    found = (folder == wanted) | (name == wanted) | name.startswith(start) | folder.startswith(start)
+    return found if aliases is None else found | alias_in_name(name, aliases)
 
 
 def boosted(hits: DataFrame, matches: Column, amount: float | Column = BOOST, query_id: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -32,8 +33,8 @@ def boosted(hits: DataFrame, matches: Column, amount: float | Column = BOOST, qu
 
 
 def alias_in_name(name: Column, aliases: Column, least: int = 4) -> Column:
-    """Whether any alias of `least` characters or more stands in the name."""
-    return F.exists(aliases, lambda a: (F.length(a) >= least) & name.contains(a))
+    """Whether any alias of `least` characters or more stands in the name; without aliases none does."""
+    return F.exists(aliases, lambda a: (F.length(a) >= least) & F.coalesce(name, F.lit("")).contains(a))
 
 
 def permuted(hits: DataFrame, orders: DataFrame, top: int, candidates: int, query_id: str = "query_id") -> DataFrame:
@@ -46,7 +47,7 @@ def permuted(hits: DataFrame, orders: DataFrame, top: int, candidates: int, quer
     places = orders.select(query_id, F.posexplode("order").alias("place", "one")).where("one is not null").groupBy(query_id, "one").agg(F.min("place").alias("place"))
     joined = clipped.join(places.select(query_id, (F.col("one") - 1).alias("rank"), "place"), [query_id, "rank"], "left")
     order = Window.partitionBy(query_id).orderBy(F.col("place").asc_nulls_last(), "rank")
-    return joined.withColumn("new", F.row_number().over(order) - 1).where(F.col("new") < top).drop("rank", "place").withColumnRenamed("new", "rank")
+    return joined.withColumn("new", F.row_number().over(order)).where(F.col("new") <= top).drop("rank", "place").withColumn("rank", F.col("new") - 1).drop("new")
 
 
 def confidence(score: Column) -> Column:
@@ -66,7 +67,20 @@ def verdicts(queries: DataFrame, hits: DataFrame, query_id: str = "query_id") ->
 
 def fallback_confidence(hits: Column) -> Column:
     """Of a keyword search with so many hits."""
-    return F.when(hits > 0, F.least(F.lit(0.95), 0.6 + 0.04 * hits)).otherwise(0.0)
+    return F.round(F.when(hits > 0, F.least(F.lit(0.95), 0.6 + 0.04 * hits)).otherwise(0.0), 3)
+
+
+def fallback(queries: DataFrame, hits: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """(query_id, confidence, verdict, citations) of a keyword search: hits has query_id, rank, name, kind and excerpt (lines as found).
+
+    citations: array<struct> in the order of rank, `법령` for a hit without a kind; a query without hits has none, and confidence 0.
+    """
+    cited = F.struct("rank", F.struct(F.coalesce("name", F.lit("")).alias("law_id"), F.coalesce("name", F.lit("")).alias("law_name"), F.coalesce(F.nullif("kind", F.lit("")), F.lit("법령")).alias("article"), F.lit("").alias("version"), joined_excerpt(F.col("excerpt")).alias("excerpt")).alias("c"))
+    each = hits.groupBy(query_id).agg(F.transform(F.array_sort(F.collect_list(cited)), lambda x: x["c"]).alias("citations"))
+    rows = queries.select(query_id).join(each, query_id, "left")
+    sure = fallback_confidence(F.coalesce(F.size("citations"), F.lit(0)))
+    none = F.array().cast(each.schema["citations"].dataType)
+    return rows.select(query_id, sure.alias("confidence"), verdict(sure).alias("verdict"), F.coalesce("citations", none).alias("citations"))
 
 
 def citation(law_id: Column, name: Column, article: Column, date: Column, document: Column, size: int = 400) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries that are sent to all tasks; more are an error.
+MOST_QUERIES = 10_000
 #: What stands for OR, and what a query may hold.
 OR_MARK = r"(?i)\s+(?:OR|또는)\s+|\s*\|\s*"
 VALID = r"(?U)^[\w\s가-힣\-|]{1,200}$"
@@ -29,27 +31,29 @@ def matches(text: Column, keywords: Column, mode: Column) -> Column:
 def search(docs: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "text", query_id: str = "query_id") -> DataFrame:
     """(query_id, key, rank): the first `limit` documents by key that match each query (query_id, keywords, mode).
 
-    The queries are a small stated set: one array row that goes to all tasks. Documents are read once.
+    The queries are a small stated set of MOST_QUERIES at most: one array row that goes to all tasks. Documents are read once, and
+    each task keeps `limit` rows of a query before anything moves.
     """
-    packed = queries.agg(F.collect_list(F.struct(query_id, "keywords", "mode")).alias("packed"))
+    packed = queries.limit(MOST_QUERIES + 1).agg(F.collect_list(F.struct(query_id, "keywords", "mode")).alias("packed"))
+    packed = packed.withColumn("packed", F.when(F.size("packed") <= MOST_QUERIES, F.col("packed")).otherwise(F.raise_error(F.lit(f"more than {MOST_QUERIES} queries at once"))))
     hits = docs.select(key, text).crossJoin(F.broadcast(packed)).select(key, F.explode(F.filter("packed", lambda q: matches(F.col(text), q["keywords"], q["mode"]))[query_id]).alias(query_id))
     order = Window.partitionBy(query_id).orderBy(key)
-    return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
-def context(docs: DataFrame, keywords: Column, key: str = "doc_id", text: str = "text", around: int = 2, lines: int = 25, characters: int = 1500) -> DataFrame:
+def context(docs: DataFrame, keywords: Column, key: str = "doc_id", text: str = "text", around: int = 2, lines: int = 25, characters: int = 1500, name: Column | None = None) -> DataFrame:
     """(key, excerpt): lines with a keyword and `around` lines on each side, numbered; `--` stands between groups.
 
-    12: marks a line with a keyword, 12- one around it. At most `lines` lines and so many characters. Documents without a hit
+    12: marks a line with a keyword, 12- one around it; with a name `name:12:` and `name-12-`. At most `lines` lines and so many characters. Documents without a hit
     have no row. All happens inside a row, in arrays.
     """
     low = lambda x: F.lower(x)
     all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = docs.select(key, all_lines.alias("ls"), keywords.alias("ks")).withColumn("hit", F.transform("ls", lambda x: F.exists(F.col("ks"), lambda k: low(x).contains(low(k)))))
+    rows = docs.select(key, all_lines.alias("ls"), keywords.alias("ks"), (F.lit("") if name is None else name).alias("name")).withColumn("hit", F.transform("ls", lambda x: F.exists(F.col("ks"), lambda k: low(x).contains(low(k)))))
     rows = rows.where(F.exists("hit", lambda h: h))
     near = F.transform("hit", lambda _, i: F.exists(F.slice("hit", F.greatest(F.lit(1), i + 1 - around), F.least(F.lit(2 * around + 1), i + 1 + around)), lambda h: h))
     rows = rows.withColumn("near", near)
     shown = F.transform("ls", lambda x, i: F.when(F.get("near", i), F.concat(
-        F.when((i > 0) & ~F.get("near", i - 1) & F.exists(F.slice("near", 1, i), lambda n: n), "--\n").otherwise(""), (i + 1).cast("string"), F.when(F.get("hit", i), ":").otherwise("-"), x)))
+        F.when((i > 0) & ~F.get("near", i - 1) & F.exists(F.slice("near", 1, i), lambda n: n), "--\n").otherwise(""), F.when(F.col("name") != "", F.concat("name", F.when(F.get("hit", i), ":").otherwise("-"))).otherwise(""), (i + 1).cast("string"), F.when(F.get("hit", i), ":").otherwise("-"), x)))
     text_lines = F.split(F.concat_ws("\n", F.filter(shown, lambda s: s.isNotNull())), "\n")
     return rows.select(key, F.substring(F.concat_ws("\n", F.slice(text_lines, 1, lines)), 1, characters).alias("excerpt"))

@@ -58,6 +58,16 @@ def write_groups(rows: DataFrame, path: str, group: str) -> None:
 
 
 def newest(rows: DataFrame, keep: int, time: str, *keys: str) -> DataFrame:
-    """The `keep` newest rows of each key (of all, without keys); ties by every column's order are not resolved further."""
-    order = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(F.desc(time))
-    return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= keep).drop("_place")
+    """The `keep` newest rows of each key (of all, without keys); of equal times those with the smallest other columns, in their order."""
+    order = [F.desc(time), *[c for c in rows.columns if c != time and c not in keys]]
+    if not keys:
+        return rows.orderBy(*order).limit(keep)
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= keep).drop("_place")
+
+
+def changed_folders(paths: DataFrame, folders: DataFrame, path: str = "path", folder: str = "folder", root: str = "kr", suffix: str = ".md") -> DataFrame:
+    """(folder), each once: of changed paths like root/folder/file.md the folders that are there."""
+    clean = F.regexp_replace(F.col(path), r"^\s+|\s+$", "")
+    parts = F.split(F.regexp_replace(clean, "/+", "/"), "/")
+    named = paths.where(F.endswith(clean, F.lit(suffix)) & (parts[0] == root) & (F.size(parts) >= 2)).select(parts[1].alias(folder)).distinct()
+    return named.join(folders.select(folder), folder, "left_semi")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import safe_identifier
+from tessera.sources.tables import written
+
 #: Names of heading depths (fixed values); deeper ones are h6 and so on.
 LEVELS = {1: "law", 2: "chapter", 3: "section", 4: "subsection", 5: "article"}
 
@@ -70,22 +75,58 @@ def descendants(links: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame
 
     One join for each level until nothing is new; more than `most` levels are an error, so a circle ends.
     """
-    front = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"))
-    found = front
+    front = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")), "front")
+    fronts, links = [front], links.select(F.col("parent").alias("node"), "child")
     for depth in range(1, most + 1):
-        front = front.join(links.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"))
+        # each level is written, so the next one's join doesn't repeat those before it
+        front = written(front.join(links, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")), "front")
         if front.isEmpty():
-            return found
-        found = found.unionByName(front)
+            return reduce(DataFrame.unionByName, fronts)
+        fronts.append(front)
     raise ValueError(f"links lead over more than {most} levels")
 
 
-def outline(nodes: DataFrame, depth: int, key: str = "doc_id", characters: int | None = 18_000) -> DataFrame:
-    """(key, outline): a line for each heading up to depth, indented by level, `[level] identifier :: title`, cut at so many characters."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("["), F.col("level_name"), F.lit("] "), F.col("node_id"), F.lit(" :: "), F.col("title"))
-    rows = nodes.where(F.col("level") <= depth).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("preorder", line.alias("s")))).alias("ls"))
-    text = F.concat_ws("\n", F.transform("ls", lambda x: x["s"]))
-    return rows.select(key, (F.substring(text, 1, characters) if characters else text).alias("outline"))
+def under_root(nodes: DataFrame, root: str, title: str, key: str = "doc_id") -> DataFrame:
+    """One tree of all documents: each document becomes a node under the root, its headings stay below it, a level deeper.
+
+    Columns are those of `tree`; key is the root everywhere. A document's preorder and titles follow its key's order.
+    """
+    named = F.concat_ws(".", F.lit(root), F.col(key).cast("string"))
+    moved = lambda c: F.concat(F.lit(f"{root}."), c)
+    place = lambda preorder: F.struct(F.col(key).cast("string").alias("document"), preorder.alias("preorder"))
+    below = nodes.select(
+        F.lit(root).alias("root"), moved(F.col("node_id")).alias("node_id"), moved(F.col("parent_id")).alias("parent_id"), (F.col("level") + 1).alias("level"), "level_name", "title", "body",
+        place(F.col("preorder")).alias("preorder"), F.concat(F.array(F.lit(root), named), F.transform("path", moved)).alias("path"),
+    )
+    heads = nodes.select(key).distinct().select(
+        F.lit(root).alias("root"), named.alias("node_id"), F.lit(root).alias("parent_id"), F.lit(1).alias("level"), F.lit("source").alias("level_name"), F.col(key).cast("string").alias("title"), F.lit("").alias("body"),
+        place(F.lit(0)).alias("preorder"), F.array(F.lit(root), named).alias("path"),
+    )
+    top = nodes.sparkSession.createDataFrame([(root, root, None, 0, "root", title, "")], "root string, node_id string, parent_id string, level int, level_name string, title string, body string")
+    top = top.withColumn("preorder", F.struct(F.lit("").alias("document"), F.lit(0).alias("preorder"))).withColumn("path", F.array("node_id"))
+    return top.unionByName(heads).unionByName(below)
+
+
+def _lines(nodes: DataFrame, key: str, first: Column, line: Column, deepest: int, depth: Column) -> DataFrame:
+    """(key, text): a first line, then a line for each node of that depth or less, in preorder."""
+    rows = nodes.where(depth <= deepest).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("preorder", line.alias("s")))).alias("ls"))
+    return rows.select(key, F.concat_ws("\n", first, F.transform("ls", lambda x: x["s"])).alias("text"))
+
+
+def outline(nodes: DataFrame, depth: int = 3, key: str = "doc_id", title: Column | None = None, characters: int | None = 18_000) -> DataFrame:
+    """(key, outline): `[root] key :: title`, then a line for each heading down to depth below it, two blanks for each ancestor,
+    `[level] identifier :: title`; all cut at so many characters. Depth counts ancestors, not the marks of a heading."""
+    name = F.col(key).cast("string")
+    line = F.concat(F.repeat(F.lit("  "), F.size("path")), F.lit("["), F.col("level_name"), F.lit("] "), F.col("node_id"), F.lit(" :: "), F.col("title"))
+    first = F.concat(F.lit("[root] "), name, F.lit(" :: "), name if title is None else title)
+    text = _lines(nodes, key, first, line, depth, F.size("path"))
+    return text.select(key, (F.substring("text", 1, characters) if characters else F.col("text")).alias("outline"))
+
+
+def text_tree(nodes: DataFrame, depth: int = 4, key: str = "doc_id", title: Column | None = None) -> DataFrame:
+    """(key, tree): the title, then `[level] title` for each heading down to depth, two blanks for each ancestor."""
+    line = F.concat(F.repeat(F.lit("  "), F.size("path")), F.lit("["), F.col("level_name"), F.lit("] "), F.col("title"))
+    return _lines(nodes, key, F.col(key).cast("string") if title is None else title, line, depth, F.size("path")).withColumnRenamed("text", "tree")
 
 
 def within_budget(rows: DataFrame, size: Column, budget: int, group: str, order: str) -> DataFrame:
@@ -99,11 +140,17 @@ def statistics(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return nodes.groupBy(key).agg(F.count("*").alias("nodes"), F.count_if(F.col("level_name") == "article").alias("articles"), F.max("level").alias("max_depth"))
 
 
-def mermaid(nodes: DataFrame, depth: int = 3, key: str = "doc_id", label: int = 60) -> DataFrame:
-    """(key, chart): a top-down flow chart of the headings up to depth and their children as edges."""
-    from tessera.functions.text import safe_identifier
+def mermaid(nodes: DataFrame, depth: int = 3, key: str = "doc_id", title: Column | None = None, label: int | None = 60) -> DataFrame:
+    """(key, chart): a top-down flow chart of the headings down to depth and their children.
 
-    title = F.translate(F.substring("title", 1, label), '"[]', "'()")
-    line = F.concat(F.lit("  "), safe_identifier(F.col("parent_id")), F.lit(" --> "), safe_identifier(F.col("node_id")), F.lit('["'), title, F.lit('"]'))
-    rows = nodes.where(F.col("level") <= depth + 1).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("preorder", line.alias("s")))).alias("ls"))
-    return rows.select(key, F.concat_ws("\n", F.array(F.lit("graph TD")), F.transform("ls", lambda x: x["s"])).alias("chart"))
+    A node stands as `identifier["title"]` before its first edge, then `parent --> node`. Identifiers are made safe; of those that
+    come to the same only the first node stands, as the chart knows them by name only. Quotes in titles become single ones.
+    """
+    shown = lambda c: F.concat(F.lit('["'), F.translate(c if label is None else F.substring(c, 1, label), '"', "'"), F.lit('"]'))
+    name, own = F.col(key).cast("string"), safe_identifier(F.col("node_id"))
+    rows = nodes.where(F.size("path") <= depth + 1).withColumn("own", own)
+    fresh = (F.row_number().over(Window.partitionBy(key, "own").orderBy("preorder")) == 1) & (F.col("own") != safe_identifier(name))
+    node = F.when(F.col("fresh"), F.concat(F.lit("    "), F.col("own"), shown(F.col("title"))))
+    line = F.concat_ws("\n", node, F.concat(F.lit("    "), safe_identifier(F.col("parent_id")), F.lit(" --> "), F.col("own")))
+    first = F.concat(F.lit("flowchart TD\n    "), safe_identifier(name), shown(name if title is None else title))
+    return _lines(rows.withColumn("fresh", fresh), key, first, line, depth + 1, F.size("path")).withColumnRenamed("text", "chart")

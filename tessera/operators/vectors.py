@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are held against all rows at once. More queries go in several blocks.
-QUERY_BLOCK = 100_000
+#: Query vectors, and bytes of them, that are held against all rows at once. More queries go in several blocks.
+QUERY_BLOCK, BLOCK_BYTES = 100_000, 256 << 20
 
 
 def squared_distance(one: Column, two: Column) -> Column:
@@ -17,30 +17,37 @@ def squared_distance(one: Column, two: Column) -> Column:
     return F.when(F.size(one) == F.size(two), F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", allowed: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", allowed: Column | None = None, prefer: Column | None = None) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest rows of each query, ties by key. queries: query_id and qvec.
 
     The queries are packed into one array row and sent to all tasks, so the vectors are read once and never shuffled; each task
-    keeps k rows of a query before anything moves. More than QUERY_BLOCK queries are counted first and go in blocks by the hash of
-    query_id, each of which reads the vectors once; one query_id with more rows than that is an error.
-    allowed: a filter over columns of vectors and queries (all columns of queries can be used).
+    keeps k rows of a query before anything moves. Queries are counted first; more than QUERY_BLOCK of them, or BLOCK_BYTES, go in
+    blocks by the hash of query_id, each of which reads the vectors once; one query_id with more rows than that is an error.
+    allowed: a filter over columns of vectors and queries (all columns of queries can be used). prefer: such a condition that gives
+    way: a query gets the nearest of the rows that meet it, or, where none does, of all rows; null is not met.
     """
-    blocks = -(-2 * queries.count() // QUERY_BLOCK)  # about half full, for hashes are uneven
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.greatest(F.size("qvec"), F.lit(0))), F.lit(0)).alias("b")).first()
+    blocks = max(-(-2 * size.n // QUERY_BLOCK), -(-2 * size.b // BLOCK_BYTES))  # about half full, for hashes are uneven
     if blocks > 2:
         parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) for b in range(blocks)]
-        return reduce(DataFrame.unionByName, [_nearest(p, vectors, k, key, query_id, vector, allowed) for p in parts])
-    return _nearest(queries, vectors, k, key, query_id, vector, allowed)
+        return reduce(DataFrame.unionByName, [_nearest(p, vectors, k, key, query_id, vector, allowed, prefer) for p in parts])
+    return _nearest(queries, vectors, k, key, query_id, vector, allowed, prefer)
 
 
-def _nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_id: str, vector: str, allowed: Column | None) -> DataFrame:
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_id: str, vector: str, allowed: Column | None, prefer: Column | None) -> DataFrame:
     extra = [c for c in queries.columns if c not in (query_id, "qvec")]
     packed = queries.agg(F.collect_list(F.struct(query_id, "qvec", *extra)).alias("packed"))
     packed = packed.withColumn("packed", F.when(F.size("packed") <= QUERY_BLOCK, F.col("packed")).otherwise(F.raise_error(F.lit(f"more than {QUERY_BLOCK} queries at once"))))
     each = vectors.crossJoin(F.broadcast(packed)).select(*vectors.columns, F.explode("packed").alias("q")).select(*vectors.columns, "q.*")
     each = each.where(allowed) if allowed is not None else each
-    found = each.select(query_id, key, squared_distance(F.col("qvec"), F.col(vector)).alias("distance")).where("distance is not null")
-    order = Window.partitionBy(query_id).orderBy("distance", key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    each = each.where(F.size("qvec") == F.size(vector))  # before the distance, which is then computed once
+    met = F.lit(True) if prefer is None else F.coalesce(prefer, F.lit(False))
+    found = each.select(query_id, key, met.alias("met"), squared_distance(F.col("qvec"), F.col(vector)).alias("distance"))
+    order = Window.partitionBy(query_id, "met").orderBy("distance", key)
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    if prefer is not None:  # k rows of either kind at most are left
+        found = found.withColumn("any_met", F.max("met").over(Window.partitionBy(query_id))).where("met = any_met")
+    return found.select(query_id, key, "distance", "rank")
 
 
 def unless_empty(rows: DataFrame, holds: Column, group: str) -> DataFrame:

@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import chunking, text as T
+from tessera.functions import text as T
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees, vectors
 from tessera.plans import search
-from tessera.sources import envelopes
-from tessera.sources.tables import new_path, written
+from tessera.plans.registry import query, table
+from tessera.sources.tables import new_path, shared_folder, written
 from tessera.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 # ---- tokens and BM25
 
 TOKENS = r"""
@@ -60,17 +40,23 @@ sizes AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, sizes GROUP BY term, n),
 stats AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
 want AS (SELECT id AS query_id, term, count(*) AS times FROM each WHERE asked GROUP BY ALL),
-scored AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-    FROM want JOIN stats USING (term) JOIN post USING (term) JOIN lens USING (doc_id), sizes GROUP BY ALL)"""
+shared AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+    FROM want JOIN stats USING (term) JOIN post USING (term) JOIN lens USING (doc_id), sizes GROUP BY ALL),
+scored AS (SELECT item_id AS query_id, d.doc_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN shared s ON s.query_id = item_id AND s.doc_id = d.doc_id)"""
 
 
 def _ranks(source: str, k: int, name: str) -> str:
     return f"{name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM {source} QUALIFY rank < {k})"
 
 
+def _index(spark: SparkSession, folder: str) -> bm25.Index:
+    """The index of these documents, kept in the shared folder under their files' checksum."""
+    return bm25.kept(table(spark, folder, "documents"), f"{shared_folder(spark)}/tessera")
+
+
 @query(f"WITH {BM25}, {_ranks('scored', 5, 'best')} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
 def bm25_top5(spark: SparkSession, folder: str) -> DataFrame:
-    found = bm25.search(_asked(spark, folder), table(spark, folder, "documents").select("doc_id", "text"), 5)
+    found = bm25.search(_asked(spark, folder), table(spark, folder, "documents").select("doc_id", "text"), 5, index=_index(spark, folder))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -80,7 +66,7 @@ KEPT = "kept AS (SELECT s.* FROM scored s JOIN documents d USING (doc_id) WHERE
 @query(f"WITH {BM25}, {KEPT}, {_ranks('kept', 5, 'best')} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
 def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    found = bm25.search(_asked(spark, folder), docs, 5, allowed=(F.col("source") == F.col("wanted")) & (F.col("lang") == "fr"))
+    found = bm25.search(_asked(spark, folder), docs, 5, allowed=(F.col("source") == F.col("wanted")) & (F.col("lang") == "fr"), index=_index(spark, folder))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -90,9 +76,9 @@ both_ AS (SELECT *, 0 AS part FROM a UNION ALL SELECT b.*, 1 FROM b ANTI JOIN a
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank) - 1 AS INTEGER) AS rank FROM both_""")
 def bm25_fallback_merge(spark: SparkSession, folder: str) -> DataFrame:
     docs, asked = table(spark, folder, "documents").select("doc_id", "text", "source", "lang", "n_chars"), _asked(spark, folder)
-    scored = written(bm25.scores(asked, bm25.build(docs)), "scores")
-    allowed = scored.join(docs.drop("text"), "doc_id").join(asked.drop("query"), "query_id").where("source = wanted and lang = 'fr' and n_chars > 3000").select("query_id", "doc_id", "score")
-    found = bm25.with_fallback(bm25.ranked(allowed, 5), bm25.ranked(scored, 5))
+    scored = written(bm25.scores(asked, _index(spark, folder)), "scores")
+    named = bm25.search(asked, docs, 5, allowed=F.expr("source = wanted and lang = 'fr' and n_chars > 3000"), scored=scored)
+    found = bm25.with_fallback(named, bm25.search(asked, docs, 5, scored=scored))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -116,12 +102,23 @@ def vector_top20(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"""WITH {DISTANCES}, held AS (SELECT near.*, contains(text, CASE WHEN query_id % 2 = 0 THEN 'tion' ELSE 'not in any text' END) AS holds FROM near JOIN documents d ON d.doc_id = near.doc_id)
-SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM held QUALIFY coalesce(holds, FALSE) OR NOT max(coalesce(holds, FALSE)) OVER (PARTITION BY query_id)""")
+PREFERRED = """held AS (SELECT pairs.*, coalesce(contains(text, CASE WHEN query_id % 2 = 0 THEN 'tion' ELSE 'not in any text' END), FALSE) AS met FROM pairs LEFT JOIN documents d ON d.doc_id = pairs.doc_id),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, met ORDER BY round(distance, 9), doc_id) - 1 AS rank FROM held),
+kept_near AS (SELECT query_id, doc_id, distance, rank FROM firsts QUALIFY rank < 20 AND met = max(met) OVER (PARTITION BY query_id))"""
+
+
+@query(f"WITH {DISTANCES}, {PREFERRED} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM kept_near")
 def vector_contains_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    hits = _near(spark, folder).join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    keyword = F.when(F.col("query_id") % 2 == 0, "tion").otherwise("not in any text")
-    return vectors.unless_empty(hits, F.col("text").contains(keyword), "query_id").select("query_id", "doc_id", "rank")
+    return _near_with_word(spark, folder).select("query_id", "doc_id", "rank")
+
+
+def _near_with_word(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
+    """The nearest documents that hold the query's word, or of all where none does. Texts stay where they are: each gives a flag for each word."""
+    rows, words = table(spark, folder, "embeddings"), ["tion", "not in any text"]
+    flags = table(spark, folder, "documents").select("doc_id", F.array(*[F.col("text").contains(w) for w in words]).alias("flags"))
+    asked = rows.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("qvec")).withColumn("word", (F.col("query_id") % 2).cast("int"))
+    held = rows.withColumnRenamed("vec_id", "doc_id").join(flags, "doc_id", "left")
+    return vectors.nearest(asked, held, k, key="doc_id", prefer=F.get("flags", F.col("word")))
 
 
 FUSED = f"""{BM25}, {_ranks('scored', 20, 'lexical')}, {DISTANCES},
@@ -137,13 +134,13 @@ boosted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 def _hybrid(spark: SparkSession, folder: str, **settings) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     near = _near(spark, folder).join(_asked(spark, folder).select("query_id"), "query_id", "left_semi")
-    return search.hybrid(_asked(spark, folder), docs, near, matches=fusion.name_matches(F.col("source"), F.col("source"), F.col("wanted")), **settings)
+    return search.hybrid(_asked(spark, folder), docs, near, matches=fusion.name_matches(F.col("source"), F.col("source"), F.col("wanted")), index=_index(spark, folder), **settings)
 
 
 @query(f"WITH {FUSED} SELECT query_id, doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fused")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     asked = _asked(spark, folder)
-    lexical = bm25.search(asked, table(spark, folder, "documents").select("doc_id", "text"), 20)
+    lexical = bm25.search(asked, table(spark, folder, "documents").select("doc_id", "text"), 20, index=_index(spark, folder))
     near = _near(spark, folder).join(asked.select("query_id"), "query_id", "left_semi")
     return fusion.reciprocal_ranks(near, lexical).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
@@ -154,10 +151,11 @@ def hybrid_boosted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {BOOSTED},
-given AS (SELECT b.*, CASE rank + 1 WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 100 + rank END AS place FROM boosted b WHERE rank < 5)
+given AS (SELECT b.*, CASE WHEN query_id % 5 = 4 THEN rank WHEN rank = 2 THEN 0 WHEN rank = query_id % 5 THEN 1 WHEN rank = 1 THEN 4 ELSE 100 + rank END AS place FROM boosted b WHERE rank < 5)
 SELECT query_id, doc_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS INTEGER) AS rank FROM given""")
 def rerank_permutation(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _asked(spark, folder).select("query_id", T.rank_list(F.lit("ranks: [3, 1, 1, 9, 2]")).alias("order"))
+    reply = F.when(F.col("query_id") % 5 == 4, "no list").otherwise(F.concat(F.lit("ranks: [3, "), (F.col("query_id") % 5 + 1).cast("string"), F.lit(", 1000, 9, 2] of five")))
+    orders = _asked(spark, folder).select("query_id", T.rank_list(reply).alias("order"))
     return _hybrid(spark, folder, orders=orders).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -183,7 +181,7 @@ sums AS (SELECT k, query_id, doc_id, sum(s) AS score, min(place) AS place FROM p
 SELECT CAST(k AS DOUBLE) AS k, query_id, doc_id, CAST(row_number() OVER (PARTITION BY k, query_id ORDER BY round(score, 12) DESC, place, doc_id) - 1 AS INTEGER) AS rank FROM sums QUALIFY rank < 5""")
 def constant_sweep(spark: SparkSession, folder: str) -> DataFrame:
     asked = _asked(spark, folder)
-    lexical = written(bm25.search(asked, table(spark, folder, "documents").select("doc_id", "text"), 20), "lexical")
+    lexical = written(bm25.search(asked, table(spark, folder, "documents").select("doc_id", "text"), 20, index=_index(spark, folder)), "lexical")
     near = written(_near(spark, folder).join(asked.select("query_id"), "query_id", "left_semi"), "near")
     return search.sweep(near, lexical, [30.0, 60.0, 100.0]).select("k", "query_id", "doc_id", "rank")
 
@@ -199,14 +197,6 @@ def detect_first_alias(spark: SparkSession, folder: str) -> DataFrame:
     return names.detect(table(spark, folder, "documents").select("doc_id", "text"), spark.createDataFrame(ALIASES, "name string, ordinal int"), text="text").select("doc_id", "detected")
 
 
-@query("""SELECT * FROM (VALUES (1, '민법', '민법'), (2, '연차휴가', '근로기준법'), (3, '수소경제', NULL), (4, NULL, NULL), (5, '난민법', '민법'), (6, '환자동의', '의료법')) AS t(query_id, keyword, detected)""")
-def keyword_extract(spark: SparkSession, folder: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "민법"), (2, "근로기준법 연차휴가 요건"), (3, "수소경제법 시행령"), (4, "no Hangul here"), (5, "난민법"), (6, "의료법 환자동의 책임")], "query_id int, query string")
-    aliases = spark.createDataFrame([("의료법", 0), ("근로기준법", 1), ("민법", 2)], "name string, ordinal int")
-    found = names.detect(asked, aliases)
-    return found.select("query_id", T.filter_keyword(F.col("query"), F.col("detected")).alias("keyword"), "detected")
-
-
 def _grep_sql(mode: str) -> str:
     holds = "list_bool_and" if mode == "AND" else "list_bool_or"
     return f"""WITH q(query_id, ks) AS (VALUES (1, ['the', 'CASINO']), (2, ['der', 'keit', 'und']), (3, ['stupid', 'de', 'tion']))
@@ -246,58 +236,6 @@ def html_clean(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", T.strip_html(F.col("html")).alias("t")).select("page_id", F.md5("t").alias("cleaned_md5"), F.length("t").alias("n"))
 
 
-# ---- chunks, trees and replies of services from inline fixtures
-
-STATUTE = """---
-법령ID: 123456
-제목: '근로기준법'
-시행일자: 2026-04-26
----
-서문
-# 제1조(목적)
-이 법은 근로조건을 정한다.
-##### 제2조의3 (정의)
-정의 본문
-### 제4조
-### 제5조
-첫째
-### 제5조
-둘째
-"""
-
-
-@query("""SELECT * FROM (VALUES ('123456_근로 기준_법률_제1조', '제1조', '(목적)', '[근로기준법 제1조 (목적)] 이 법은 근로조건을 정한다.', '20260426'), ('123456_근로 기준_법률_제2조의3', '제2조의3', '(정의)', '[근로기준법 제2조의3 (정의)] 정의 본문', '20260426'),
-('123456_근로 기준_법률_제5조', '제5조', '', '[근로기준법 제5조] 첫째', '20260426'), ('123456_근로 기준_법률_제5조_2', '제5조', '', '[근로기준법 제5조] 둘째', '20260426'),
-('folder_f49f53_기타_규칙_전문', '전문', '', '[기타 전문] 본문만', '')) AS t(doc_id, article, article_title, document, enforcement_date)""".replace("근로 기준_", "근로_기준_"))
-def markdown_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.createDataFrame([("근로 기준", "법률", "a/법률.md", STATUTE), ("기타", "규칙", "b/규칙.md", "  본문만\n")], "folder string, kind string, path string, text string")
-    return chunking.chunks(files, "2026-05-07T00:00:00+00:00").select("doc_id", "article", "article_title", "document", "enforcement_date")
-
-
-HEADINGS = "---\na: b\n---\nlost\n# A\nintro\n### C\nunder c\n## B\n### C2\n###### deep\n# A2\n## B2\nend\n"
-
-
-@query("""SELECT * FROM (VALUES ('d.law1', 'd', 1, 'A', 'intro', 1), ('d.law1.section1', 'd.law1', 3, 'C', 'under c', 2), ('d.law1.chapter1', 'd.law1', 2, 'B', '', 3), ('d.law1.chapter1.section1', 'd.law1.chapter1', 3, 'C2', '', 4),
-('d.law1.chapter1.section1.h61', 'd.law1.chapter1.section1', 6, 'deep', '', 5), ('d.law2', 'd', 1, 'A2', '', 6), ('d.law2.chapter1', 'd.law2', 2, 'B2', 'end', 7)) AS t(node_id, parent_id, level, title, body, preorder)""")
-def heading_tree(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.createDataFrame([("d", HEADINGS)], "doc_id string, text string")
-    return trees.tree(docs).select("node_id", "parent_id", "level", "title", "body", "preorder")
-
-
-@query("""SELECT * FROM (VALUES ('many', 1, '가', '11'), ('many', 2, '나', ''), ('one', 1, '다', '33'), ('json_one', 1, '라', '44'), ('json_many', 1, '마', ''), ('json_many', 2, '바', '66')) AS t(reply, position, name, number)""")
-def service_envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    fields = {"name": "법령명", "number": "MST"}
-    xml = spark.createDataFrame([
-        ("many", "<r><totalCnt>2</totalCnt><law><법령명> 가 </법령명><MST>11</MST></law><law><법령명>나</법령명></law></r>"), ("one", "<r><law><법령명>다</법령명><MST>33</MST></law></r>"), ("none", "<r/>"), ("null", None), ("bad", "not xml"),
-    ], "reply string, payload string")
-    json = spark.createDataFrame([
-        ("json_one", '{"s":{"law":{"n":"라","m":"44"}}}'), ("json_many", '{"s":{"law":[{"n":"마"},{"n":"바","m":"66"}]}}'), ("json_none", '{"s":{}}'), ("json_null", '{"s":{"law":null}}'), ("json_wrong", '{"s":{"law":"x"}}'),
-    ], "reply string, payload string")
-    a = xml.select("reply", F.posexplode(envelopes.xml_items(F.col("payload"), "law", fields)).alias("p", "x")).select("reply", (F.col("p") + 1).alias("position"), "x.name", "x.number")
-    b = json.select("reply", F.posexplode(envelopes.json_items(F.col("payload"), ["s", "law"], "struct<n:string,m:string>")).alias("p", "x"))
-    return a.unionByName(b.select("reply", (F.col("p") + 1).alias("position"), F.col("x.n").alias("name"), F.coalesce("x.m", F.lit("")).alias("number")))
-
-
 # ---- tables kept current
 
 @query("SELECT doc_id, source FROM documents d ANTI JOIN labels l USING (doc_id)")
@@ -334,12 +272,13 @@ def hwm_filter(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.above_mark(events, incremental.marks_of(events.where("event_type = 'purchase'"), "user_id", "ts"), "user_id", "ts").select("event_id", "user_id")
 
 
-@query(r"""SELECT CAST(conv_id AS VARCHAR) AS agent_id, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, md5(c || chr(10) || chr(10) || 'u' || turn || chr(10) || chr(10) || 'only a title') AS content_md5
+@query(r"""SELECT CAST(conv_id AS VARCHAR) AS agent_id, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, md5(concat_ws(chr(10) || chr(10), nullif(c, ''), 'Attachments:' || chr(10) || 'u' || turn || chr(10) || 'second', 'Embed title: only a title' || chr(10) || 'Embed title: t' || chr(10) || 'Embed description: d')) AS content_md5
 FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS c FROM conversations)""")
 def message_normalize(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select(
         "conv_id", F.col("text").alias("content"), F.lit("2026-05-06T12:00:00+00:00").alias("timestamp"), F.struct((F.col("role") == "assistant").alias("bot")).alias("author"),
-        F.array(F.struct(F.concat(F.lit("u"), F.col("turn").cast("string")).alias("url"))).alias("attachments"), F.array(F.struct(F.lit("only a title").alias("title"), F.lit(None).cast("string").alias("description"))).alias("embeds"),
+        F.array(F.struct(F.concat(F.lit(" u"), F.col("turn").cast("string")).alias("url")), F.struct(F.lit("second").alias("url")), F.struct(F.lit(" ").alias("url"))).alias("attachments"),
+        F.array(F.struct(F.lit("only a title").alias("title"), F.lit(None).cast("string").alias("description")), F.struct(F.lit("t ").alias("title"), F.lit("d").alias("description"))).alias("embeds"),
     )
     return incremental.message_rows(rows, F.col("conv_id").cast("string")).select("agent_id", "role", F.md5("content").alias("content_md5"))
 
@@ -394,7 +333,7 @@ hit AS (SELECT query_id, rank, contains(d.text, left(b.text, 60)) AS h FROM best
 SELECT item_id AS query_id, coalesce(bool_or(h AND rank < 1), FALSE) AS hit_at_1, coalesce(bool_or(h AND rank < 3), FALSE) AS hit_at_3 FROM benchmark LEFT JOIN hit ON query_id = item_id GROUP BY item_id""")
 def hit_at_k(spark: SparkSession, folder: str) -> DataFrame:
     asked, docs = _asked(spark, folder), table(spark, folder, "documents").select("doc_id", "text")
-    found = bm25.search(asked, docs, 5).join(docs, "doc_id").join(asked.select("query_id", "query"), "query_id")
+    found = bm25.search(asked, docs, 5, index=_index(spark, folder)).join(docs, "doc_id").join(asked.select("query_id", "query"), "query_id")
     hits = found.withColumn("hit", evaluation.loose_hit(F.col("text"), F.array(F.substring("query", 1, 60))))
     return evaluation.hits_at(hits, asked, "hit", [1, 3])
 
@@ -447,27 +386,8 @@ def rate_by_mode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT item_id, text AS answer, [left(text, 20), 'not in it', substr(text, 30, 5)] AS wanted FROM benchmark)
-SELECT item_id, len(list_filter(wanted, lambda w: contains(answer, w)))::INTEGER AS hits, round(len(list_filter(wanted, lambda w: contains(answer, w))) / 3, 2) AS rate FROM k""")
+SELECT item_id, len(list_filter(wanted, lambda w: contains(answer, w)))::INTEGER AS hits, round_even(len(list_filter(wanted, lambda w: contains(answer, w))) / 3, 2) AS rate FROM k""")
 def keyword_rates(spark: SparkSession, folder: str) -> DataFrame:
     wanted = F.array(F.substring("text", 1, 20), F.lit("not in it"), F.substring("text", 30, 5))
     rows = table(spark, folder, "benchmark").select("item_id", "text", wanted.alias("wanted")).withColumn("h", T.hit_strings(F.col("text"), F.col("wanted")))
     return rows.select("item_id", F.size("h").alias("hits"), T.hit_rate(F.col("h"), F.col("wanted")).alias("rate"))
-
-
-SCALARS = [
-    (1, "2025.10.01", "제60조 (연차)", "say [3, 1,2] ok", "x ```python\nprint(1)\n``` y", "VERDICT: FAIL then verdict: pass"),
-    (2, "2025-13", "부칙", "[]", "```\nraw\n```", "none"),
-    (3, "20251001", "12", "none", "  bare ", "VERDICT: PASS VERDICT: FAIL"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, '2025-10-01', '2025.10.01', '§60', '제60조 (연차)', 3, 'print(1)', TRUE), (2, '2025-13', '', '부칙', '부칙', NULL, 'raw', FALSE), (3, '2025-10-01', '2025.10.01', '§12', '제12조', NULL, 'bare', FALSE))
-AS t(id, normal, shown, reference, label, first_rank, code, passed)""")
-def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame(SCALARS, "id int, date string, article string, ranks string, reply string, verdict string")
-    return rows.select(
-        "id", T.normal_date(F.col("date")).alias("normal"), T.shown_date(F.col("date")).alias("shown"), T.article_reference(F.col("article")).alias("reference"), T.article_label(F.col("article")).alias("label"),
-        F.get(T.rank_list(F.col("ranks")), F.lit(0)).alias("first_rank"), T.fenced_code(F.col("reply")).alias("code"), T.passes(F.col("verdict")).alias("passed"),
-    )
-
-

@@ -2,31 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25, fusion
+from tessera.sources.tables import written
 
 PULL, TOP = 20, 5
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, matches: Column | None = None, orders: DataFrame | None = None, top: int = TOP, candidates: int = TOP, k: float = fusion.RRF_K, boost: float = fusion.BOOST, key: str = "doc_id") -> DataFrame:
+def fused_hits(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, index: bm25.Index | None = None, allowed: Column | None = None, k: float = fusion.RRF_K, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score, rank): the PULL best of the vectors' and BM25's lists together.
+
+    allowed: a boolean over columns of queries and docs that holds for the documents a query's name filters; where it leaves BM25
+    fewer than five, documents without it follow. Null, for queries without a name, is no filter.
+    """
+    index = index or bm25.build(docs, key)
+    if allowed is None:
+        lexical = bm25.search(queries, docs, PULL, key, index=index)
+    else:
+        scored = written(bm25.scores(queries, index, key), "scored")
+        named = bm25.search(queries, docs, PULL, key, allowed=F.coalesce(allowed, F.lit(True)), scored=scored)
+        lexical = bm25.with_fallback(named, bm25.search(queries, docs, PULL, key, scored=scored), key=key)
+    return fusion.reciprocal_ranks(vector_hits, lexical, PULL, k, key)
+
+
+def boosted_hits(hits: DataFrame, queries: DataFrame, docs: DataFrame, matches: Column, boost: float | Column = fusion.BOOST, key: str = "doc_id") -> DataFrame:
+    """hits in the order of their scores, raised where `matches`, a boolean over columns of queries and docs, holds."""
+    extra = [c for c in docs.columns if c not in (key, "text")]
+    joined = hits.join(docs.select(key, *extra), key).join(queries.drop("query"), "query_id")
+    return fusion.boosted(joined, F.coalesce(matches, F.lit(False)), boost, key=key).select("query_id", key, "score", "rank")
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, matches: Column | None = None, orders: DataFrame | None = None, top: int = TOP, candidates: int = TOP, k: float = fusion.RRF_K, boost: float = fusion.BOOST, key: str = "doc_id", index: bm25.Index | None = None, allowed: Column | None = None) -> DataFrame:
     """(query_id, key, score, rank): the `top` documents of each query.
 
     queries: query_id, query and whatever `matches` uses (a boolean over columns of queries and docs that earns the boost).
-    vector_hits: (query_id, key, rank) by any vector search. orders: (query_id, order) from a reranker; none keeps the order.
+    vector_hits: (query_id, key, rank) by any vector search, filtered by a keyword or not. orders: (query_id, order) from a reranker;
+    none keeps the order. allowed: see `fused_hits`.
     """
-    lexical = bm25.search(queries, docs, PULL, key)
-    hits = fusion.reciprocal_ranks(vector_hits, lexical, PULL, k, key)
+    hits = fused_hits(queries, docs, vector_hits, index, allowed, k, key)
     if matches is not None:
-        extra = [c for c in docs.columns if c not in (key, "text")]
-        joined = hits.join(docs.select(key, *extra), key).join(queries.drop("query"), "query_id")
-        hits = fusion.boosted(joined, matches, boost, key=key).select("query_id", key, "score", "rank")
+        hits = boosted_hits(hits, queries, docs, matches, boost, key)
     if orders is not None:
         return fusion.permuted(hits, orders, top, candidates)
     return hits.where(F.col("rank") < min(top, candidates))
 
 
+def boost_sweep(hits: DataFrame, queries: DataFrame, docs: DataFrame, matches: Column, boosts: list[float], top: int = TOP, key: str = "doc_id") -> DataFrame:
+    """(boost, query_id, key, score, rank) for every boost: fused hits meet queries and documents once, then all boosts order them in one plan."""
+    extra = [c for c in docs.columns if c not in (key, "text")]
+    joined = hits.join(docs.select(key, *extra), key).join(queries.drop("query"), "query_id").withColumn("boost", F.explode(F.array(*[F.lit(float(b)) for b in boosts])))
+    raised = joined.withColumn("score", F.col("score") + F.when(F.coalesce(matches, F.lit(False)), F.col("boost")).otherwise(0.0))
+    order = Window.partitionBy("boost", "query_id").orderBy(F.desc(F.round("score", 12)), "rank", key)
+    return raised.withColumn("new", F.row_number().over(order)).where(F.col("new") <= top).select("boost", "query_id", key, "score", (F.col("new") - 1).alias("rank"))
+
+
+def law_texts(hits: DataFrame, docs: DataFrame, articles: DataFrame, most: int = 12, characters: int = 1000, key: str = "doc_id") -> DataFrame:
+    """(query_id, name, article, content): the first articles of the laws that a query's hits name, each law once, by its first hit.
+
+    hits: query_id, key, rank. docs: key, name, folder and text of what was hit. articles: folder, law, position, article, content of
+    whole laws. A law without articles gives the hit's own text as `전문`; so does a hit without a name, as unnamed_<number>, where
+    the number counts the laws before it.
+    """
+    named = hits.join(docs.select(key, "name", "folder", "text"), key).withColumn("bare", F.coalesce("name", F.lit("")) == "")
+    own = F.row_number().over(Window.partitionBy("query_id", F.when(F.col("bare"), F.col(key).cast("string")).otherwise(F.col("name")), "bare").orderBy("rank"))
+    first = named.withColumn("own", own).where("own = 1")
+    number = (F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).cast("string")
+    first = first.withColumn("law_name", F.when(F.col("bare"), F.concat(F.lit("unnamed_"), number)).otherwise(F.col("name")))
+    first = first.withColumn("from_folder", F.when(~F.col("bare"), F.coalesce(F.nullif("folder", F.lit("")), F.col("name"))))
+    heads = articles.where(F.col("position") < most).select(F.col("folder").alias("from_folder"), "law", "position", "article", F.substring("content", 1, characters).alias("content"))
+    joined = first.join(heads, "from_folder", "left")
+    return joined.select("query_id", F.coalesce("law", "law_name").alias("name"), F.coalesce("article", F.lit("전문")).alias("article"), F.coalesce("content", F.substring(F.coalesce("text", F.lit("")), 1, characters)).alias("content"))
+
+
 def sweep(first: DataFrame, second: DataFrame, ks: list[float], top: int = TOP, key: str = "doc_id") -> DataFrame:
     """(k, query_id, key, score, rank) of the fused lists for every constant k, in one plan."""
     found = [fusion.reciprocal_ranks(first, second, top, k, key).withColumn("k", F.lit(float(k))) for k in ks]

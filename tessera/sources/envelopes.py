@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,33 @@ class Target:
     link: str
 
 
+# Where each search service puts its items, and its fields.
+TARGETS = {
+    "law": Target(("LawSearch", "law"), "법령ID", "법령명한글", ("법령구분명", "소관부처명"), "시행일자", "법령상세링크"),
+    "prec": Target(("PrecSearch", "prec"), "판례일련번호", "사건명", ("법원명", "사건번호"), "선고일자", "판례상세링크"),
+    "expc": Target(("Expc", "expc"), "법령해석례일련번호", "안건명", ("회신기관명", "질의기관명"), "회신일자", "법령해석례상세링크"),
+    "detc": Target(("DetcSearch", "detc"), "헌재결정례일련번호", "사건명", ("재판부", "사건번호"), "선고일자", "헌재결정례상세링크"),
+    "decc": Target(("Decc", "decc"), "행정심판일련번호", "사건명", ("심판기관명", "사건번호"), "재결일자", "행정심판상세링크"),
+    "admrul": Target(("AdmRulSearch", "admrul"), "행정규칙일련번호", "행정규칙명", ("행정규칙종류", "소관부처명"), "발령일자", "행정규칙상세링크"),
+    "ordin": Target(("OrdinSearch", "law"), "자치법규일련번호", "자치법규명", ("지자체기관명", "자치법규분야명"), "공포일자", "자치법규상세링크"),
+}
+CATEGORIES = {0: "전체", 1: "정치·선거", 3: "언론·정신적자유", 4: "경제·재산권·조세", 5: "가족·노동·사회관계", 6: "절차적기본권·형사", 7: "헌법위원회·대법원헌법판례"}
+
+
+def court_items(payload: Column, fields: tuple[str, ...] = ("seq", "nick", "title", "eventNo", "classNm", "adjudgeDt", "regDate")) -> Column:
+    """array<struct> of body.items.item, one object or many, missing fields empty; a result code that isn't 0 or 00 is an error of the job."""
+    code = F.get_json_object(payload, "$.header.resultCode")
+    said = F.coalesce(F.get_json_object(payload, "$.header.resultMsg"), F.lit("unknown"))
+    items = json_items(payload, ["body", "items", "item"], "struct<" + ",".join(f"{f}:string" for f in fields) + ">")
+    good = F.transform(items, lambda x: F.struct(*[F.coalesce(x[f], F.lit("")).alias(f) for f in fields]))
+    return F.when(code.isNull() | code.isin("0", "00"), good).otherwise(F.raise_error(F.concat(F.lit("the service answered with an error: "), said)))
+
+
+def by_number(items: DataFrame, number: str, most: int = 5, column: str = "number", key: str = "id") -> DataFrame:
+    """The first `most` items, by key, that have a key and the number in their own."""
+    return items.where((F.coalesce(key, F.lit("")) != "") & F.col(column).contains(number)).orderBy(key).limit(most)
+
+
 def search_results(replies: DataFrame, target: Target, site: str, payload: str = "payload") -> DataFrame:
     """Rows id, title, subtitle, date, url and raw for each item of each reply, by the target's table of fields.
 
@@ -77,5 +104,14 @@ def merged(detail: Column, item: Column) -> Column:
 
 def best_match(results: DataFrame, query: str, kind: str = "법률", name: str = "name", type_: str = "type") -> DataFrame:
     """The row with that name and kind, else of that kind with the query in its name, else the first; order: column `position`."""
-    priority = F.when((F.col(name) == query) & (F.col(type_) == kind), 0).when(F.col(name).contains(query) & (F.col(type_) == kind), 1).otherwise(2)
-    return results.orderBy(priority, "position").limit(1)
+    return results.orderBy(_priority(F.lit(query), kind, name, type_), "position").limit(1)
+
+
+def _priority(query: Column, kind: str, name: str, type_: str) -> Column:
+    return F.when((F.col(name) == query) & (F.col(type_) == kind), 0).when(F.col(name).contains(query) & (F.col(type_) == kind), 1).otherwise(2)
+
+
+def best_matches(results: DataFrame, query: str = "query", query_id: str = "query_id", kind: str = "법률", name: str = "name", type_: str = "type") -> DataFrame:
+    """`best_match` for many queries at once: results has query_id and query with each row."""
+    order = Window.partitionBy(query_id).orderBy(_priority(F.col(query), kind, name, type_), "position")
+    return results.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")

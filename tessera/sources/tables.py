@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,8 +25,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet and read back, where several parts of a plan need it: what made it is not computed again."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation beyond it.
+
+    by: a column with few values; rows with another value are not read when it is filtered for one.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def snapshot(df: DataFrame) -> str:
+    """A checksum of the files that df is read from, their sizes and times; a new one for a table that has no files.
+
+    It changes when any file does, also where the number of rows stays.
+    """
+    try:
+        files = df.select(*[F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_modification_time")]).distinct()
+        return format(files.agg(F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0))).first()[0] & (2**64 - 1), "016x")
+    except AnalysisException:
+        return uuid.uuid4().hex
+
+
+def publish(spark: SparkSession, name: str, path: str, least: int = 1) -> DataFrame:
+    """Makes the view `name` read the table at path, if it holds `least` rows or more; else the view stays as it was, and ValueError is raised."""
+    rows = spark.read.parquet(path)
+    if rows.limit(least).count() < least:
+        raise ValueError(f"{path} has fewer than {least} rows")
+    rows.createOrReplaceTempView(name)
+    return rows

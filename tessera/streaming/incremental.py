@@ -18,12 +18,15 @@ def marks_of(rows: DataFrame, key: str, time: str) -> DataFrame:
 
 
 def message_content(content: Column, attachments: Column, embeds: Column) -> Column:
-    """The stripped content, the attachments' addresses and each embed's title and description, a blank line between parts; empty parts go."""
+    """The stripped content, `Attachments:` with an address on each line, and lines for the embeds' titles and descriptions, with a blank line
+    between these three parts; what is empty goes."""
     clean = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
-    none = F.array().cast("array<string>")
-    shown = F.transform(embeds, lambda e: F.concat_ws("\n", F.nullif(clean(e["title"]), F.lit("")), F.nullif(clean(e["description"]), F.lit(""))))
-    parts = F.concat(F.array(clean(content)), F.coalesce(F.transform(attachments, lambda a: clean(a["url"])), none), F.coalesce(shown, none))
-    return F.concat_ws("\n\n", F.filter(parts, lambda p: p != ""))
+    full = lambda values: F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    labelled = lambda label, x: F.when(clean(x) != "", F.concat(F.lit(label), clean(x))).otherwise("")
+    urls = full(F.transform(attachments, lambda a: clean(a["url"])))
+    lines = full(F.flatten(F.transform(embeds, lambda e: F.array(labelled("Embed title: ", e["title"]), labelled("Embed description: ", e["description"])))))
+    parts = F.array(clean(content), F.when(F.size(urls) > 0, F.concat(F.lit("Attachments:\n"), F.concat_ws("\n", urls))), F.concat_ws("\n", lines))
+    return clean(F.concat_ws("\n\n", full(parts)))
 
 
 def message_rows(messages: DataFrame, agent: Column) -> DataFrame:

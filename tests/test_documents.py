@@ -28,8 +28,10 @@ def test_body_priority(spark, s, h, f, want):
 def test_decision_text(spark):
     text = value(spark, D.decision(lit("대법원"), lit("2025다1"), lit("20250102"), lit("이름"), {"판시사항": lit("가"), "판결요지": lit("")}))
     assert text == "[대법원 2025다1 (2025.01.02)] 이름\n\n판시사항:\n가"
-    assert value(spark, D.kind_of(lit("A0002"))) == "대통령령" and value(spark, D.kind_of(lit(None))) == "법률"
-    assert value(spark, D.interpretation(lit("a"), lit("b"), lit("2025.01"), {}, lit("r"))) == "[a b ()] \n\n이유:\nr"
+    assert value(spark, D.kind_of(lit("A0002"))) == "법률" and value(spark, D.kind_of(lit("A0003"))) == "시행령" and value(spark, D.kind_of(lit(None))) == "법률"
+    told = lambda date: value(spark, D.interpretation(lit("a"), lit("b"), lit(date), lit("2025.1.2"), lit("t"), {"회답": lit("")}, lit("r" * 4000)))
+    assert told("2025.01") == "[a b (2025.1.2)] t\n\n이유:\n" + "r" * 3000 and told("20250103").startswith("[a b (2025.01.03)] t\n")
+    assert value(spark, D.constitutional(lit("1"), lit("n"), lit("x"))) == "[헌법재판소 1] n\nx" and value(spark, D.constitutional(lit("1"), lit("n"), lit(" "))) is None
 
 
 def test_article_body(spark):
@@ -67,6 +69,20 @@ def test_paged_source(spark, tmp_path):
     assert paged.read_pages(spark, where, 3, 3, per_second=4).count() == 9 and time.time() - began > 0.4
 
 
+def test_totals_end_pages_and_keys_follow_each_other(spark, tmp_path):
+    (tmp_path / "key_port.py").write_text(
+        "def total(page, size):\n    return 6, [{'id': page * 10 + k} for k in range(size)]\n"
+        "def before(key, last, size):\n    ids = [i for i in range(7, 0, -1) if last is None or i < last]\n    return [{'id': i, 'of': key} for i in ids[:size]]\n"
+        "def send(rows):\n    return len({r['id'] for r in rows})\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "key_port.py"))
+    assert paged.read_pages(spark, "key_port:total", 20, 3, partitions=1).count() == 6
+    rows = paged.read_messages(spark, "key_port:before", ["a", "b"], size=3).collect()
+    assert [(r.page, json.loads(r.payload)["id"]) for r in rows if r.key == "b"] == [(1, 7), (1, 6), (1, 5), (2, 4), (2, 3), (2, 2), (3, 1)] and len(rows) == 14
+    posted = paged.post(spark.createDataFrame([(k % 4, "x") for k in range(10)], "id int, t string").coalesce(1), "key_port:send", 4).collect()
+    assert [r.inserted for r in posted] == [4, 4, 2]
+
+
 def test_array_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('[\n{"id": "x", "content": "1"},\n{"id": "y"}\n]')
     rows = paged.read_array(spark, str(tmp_path / "a.json"), "struct<id:string,content:string>", 1).collect()

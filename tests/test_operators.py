@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.chunking import articles, chunks
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees, vectors
-from tessera.sources import envelopes, markdown
+from tessera.sources import envelopes, markdown, tables
 from tessera.streaming import incremental
 
 
@@ -44,6 +44,41 @@ def test_bm25_matches_the_formula_and_floors_negative_weights(spark):
     assert raw["aa"] < 0
 
 
+def test_bm25_fills_up_with_documents_that_share_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "aa" if k == 5 else f"zz{k} yy" if k < 9 else None) for k in range(12)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "aa"), (2, "qq"), (3, None)], "query_id int, query string")
+    index = bm25.build(docs, path=str(tmp_path / "index"))
+    found = bm25.search(asked, docs, 4, index=index).orderBy("query_id", "rank").collect()
+    assert [r.doc_id for r in found if r.query_id == 1] == [5, 0, 1, 2] and [r.doc_id for r in found if r.query_id == 2] == [0, 1, 2, 3]
+    assert [r.doc_id for r in found if r.query_id == 3] == [9, 10, 11, 0]  # nothing is like nothing
+    some = bm25.search(asked, docs, 4, allowed=F.col("doc_id") % 4 == F.col("query_id"), index=bm25.load(spark, str(tmp_path / "index")))
+    assert sorted((r.query_id, r.doc_id) for r in some.collect()) == [(1, 1), (1, 5), (1, 9), (2, 2), (2, 6), (2, 10), (3, 3), (3, 7), (3, 11)]
+
+
+def test_an_index_is_kept_for_the_same_files_only(spark, tmp_path):
+    rows = lambda t: spark.createDataFrame([(1, t), (2, "bb")], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "docs"))
+    rows("aa")
+    read = lambda: spark.read.parquet(str(tmp_path / "docs"))
+    terms = lambda: {r.term for r in bm25.kept(read(), str(tmp_path / "kept")).terms.collect()}
+    assert terms() == {"aa", "bb"} == terms() and len(list((tmp_path / "kept").iterdir())) == 1
+    rows("cc")
+    assert terms() == {"cc", "bb"} and len(list((tmp_path / "kept").iterdir())) == 2
+
+
+def test_lists_are_cut_where_the_rows_are(spark):
+    """The limit of a ranked list stands below the exchange."""
+    rows = spark.createDataFrame([(1, 2, 0.5)], "query_id int, doc_id long, score double")
+    plan = bm25.ranked(rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_preferred_rows_give_way(spark):
+    rows = spark.createDataFrame([(k, [float(k)], k % 2 == 0) for k in range(6)], "vec_id long, embedding array<float>, even boolean")
+    asked = spark.createDataFrame([(1, [0.0], True), (2, [0.0], None), (3, [0.0], False)], "query_id int, qvec array<float>, want boolean")
+    found = vectors.nearest(asked, rows.where("even or vec_id = 1"), 2, prefer=(F.col("even") == F.col("want")) | (F.col("want").isNull() & F.lit(None).cast("boolean"))).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(1, 0), (1, 2), (2, 0), (2, 1), (3, 1)]
+
+
 def test_bm25_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bm25.search(spark.createDataFrame([(1, "aa")], "query_id long, query string"), docs, 3).count() == 0
@@ -144,8 +179,10 @@ def test_tree_outline_and_chart(spark):
     docs = spark.createDataFrame([("d", "# A\n## B\ntext\n# C"), ("e", None), ("f", "no heading")], "doc_id string, text string")
     nodes = trees.tree(docs)
     assert [r.node_id for r in trees.subtree(nodes, "d.law1").orderBy("preorder").collect()] == ["d.law1", "d.law1.chapter1"]
-    assert one(trees.outline(nodes, 2)).outline == "[law] d.law1 :: A\n  [chapter] d.law1.chapter1 :: B\n[law] d.law2 :: C"
-    assert one(trees.mermaid(nodes)).chart.split("\n")[:2] == ["graph TD", '  d --> d_law1["A"]']
+    assert one(trees.outline(nodes, 2)).outline == "[root] d :: d\n  [law] d.law1 :: A\n    [chapter] d.law1.chapter1 :: B\n  [law] d.law2 :: C"
+    assert one(trees.text_tree(nodes, title=F.lit("All"))).tree == "All\n  [law] A\n    [chapter] B\n  [law] C"
+    assert one(trees.mermaid(nodes)).chart.split("\n") == ["flowchart TD", '    d["d"]', '    d_law1["A"]', "    d --> d_law1", '    d_law1_chapter1["B"]', "    d_law1 --> d_law1_chapter1", '    d_law2["C"]', "    d --> d_law2"]
+    assert [(r.node_id, r.parent_id) for r in trees.under_root(nodes, "all", "All").orderBy("preorder").collect()] == [("all", None), ("all.d", "all"), ("all.d.law1", "all.d"), ("all.d.law1.chapter1", "all.d.law1"), ("all.d.law2", "all.d")]
     assert tuple(one(trees.statistics(nodes))) == ("d", 3, 0, 2)
 
 
@@ -190,7 +227,7 @@ def test_search_results_by_a_table_of_fields(spark):
     assert (row.id, row.title, row.subtitle, row.url) == ("1", "T", "B", "https://site/p")
 
 
-@pytest.mark.parametrize("a,b,want", [("x", "x", True), ("x", "y", False), ("a" * 200, "a" * 200, True), ("a" * 200, "a" * 150, False), ("a" * 200, "a" * 100 + "b" * 100, False), ("a " * 200, "a" * 200, True), (None, None, True)])
+@pytest.mark.parametrize("a,b,want", [("x", "x", True), ("x", "y", False), ("a" * 200, "a" * 200, True), ("a" * 200, "a" * 150, False), ("a" * 200, "a" * 100 + "b" * 100, False), ("a " * 200, "a" * 200, True), (None, None, False), ("", "", False), (" ", "\n", True)])
 def test_fixed_points(spark, a, b, want):
     assert one(spark.createDataFrame([(a, b)], "a string, b string").select(T.is_fixed_point(F.col("a"), F.col("b")).alias("x"))).x is want
 
@@ -209,4 +246,42 @@ def test_marks_are_strict_and_messages_are_clean(spark):
     schema = "content string, timestamp string, author struct<bot:boolean>, attachments array<struct<url:string>>, embeds array<struct<title:string,description:string>>"
     messages = spark.createDataFrame([(" hi ", "2026-05-06T12:00:00+09:00", (True,), [("u",)], [("t", "d")]), ("", "2026-05-06T12:00:00Z", (False,), None, None), ("x", "bad", (False,), [], [])], schema)
     row = one(incremental.message_rows(messages, F.lit("a")))
-    assert (row.role, row.content, row.created_at.hour) == ("assistant", "hi\n\nu\n\nt\nd", 3) and incremental.message_rows(messages, F.lit("a")).count() == 1
+    assert (row.role, row.content, row.created_at.hour) == ("assistant", "hi\n\nAttachments:\nu\n\nEmbed title: t\nEmbed description: d", 3) and incremental.message_rows(messages, F.lit("a")).count() == 1
+
+
+def test_fallback_citations_and_mock_replies(spark):
+    import hashlib
+    import json
+
+    hits = spark.createDataFrame([(1, 1, "b", None, "b:3:x 1\n--\nb-4- y"), (1, 0, "a", "k", None)], "query_id int, rank int, name string, kind string, excerpt string")
+    found = {r.query_id: r for r in fusion.fallback(spark.createDataFrame([(1,), (2,)], "query_id int"), hits).collect()}
+    assert (found[1].confidence, found[1].verdict) == (0.68, "ambiguous") and [(c.article, c.excerpt) for c in found[1].citations] == [("k", ""), ("법령", "x 1 · -- · y")]
+    assert (found[2].confidence, found[2].verdict, found[2].citations) == (0.0, "does_not_apply", [])
+    messages = [{"role": "user", "content": 'say "가"\n'}, {"role": "assistant", "content": ""}]
+    want = hashlib.sha256(json.dumps(messages, ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:12]
+    rows = spark.createDataFrame([([(m["role"], m["content"]) for m in messages],)], "m array<struct<role:string,content:string>>")
+    assert one(rows.select(T.mock_reply(F.col("m")).alias("x"))).x == f"[dry_run] deterministic mock response hash={want}"
+
+
+def test_court_replies_and_numbers(spark):
+    items = lambda t: column(spark, envelopes.court_items(F.col("t")), t)
+    assert [x.seq for x in items('{"header":{"resultCode":"00"},"body":{"items":{"item":{"seq":7,"nick":null}}}}')] == ["7"] and items('{"body":{"items":""}}') == []
+    with pytest.raises(Exception, match="no such key"):
+        items('{"header":{"resultCode":"30","resultMsg":"no such key"}}')
+    rows = spark.createDataFrame([("2", "2020헌마1"), ("1", "2020헌마12"), ("", "2020헌마1"), ("3", "x")], "id string, number string")
+    assert [r.id for r in envelopes.by_number(rows, "2020헌마1").collect()] == ["1", "2"]
+
+
+def test_a_view_is_swapped_for_a_healthy_table_only(spark, tmp_path):
+    for name, count in (("v1", 3), ("v2", 0)):
+        spark.range(count).write.parquet(str(tmp_path / name))
+    tables.publish(spark, "current_table", str(tmp_path / "v1"))
+    with pytest.raises(ValueError):
+        tables.publish(spark, "current_table", str(tmp_path / "v2"))
+    assert spark.table("current_table").count() == 3
+
+
+def test_aliases_in_names(spark):
+    rows = spark.createDataFrame([("의료기기 취급법", True), ("약사 취급법", False), (None, False)], "n string, want boolean")
+    found = fusion.name_matches(F.coalesce("n", F.lit("")), F.lit("x"), F.lit("민법"), F.array(F.lit("의료기기"), F.lit("약사")))
+    assert rows.where(found != F.col("want")).count() == 0

@@ -3,7 +3,8 @@
 import pytest
 from oracle import connection, rows_of, rows_of_sql
 
-from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tessera.plans import library, queries  # noqa: F401 - they register their queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
