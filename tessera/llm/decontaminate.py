@@ -11,11 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import materialize
 from tessera.llm.text import byte_table, hashed, mapped, mixed, rows_of, slices, utf8, words
 
 WINDOW = 10
 #: Windows that are sent to the executors at once; a larger benchmark goes in several blocks of about this size.
 BLOCK_WINDOWS = 200_000
+#: Words are counted in so many slots (two to this power), by the first bits of their hashes.
+SLOT_BITS = 20
+#: Blocks that one stage holds against the texts, a Python worker each; their result is written before the next ones start.
+BLOCKS_AT_ONCE = 4
 #: Everything of ASCII but digits and letters parts words.
 WORD_BYTES = byte_table(lower=True, separators=bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -72,63 +77,77 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text",
     return rows.mapInArrow(cut, "item string, window array<long>")
 
 
-def word_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> dict[int, int]:
-    """How often each of the wanted words (hashes, ascending) occurs in all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> np.ndarray:
+    """How many words of all documents fall in each slot, for the wanted slots (flags), one pass for the whole benchmark."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, totals = sent.value, np.zeros(len(sent.value), np.int64)
+        own = np.unpackbits(sent.value)
+        totals = np.zeros(len(own), np.int64)
         for part in slices(batches):
             _, flat = words(mapped(utf8(part.column("text")), WORD_BYTES))
             coded = flat.dictionary_encode()
             each = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)) if len(flat) else np.zeros(0, np.int64)
-            found = hashed(coded.dictionary)
-            at = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            same = own[at] == found
-            np.add.at(totals, at[same], each[same])
-        full = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(own[full].view(np.int64)), pa.array(totals[full])], ["word", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {int(np.int64(r.word).view(np.uint64)): r.n for r in rows.toLocalIterator()}  # at most one row for each word of a block
+            np.add.at(totals, _slot(hashed(coded.dictionary)), each)
+        full = np.flatnonzero(totals * own)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(totals[full])], ["slot", "n"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    found = rows.toPandas()  # a row for each slot at most
+    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def _block(rows: list, counts: np.ndarray) -> Block:
+    """Windows with items, ready to be looked for by their rarest words."""
+    joined: dict[tuple[int, int], tuple[np.ndarray, list[int]]] = {}
+    ids = sorted({r.item for r in rows if r.item is not None})
+    number_of = {x: k for k, x in enumerate(ids)}
+    for r in rows:
+        own = np.asarray(r.window, np.int64).view(np.uint64)
+        one, two = sequence_hash(own, np.zeros(1, np.int64), len(own))
+        entry = joined.setdefault((int(one[0]), int(two[0])), (own, []))
+        if r.item is not None:
+            entry[1].append(number_of[r.item])
+    places = set()
+    for own, _ in joined.values():
+        rare = int(np.argmin(counts[_slot(own)]))
+        places.add((int(own[rare]), rare, len(own)))
+    placed, ordered = sorted(places), sorted(joined.items())
+    tokens, first = np.unique(np.array([p[0] for p in placed], np.uint64), return_index=True)
+    return Block(
+        tokens, np.append(first, len(placed)), np.array([p[1] for p in placed]), np.array([p[2] for p in placed]),
+        np.array([k[0] for k, _ in ordered], np.uint64), np.array([k[1] for k, _ in ordered], np.uint64),
+        np.concatenate([[0], np.cumsum([len(v[1]) for _, v in ordered])]).astype(np.int64), np.array([i for _, v in ordered for i in v[1]], np.int64), ids,
+    )
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", text: str = "text", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> Iterator[Block]:
     """The benchmark in blocks of about block_windows windows: a stated query set that is held against all rows, block by block.
 
-    A window's words are ordered by how often they occur in the documents. A document that contains the window contains all of
-    its words, so the necessary prefix is its rarest word.
+    A window's words are ordered by how often words of their slot occur in the documents. A document that contains the window
+    contains all of its words, so the necessary prefix is its rarest word; any word would do, so slots that words share cost no
+    result. Pairs of a window and an item are dealt by the hash of both: neither a very long item nor one that stands in very many
+    rows makes a block larger, and the hits of all blocks are joined.
     """
-    found = item_windows(benchmark, key, item_text, window).cache()
-    n_blocks = max(1, math.ceil(found.count() / block_windows))
+    found = materialize(item_windows(benchmark, key, item_text, window).distinct(), "benchmark-windows")
+    total = found.count()
+    if not total:
+        return
+    slots = found.select(F.explode("window").alias("w")).select(F.shiftrightunsigned("w", 64 - SLOT_BITS).alias("slot")).distinct().toPandas()["slot"]  # 2 ** SLOT_BITS rows at most
+    wanted = np.zeros(1 << SLOT_BITS, bool)
+    wanted[slots.to_numpy(np.int64)] = True
+    counts = slot_counts(docs, wanted, text)
+    n_blocks = math.ceil(total / block_windows)
     for number in range(n_blocks):
-        rows = found.where(F.pmod(F.hash("item"), F.lit(n_blocks)) == number).distinct().toPandas()
-        if not len(rows):
-            continue
-        windows = [np.asarray(w, np.int64).view(np.uint64) for w in rows["window"]]
-        vocabulary = np.unique(np.concatenate(windows))
-        counts = word_counts(docs, vocabulary, text)
-        rank = np.array([counts.get(int(w), 0) for w in vocabulary])
-        ids = sorted({x for x in rows["item"] if x is not None})
-        number_of = {x: k for k, x in enumerate(ids)}
-        joined: dict[tuple[int, int], tuple[np.ndarray, list[int]]] = {}
-        for own, item in zip(windows, rows["item"]):
-            one, two = sequence_hash(own, np.zeros(1, np.int64), len(own))
-            entry = joined.setdefault((int(one[0]), int(two[0])), (own, []))
-            if item is not None:
-                entry[1].append(number_of[item])
-        places = set()
-        for own, _ in joined.values():
-            rare = int(np.argmin(rank[np.searchsorted(vocabulary, own)]))
-            places.add((int(own[rare]), rare, len(own)))
-        placed, ordered = sorted(places), sorted(joined.items())
-        tokens, first = np.unique(np.array([p[0] for p in placed], np.uint64), return_index=True)
-        yield Block(
-            tokens, np.append(first, len(placed)), np.array([p[1] for p in placed]), np.array([p[2] for p in placed]),
-            np.array([k[0] for k, _ in ordered], np.uint64), np.array([k[1] for k, _ in ordered], np.uint64),
-            np.concatenate([[0], np.cumsum([len(v[1]) for _, v in ordered])]).astype(np.int64), np.array([i for _, v in ordered for i in v[1]], np.int64), ids,
-        )
-    found.unpersist()
+        rows = found.where(F.pmod(F.xxhash64("item", "window"), F.lit(n_blocks)) == number).collect()  # about block_windows rows
+        if rows:
+            yield _block(rows, counts)
 
 
 def occurrences(block: Block, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +204,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """For each row: key, n_words, spans (array of word ranges that benchmark windows cover, ends excluded), items (ids as sorted strings).
 
     Null and empty texts have no words and no hits. A null item id is never listed, yet its windows count. Repeated rows of either
-    table give repeated rows or count once, in turn. An empty benchmark hits nothing. Other columns of the tables are left out.
+    table give repeated rows or count once, in turn. An empty benchmark hits nothing. Other columns of the tables are left out,
+    whatever their names. A very long text is searched whole, in a slice of its own; windows of a very long item are dealt over blocks.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out = f"key {rows.schema['key'].dataType.simpleString()}, text string, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
     found = None
-    for block in blocks(docs, benchmark, item_key, text, item_text, window, block_windows):
+    for number, block in enumerate(blocks(docs, benchmark, item_key, text, item_text, window, block_windows)):
+        found = materialize(found, "benchmark-found") if number and number % BLOCKS_AT_ONCE == 0 else found
         found = (rows if found is None else found).mapInArrow(_searched(docs.sparkSession.sparkContext.broadcast(block)), out)
     found = rows.mapInArrow(_searched(None), out) if found is None else found
     return found.select(F.col("key").alias(key), "n_words", "spans", "items")
@@ -227,10 +248,11 @@ def _searched(sent):
     return search
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, in which no benchmark window occurs."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark window occurs. Cases are those of `contamination`."""
     kept = docs
-    for block in blocks(docs, benchmark, item_key, text, item_text, window):
+    for number, block in enumerate(blocks(docs, benchmark, item_key, text, item_text, window, block_windows)):
+        kept = materialize(kept, "benchmark-kept") if number and number % BLOCKS_AT_ONCE == 0 else kept
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

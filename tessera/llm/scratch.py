@@ -2,30 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from tessera.sources.tables import written as materialize
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a new temporary folder, in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """Writes df once as Parquet and reads it back: lineage ends here, and a lost executor costs no recomputation beyond it.
-
-    by: a column with few values; rows with another value are not read when it is filtered for one.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+__all__ = ["materialize"]

@@ -414,7 +414,7 @@ def test_classifiers_on_held_out_labels(spark, which):
 
 def test_a_sample_is_bounded_by_keys_and_bytes(spark):
     docs = spark.createDataFrame([(k, "x" * 100, "clash") for k in range(40)] + [(7, "y" * 500, "clash")] * 300 + [(None, "n", "clash")], "doc_id long, text string, grade string").repartition(5)
-    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(7, 0)] * 9 + [(None, 1), (3, None), (99, 1)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)] + [(7, 0, 0)] * 9 + [(None, 1, 0), (3, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     whole = labelled.labelled_texts(docs, labels, F.col("quality")).select("place.key", "grade", F.length("text").alias("n")).collect()
     assert sorted((int(r.key), r.grade, r.n) for r in whole) == [(k, 0 if k == 7 else k % 2, 100) for k in range(20)]
     assert labelled.labelled_texts(docs, labels, F.col("quality"), most=5).count() <= 5
@@ -465,11 +465,20 @@ def test_benchmark_windows(spark, docs, block_windows):
     found = decontaminate.contamination(docs, benchmark, block_windows=block_windows).collect()
     assert sorted(((r.doc_id, r.n_words, sum(s.end - s.begin for s in r.spans), list(r["items"])) for r in found), key=repr) == brute_hits(awkward(), items)
     bad = Counter(repr(d) for d, _, h, _ in brute_hits(awkward(), items) if h)
-    clean = decontaminate.clean(docs, benchmark)
+    clean = decontaminate.clean(docs, benchmark, block_windows=block_windows)
     assert Counter(repr(k) for k, _ in awkward()) - Counter(repr(r.doc_id) for r in clean.collect()) == bad and clean.columns == docs.columns
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(awkward()) and decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_blocks_of_a_benchmark_are_bounded(docs, spark):
+    """Neither a long item nor one id with most rows makes a block larger."""
+    rng = random.Random(3)
+    items = [(1, " ".join(f"u{rng.randrange(10**6)}" for _ in range(3000)))] + [(2, " ".join(f"v{k}x{j}" for j in range(12))) for k in range(900)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [len(b.keys) for b in decontaminate.blocks(docs, benchmark, block_windows=500)]
+    assert sum(sizes) == 2991 + 2700 and len(sizes) == 12 and max(sizes) < 700
+
+
 def test_benchmark_query_matches_sql(spark):
     assert rows_of(queries.op10_prefix_containment(spark, SF)) == rows_of_sql(connection(SF), queries.ORACLE_SQL["op10_prefix_containment"])
 
