@@ -94,18 +94,36 @@ def test_distinct_keeps_one_of_each_group(docs, none):
     assert jaccard.distinct(none).count() == 0 and jaccard.join(none).count() == 0
 
 
-def test_no_pair_is_lost_by_the_tree():
+@pytest.mark.parametrize("cells,percent", [(3, 85), (1, 85), (150, 60)])
+def test_no_pair_is_lost_by_the_tree(cells, percent):
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 4, (300, 16)).astype(np.uint16)
     counts[150:] = counts[:150]
     counts[150:, 0] += rng.integers(0, 2, 150).astype(np.uint16)
-    sizes, cells = counts.sum(axis=1).astype(np.int64), np.tile(rng.integers(0, 3, 150), 2)
-    order = np.lexsort((sizes, cells))
+    sizes, cells = counts.sum(axis=1).astype(np.int64), np.tile(rng.integers(0, cells, 150), 2)
+    order = np.argsort(cells, kind="stable")
     counts, sizes, cells = counts[order], sizes[order], cells[order]
-    label = count_tree.CountTree(counts, sizes, cells, 85).connect()
+    tree = count_tree.CountTree(counts, sizes, cells, percent)
+    label = tree.connect()
     one, two = np.triu_indices(300, 1)
-    close = (np.minimum(counts[one], counts[two]).sum(axis=1) >= count_tree.needed(sizes[one], sizes[two], 85)) & (cells[one] == cells[two])
+    close = (np.minimum(counts[one], counts[two]).sum(axis=1) >= count_tree.needed(sizes[one], sizes[two], percent)) & (cells[one] == cells[two])
     assert (label == count_tree.merged(300, one[close], two[close])).all() and close.sum() > 20
+    only = tree.connect(lambda a, b: (a + b) % 2 == 0)
+    some = close & ((one + two) % 2 == 0)
+    assert (only == count_tree.merged(300, one[some], two[some])).all()
+
+
+def test_boxes_of_the_tree_are_nested():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, (3000, 8)).astype(np.uint16)
+    counts[:500] = 7  # no coordinate parts them
+    tree = count_tree.CountTree(counts, counts.sum(axis=1), np.repeat([0, 1, 2], [500, 2490, 10]), 85)
+    assert len(tree.children) >= 6 and (np.diff(tree.edges[-1]) <= count_tree.LEAF).all() and (np.sort(tree.order) == np.arange(3000)).all()
+    for level, first in enumerate(tree.children):
+        for node in range(len(first) - 1):
+            below = slice(first[node], first[node + 1])
+            assert (tree.top[level + 1][below].max(axis=0) == tree.top[level][node]).all() and tree.low[level + 1][below].min() == tree.low[level][node]
+            assert tree.edges[level][node] == tree.edges[level + 1][first[node]] and tree.edges[level][node + 1] == tree.edges[level + 1][first[node + 1]]
 
 
 def test_long_sets_are_verified_with_whole_counts():
