@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting for removing the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a new temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,10 +33,16 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation beyond it.
 
     by: a column with few values; rows with another value are not read when it is filtered for one.
+    The write's own shuffle files go when it is done: nothing reads them after that.
     """
-    path = new_path(df.sparkSession, label)
+    conf, path = df.sparkSession.conf, new_path(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
