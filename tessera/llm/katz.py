@@ -1,13 +1,15 @@
-"""Katz backoff: Good-Turing discounted pair counts over exact word counts, with backoff weights that normalise exactly.
+"""Katz backoff: Good-Turing discounted n-gram counts over exact word counts, with backoff weights that normalise exactly.
 
-Texts are read once, in batches that keep their words as numbers of the batch's own vocabulary. Counts live in hash buckets: each
-batch asks a bucket once for each different word or pair, and gets the corpus counts back. A word's bucket numbers it; pairs are
-keyed by both numbers, and a pair's bucket also answers what is known of its first word. No task knows the whole vocabulary.
+Texts are read once, in batches that keep their words as numbers of the batch's own vocabulary. Counts live in hash buckets, a table
+for each order: each batch asks a bucket once for each different n-gram, and gets the corpus counts back, with what it needs to know
+of the words before the last (the history). The orders are asked one after the other, for an n-gram of a history that only one batch
+holds is known there, and isn't asked for. Words are numbered by their buckets, n-grams are keyed by these numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,16 @@ from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, unpack
 from tessera.llm.scratch import materialize
 from tessera.llm.text import byte_table, hashed, mapped, mixed, utf8, words
 
-#: Pairs that begin with a word of this share of the training tokens or more are dealt over all buckets, those of other words stand in
-#: the bucket of their first word. Shares sum to 1, so there are 16,384 such words at most. All pairs count either way.
-SPREAD_SHARE = 2.0**-14
+ORDER = 3
+#: N-grams whose history has this share of the training tokens or more (wide ones) are dealt over all buckets, those of other histories
+#: stand together. Shares sum to 1, so there are 16,384 wide histories of each order at most.
+WIDE_SHARE = 2.0**-14
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 END = np.uint64(0)  # stands for the end of a text, and before its first word
-NONE = (1 << 32) - 1  # the number of words that no pair is made of
-_LOW = np.uint64(NONE)
+NONE = (1 << 32) - 1  # the number of words that no training text holds
 _LOWER = byte_table(lower=True)
-_SUMS = [*(f"n{r}" for r in range(1, DISCOUNTED + 1)), "n", "lower"]
+_RATIO = np.arange(1, DISCOUNTED + 1)
 
 
 def _word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
@@ -81,7 +83,7 @@ _WORDS = "kind string, bucket int, batch long, a binary, b binary, n long, v lon
 
 
 def _count_words(buckets: int):
-    """A bucket's counts in descending order (kind `table`; a word's number is its place there), and what each batch asked for: counts and numbers."""
+    """A bucket's size (kind `table`), and what each batch asked for: counts, doubled, plus 1 where other batches ask too, and the words' numbers."""
 
     def count(asked: pa.Table) -> pa.Table:
         bucket = asked["bucket"][0].as_py()
@@ -96,12 +98,13 @@ def _count_words(buckets: int):
             raise ValueError(f"more than {NONE // buckets} different words in one of {buckets} buckets: numbers of words have 32 bits")
         number = np.full(len(known), NONE, np.int64)
         number[order[:seen]] = np.arange(seen) * buckets + bucket
+        counts = 2 * total + (np.bincount(at) > 1)
         ends = np.cumsum([len(p) for p in parts])
         told = [at[e - len(p) : e] for e, p in zip(ends, parts)]
         size = len(parts)
         return pa.table({
             "kind": pa.array(["table", *["told"] * size]), "bucket": pa.array([bucket] * (size + 1), pa.int32()), "batch": pa.array([None, *asked["batch"].to_pylist()], pa.int64()),
-            "a": pa.array([pack(total[order[:seen]]), *(pack(total[x]) for x in told)], pa.binary()), "b": pa.array([None, *(pack(number[x].astype(np.uint32)) for x in told)], pa.binary()),
+            "a": pa.array([None, *(pack(counts[x]) for x in told)], pa.binary()), "b": pa.array([None, *(pack(number[x].astype(np.uint32)) for x in told)], pa.binary()),
             "n": pa.array([int(total.sum()), *[None] * size], pa.int64()), "v": pa.array([seen, *[None] * size], pa.int64()),
         })
 
@@ -121,174 +124,312 @@ def discounts(bins: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Sums:
+    """Of histories: how many n-grams with each count up to DISCOUNTED begin with them (a column for each), and the lower order's probability of all words seen after them."""
+
+    times: np.ndarray
+    lower: np.ndarray
+
+    @staticmethod
+    def of(group: np.ndarray, count: int, total: np.ndarray, lower: np.ndarray) -> Sums:
+        """group: the history, of `count`, of each n-gram; total: its training count; lower: its probability by the lower order."""
+        times = np.stack([np.bincount(group[total == r], minlength=count) for r in _RATIO], axis=1)
+        return Sums(times, np.bincount(group, np.where(total > 0, lower, 0.0), count))
+
+    def take(self, at: np.ndarray) -> Sums:
+        return Sums(self.times[at], self.lower[at])
+
+    @property
+    def held(self) -> np.ndarray:
+        """A bit for each count that any n-gram has."""
+        return ((self.times > 0) << np.arange(DISCOUNTED)).sum(axis=1).astype(np.uint8)
+
+
+@dataclass
 class Katz:
-    """What all executors know of the model: sizes, limits and discounts, and sums for the words whose pairs are dealt over all buckets (16,384 at most)."""
+    """What all executors know of the model: sizes, discounts by order, and sums of the wide histories by order (16,384 of each at most)."""
 
-    def __init__(self, tokens: int, types: int, buckets: int, least: float):
-        self.tokens, self.types, self.buckets = tokens, types, buckets
-        self.least, self.spread = least, max(1.0, SPREAD_SHARE * tokens)
-        self.discount = np.ones(DISCOUNTED + 1)
-        self.numbers, self.sums = np.zeros(0, np.int64), np.zeros((0, len(_SUMS)), np.int64)  # of spread words, ascending
+    tokens: int
+    types: int
+    buckets: int
+    wide: float
+    discount: dict[int, np.ndarray] = field(default_factory=dict)
+    wide_sums: dict[int, tuple[np.ndarray, Sums]] = field(default_factory=dict)  # keys, ascending
 
     def word_probability(self, count: np.ndarray) -> np.ndarray:
         """One is added to each count; what no training text holds counts as one word more."""
         return (np.asarray(count, float) + 1) / (self.tokens + self.types + 1)
 
-    def weights(self, count: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For words before others, by their counts and sums: what a pair's discounted count is divided by, and the backoff weight."""
-        r = np.arange(1, DISCOUNTED + 1)
-        low = sums[:, :DISCOUNTED]
-        mass = low @ (r * self.discount[1:]) + sums[:, DISCOUNTED] - low @ r
-        below = np.maximum(count, 1).astype(float)
-        below = np.where(mass < below - 1e-9 * below, below, below + 1)  # something must be left for what was not seen
-        return below, (1 - mass / below) / (1 - sums[:, DISCOUNTED + 1] / (self.tokens + self.types + 1))
-
-    def pairs(self, token: np.ndarray, size: np.ndarray, count: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Different pairs by bucket: keys, buckets, and a token of each. For each token: the one before, whether it asks, and its pair's place (for those that ask).
-
-        count and number are those of the batch's words. A pair whose second word is part of no pair asks for its first word alone.
-        """
-        before = np.concatenate([token[-1:], token[:-1]])  # the last of all is an end, and stands before the first
-        number = np.where((number != NONE) & (count >= self.least), number, NONE).astype(np.uint64)
-        one, two = number[before], number[token]
-        asks = one != _LOW
-        key, some, at = np.unique((one[asks] << np.uint64(32)) | two[asks], return_index=True, return_inverse=True)
-        some = np.flatnonzero(asks)[some]
-        home = (key >> np.uint64(32)) % np.uint64(self.buckets)
-        bucket = np.where(count[before[some]] >= self.spread, _word_bucket(key, self.buckets), home).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return key[order], bucket[order], some[order], before, asks, place[at]
-
-
-def _told(told: pa.Table, order: str, column: str, kind: type) -> np.ndarray:
+    def taken(self, order: int, count: np.ndarray) -> np.ndarray:
+        """Discounted counts of n-grams."""
+        return np.where(count > DISCOUNTED, 1.0, self.discount[order][np.minimum(count, DISCOUNTED)]) * count
+
+    def below(self, order: int, count: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """What discounted counts after a history are divided by: its count, or, where nothing after it is discounted, one more, so that something is left for what was not seen."""
+        bits = int(((self.discount[order][1:] < 1) << np.arange(DISCOUNTED)).sum())
+        return count + ((held & bits) == 0)
+
+    def backoff(self, order: int, count: np.ndarray, sums: Sums) -> np.ndarray:
+        """What is left for words not seen after a history, over what the lower order gives them."""
+        below = self.below(order, count, sums.held)
+        left = np.where(below > count, 1 / below, (sums.times * _RATIO * (1 - self.discount[order][1:])).sum(axis=1) / np.maximum(count, 1))
+        return left / (1 - sums.lower)
+
+
+def _ids(parts: list[np.ndarray]) -> np.ndarray:
+    """A number for each different row of 32-bit columns, in their order."""
+    ids = parts[0].astype(np.uint64)
+    for more in parts[1:]:
+        ids = np.unique((np.unique(ids, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)) | more.astype(np.uint64), return_inverse=True)[1]
+    return np.unique(ids, return_inverse=True)[1]
+
+
+def _key(parts: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit key of each row of numbers; one and two numbers are the key themselves."""
+    key = parts[0].astype(np.uint64)
+    for more in parts[1:]:
+        key = (key << np.uint64(32)) | more.astype(np.uint64) if len(parts) == 2 else mixed(mixed(key + np.uint64(1)) + more.astype(np.uint64))
+    return key
+
+
+class _Grams:
+    """A batch's different n-grams of one order after known histories: `place` of each token in `tokens`, `rep` one token of each."""
+
+    def __init__(self, batch: _Batch, order: int):
+        model, self.order = batch.model, order
+        history, count, shared = batch.history(order)
+        self.tokens = np.flatnonzero(count > 0)
+        code = history[self.tokens].astype(np.int64) * batch.vocabulary + batch.token[self.tokens]
+        _, first, self.place = np.unique(code, return_index=True, return_inverse=True)
+        self.rep = self.tokens[first]
+        _, first, self.group = np.unique(history[self.rep], return_index=True, return_inverse=True)
+        lead = self.rep[first]
+        self.count, self.asked = count[lead], shared[lead]
+        self.wide = self.count >= model.wide
+        self.parts = [batch.before(lead, k) for k in range(order - 1, 0, -1)]
+        self.last = batch.number[batch.token[self.rep]]
+        self.times = np.bincount(self.place, batch.train[self.tokens], len(self.rep)).astype(np.int64)
+        self.low = batch.count[self.rep]  # of the n-gram without its first word
+        self.low_below = None if order == 2 else batch.below[lead]
+        key = _key(self.parts)
+        bucket = _word_bucket(key, model.buckets).astype(np.int64)[self.group]
+        wide = self.wide[self.group]
+        bucket[wide] = _word_bucket(mixed(key[self.group[wide]]) + self.last[wide].astype(np.uint64), model.buckets)
+        rank = np.empty(len(lead), np.int64)
+        rank[np.lexsort(self.parts[::-1])] = np.arange(len(lead))
+        some = np.flatnonzero(self.asked[self.group])
+        self.sent = some[np.lexsort(((rank[self.group[some]] << 32) | self.last[some], bucket[some]))]  # the n-grams asked for, in the order of asking
+        self.bucket = bucket[self.sent]
+
+    def local(self, model: Katz) -> Sums:
+        """Sums as far as this batch alone knows them: whole ones for histories that it doesn't share."""
+        return Sums.of(self.group, len(self.count), self.times, _lower(model, self.order, self.low, None if self.low_below is None else self.low_below[self.group]))
+
+
+def _lower(model: Katz, order: int, low: np.ndarray, below: np.ndarray | None) -> np.ndarray:
+    """Probability of n-grams' last words by the order below, from the counts without the first word."""
+    return model.word_probability(low) if order == 2 else model.taken(order - 1, low) / below
+
+
+class _Batch:
+    """A batch's tokens with what the tables of the orders up to `known` have told of them."""
+
+    def __init__(self, row: pa.Table, told: pa.Table, model: Katz, known: int):
+        self.model = model
+        token, size, self.trains = (unpack(row[c][0].as_py(), t) for c, t in (("b", np.uint32), ("c", np.uint32), ("d", np.uint8)))
+        self.token, self.size = token.astype(np.int64), size.astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.at = np.arange(len(token)) - np.repeat(self.begin, self.size)
+        self.train = np.repeat(self.trains, self.size)
+        counts, number = _told(told, 1, "a", np.int64), _told(told, 1, "b", np.uint32).astype(np.int64)
+        self.vocabulary, self.number, self.end = len(counts), number, self.token[-1]  # the last of all tokens is an end
+        self.words = counts >> 1, (counts & 1) > 0
+        self.grams, self.count, self.shared, self.below = self.token, self.words[0][self.token], self.words[1][self.token], None
+        self.base = self.chance = model.word_probability(self.count)
+        for order in range(2, known + 1):
+            self._learn(_Grams(self, order), told)
+
+    def before(self, tokens: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of the words k before these tokens; before a text stands its end."""
+        return self.number[np.where(self.at[tokens] >= k, self.token[np.maximum(tokens - k, 0)], self.end)]
+
+    def history(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token the words before it: their number among the batch's n-grams, training count (0: not known, or the text is too short), and whether other batches hold them."""
+        moved = lambda x: np.concatenate([x[-1:], x[:-1]])
+        if order == 2:
+            first = self.at == 0
+            word = np.where(first, self.end, moved(self.token))
+            return word, self.words[0][word], self.words[1][word]
+        there = self.at >= order - 2
+        return moved(self.grams), np.where(there, moved(self.count), 0), moved(self.shared)
+
+    def _learn(self, g: _Grams, told: pa.Table) -> None:
+        model, order = self.model, g.order
+        sums, total, shared = g.local(model), g.times.copy(), np.zeros(len(g.rep), bool)
+        answer = _told(told, order, "a", np.int64)
+        total[g.sent], shared[g.sent] = answer >> 1, (answer & 1) > 0
+        group = g.group[g.sent]
+        edges = runs(g.bucket, group)
+        asked = group[edges[:-1]]
+        narrow = ~g.wide[asked]
+        held = sums.held
+        held[asked[narrow]] = _told(told, order, "b", np.uint8)[narrow]
+        zero = np.minimum.reduceat(total[g.sent], edges[:-1]) == 0 if len(asked) else narrow
+        lacking = asked[narrow & zero]
+        sums.times[lacking] = _told(told, order, "c", np.int64).reshape(-1, DISCOUNTED)
+        sums.lower[lacking] = _told(told, order, "d", np.float64)
+        wide = np.flatnonzero(g.wide & g.asked)
+        if len(wide):
+            keys, known = model.wide_sums[order]
+            whole = known.take(np.searchsorted(keys, _key([p[wide] for p in g.parts])))
+            sums.times[wide], sums.lower[wide], held[wide] = whole.times, whole.lower, whole.held
+        below = model.below(order, g.count, held)
+        backoff = np.ones(len(below))
+        open_ = np.unique(g.group[total == 0])  # only there the sums are needed, and whole
+        backoff[open_] = model.backoff(order, g.count[open_], sums.take(open_))
+        seen = total[g.place] > 0
+        self.chance = self.chance.copy()
+        own = g.group[g.place]
+        self.chance[g.tokens] = np.where(seen, model.taken(order, total[g.place]) / below[own], backoff[own] * self.chance[g.tokens])
+        count, shares, divided, grams = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), bool), np.ones(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
+        count[g.tokens], shares[g.tokens], divided[g.tokens], grams[g.tokens] = total[g.place], shared[g.place], below[own], g.place
+        self.count, self.shared, self.below, self.grams = count, shares, divided, grams
+
+
+def _told(told: pa.Table, order: int, column: str, kind: type) -> np.ndarray:
     """A batch's answers, in the order of buckets."""
     rows = told.filter(pc.equal(told["order"], order)).sort_by("bucket")
     return np.concatenate([unpack(x, kind) for x in rows[column].to_pylist()] or [np.zeros(0, kind)])
 
 
-_PAIR_ASKS = "bucket int, batch long, a binary, b binary, c binary, d binary"
+def _bins(total: np.ndarray) -> np.ndarray:
+    """How many n-grams have each count from 1 to DISCOUNTED + 1."""
+    return np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+
+
+_ASKS = "bucket int, batch long, h binary, p binary, l binary, w binary, t binary, o binary, d binary, x binary, bins array<long>"
 
 
-def _pair_asks(sent):
+def _asks(sent, order: int):
     def ask(row: pa.Table, told: pa.Table) -> pa.Table:
-        model = sent.value
-        token, size, train = (unpack(row[c][0].as_py(), t) for c, t in (("b", np.uint32), ("c", np.uint32), ("d", np.uint8)))
-        token, size = token.astype(np.int64), size.astype(np.int64)
-        count, number = _told(told, "word", "a", np.int64), _told(told, "word", "b", np.uint32).astype(np.int64)
-        key, bucket, some, _, asks, at = model.pairs(token, size, count, number)
-        one, two = (key >> np.uint64(32)).astype(np.uint32), (key & _LOW).astype(np.uint32)
-        times = np.bincount(at, np.repeat(train, size)[asks], len(key)).astype(np.uint32) if len(key) else np.zeros(0, np.uint32)
-        times[two == NONE] = 0
-        second = count[token[some]]
-        edges = runs(bucket)
-        parts = list(zip(edges[:-1], edges[1:]))
-        columns = [pa.array(bucket[edges[:-1]], pa.int32()), pa.array([row["batch"][0].as_py()] * len(parts), pa.int64())]
-        columns += [pa.array([f(i, j) for i, j in parts], pa.binary()) for f in (lambda i, j: pack(one[i:j], True), lambda i, j: pack(two[i:j]), lambda i, j: pack(times[i:j]), lambda i, j: pack(second[i:j]))]
-        return pa.table(columns, ["bucket", "batch", "a", "b", "c", "d"])
+        """What a batch asks each bucket: histories (first words, the others), how many n-grams each has here, and of these the last words, training counts and counts without the first word."""
+        out: list[tuple] = []
+        if row.num_rows:
+            batch = _Batch(row, told, sent.value, order - 1)
+            g = _Grams(batch, order)
+            bins = _bins(g.times[~g.asked[g.group]]).tolist()  # those that no bucket sees
+            edges = runs(g.bucket) if len(g.sent) else np.zeros(1, np.int64)
+            for i, j in zip(edges[:-1], edges[1:]):
+                some = g.sent[i:j]
+                starts = runs(g.group[some])
+                lead = g.group[some[starts[:-1]]]
+                parts = [p[lead].astype(np.uint32) for p in g.parts]
+                out.append((int(g.bucket[i]), row["batch"][0].as_py(), pack(parts[0], True), pack(np.concatenate(parts[1:])) if order > 2 else None, pack(np.diff(starts).astype(np.uint32)), pack(g.last[some].astype(np.uint32)),
+                            pack(g.times[some].astype(np.uint32)), pack(g.low[some]), None if order == 2 else pack(g.low_below[lead]), pack(g.wide[lead].astype(np.uint8)), bins))
+                bins = None
+            if bins is not None:  # nothing to ask for, or no bucket: the counts go alone
+                out.append((0, row["batch"][0].as_py(), *[None] * 8, bins))
+        columns = list(zip(*out)) or [()] * 11
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _ASKS.split(", ")])
 
     return ask
 
 
-_PAIRS = "kind string, bucket int, batch long, a binary, b binary, bins array<long>"
+_ANSWERS = "kind string, bucket int, batch long, a binary, b binary, c binary, d binary, bins array<long>"
 
 
-def _count_pairs(spread: np.ndarray):
-    """What each batch asked a bucket for: the pairs' counts, and the sums of their first words (whole ones but for spread words, whose parts are of kind `spread`)."""
-
+def _count(sent, order: int):
     def count(asked: pa.Table) -> pa.Table:
-        parts = [(unpack(a, np.uint32, True).astype(np.uint64) << np.uint64(32)) | unpack(b, np.uint32) for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist())]
-        times, second = (np.concatenate([unpack(x, t) for x in asked[c].to_pylist()]).astype(np.int64) for c, t in (("c", np.uint32), ("d", np.int64)))
-        known, some, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        total = np.zeros(len(known), np.int64)
-        np.add.at(total, at, times)
-        bins = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-        first = (known >> np.uint64(32)).astype(np.int64)
-        lead = runs(first)[:-1]
-        lower = np.where(total > 0, second[some] + 1, 0)
-        sums = np.stack([np.add.reduceat(v, lead) for v in (*((total == r).astype(np.int64) for r in range(1, DISCOUNTED + 1)), total, lower)], axis=1)
-        group = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(known))))
-        wide = np.isin(first[lead], spread)
-        counts, firsts, end = [], [], 0
-        for p in parts:
-            own = at[end : end + len(p)]
-            end += len(p)
-            counts.append(pack(total[own]))
-            firsts.append(pack(np.ascontiguousarray(sums[group[own[runs(p >> np.uint64(32))[:-1]]]].T).reshape(-1)))
-        size = len(parts)
-        return pa.table({
-            "kind": pa.array(["spread", *["told"] * size]), "bucket": pa.array([asked["bucket"][0].as_py()] * (size + 1), pa.int32()), "batch": pa.array([None, *asked["batch"].to_pylist()], pa.int64()),
-            "a": pa.array([pack(first[lead][wide]), *counts], pa.binary()), "b": pa.array([pack(sums[wide].reshape(-1)), *firsts], pa.binary()),
-            "bins": pa.array([bins.tolist(), *[None] * size], pa.list_(pa.int64())),
-        })
+        """A bucket's counts of counts and sums of wide histories (kind `table`), and for each batch: counts, doubled, plus 1 where other batches ask too; the counts held after each history; and sums of histories after which it lacks an n-gram."""
+        model, bucket = sent.value, asked["bucket"][0].as_py()
+        given = np.array([b for b in asked["bins"].to_pylist() if b is not None], np.int64).reshape(-1, DISCOUNTED + 1).sum(axis=0)
+        asked = asked.filter(pc.is_valid(asked["h"]))
+        get = lambda c, kind, up=False: [unpack(x, kind, up) for x in asked[c].to_pylist()]
+        first, lengths, last, times, low, wide = get("h", np.uint32, True), [x.astype(np.int64) for x in get("l", np.uint32)], get("w", np.uint32), get("t", np.uint32), get("o", np.int64), get("x", np.uint8)
+        rows = [("table", bucket, None, None, None, None, None, given.tolist())]
+        if len(first):
+            parts = [np.concatenate(first)]
+            if order > 2:
+                rest = [x.reshape(order - 2, -1) for x in get("p", np.uint32)]
+                parts += [np.concatenate([x[k] for x in rest]) for k in range(order - 2)]
+            history = _ids(parts)
+            known, some, at = np.unique((np.repeat(history, np.concatenate(lengths)).astype(np.uint64) << np.uint64(32)) | np.concatenate(last).astype(np.uint64), return_index=True, return_inverse=True)
+            total = np.zeros(len(known), np.int64)
+            np.add.at(total, at, np.concatenate(times).astype(np.int64))
+            group = (known >> np.uint64(32)).astype(np.int64)
+            n = int(history.max()) + 1
+            below = None
+            if order > 2:
+                below = np.ones(n, np.int64)
+                below[history] = np.concatenate(get("d", np.int64))
+                below = below[group]
+            sums = Sums.of(group, n, total, _lower(model, order, np.concatenate(low)[some], below))
+            answer, held = 2 * total + (np.bincount(at) > 1), sums.held
+            lead = np.zeros(n, np.int64)
+            lead[history] = np.arange(len(history))
+            wide_ = np.concatenate(wide) > 0
+            apart = np.flatnonzero(wide_[lead])
+            rows[0] = ("table", bucket, None, pack(_key([p[lead[apart]] for p in parts])), pack(sums.times[apart].ravel()), pack(sums.lower[apart]), None, (given + _bins(total)).tolist())
+            end = begin = 0
+            for batch, own in zip(asked["batch"].to_pylist(), lengths):
+                here = slice(begin, begin + len(own))
+                begin += len(own)
+                entries = at[end : end + int(own.sum())]
+                end += len(entries)
+                ids = history[here]
+                zero = np.minimum.reduceat(total[entries], np.cumsum(own) - own) == 0
+                lacking = sums.take(ids[zero & ~wide_[here]])
+                rows.append(("told", bucket, batch, pack(answer[entries]), pack(held[ids]), pack(lacking.times.ravel()), pack(lacking.lower), None))
+        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in _ANSWERS.split(", ")])
 
     return count
 
 
-def _spread_words(table: DataFrame, least: float, buckets: int) -> np.ndarray:
-    """The numbers of words with that count or more."""
+def _wide_sums(table: DataFrame) -> tuple[np.ndarray, Sums]:
+    """Sums of the wide histories over all buckets, 1 / WIDE_SHARE at most."""
+    names = [f"n{r}" for r in _RATIO]
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for bucket, a in zip(rows.column("bucket").to_pylist(), rows.column("a").to_pylist()):
-                high = int((unpack(a, np.int64) >= least).sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(high, dtype=np.int64) * buckets + bucket)], ["word"])
-
-    return np.sort(table.select("bucket", "a").mapInArrow(choose, "word long").toPandas()["word"].to_numpy(np.int64))
-
-
-def _spread_sums(table: DataFrame) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
-                first, sums = unpack(a, np.int64), unpack(b, np.int64).reshape(-1, len(_SUMS))
-                yield pa.RecordBatch.from_arrays([pa.array(first), *(pa.array(x) for x in np.ascontiguousarray(sums.T))], ["first", *_SUMS])
+            for a, b, c in zip(*(rows.column(x).to_pylist() for x in "abc")):
+                if a is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(unpack(a, np.uint64).view(np.int64)), *(pa.array(x) for x in np.ascontiguousarray(unpack(b, np.int64).reshape(-1, DISCOUNTED).T)), pa.array(unpack(c, np.float64))], ["key", *names, "lower"])
 
-    rows = table.select("a", "b").mapInArrow(parts, ", ".join(f"`{c}` long" for c in ["first", *_SUMS]))
-    return rows.groupBy("first").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    rows = table.select("a", "b", "c").mapInArrow(parts, "key long, " + ", ".join(f"{n} long" for n in names) + ", lower double")
+    found = rows.groupBy("key").agg(*(F.sum(n).alias(n) for n in names), F.sum("lower").alias("lower")).toPandas()
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], Sums(found[names].to_numpy(np.int64)[order], found["lower"].to_numpy(float)[order])
 
 
-def _scores(sent):
+def _scores(sent, order: int):
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def score(row: pa.Table, told: pa.Table) -> pa.Table:
         if not row.num_rows:
             values = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
             return pa.table([row["keys"].combine_chunks().values[:0], *(pa.array(v) for v in values)], ["key", *names])
-        model = sent.value
-        token, size = (unpack(row[c][0].as_py(), np.uint32).astype(np.int64) for c in ("b", "c"))
-        count, number = _told(told, "word", "a", np.int64), _told(told, "word", "b", np.uint32).astype(np.int64)
-        key, bucket, some, before, asks, at = model.pairs(token, size, count, number)
-        base = model.word_probability(count)[token]
-        full = base.copy()
-        if len(key):
-            rows = told.filter(pc.equal(told["order"], "pair")).sort_by("bucket")
-            sums = np.concatenate([unpack(x, np.int64).reshape(len(_SUMS), -1) for x in rows["b"].to_pylist()], axis=1).T
-            edges = runs(bucket, key >> np.uint64(32))
-            lead = edges[:-1]
-            first = (key[lead] >> np.uint64(32)).astype(np.int64)
-            if len(model.numbers):
-                place = np.minimum(np.searchsorted(model.numbers, first), len(model.numbers) - 1)
-                sums = np.where((model.numbers[place] == first)[:, None], model.sums[place], sums)
-            below, backoff = model.weights(count[before[some[lead]]], sums)
-            group = np.repeat(np.arange(len(lead)), np.diff(edges))
-            pair = _told(told, "pair", "a", np.int64)
-            taken = np.where(pair > DISCOUNTED, 1.0, model.discount[np.minimum(pair, DISCOUNTED)]) * pair / below[group]
-            full[asks] = np.where(pair[at] > 0, taken[at], backoff[group][at] * base[asks])
-        begin = np.cumsum(size) - size
-        values = [size, np.add.reduceat((count[token] > 0).astype(np.int64), begin), np.add.reduceat(np.log10(base), begin), np.add.reduceat(np.log10(full), begin)]
+        batch = _Batch(row, told, sent.value, order)
+        known = batch.words[0][batch.token] > 0
+        values = [batch.size, *(np.add.reduceat(v, batch.begin) for v in (known.astype(np.int64), np.log10(batch.base), np.log10(batch.chance)))]
         return pa.table([row["keys"].combine_chunks().flatten(), *(pa.array(v) for v in values)], ["key", *names])
 
     return score
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", pair_share: float = 0.0) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, wide_share: float = WIDE_SHARE) -> DataFrame:
     """For each row: key, n_tokens, n_known (tokens that training texts hold), train_tokens, base_score and score (sums of log10).
 
+    An n-gram that training texts hold has its discounted count over its history's; another the history's backoff weight times its
+    probability without the first word, and so on down to single words. Before a text stands its end, once: the first word's
+    history is one word long, the second's two. All n-grams up to `order` count.
+
     training tells the rows that the model learns from; null counts as true. Null and empty texts are their end alone. Repeated
     rows stay, and learn as often as they stand there. Without training rows every word has the same probability, 1. Other
-    columns go. All pairs are counted; with pair_share only those whose words both have that share of the training tokens or more.
+    columns go, whatever their names; an empty table gives no rows. A very long text is a batch of its own, and must fit in a task.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
@@ -296,24 +437,21 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     texts = _read(rows, buckets)
     asked = texts.select("batch", "a", "b", "c", "d").mapInArrow(_word_asks(buckets), "bucket int, batch long, a binary, b binary")
     unigrams = materialize(asked.groupBy("bucket").applyInArrow(_count_words(buckets), _WORDS), "katz-words", by="kind")
-    table = unigrams.where("kind = 'table'")
-    size = table.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    size = unigrams.where("kind = 'table'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, types = int(size.n or 0), int(size.v or 0)
-    model = Katz(tokens, types, buckets, max(1.0, pair_share * tokens))
-    spread = _spread_words(table, model.spread, buckets)  # 1 / SPREAD_SHARE rows at most
+    model = Katz(tokens, types, buckets, max(1.0, wide_share * tokens))
+    none = F.lit(None).cast("binary")
+    told = unigrams.where("kind = 'told'").select("batch", "bucket", "a", "b", none.alias("c"), none.alias("d"), F.lit(1).alias("order"))
+    batches = texts.select("batch", "keys", "b", "c", "d")
+    for n in range(2, order + 1):
+        sent = spark.sparkContext.broadcast(model)
+        asked = batches.drop("keys").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_asks(sent, n), _ASKS)
+        answers = materialize(asked.groupBy("bucket").applyInArrow(_count(sent, n), _ANSWERS), f"katz-{n}", by="kind")
+        table = answers.where("kind = 'table'")
+        bins = table.agg(*(F.sum(F.col("bins")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1))).first()
+        model = Katz(tokens, types, buckets, model.wide, {**model.discount, n: discounts(np.array([b or 0 for b in bins]))}, {**model.wide_sums, n: _wide_sums(table)})
+        told = told.unionByName(answers.where("kind = 'told'").select("batch", "bucket", "a", "b", "c", "d", F.lit(n).alias("order")))
     sent = spark.sparkContext.broadcast(model)
-    told = unigrams.where("kind = 'told'").select("batch", "bucket", "a", "b", F.lit("word").alias("order"))
-    asked = texts.select("batch", "b", "c", "d").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_pair_asks(sent), _PAIR_ASKS)
-    pairs = materialize(asked.groupBy("bucket").applyInArrow(_count_pairs(spread), _PAIRS), "katz-pairs", by="kind")
-    parts = pairs.where("kind = 'spread'")
-    bins = parts.agg(*(F.sum(F.col("bins")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1))).first()
-    sums = _spread_sums(parts).toPandas().sort_values("first")  # a row for each spread word at most
-    final = Katz(tokens, types, buckets, model.least)
-    final.discount = discounts(np.array([b or 0 for b in bins]))
-    final.numbers, final.sums = sums["first"].to_numpy(np.int64), sums[_SUMS].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(final)
-    told = told.unionByName(pairs.where("kind = 'told'").select("batch", "bucket", "a", "b", F.lit("pair").alias("order")))
-    kind = rows.schema["key"].dataType
-    out = T.StructType([T.StructField("key", kind), *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
-    found = texts.select("batch", "keys", "b", "c").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scores(sent), out)
+    out = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
+    found = batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scores(sent, order), out)
     return found.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

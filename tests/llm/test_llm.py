@@ -223,67 +223,86 @@ def test_packing_is_a_round_trip(docs, none):
 # ---- 5
 
 
-def test_katz_is_exact_and_normalised(spark, docs, none):
+class BruteKatz:
+    """The model by its definition, over lists of tokens."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = {n: Counter() for n in range(1, order + 1)}
+        for t in texts:
+            padded = [None, *t]
+            for i in range(len(t)):
+                for n in range(1, order + 1):
+                    if i + 2 >= n:
+                        self.counts[n][tuple(padded[i + 2 - n : i + 2])] += 1
+        self.total, self.types = sum(self.counts[1].values()), len(self.counts[1])
+        self.discount, self.after = {}, {}
+        for n in range(2, order + 1):
+            self.discount[n] = katz.discounts(np.array([sum(c == r for c in self.counts[n].values()) for r in range(1, katz.DISCOUNTED + 2)]))
+            self.after[n] = defaultdict(dict)
+            for g, c in self.counts[n].items():
+                self.after[n][g[:-1]][g[-1]] = c
+        self.weights = {}
+
+    def taken(self, n, c):
+        return c * (self.discount[n][c] if c <= katz.DISCOUNTED else 1)
+
+    def weight(self, h):
+        if h not in self.weights:
+            n, after = len(h) + 1, self.after[len(h) + 1][h]
+            count, mass = sum(after.values()), sum(self.taken(n, c) for c in after.values())
+            below = count if mass < count - 1e-9 else count + 1
+            self.weights[h] = below, (1 - mass / below) / (1 - sum(self.p(h[1:], w) for w in after))
+        return self.weights[h]
+
+    def p(self, h, w):
+        if not h:
+            return (self.counts[1][(w,)] + 1) / (self.total + self.types + 1)
+        after = self.after[len(h) + 1].get(h)
+        if not after:
+            return self.p(h[1:], w)
+        below, backoff = self.weight(h)
+        return self.taken(len(h) + 1, after[w]) / below if w in after else backoff * self.p(h[1:], w)
+
+    def score(self, t):
+        padded = [None, *t]
+        return sum(math.log10(self.p(tuple(padded[max(0, i + 2 - self.order) : i + 1]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize("order,wide_share", [(2, 1.0), (3, katz.WIDE_SHARE), (3, 1 / 100), (3, 2.0), (4, 1 / 300)])
+def test_katz_is_exact_and_normalised(spark, docs, none, order, wide_share):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = awkward()
     out = [zlib.crc32(str(k).encode()) % 7 == 2 if k is not None else False for k, _ in rows]
     tokens = [[*words(t), None] for _, t in rows]
-    share = 1 / 500
-    one = Counter(w for t, o in zip(tokens, out) if not o for w in t)
-    total, types = sum(one.values()), len(one)
-    frequent = {w for w, n in one.items() if n >= share * total}
-    two = Counter(p for t, o in zip(tokens, out) if not o for p in zip([None, *t[:-1]], t) if p[0] in frequent and p[1] in frequent)
-    d = katz.discounts(np.array([sum(n == r for n in two.values()) for r in range(1, katz.DISCOUNTED + 2)]))
-    taken = lambda n: n * (d[n] if n <= katz.DISCOUNTED else 1)
-    mass, lower = Counter(), Counter()
-    for (a, b), n in two.items():
-        mass[a] += taken(n)
-        lower[a] += one[b] + 1
-    below = {a: one[a] if mass[a] < one[a] * (1 - 1e-9) else one[a] + 1 for a in frequent}
-    base = lambda w: (one[w] + 1) / (total + types + 1)
-
-    def p(a, b):
-        if a not in frequent:
-            return base(b)
-        n = two.get((a, b), 0)
-        return taken(n) / below[a] if n else (1 - mass[a] / below[a]) / (1 - lower[a] / (total + types + 1)) * base(b)
-
-    for a in frequent:
-        assert abs(sum(p(a, b) for b in one) + p(a, "never seen") - 1) < 1e-9
-    want = sorted((repr(k), len(t), sum(one[w] > 0 for w in t), total, round(sum(math.log10(base(w)) for w in t), 6), round(sum(math.log10(p(a, b)) for a, b in zip([None, *t[:-1]], t)), 6)) for (k, _), t in zip(rows, tokens))
-    found = sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(docs, ~held, pair_share=share).collect())
-    assert found == want
+    model = BruteKatz([t for t, o in zip(tokens, out) if not o], order)
+    for h in [(), *list(model.after[2])[:40], *list(model.after[order])[:40]]:
+        assert abs(sum(model.p(h, w) for (w,) in model.counts[1]) + model.p(h, "never seen") - 1) < 1e-9
+    one = model.counts[1]
+    want = sorted((repr(k), len(t), sum(one[(w,)] > 0 for w in t), model.total, round(sum(math.log10(model.p((), w)) for w in t), 6), round(model.score(t), 6)) for (k, _), t in zip(rows, tokens))
+    found = katz.score(docs, ~held, order=order, wide_share=wide_share)
+    assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found.collect()) == want
     assert katz.score(none, ~held).count() == 0
     untrained = katz.score(docs, F.lit(False)).collect()
     assert all(r.score == r.base_score == 0.0 and r.n_known == 0 for r in untrained)
 
 
+def test_katz_query_on_driver_rows(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tokens = {k: [*words(t), None] for k, t in rows.items()}
+    model = BruteKatz([t for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2], katz.ORDER)
+    for r in queries.op5_katz_backoff(spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and r.score == pytest.approx(model.score(tokens[r.doc_id]), abs=1e-6) and r.n_tokens == len(tokens[r.doc_id])
+
+
 def test_katz_counts_pairs_of_words_of_any_share(spark):
     many = [(k, " ".join(f"v{k}x{j}" for j in range(60_000))) for k in range(20)]
     rows = [*many, (100, "rare once"), (101, "rare once"), (102, "new words")]
     found = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 101).where("doc_id > 99").collect()}
     assert found[100].train_tokens * 2.0**-20 > 1 and found[101].n_known == 3
-    one, two = Counter(), Counter()
-    for k, t in rows:
-        if k != 101:
-            w = [*t.split(), None]
-            one.update(w)
-            two.update(zip([None, *w[:-1]], w))
-    total = sum(one.values()) + len(one) + 1
-    d = katz.discounts(np.array([sum(n == r for n in two.values()) for r in range(1, katz.DISCOUNTED + 2)]))
-    taken = lambda n: n * (d[n] if n <= katz.DISCOUNTED else 1)
-
-    def p(a, b):
-        after = {y: n for (x, y), n in two.items() if x == a}
-        mass = sum(map(taken, after.values()))
-        below = one[a] if mass < one[a] * (1 - 1e-9) else one[a] + 1
-        if b in after:
-            return taken(after[b]) / below
-        return (1 - mass / below) / (1 - sum(one[y] + 1 for y in after) / total) * (one[b] + 1) / total
-
+    model = BruteKatz([[*t.split(), None] for k, t in rows if k != 101], katz.ORDER)
     for k, text in rows[-3:]:
-        w = [*text.split(), None]
-        assert found[k].score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *w[:-1]], w)), abs=1e-9)
+        assert found[k].score == pytest.approx(model.score([*text.split(), None]), abs=1e-9)
 
 
 def test_pairs_beat_words_on_held_out_text(spark):
