@@ -18,16 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, unpack
+from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, spread, unpack
 from tessera.llm.scratch import materialize
 from tessera.llm.text import byte_table, hashed, mapped, mixed, utf8, words
 
 ORDER = 3
-#: N-grams whose history has this share of the training tokens or more (wide ones) are dealt over all buckets, those of other histories
-#: stand together. Shares sum to 1, so there are 16,384 wide histories of each order at most.
+#: N-grams whose history has this share of the training tokens or more (wide ones) are dealt over a bucket for each such share, those of
+#: other histories stand together. Shares sum to 1, so there are 16,384 wide histories of each order at most.
 WIDE_SHARE = 2.0**-14
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
+#: Bytes of text in a batch.
+BATCH_BYTES = 5 << 20
 END = np.uint64(0)  # stands for the end of a text, and before its first word
 NONE = (1 << 32) - 1  # the number of words that no training text holds
 _LOWER = byte_table(lower=True)
@@ -39,10 +41,14 @@ def _word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _read(docs: DataFrame, buckets: int) -> DataFrame:
-    """A row for each batch: its vocabulary's hashes by bucket, tokens as numbers in it, sizes, training flags, and keys."""
+    """Rows of kind `text` (a batch's tokens as numbers of its vocabulary, sizes, training flags, keys) and `ask` (its different words in a bucket, ascending, and how often its training texts hold them).
+
+    The vocabulary stands in the order of buckets, so answers that are put in that order are the vocabulary's.
+    """
+    names = ["kind", "bucket", "batch", "a", "b", "c", "keys"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in numbered(batches):
+        for number, rows in numbered(batches, size=BATCH_BYTES):
             starts, flat = words(mapped(utf8(rows.column("text")), _LOWER))
             coded = flat.dictionary_encode()
             own = np.maximum(hashed(coded.dictionary), np.uint64(1)) if len(flat) else np.zeros(0, np.uint64)
@@ -50,33 +56,21 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.lexsort((vocabulary, _word_bucket(vocabulary, buckets)))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            local = place[local]
+            local, vocabulary = place[local], vocabulary[order]
             token = np.insert(local[:-1][np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int64), starts[1:], local[-1])
             size = np.diff(starts) + 1
             train = np.asarray(rows.column("train").fill_null(True)).astype(bool)
-            packed = [pack(vocabulary[order]), pack(token.astype(np.uint32)), pack(size.astype(np.uint32)), pack(train.astype(np.uint8))]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), lists(rows.column("key"))], ["batch", "a", "b", "c", "d", "keys"])
-
-    out = T.StructType.fromDDL("batch long, a binary, b binary, c binary, d binary").add("keys", T.ArrayType(docs.schema["key"].dataType))
-    return materialize(docs.mapInArrow(read, out), "katz-texts")
-
-
-def _word_asks(buckets: int):
-    """For each batch and bucket the different words, ascending, and how often training texts of the batch hold them."""
+            out = [("text", None, number, pack(token.astype(np.uint32)), pack(size.astype(np.uint32)), pack(train.astype(np.uint8)))]
+            times = np.bincount(token[np.repeat(train, size)], minlength=len(vocabulary)).astype(np.uint32)
+            bucket = _word_bucket(vocabulary, buckets)
+            edges = runs(bucket)
+            out += [("ask", int(bucket[i]), number, pack(vocabulary[i:j], True), pack(times[i:j]), None) for i, j in zip(edges[:-1], edges[1:])]
+            keys = rows.column("key")
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 3])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([lists(keys), pa.nulls(len(out) - 1, pa.list_(keys.type))])], names)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for k in range(rows.num_rows):
-                vocabulary, token, size, train = (unpack(rows.column(c)[k].as_py(), t) for c, t in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32), ("d", np.uint8)))
-                times = np.bincount(token[np.repeat(train.astype(bool), size)], minlength=len(vocabulary)).astype(np.uint32)
-                bucket = _word_bucket(vocabulary, buckets).astype(np.int32)
-                edges = runs(bucket)
-                parts = list(zip(edges[:-1], edges[1:]))
-                columns = [pa.array(bucket[edges[:-1]]), pa.array([rows.column("batch")[k].as_py()] * len(parts), pa.int64())]
-                columns += [pa.array([pack(vocabulary[i:j], True) for i, j in parts], pa.binary()), pa.array([pack(times[i:j]) for i, j in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "batch", "a", "b"])
-
-    return ask
+    out = T.StructType.fromDDL("kind string, bucket int, batch long, a binary, b binary, c binary").add("keys", T.ArrayType(docs.schema["key"].dataType))
+    return materialize(docs.mapInArrow(read, out), "katz-texts", by="kind")
 
 
 _WORDS = "kind string, bucket int, batch long, a binary, b binary, n long, v long"
@@ -193,6 +187,21 @@ def _key(parts: list[np.ndarray]) -> np.ndarray:
     return key
 
 
+def _sorted(code: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different code (from 0 to top), in ascending order of codes, and for each place which of them stands there."""
+    if top.bit_length() + len(code).bit_length() > 63:
+        _, first, place = np.unique(code, return_index=True, return_inverse=True)
+        return first, place
+    shift = len(code).bit_length()
+    both = np.sort((code << shift) | np.arange(len(code)))  # codes with their places: one sort of numbers
+    at, both = both & ((1 << shift) - 1), both >> shift
+    new = np.ones(len(code), bool)
+    new[1:] = both[1:] != both[:-1]
+    place = np.empty(len(code), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return at[new], place
+
+
 class _Grams:
     """A batch's different n-grams of one order after known histories: `place` of each token in `tokens`, `rep` one token of each."""
 
@@ -201,10 +210,11 @@ class _Grams:
         history, count, shared = batch.history(order)
         self.tokens = np.flatnonzero(count > 0)
         code = history[self.tokens].astype(np.int64) * batch.vocabulary + batch.token[self.tokens]
-        _, first, self.place = np.unique(code, return_index=True, return_inverse=True)
+        first, self.place = _sorted(code, len(batch.token) * batch.vocabulary)
         self.rep = self.tokens[first]
-        _, first, self.group = np.unique(history[self.rep], return_index=True, return_inverse=True)
-        lead = self.rep[first]
+        edges = runs(history[self.rep])  # codes ascend, and histories with them
+        lead, sizes = self.rep[edges[:-1]], np.diff(edges)
+        self.group = np.repeat(np.arange(len(lead)), sizes)
         self.count, self.asked = count[lead], shared[lead]
         self.wide = self.count >= model.wide
         self.parts = [batch.before(lead, k) for k in range(order - 1, 0, -1)]
@@ -213,14 +223,19 @@ class _Grams:
         self.low = batch.count[self.rep]  # of the n-gram without its first word
         self.low_below = None if order == 2 else batch.below[lead]
         key = _key(self.parts)
-        bucket = _word_bucket(key, model.buckets).astype(np.int64)[self.group]
-        wide = self.wide[self.group]
-        bucket[wide] = _word_bucket(mixed(key[self.group[wide]]) + self.last[wide].astype(np.uint64), model.buckets)
-        rank = np.empty(len(lead), np.int64)
-        rank[np.lexsort(self.parts[::-1])] = np.arange(len(lead))
-        some = np.flatnonzero(self.asked[self.group])
-        self.sent = some[np.lexsort(((rank[self.group[some]] << 32) | self.last[some], bucket[some]))]  # the n-grams asked for, in the order of asking
-        self.bucket = bucket[self.sent]
+        bucket = _word_bucket(key, model.buckets).astype(np.int64)
+        order_ = np.lexsort(self.parts[::-1]) if order > 3 else np.argsort(key, kind="stable")
+        order_ = order_[np.argsort(bucket[order_], kind="stable")]
+        narrow, wide = (order_[self.asked[order_] & (self.wide[order_] == w)] for w in (False, True))
+        # a wide history stands in as many buckets as its count is times the limit
+        some = spread(edges[:-1][wide], sizes[wide])
+        own = self.group[some]
+        ways = np.minimum(np.ceil(self.count[own] / model.wide).astype(np.uint64), np.uint64(model.buckets))
+        dealt = (bucket[own] + ((mixed(key[own] ^ mixed(self.last[some].astype(np.uint64))) >> np.uint64(8)) % ways).astype(np.int64)) % model.buckets
+        sent = np.concatenate([spread(edges[:-1][narrow], sizes[narrow]), some])
+        dealt = np.concatenate([np.repeat(bucket[narrow], sizes[narrow]), dealt])
+        order_ = np.argsort(dealt, kind="stable")  # histories stay together in a bucket, the narrow ones first
+        self.sent, self.bucket = sent[order_], dealt[order_]  # the n-grams asked for, in the order of asking
 
     def local(self, model: Katz) -> Sums:
         """Sums as far as this batch alone knows them: whole ones for histories that it doesn't share."""
@@ -237,7 +252,7 @@ class _Batch:
 
     def __init__(self, row: pa.Table, told: pa.Table, model: Katz, known: int):
         self.model = model
-        token, size, self.trains = (unpack(row[c][0].as_py(), t) for c, t in (("b", np.uint32), ("c", np.uint32), ("d", np.uint8)))
+        token, size, self.trains = (unpack(row[c][0].as_py(), t) for c, t in (("a", np.uint32), ("b", np.uint32), ("c", np.uint8)))
         self.token, self.size = token.astype(np.int64), size.astype(np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.at = np.arange(len(token)) - np.repeat(self.begin, self.size)
@@ -435,14 +450,14 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     buckets = bucket_count(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), training.alias("train"))
     texts = _read(rows, buckets)
-    asked = texts.select("batch", "a", "b", "c", "d").mapInArrow(_word_asks(buckets), "bucket int, batch long, a binary, b binary")
+    asked = texts.where("kind = 'ask'").select("bucket", "batch", "a", "b")
     unigrams = materialize(asked.groupBy("bucket").applyInArrow(_count_words(buckets), _WORDS), "katz-words", by="kind")
     size = unigrams.where("kind = 'table'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, types = int(size.n or 0), int(size.v or 0)
     model = Katz(tokens, types, buckets, max(1.0, wide_share * tokens))
     none = F.lit(None).cast("binary")
     told = unigrams.where("kind = 'told'").select("batch", "bucket", "a", "b", none.alias("c"), none.alias("d"), F.lit(1).alias("order"))
-    batches = texts.select("batch", "keys", "b", "c", "d")
+    batches = texts.where("kind = 'text'").select("batch", "keys", "a", "b", "c")
     for n in range(2, order + 1):
         sent = spark.sparkContext.broadcast(model)
         asked = batches.drop("keys").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_asks(sent, n), _ASKS)
