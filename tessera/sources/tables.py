@@ -29,13 +29,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None, path: str | None = None) -> DataFrame:
     """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation beyond it.
 
     by: a column with few values; rows with another value are not read when it is filtered for one.
-    The write's own shuffle files go when it is done: nothing reads them after that.
+    path: where, else a new folder. The write's own shuffle files go when it is done: nothing reads them after that.
     """
-    conf, path = df.sparkSession.conf, new_path(df.sparkSession, label)
+    conf, path = df.sparkSession.conf, path or new_path(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
@@ -46,6 +46,12 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a written table, or the part of one value of its `by` column, that no later step reads; whether anything was there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True))
+
+
 def snapshot(df: DataFrame) -> str:
     """A checksum of the files that df is read from, their sizes and times; a new one for a table that has no files.
 
