@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.blocks import bucket_count, lists, numbered, pack, runs, spread, unpack
-from tessera.llm.scratch import materialize
+from tessera.llm.scratch import materialize, new_path, removed
 from tessera.llm.text import byte_table, hashed, mapped, mixed, utf8, words
 
 ORDER = 3
@@ -40,7 +40,7 @@ def _word_bucket(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(word) >> np.uint64(16)) % np.uint64(buckets)
 
 
-def _read(docs: DataFrame, buckets: int) -> DataFrame:
+def _read(docs: DataFrame, buckets: int, path: str) -> DataFrame:
     """Rows of kind `text` (a batch's tokens as numbers of its vocabulary, sizes, training flags, keys) and `ask` (its different words in a bucket, ascending, and how often its training texts hold them).
 
     The vocabulary stands in the order of buckets, so answers that are put in that order are the vocabulary's.
@@ -70,7 +70,7 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([lists(keys), pa.nulls(len(out) - 1, pa.list_(keys.type))])], names)
 
     out = T.StructType.fromDDL("kind string, bucket int, batch long, a binary, b binary, c binary").add("keys", T.ArrayType(docs.schema["key"].dataType))
-    return materialize(docs.mapInArrow(read, out), "katz-texts", by="kind")
+    return materialize(docs.mapInArrow(read, out), "katz-texts", by="kind", path=path)
 
 
 _WORDS = "kind string, bucket int, batch long, a binary, b binary, n long, v long"
@@ -449,9 +449,11 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     buckets = bucket_count(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), training.alias("train"))
-    texts = _read(rows, buckets)
+    path = new_path(spark, "katz-texts")
+    texts = _read(rows, buckets, path)
     asked = texts.where("kind = 'ask'").select("bucket", "batch", "a", "b")
     unigrams = materialize(asked.groupBy("bucket").applyInArrow(_count_words(buckets), _WORDS), "katz-words", by="kind")
+    removed(spark, f"{path}/kind=ask")  # answered, and not read again
     size = unigrams.where("kind = 'table'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, types = int(size.n or 0), int(size.v or 0)
     model = Katz(tokens, types, buckets, max(1.0, wide_share * tokens))

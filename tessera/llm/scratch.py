@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.sources.tables import new_path, removed
 from tessera.sources.tables import written as materialize
 
-__all__ = ["materialize"]
+__all__ = ["materialize", "new_path", "removed"]
