@@ -326,7 +326,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
     Two rows link if 100 * overlap >= percent * union of their sets of `size`-word shingles (a text of fewer words is one shingle).
     Null and empty texts have no shingles and no links. Repeated rows stay, and link with each other. Null keys are never the
-    smallest, unless there is no other. Other columns go, whatever their names. An empty table gives no rows.
+    smallest, unless there is no other. Other columns go, whatever their names. An empty table gives no rows. A very long text is a
+    batch of its own. Shingles stand for themselves by hashes of 64 bits.
     """
     _, found = _join(docs.select(key, text), key, text, size, percent, frequent, block)
     found = found.withColumn("component", F.coalesce("component", "node"))

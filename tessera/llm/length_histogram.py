@@ -18,7 +18,8 @@ BLOCK = 1024
 
 
 def encoded_lengths(docs: DataFrame, text: str = "text", tokenizer: str = WORD_BPE) -> DataFrame:
-    """n_tokens (long) of each row's whole text; null and empty texts have 0. Other columns go, so clashing names don't matter."""
+    """n_tokens (long) of each row's whole text; null and empty texts have 0. Repeated rows count as often as they stand there, a very
+    long text is encoded whole. Other columns go, so clashing names don't matter."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -51,7 +51,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", sequence: int
     A row for each piece: key, start (its document's ids before it), length, ids (array), doc_tokens, sequence_id, offset.
     Second pass: sums over the partitions' totals say where each partition begins, and each text is cut at multiples of L.
     The totals are one small row for each partition of the first pass; no text or id leaves its partition.
-    An empty table gives no pieces. All sequences but the last are full, so padding is under one sequence in all.
+    An empty table gives no pieces; a very long text is encoded whole, in a slice of its own. key may have any name but those of the
+    other columns here. All sequences but the last are full, so padding is under one sequence in all.
     """
     rows = encoded(docs, key, text, tokenizer, end_id)
     totals = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))

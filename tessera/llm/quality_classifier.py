@@ -52,7 +52,8 @@ def quality_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED, least: float = 0.5) -> DataFrame:
     """For each row: key, expected_grade, p_good (P(grade > 0)), p_top (P(grade > 1), null with two grades only) and selected (p_good >= least).
 
-    Null and empty texts are graded by their zero counts. Repeated rows stay. Without labels of two grades the model is constant.
+    Null and empty texts are graded by their zero counts, very long ones whole. Repeated rows stay, other columns go, whatever their
+    names; an empty table gives no rows. Repeated labels of a key count as the lowest. Without labels of two grades the model is constant.
     """
     model = graded_text.train(docs, labels, rating(), quality_features, WIDTH, most, key, text)
     found = graded_text.grade(docs, model, quality_features, key, text)

@@ -39,7 +39,8 @@ def verdicts(forest: boosted_trees.Forest, strings: pa.Array, least: float) -> t
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """For each row: key, the statistics, base_failed, p_good and kept.
 
-    Null and empty texts have no words and fail. Repeated rows stay; other columns go. Without labels of both classes the trees
+    Null and empty texts have no words and fail. Repeated rows stay; other columns go, whatever their names; an empty table gives no
+    rows, a very long text is judged whole. Repeated labels of a key count as the lowest. Without labels of both classes the trees
     are constant: their share of good labels (one half without any) then decides for all that pass the limits.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text))

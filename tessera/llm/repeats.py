@@ -107,6 +107,8 @@ def _read(docs: DataFrame, length: int, buckets: int, batch_bytes: int) -> DataF
         for number, rows in numbered(batches, size=batch_bytes):
             strings = utf8(rows.column("text"))
             data, offsets = np.ascontiguousarray(bytes_of(strings)), offsets_of(strings).astype(np.int64)
+            if len(data) >> int(_PLACE_BITS):
+                raise ValueError(f"a text of more than {1 << int(_PLACE_BITS)} bytes")
             hashes = gram_hashes(data) if len(data) >= length else np.zeros(0, np.uint64)
             anchor, first, count = stretches(data, offsets, hashes, length)
             own, content = hashes[anchor], _content_hashes(hashes, anchor, first, count, length) if len(anchor) else hashes[:0]
@@ -307,7 +309,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     The spans are all bytes covered by a string of `length` bytes that also starts elsewhere in any text, the same included;
     overlapping occurrences count, and none crosses texts. With keep_first, the occurrence that is read first stays: then
     strings with an earlier one are removed. With whole_characters, kept also lacks the characters that lose a byte. Null and short texts have no spans, repeated rows repeat each other's strings, an
-    empty table gives no rows. length is over 64 and under 60,000. Columns named n_bytes, spans or kept are not allowed.
+    empty table gives no rows. A very long text is a batch of its own; one of more than 2**28 bytes is an error. length is over 64 and under 60,000. Columns named n_bytes, spans or kept are not allowed.
     """
     if not 2 * GRAM < length < 60_000:
         raise ValueError("length must be over 64 and under 60,000 bytes")

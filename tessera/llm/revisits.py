@@ -59,7 +59,7 @@ def resolve(records: DataFrame) -> DataFrame:
     last_modified; `mismatch` if they differ or nothing can be compared; `missing` without an earlier response. Resolved rows take
     the response's headers and digest, with the permitted headers of the revisit over them; others have null there.
     A null URL or time never matches; full null is false; a null record_id stays null; repeated revisits stay repeated; other
-    columns go. Rows are sorted by URL and time in range partitions, so that a URL with very many captures spreads over many.
+    columns go; an empty table gives no rows. Rows are sorted by URL and time in range partitions, so that a URL with very many captures spreads over many.
     """
     key, number = F.col("key"), records.schema["record_id"].dataType
     is_full = F.coalesce("full", F.lit(False))

@@ -46,7 +46,8 @@ def toxicity_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, None]:
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED, least: float = 0.5) -> DataFrame:
     """For each row: key, expected_severity, p_toxic (P(severity > 0)), p_severe (P(severity > 1), null with two grades only) and toxic.
 
-    Null and empty texts hold no word and get the thresholds' own probabilities. Repeated rows stay. Without labels of two grades the model is constant.
+    Null and empty texts hold no word and get the thresholds' own probabilities; very long ones are graded whole. Repeated rows stay,
+    other columns go, whatever their names; an empty table gives no rows. Repeated labels of a key count as the lowest. Without labels of two grades the model is constant.
     """
     model = graded_text.train(docs, labels, severity(), toxicity_features, WIDTH, most, key, text, sparsity=3e-4)
     found = graded_text.grade(docs, model, toxicity_features, key, text)

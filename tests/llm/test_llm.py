@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import boosted_trees, components, count_tree, decontaminate, jaccard, katz, labelled, length_histogram, ordinal, packing, quality_classifier, quality_rules, queries, repeats, revisits, suffixes, toxicity
+from tessera.llm import boosted_trees, components, count_tree, decontaminate, jaccard, katz, labelled, length_histogram, ordinal, packing, quality_classifier, quality_rules, queries, repeats, revisits, statistics, suffixes, toxicity
 from tessera.llm.encoding import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -220,6 +220,16 @@ def test_packing_is_a_round_trip(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_query_on_driver_rows(spark):
+    texts = {r.doc_id: ids_of(r.text) + [1] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    place = 0
+    for p in sorted(queries.op4_concat_and_cut(spark, SF).collect(), key=lambda p: (p.sequence_id, p.offset)):
+        assert p.sequence_id * 2048 + p.offset == place and p.offset + p.length <= 2048 and p.doc_tokens == len(texts[p.doc_id])
+        assert p.ids_crc32 == zlib.crc32(np.array(texts[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+        place += p.length
+    assert place == sum(map(len, texts.values()))
+
+
 # ---- 5
 
 
@@ -328,6 +338,17 @@ def brute_cut(texts, length, first):
     return data, out
 
 
+def whole_characters(data, gone):
+    """The text without the characters that lose a byte."""
+    out, place = [], 0
+    for c in data.decode():
+        size = len(c.encode())
+        if not any(gone[place : place + size]):
+            out.append(c)
+        place += size
+    return "".join(out)
+
+
 def spans_of(gone):
     return [(m.start(), m.end()) for m in re.finditer(b"\1+", gone)]
 
@@ -396,6 +417,28 @@ def test_quality_counts_and_limits(spark, docs):
     assert quality_rules.keep(docs.limit(0), labels).count() == 0 and quality_rules.keep(docs, labels).columns == docs.columns
 
 
+def test_verdicts_follow_from_counts_and_trees(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    forest, rows = quality_rules.train(docs, labels), queries.op7_boosted_quality(spark, SF).collect()
+    counted = {r.doc_id: r for r in statistics.document_counts(docs).collect()}
+    x, _ = statistics.features({c: np.array([counted[r.doc_id][c] for r in rows]) for c in statistics.COUNTS})
+
+    def walk(row):
+        odds = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (row[feature[node]] > threshold[node])
+            odds += leaf[node - len(feature)]
+        return 1 / (1 + math.exp(-odds))
+
+    for r, own in zip(rows, x):
+        assert r.p_good == pytest.approx(walk(own), abs=1e-9) and r.kept == (not r.base_failed and r.p_good >= 0.5)
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    known = [r for r in rows if r.doc_id in good and not r.base_failed]
+    assert sum(r.kept == (good[r.doc_id] > 0) for r in known) / len(known) > 0.9
+
+
 def test_trees_learn_and_stay_monotone():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
@@ -530,13 +573,13 @@ def test_every_stage_on_its_own_input(spark):
     want = {r.doc_id for r in judged.where("kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, SF)
+        docs = stage(spark, docs.coalesce(1), SF)
         if number < 4:
             from tessera.llm.scratch import materialize
 
             docs = materialize(docs, "test")
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-            rows = docs.collect()
+            rows = docs.coalesce(1).collect()
         if number == 0:
             assert {r.doc_id for r in rows} == want and len(rows) == len(want)
         elif number == 1:
@@ -545,16 +588,38 @@ def test_every_stage_on_its_own_input(spark):
             assert {r.doc_id for r in rows} == want
         elif number == 2:
             assert {r.doc_id for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
-            kept = [r.text for r in rows]
-            seen = Counter(s for t in kept for b in [t.encode()] for s in {b[i : i + 400] for i in range(len(b) - 399)})
-            assert all(n == 1 for n in seen.values())
+            data, gone = brute_cut([r.text for r in before_rows], 200, True)  # rows in the order in which they were read
+            assert {r.doc_id: r.text for r in rows} == {r.doc_id: whole_characters(b, g) for r, b, g in zip(before_rows, data, gone)}
         elif number == 3:
             before = {d: h for d, _, h, _ in brute_hits([(k, t) for k, t in zip([x.doc_id for x in before_rows], [x.text for x in before_rows])], benchmark)}
             assert {r.doc_id for r in rows} == {d for d, h in before.items() if not h}
         before_rows = rows if number < 4 else before_rows
     want = Counter((r.doc_id, len(ids_of(r.text)) + 1) for r in before_rows)
     assert Counter((r.doc_id, r.doc_tokens) for r in docs.where("start = 0").collect()) == want
-
-
-def test_the_registered_pipeline(spark):
-    assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).collect()[0][0] > 0
+    run = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in run if r.start == 0) == want and sum(r.length for r in run) == sum(n * k for (_, n), k in want.items())
+
+
+# ---- one text that is longer than a slice
+
+
+def test_a_text_longer_than_a_slice(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(900_000))
+    short = " ".join(long.split()[500_000:500_200])
+    assert len(long) > 4 << 20
+    docs = spark.createDataFrame([(1, long, "clash"), (2, short, "clash"), (3, long, "clash"), (4, None, "clash")], "doc_id long, text string, key string").repartition(2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == {1: (899_997, 1), 2: (197, 2), 3: (899_997, 1), 4: (0, 4)}
+    pieces = packing.pack(docs).where("doc_id = 1").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()[0]
+    assert pieces.n == pieces.m == len(ids_of(long)) + 1
+    cut = {r.doc_id: r for r in repeats.repeated_spans(docs.select("doc_id", "text")).collect()}
+    assert [len(cut[k].kept) for k in (1, 2, 3, 4)] == [0, 0, 0, 0] and cut[1].n_bytes == len(long)
+    found = {r.doc_id: r for r in katz.score(docs, F.col("doc_id") != 2).collect()}
+    assert found[1].n_tokens == 900_001 == found[1].n_known and found[1].score == pytest.approx(found[3].score) and found[2].n_known == 201
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(docs, labels).collect()} == {1: 900_000, 2: 200, 3: 900_000, 4: 0}
+    assert quality_classifier.classify(docs, labels).count() == toxicity.classify(docs, labels).count() == 4
+    benchmark = spark.createDataFrame([(1, short), (2, " ".join(long.split()[:2000]))], "item_id long, text string")
+    hit = {r.doc_id: r for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert [sum(x.end - x.begin for x in hit[k].spans) for k in (1, 2)] == [2200, 200] and list(hit[1]["items"]) == ["1", "2"]
