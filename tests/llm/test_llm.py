@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import boosted_trees, components, count_tree, decontaminate, jaccard, katz, labelled, length_histogram, ordinal, packing, quality_classifier, quality_rules, queries, repeats, revisits, statistics, suffixes, toxicity
+from tessera.llm import encoding, boosted_trees, components, count_tree, decontaminate, jaccard, katz, labelled, length_histogram, ordinal, packing, quality_classifier, quality_rules, queries, repeats, revisits, statistics, suffixes, toxicity
 from tessera.llm.encoding import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -180,7 +180,8 @@ def test_words_encode_as_the_whole_text(text):
     assert ids[starts[0] : starts[1]].tolist() == ids_of(text) == ids[starts[2] : starts[3]].tolist() and starts[1] == starts[2]
 
 
-@pytest.mark.parametrize("text", ["x <|ENDOFTEXT|> y", "x <|EndOfText|>. Y", "a<|endoftext|>B. <|endoftext|>, C", "H\u0331 a", "xJ\u030c, W\u030a. T\u0308", "ÉA. The END, <| Of.", "<"])
+@pytest.mark.parametrize("text", ["x <|ENDOFTEXT|> y", "x <|EndOfText|>. Y", "a<|endoftext|>B. <|endoftext|>, C", "H\u0331 a", "xJ\u030c, W\u030a. T\u0308", "ÉA. The END, <| Of.", "<",
+    "Né! né; ÀB:a ×. ÷, é×! ë-mail@Mail1.Com x's. it's'll a'S. b'.", "a## b!! $$$ c$$$ d&&&e (F) [g] h/i/J k=\u0338 L=\u0338 m>\u0338.", "a<|endoftext|>. É<|endoftext|>! x|> <|y", "µ. ªº! ĳ. İ! Ωσ. ΑΣ. aΣ. bΣ! 한글. 中文, e\u0301. e\u0301!", "a1.b2, 3.c 4!d É1. é.é"])
 def test_capitals_encode_as_in_the_whole_text(text):
     import pyarrow as pa
 
@@ -189,6 +190,17 @@ def test_capitals_encode_as_in_the_whole_text(text):
     assert [ids[i:j].tolist() for i, j in zip(starts[:-1], starts[1:])] == [ids_of(x) for x in (text, "|", text, "The. END,")]
 
 
+def test_forgotten_words_encode_as_before():
+    """A memory of few words, in two generations, gives the ids of a large one."""
+    import pyarrow as pa
+
+    small, texts = encoding.WordEncoder(remembered=3, words_per_call=2), ["Sun moon. STAR!", "moon tide", "star é1 sun, Tide", "sun moon star tide wave", "wave", ""]
+    for _ in range(3):
+        for group in (texts, texts[::-1], texts[2:4]):
+            starts, ids = small.encode(pa.array(group))
+            assert [ids[i:j].tolist() for i, j in zip(starts[:-1], starts[1:])] == [ids_of(x) for x in group]
+
+
 def test_histogram_answers_for_every_limit(docs, none):
     lengths = [len(ids_of(t)) for _, t in awkward()]
     table = length_histogram.length_histogram(length_histogram.encoded_lengths(docs))
