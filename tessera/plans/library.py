@@ -9,7 +9,7 @@ from tessera.functions import chunking, documents, text as T
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees
 from tessera.plans import queries as base, search, trajectories
 from tessera.plans.registry import query, table
-from tessera.sources import envelopes
+from tessera.sources import envelopes, services
 from tessera.sources.tables import written
 
 
@@ -205,6 +205,31 @@ def search_targets(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS s, o_orderkey % 4 AS which, o_orderkey % 5 = 4 AS bad, o_orderkey % 7 = 0 AS refused FROM orders)
+SELECT k AS reply, ['precedents', 'supreme', 'constitutional', 'interpretations'][which + 1] AS service, CASE WHEN bad THEN 0 ELSE CAST(k % 1000 AS INTEGER) END AS total,
+    CASE WHEN bad THEN 0 WHEN which = 1 THEN 1 ELSE 2 END AS items, CASE WHEN NOT bad THEN s END AS id, CASE WHEN NOT bad THEN 'n' || s END AS number,
+    CASE WHEN which IN (1, 2) AND refused THEN NULL WHEN refused THEN '' WHEN which = 3 THEN '20250102' ELSE '2025.01-02' END AS decided,
+    CASE WHEN which IN (1, 2) AND refused THEN NULL WHEN refused THEN '' WHEN which IN (1, 2) THEN 'a<br/><b>' || s || '</b>' ELSE 'a' || chr(10) || s END AS section
+FROM o""")
+def service_details(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order as a page and a detail of one of the four services of decisions, some broken or refused, read by that service's fields."""
+    k, s = F.col("o_orderkey"), _text("o_orderkey")
+    element = lambda name, *text: F.concat(F.lit(f"<{name}> "), *[t if isinstance(t, Column) else F.lit(t) for t in text], F.lit(f" </{name}>"))
+    last = {"precedents": "이유", "supreme": "판례내용", "constitutional": "결정요지", "interpretations": "회답"}
+    out = None
+    for which, (name, service) in enumerate(services.SERVICES.items()):
+        key = next(iter(n for n in service.listed if n.endswith("_id")))
+        first = F.concat(F.lit(f"<{service.tag}>"), element(service.listed[key], s), element(service.listed["case_number"], "n", s), F.lit(f"</{service.tag}>"))
+        listed = F.concat(F.lit("<r><totalCnt>"), (k % 1000).cast("string"), F.lit("</totalCnt>"), first, F.lit(f"<{service.tag}><x>1</x></{service.tag}></r>"))
+        told = F.concat(F.lit("<Service>"), element(service.detail["decision_date"], "2025.01-02"), element(service.detail[last[name]], "<![CDATA[a<br/><b>", s, "</b>]]>"), F.lit("</Service>"))
+        replies = table(spark, folder, "orders").where(k % 4 == which).select(k.alias("reply"), F.when(k % 5 == 4, "not XML").otherwise(listed).alias("listed"), F.when(k % 7 == 0, "<Law>none</Law>").otherwise(told).alias("told"))
+        read = replies.select("reply", services.page(F.col("listed"), service).alias("page"), services.detail(F.col("told"), service).alias("detail"))
+        one = F.get("page.items", F.lit(0))
+        rows = read.select("reply", F.lit(name).alias("service"), "page.total", F.size("page.items").alias("items"), one[key].alias("id"), one["case_number"].alias("number"), F.col("detail")["decision_date"].alias("decided"), F.col("detail")[last[name]].alias("section"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 0 WHEN contains(o_orderpriority, '5-LOW') AND o_orderstatus = 'F' THEN 1 ELSE 2 END, o_orderkey) AS n FROM orders)
 SELECT o_custkey AS query_id, o_orderkey AS position, o_orderpriority AS name, o_orderstatus AS type FROM r WHERE n = 1""")
 def prefer_exact_name(spark: SparkSession, folder: str) -> DataFrame:

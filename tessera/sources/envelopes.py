@@ -27,11 +27,13 @@ def xml_total(payload: Column, tag: str = "totalCnt") -> Column:
     return F.coalesce(F.try_to_number(F.from_xml(payload, f"`{tag}` string")[tag], F.lit("999999999")).cast("int"), F.lit(0))
 
 
-def xml_detail(payload: Column, fields: dict[str, str], refused: str = "Law") -> Column:
-    """struct of the root's own elements; null where the root's tag says that there is no such document, or nothing parses."""
+def xml_detail(payload: Column, fields: dict[str, str], refused: str | None = "Law") -> Column:
+    """struct of the root's own elements; null where the root's tag, if one is given, says that there is no such document, or nothing parses."""
     schema = ", ".join(f"`{e}` string" for e in dict.fromkeys(fields.values()))
     parsed = F.from_xml(payload, schema)
-    good = parsed.isNotNull() & ~F.coalesce(payload, F.lit("")).rlike(rf"^\s*(<\?[^>]*\?>\s*)?<{refused}[\s>/]")
+    good = parsed.isNotNull()
+    if refused is not None:
+        good &= ~F.coalesce(payload, F.lit("")).rlike(rf"^\s*(<\?[^>]*\?>\s*)?<{refused}[\s>/]")
     return F.when(good, F.struct(*[_text(parsed[e]).alias(n) for n, e in fields.items()]))
 
 

@@ -9,6 +9,7 @@ import time
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -100,7 +101,13 @@ def post(rows: DataFrame, send: str, size: int = 100) -> DataFrame:
     return rows.mapInArrow(sent, "inserted long")
 
 
-def read_array(spark: SparkSession, path: str, item: str, most: int | None = None) -> DataFrame:
-    """A JSON file that is one array of objects (schema: item), in its order; the first `most` objects if given. A missing file is an error."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("position", "x")).select("position", "x.*")
+def read_array(spark: SparkSession, path: str, item: str, most: int | None = None, missing_ok: bool = False) -> DataFrame:
+    """A JSON file that is one array of objects (schema: item), in its order; the first `most` objects if given. A missing file is an error, or has no rows where missing_ok."""
+    try:
+        lines = spark.read.text(path, wholetext=True)
+    except AnalysisException as missing:
+        if not missing_ok or missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string")
+    rows = lines.select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("position", "x")).select("position", "x.*")
     return rows.orderBy("position").limit(most) if most is not None else rows

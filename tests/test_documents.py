@@ -4,12 +4,13 @@ import json
 import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessera.functions import documents as D
 from tessera.functions.embedding import embedded, hashed_frequencies
 from tessera.plans import trajectories
-from tessera.sources import paged
+from tessera.sources import markdown, paged, services
 
 
 def value(spark, c):
@@ -89,6 +90,41 @@ def test_array_file(spark, tmp_path):
     assert [(r.id, r.content) for r in rows] == [("x", "1")]
 
 
+def test_array_file_that_may_be_missing(spark, tmp_path):
+    path = str(tmp_path / "none.json")
+    assert paged.read_array(spark, path, "struct<id:string>", missing_ok=True).collect() == []
+    with pytest.raises(AnalysisException):
+        paged.read_array(spark, path, "struct<id:string>")
+
+
+def test_folders(spark, tmp_path):
+    for name in ("가", "b +%", "empty"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "가" / "법률.md").write_text("x")
+    (tmp_path / "가" / "시행령.md").write_text("x")
+    (tmp_path / "b +%" / "법률.md").write_text("x")
+    (tmp_path / "file.md").write_text("x")
+    assert sorted(r.folder for r in markdown.folders(spark, str(tmp_path)).collect()) == ["b +%", "가"]
+    with pytest.raises(AnalysisException):
+        markdown.folders(spark, str(tmp_path / "none")).collect()
+
+
+def test_pages_and_details_of_decisions(spark):
+    supreme, cases = services.SERVICES["supreme"], services.SERVICES["precedents"]
+    listed = "<r><totalCnt>3</totalCnt><prec><판례일련번호> 7 </판례일련번호><사건명>a</사건명></prec><prec><사건명>b</사건명></prec></r>"
+    found = value(spark, services.page(lit(listed), supreme))
+    assert found.total == 3 and [(x.prec_id, x.case_name, x.court_name) for x in found["items"]] == [("7", "a", "")]
+    assert [x.prec_id for x in value(spark, services.page(lit(listed), cases))["items"]] == ["7", ""]
+    for broken in ("<r><prec>", None, ""):
+        found = value(spark, services.page(lit(broken), supreme))
+        assert found.total == 0 and found["items"] == []
+    detail = "<P><참조조문><![CDATA[a<BR>b<i>c</i>]]></참조조문></P>"
+    assert value(spark, services.detail(lit(detail), cases)).이유 == "a\nbc"
+    found = value(spark, services.detail(lit(detail), supreme, lit("9")))
+    assert found.prec_id == "9" and found.참조조문 == "a<BR>b<i>c</i>"
+    assert value(spark, services.detail(lit("<Law>none</Law>"), supreme, lit("9"))) is None
+
+
 def test_trajectories(spark):
     rows = [("t", "a", None, "root_prompt", 0, 1.0, '{"x":1}', 10, 0), ("t", "b", "a", "sub_llm_request", 1, 2.0, "{}", 60, 5), ("t", "c", "b", "sub_llm_response", 4, 3.0, None, 60, 5)]
     events = spark.createDataFrame(rows, trajectories.SCHEMA)
