@@ -338,6 +338,18 @@ def hit_at_k(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.hits_at(hits, asked, "hit", [1, 3])
 
 
+@query(f"""WITH {BOOSTED},
+runs AS (SELECT 'vector' AS mode, query_id, doc_id, rank FROM near UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM lexical UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM boosted),
+hit AS (SELECT mode, query_id, min(rank) AS best FROM runs JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE contains(d.text, left(b.text, 60)) GROUP BY ALL)
+SELECT m.mode, count(*) AS n, count(*) FILTER (best < 1) AS hits_at_1, count(*) FILTER (best < 3) AS hits_at_3 FROM benchmark CROSS JOIN (VALUES ('vector'), ('bm25'), ('hybrid')) m(mode) LEFT JOIN hit h ON h.mode = m.mode AND query_id = item_id GROUP BY m.mode""")
+def regression_by_mode(spark: SparkSession, folder: str) -> DataFrame:
+    """The same queries by vectors, by words and by both with the boost, each against what a right document holds."""
+    asked, docs, near = _asked(spark, folder), table(spark, folder, "documents").select("doc_id", "text"), _near(spark, folder)
+    lexical = bm25.search(asked, docs, 20, index=_index(spark, folder))
+    hit = evaluation.loose_hit(F.col("text"), F.array(F.substring("query", 1, 60)))
+    return search.regression({"vector": near, "bm25": lexical, "hybrid": _hybrid(spark, folder)}, asked, docs, hit)
+
+
 @query("""SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS level, lang, source, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic
 FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())""")
 def score_rollup(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,3 +83,19 @@ def sweep(first: DataFrame, second: DataFrame, ks: list[float], top: int = TOP,
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def regression(runs: dict[str, DataFrame], queries: DataFrame, docs: DataFrame, hit: Column, cuts: tuple[int, ...] = (1, 3), key: str = "doc_id", query_id: str = "query_id") -> DataFrame:
+    """(mode, n, hits_at_1 ...): of all queries, how many have a hit among each mode's first hits (query_id, key, rank from 0).
+
+    hit is a column of a query joined with a document. Queries that a mode finds nothing for count as missed. Only hits within the
+    last cut meet their texts, so the documents move no more than once for all modes.
+    """
+    first = None
+    for mode, hits in runs.items():
+        rows = hits.where(F.col("rank") < max(cuts)).select(F.lit(mode).alias("mode"), query_id, key, "rank")
+        first = rows if first is None else first.unionByName(rows)
+    judged = first.join(docs, key).join(queries, query_id).select("mode", query_id, "rank", F.coalesce(hit, F.lit(False)).alias("hit"))
+    best = judged.where("hit").groupBy("mode", query_id).agg(F.min("rank").alias("best"))
+    asked = queries.select(query_id, F.explode(F.array(*[F.lit(m) for m in runs])).alias("mode"))
+    return asked.join(best, ["mode", query_id], "left").groupBy("mode").agg(F.count("*").alias("n"), *[F.count_if(F.col("best") < k).alias(f"hits_at_{k}") for k in cuts])

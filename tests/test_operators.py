@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.chunking import articles, chunks
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees, vectors
+from tessera.plans import search
 from tessera.sources import envelopes, markdown, tables
 from tessera.streaming import incremental
 
@@ -285,3 +286,13 @@ def test_aliases_in_names(spark):
     rows = spark.createDataFrame([("의료기기 취급법", True), ("약사 취급법", False), (None, False)], "n string, want boolean")
     found = fusion.name_matches(F.coalesce("n", F.lit("")), F.lit("x"), F.lit("민법"), F.array(F.lit("의료기기"), F.lit("약사")))
     assert rows.where(found != F.col("want")).count() == 0
+
+
+def test_regression_counts_missed_queries_of_every_mode(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "query_id int, word string")
+    docs = spark.createDataFrame([(10, "has a"), (11, "has b"), (12, None)], "doc_id int, text string")
+    hits = "query_id int, doc_id int, rank int"
+    one = spark.createDataFrame([(1, 12, 0), (1, 10, 1), (2, 11, 0), (3, 10, 0)], hits)
+    two = spark.createDataFrame([(1, 10, 3), (9, 10, 0)], hits)  # beyond the last cut, and a query that nobody asked
+    found = search.regression({"one": one, "two": two, "none": one.limit(0)}, queries, docs, F.col("text").contains(F.col("word")))
+    assert sorted((r.mode, r.n, r.hits_at_1, r.hits_at_3) for r in found.collect()) == [("none", 3, 0, 0), ("one", 3, 1, 2), ("two", 3, 0, 0)]
