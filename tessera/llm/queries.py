@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, katz, length_histogram, packing, quality_classifier, quality_rules, repeats, revisits, toxicity
+from tessera.llm import decontaminate, delta_lloyd, filter_audit, jaccard, katz, length_histogram, packing, quality_classifier, quality_rules, recompression, repeats, revisits, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,20 @@ def op10_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    found = recompression.without_earlier(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_delta_lloyd(spark: SparkSession, folder: str) -> DataFrame:
+    found = delta_lloyd.cluster(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_count_tree_join": op1_count_tree_join,
     "op2_not_modified": op2_not_modified,
@@ -73,6 +87,9 @@ QUERIES = {
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_ordinal_toxicity": op9_ordinal_toxicity,
     "op10_prefix_containment": op10_prefix_containment,
+    "op11_recompression": op11_recompression,
+    "op12_filter_orders": op12_filter_orders,
+    "op13_delta_lloyd": op13_delta_lloyd,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,4 +127,56 @@ SELECT record_id, url, page_id * 2 AS response_id, outcome,
 FROM (SELECT *, CASE WHEN page_id IS NULL THEN 'missing' WHEN coalesce(tag = own_tag, changed = own_changed) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_not_modified": REVISITS_SQL, "op10_prefix_containment": CONTAINMENT_SQL}
+EARLIER_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) AS t(p)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, q FROM windows JOIN firsts USING (win), unnest(range(p, p + 13)) AS t(q) WHERE first < doc_id),
+each AS (SELECT doc_id, q, w[q] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(q)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS kept FROM each ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+ORDERS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+    FROM t LEFT JOIN (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || e.x || f.x AS o FROM letters a, letters b, letters c, letters e, letters f
+    WHERE len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5),
+steps AS (SELECT o, s, substr(o, s, 1) AS x, substr(o, 1, s - 1) AS before FROM orders, unnest(range(1, 6)) AS t(s)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+found AS (SELECT part, o, s, x, CASE WHEN before != '' THEN regexp_matches(fails, '[' || before || ']') ELSE false END AS earlier, contains(fails, x) AS own, fails, n, good, toxic FROM cells, steps),
+sums AS (SELECT part, o, s, x, sum(CASE WHEN NOT earlier AND NOT own THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT earlier AND own THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN earlier AND own THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT earlier AND own THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT earlier AND own THEN toxic ELSE 0 END) AS toxic_lost FROM found GROUP BY part, o, s, x)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM sums
+"""
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    """A round: every vector with its distance to every centroid, the nearest, and the floor of each cluster's mean."""
+    distance = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT vec_id, v, min(struct_pack(d := CAST({distance} AS BIGINT), k := k)) AS best FROM q, c{r} GROUP BY vec_id, v)")
+        if r < rounds:
+            means = f"m{r} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT best.k AS k, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM a{r}, unnest(range(1, 65)) AS t(i) GROUP BY best.k, i) GROUP BY k)"
+            steps += [means, f"c{r + 1} AS (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))"]
+    return f"""
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM q ORDER BY h LIMIT 16)),
+{", ".join(steps)},
+e AS (SELECT k, sum(best.d) AS own FROM (SELECT *, best.k AS k FROM a{rounds}) GROUP BY k)
+SELECT vec_id, best.k AS cluster, best.d AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST((SELECT sum(own) FROM e) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e ON e.k = best.k JOIN c{rounds} ON c{rounds}.k = best.k
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_not_modified": REVISITS_SQL, "op10_prefix_containment": CONTAINMENT_SQL, "op11_recompression": EARLIER_SQL, "op12_filter_orders": ORDERS_SQL, "op13_delta_lloyd": _lloyd_sql()}

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on small tables that hold the awkward cases."""
+"""The operators against brute force, on small tables that hold the awkward cases."""
 
 import hashlib
 import math
