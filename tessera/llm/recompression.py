@@ -58,17 +58,34 @@ class State:
     end: np.ndarray = _none(np.int64)
 
     def parts(self) -> list[bytes]:
-        return [pack(getattr(self, f.name), f.name in _ASCENDING) for f in fields(self)]
+        return [_coded(getattr(self, f.name)) if f.name in _REPEATED else pack(getattr(self, f.name), f.name in _ASCENDING) for f in fields(self)]
 
     @staticmethod
     def of(parts: list[bytes]) -> State:
-        return State(*[unpack(p, f.default_factory().dtype, f.name in _ASCENDING).copy() for p, f in zip(parts, fields(State))])
+        read = lambda p, f: _decoded(p, f.default_factory().dtype) if f.name in _REPEATED else unpack(p, f.default_factory().dtype, f.name in _ASCENDING).copy()
+        return State(*[read(p, f) for p, f in zip(parts, fields(State))])
 
     def documents(self, places: np.ndarray) -> np.ndarray:
         return self.doc_id[np.searchsorted(self.doc_at, places, side="right") - 1]
 
 
 _ASCENDING = {"doc_at", "word_at", "start", "win", "begin", "end"}
+_REPEATED = {"word", "name", "ref"}
+
+
+def _coded(values: np.ndarray) -> bytes:
+    """The different values, the most frequent first, and for each value its number among them: small ones, that compress well."""
+    own, of, times = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(own), np.uint32)
+    rank[order] = np.arange(len(own))
+    table = pack(own[order])
+    return len(table).to_bytes(4, "little") + table + pack(rank[of])
+
+
+def _decoded(data: bytes, kind: np.dtype) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    return unpack(data[4 : 4 + size], kind)[unpack(data[4 + size :], np.uint32)]
 
 
 def union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +311,7 @@ def _told(answers: pa.Table, *kinds: type) -> list[np.ndarray]:
 # ---- steps of a batch
 
 
-def _read(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def _read(docs: DataFrame, window: int, buckets: int, path: str) -> DataFrame:
     """Rows of kind `text` (a batch's keys and texts), `state` and `ask`; words are asked for."""
     kind = T.StructType.fromDDL(_ROW).add("keys", T.ArrayType(docs.schema["key"].dataType))
 
@@ -325,7 +342,7 @@ def _read(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             first = pa.table({"kind": ["text"], "bucket": pa.array([None], pa.int32()), "batch": pa.array([number], pa.int64()), "parts": pa.array([text], pa.list_(pa.binary())), "keys": lists(rows.column("key"))})
             yield from pa.concat_tables([first, table]).combine_chunks().to_batches()
 
-    return materialize(docs.mapInArrow(read, kind), "recompression", by="kind")
+    return materialize(docs.mapInArrow(read, kind), "", by="kind", path=path)
 
 
 def _round(turn: int, steps: int, window: int, buckets: int):
@@ -452,17 +469,20 @@ def without_earlier(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     others = [c for c in docs.columns if c != text and (c not in RESULT or c == key)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("key"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     buckets = bucket_count(spark)
-    table = _read(rows, window, buckets)
-    texts, now, path = table.where("kind = 'text'").select("batch", "keys", "parts"), table.select(*[c for c in table.columns if c != "keys"]), None
+    path = new_path(spark, "recompression")
+    table = _read(rows, window, buckets, path)
+    texts, now = table.where("kind = 'text'").select("batch", "keys", "parts"), table.select(*[c for c in table.columns if c != "keys"])
     turns = [*((_name(t), _round(t, steps, window, buckets)) for t in range(rounds)), (_name(rounds), _candidates(window, buckets)), (released(_wanted), _verified(window, buckets)), (_name(rounds + 1), _spans(window))]
     for answer, act in turns:
+        # what a step has read goes when the next one is written, so that only the texts and one round are held
         told = new_path(spark, "recompression-names")
         answers = materialize(now.where("kind = 'ask'").select("bucket", "batch", "parts").groupBy("bucket").applyInArrow(answer, "batch long, bucket int, parts array<binary>"), "", path=told)
-        state = now.where("kind = 'state'").select("batch", "parts")
-        last, path = path, new_path(spark, "recompression-round")
+        removed(spark, f"{path}/kind=ask")
+        state, last = now.where("kind = 'state'").select("batch", "parts"), path
+        path = new_path(spark, "recompression-round")
         now = materialize(state.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(act, _ROW), "", by="kind", path=path)
-        for old in [told, *([last] if last else [])]:
-            removed(spark, old)
+        removed(spark, f"{last}/kind=state")
+        removed(spark, told)
     out = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL("n_words long, n_removed long, kept string").fields])
     spans = now.where("kind = 'spans'").select("batch", "parts")
     found = texts.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(released(_cut), out)
