@@ -255,7 +255,7 @@ def _searched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     asked = base._asked(spark, folder).withColumn("wanted", F.when(F.col("query_id") % 3 > 0, F.col("wanted")))
     near = base._near_with_word(spark, folder).join(asked.select("query_id"), "query_id", "left_semi")
-    hits = search.fused_hits(asked, docs, near, base._index(spark, folder), allowed=F.col("source") == F.col("wanted"))
+    hits = search.fused_hits(asked, docs, near, base._index(spark, folder), equal=("source", "wanted"))
     matches = F.col("wanted").isNotNull() & fusion.name_matches(F.col("source"), F.col("source"), F.col("wanted"), F.array(F.lit("src1"), F.lit("rc2")))
     return asked, docs, hits, matches
 

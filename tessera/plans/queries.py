@@ -49,9 +49,12 @@ def _ranks(source: str, k: int, name: str) -> str:
     return f"{name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM {source} QUALIFY rank < {k})"
 
 
+FACETS = ["source", "lang", "n_chars"]
+
+
 def _index(spark: SparkSession, folder: str) -> bm25.Index:
     """The index of these documents, kept in the shared folder under their files' checksum."""
-    return bm25.kept(table(spark, folder, "documents"), f"{shared_folder(spark)}/tessera")
+    return bm25.kept(table(spark, folder, "documents"), f"{shared_folder(spark)}/tessera", facets=FACETS)
 
 
 @query(f"WITH {BM25}, {_ranks('scored', 5, 'best')} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
@@ -65,8 +68,7 @@ KEPT = "kept AS (SELECT s.* FROM scored s JOIN documents d USING (doc_id) WHERE
 
 @query(f"WITH {BM25}, {KEPT}, {_ranks('kept', 5, 'best')} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
 def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    found = bm25.search(_asked(spark, folder), docs, 5, allowed=(F.col("source") == F.col("wanted")) & (F.col("lang") == "fr"), index=_index(spark, folder))
+    found = bm25.top(_asked(spark, folder), _index(spark, folder), 5, equal=("source", "wanted"), where=lambda f: f["lang"] == "fr")
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -75,10 +77,9 @@ held AS (SELECT query_id, count(*) AS n FROM a GROUP BY ALL),
 both_ AS (SELECT *, 0 AS part FROM a UNION ALL SELECT b.*, 1 FROM b ANTI JOIN a USING (query_id, doc_id) WHERE coalesce((SELECT n FROM held WHERE held.query_id = b.query_id), 0) < 5)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, rank) - 1 AS INTEGER) AS rank FROM both_""")
 def bm25_fallback_merge(spark: SparkSession, folder: str) -> DataFrame:
-    docs, asked = table(spark, folder, "documents").select("doc_id", "text", "source", "lang", "n_chars"), _asked(spark, folder)
-    scored = written(bm25.scores(asked, _index(spark, folder)), "scores")
-    named = bm25.search(asked, docs, 5, allowed=F.expr("source = wanted and lang = 'fr' and n_chars > 3000"), scored=scored)
-    found = bm25.with_fallback(named, bm25.search(asked, docs, 5, scored=scored))
+    asked, index = _asked(spark, folder), _index(spark, folder)
+    named = bm25.top(asked, index, 5, equal=("source", "wanted"), where=lambda f: (f["lang"] == "fr") & (f["n_chars"] > 3000))
+    found = bm25.with_fallback(named, bm25.top(asked, index, 5))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

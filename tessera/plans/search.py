@@ -6,24 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25, fusion
-from tessera.sources.tables import written
 
 PULL, TOP = 20, 5
 
 
-def fused_hits(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, index: bm25.Index | None = None, allowed: Column | None = None, k: float = fusion.RRF_K, key: str = "doc_id") -> DataFrame:
+def fused_hits(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, index: bm25.Index | None = None, equal: tuple[str, str] | None = None, k: float = fusion.RRF_K, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score, rank): the PULL best of the vectors' and BM25's lists together.
 
-    allowed: a boolean over columns of queries and docs that holds for the documents a query's name filters; where it leaves BM25
-    fewer than five, documents without it follow. Null, for queries without a name, is no filter.
+    equal: a facet of the documents and a column of queries, the name that filters; where it leaves BM25 fewer than five, documents
+    without it follow. Null, for queries without a name, is no filter.
     """
-    index = index or bm25.build(docs, key)
-    if allowed is None:
-        lexical = bm25.search(queries, docs, PULL, key, index=index)
-    else:
-        scored = written(bm25.scores(queries, index, key), "scored")
-        named = bm25.search(queries, docs, PULL, key, allowed=F.coalesce(allowed, F.lit(True)), scored=scored)
-        lexical = bm25.with_fallback(named, bm25.search(queries, docs, PULL, key, scored=scored), key=key)
+    index = index or bm25.build(docs, key, facets=[equal[0]] if equal else [])
+    lexical = bm25.top(queries, index, PULL)
+    if equal is not None:
+        lexical = bm25.with_fallback(bm25.top(queries, index, PULL, equal=equal), lexical, key=key)
     return fusion.reciprocal_ranks(vector_hits, lexical, PULL, k, key)
 
 
@@ -34,14 +30,14 @@ def boosted_hits(hits: DataFrame, queries: DataFrame, docs: DataFrame, matches:
     return fusion.boosted(joined, F.coalesce(matches, F.lit(False)), boost, key=key).select("query_id", key, "score", "rank")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, matches: Column | None = None, orders: DataFrame | None = None, top: int = TOP, candidates: int = TOP, k: float = fusion.RRF_K, boost: float = fusion.BOOST, key: str = "doc_id", index: bm25.Index | None = None, allowed: Column | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, vector_hits: DataFrame, matches: Column | None = None, orders: DataFrame | None = None, top: int = TOP, candidates: int = TOP, k: float = fusion.RRF_K, boost: float = fusion.BOOST, key: str = "doc_id", index: bm25.Index | None = None, equal: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, key, score, rank): the `top` documents of each query.
 
     queries: query_id, query and whatever `matches` uses (a boolean over columns of queries and docs that earns the boost).
     vector_hits: (query_id, key, rank) by any vector search, filtered by a keyword or not. orders: (query_id, order) from a reranker;
-    none keeps the order. allowed: see `fused_hits`.
+    none keeps the order. equal: see `fused_hits`.
     """
-    hits = fused_hits(queries, docs, vector_hits, index, allowed, k, key)
+    hits = fused_hits(queries, docs, vector_hits, index, equal, k, key)
     if matches is not None:
         hits = boosted_hits(hits, queries, docs, matches, boost, key)
     if orders is not None:
