@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -25,7 +26,7 @@ from tessera.llm.blocks import bucket_count, lists, numbered, pack, released, ru
 from tessera.llm.scratch import materialize, new_path, removed
 from tessera.llm.text import bytes_of, hashed, mixed, offsets_of, utf8, words
 
-WINDOW, ROUNDS, STEPS = 13, 4, 3
+WINDOW, ROUNDS, STEPS = 13, 3, 3
 RESULT = ["n_words", "n_removed", "kept"]
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NEVER = np.iinfo(np.int64).min
@@ -75,8 +76,8 @@ _REPEATED = {"word", "name", "ref"}
 
 def _coded(values: np.ndarray) -> bytes:
     """The different values, the most frequent first, and for each value its number among them: small ones, that compress well."""
-    own, of, times = np.unique(values, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
+    of, own = pd.factorize(values)
+    order = np.lexsort((own, -np.bincount(of, minlength=len(own))))
     rank = np.empty(len(own), np.uint32)
     rank[order] = np.arange(len(own))
     table = pack(own[order])
@@ -146,7 +147,7 @@ def settled(x: State, name: np.ndarray, least: np.ndarray, window: int) -> State
 def compressed(x: State, turn: int, steps: int) -> tuple[State, tuple[np.ndarray, ...]]:
     """x with one round's runs (not in the first round) and pairs; and each new symbol's hash, width, elements and least and last document."""
     start, size, name = x.start, x.size, x.name
-    own, sym = np.unique(name, return_inverse=True)
+    sym, own = pd.factorize(name)
     content = mixed(own + _ODD)  # what decides over halves: the same for the same symbol everywhere
     i, j = np.searchsorted(start, x.win + x.low), np.searchsorted(start, x.win + x.high)
 
@@ -166,7 +167,7 @@ def compressed(x: State, turn: int, steps: int) -> tuple[State, tuple[np.ndarray
         times = np.diff(np.append(first, len(start)))
         size, start, name, sym = np.add.reduceat(size, first), start[first], name[first], sym[first]
         with np.errstate(over="ignore"):
-            held, sym = np.unique(sym.astype(np.uint64) << np.uint64(32) | times.astype(np.uint64), return_inverse=True)
+            sym, held = pd.factorize(sym.astype(np.uint64) << np.uint64(32) | times.astype(np.uint64))
             content = mixed(content[(held >> np.uint64(32)).astype(np.int64)] * _ODD + (held & np.uint64(0xFFFFFFFF)))
     elements = np.empty(len(start), _ELEMENT)
     elements["name"], elements["times"] = name, times
@@ -183,7 +184,7 @@ def compressed(x: State, turn: int, steps: int) -> tuple[State, tuple[np.ndarray
         moved(np.append(np.cumsum(keep) - 1, keep.sum()))
         one = np.flatnonzero(pair)
         with np.errstate(over="ignore"):
-            held, joint = np.unique(sym[one].astype(np.uint64) << np.uint64(32) | sym[one + 1].astype(np.uint64), return_inverse=True)
+            joint, held = pd.factorize(sym[one].astype(np.uint64) << np.uint64(32) | sym[one + 1].astype(np.uint64))
             more = mixed(content[(held >> np.uint64(32)).astype(np.int64)] * _ODD + content[(held & np.uint64(0xFFFFFFFF)).astype(np.int64)] * _MORE)
         sym[one] = len(content) + joint
         size[one] += size[one + 1]
@@ -197,7 +198,9 @@ def compressed(x: State, turn: int, steps: int) -> tuple[State, tuple[np.ndarray
     x.low, x.high = low.astype(np.uint16), high.astype(np.uint16)
     new = (width > 1) | (elements["times"][base] > 1) if len(start) else np.zeros(0, bool)
     rows = np.flatnonzero(new)
-    kinds, lead, of = np.unique(sym[rows], return_index=True, return_inverse=True)
+    of, kinds = pd.factorize(sym[rows])
+    lead = np.empty(len(kinds), np.int64)
+    lead[of[::-1]] = np.arange(len(rows))[::-1]  # the first of each kind is written last
     x.start, x.size, x.name, x.ref = start, size, np.where(new, np.uint64(0), elements["name"][base] if len(start) else np.uint64(0)).astype(np.uint64), np.full(len(start), -1)
     x.ref[rows] = of
     least, last = _extremes(of, x.documents(start[rows]), len(kinds))
@@ -207,16 +210,32 @@ def compressed(x: State, turn: int, steps: int) -> tuple[State, tuple[np.ndarray
 
 def _extremes(of: np.ndarray, values: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The least and the last value of each group 0 to count - 1; all have one."""
-    if not count:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(count))
-    return np.minimum.reduceat(values[order], edges), np.maximum.reduceat(values[order], edges)
+    least, last = np.full(count, np.iinfo(np.int64).max), np.full(count, _NEVER)
+    np.minimum.at(least, of, values)
+    np.maximum.at(last, of, values)
+    return least, last
 
 
 # ---- rows that travel
 
 
+def _bundle(*columns: np.ndarray) -> bytes:
+    """Arrays as one compressed piece, low bytes of all values first: a bucket's asks are few, so that pieces of their own would cost more than they hold."""
+    head = np.array([len(columns), *[len(c) for c in columns]], np.uint32).tobytes()
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns if len(c)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes]))
+
+
+def _unbundle(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes, at, out = raw[4 : 4 + 4 * len(kinds)].view(np.uint32), 4 + 4 * len(kinds), []
+    for size, kind in zip(sizes, map(np.dtype, kinds)):
+        end = at + int(size) * kind.itemsize
+        out.append(np.ascontiguousarray(raw[at:end].reshape(kind.itemsize, -1).T).reshape(-1).view(kind) if size else np.zeros(0, kind))
+        at = end
+    return out
+
+
 class Rows:
     """Rows for the next table: one state and the asks of a batch."""
 
@@ -246,27 +265,27 @@ def _symbol_parts(width: np.ndarray, elements: np.ndarray, least: np.ndarray, la
 
     def parts(some: np.ndarray) -> list[bytes]:
         held = elements[spread(begin[some], width[some])]
-        return [pack(width[some].astype(np.uint32)), pack(held["name"]), pack(held["times"]), pack(least[some]), pack(last[some])]
+        return [_bundle(width[some].astype(np.uint32), held["name"], held["times"], least[some], last[some] - least[some])]
 
     return parts
 
 
-def _keys(parts: list[list[bytes]]) -> tuple[pa.Array, np.ndarray]:
-    """The keys of all asks as bytes, and the number of asks of each row. Words have two parts less names' third."""
-    sizes, bodies, counts = [], [], []
+def _keys(parts: list[list[bytes]]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all asks as bytes, the number of asks of each row, and their least and last documents. Words come with their bytes, symbols with elements."""
+    found = []
     for p in parts:
-        width = unpack(p[0], np.uint32).astype(np.int64)
-        if len(p) == 5:
-            held = np.empty(int(width.sum()), _ELEMENT)
-            held["name"], held["times"] = unpack(p[1], np.uint64), unpack(p[2], np.uint32)
-            width, body = width * _ELEMENT.itemsize, held.tobytes()
+        if len(p) == 1:
+            width, name, times, least, more = _unbundle(p[0], np.uint32, np.uint64, np.uint32, np.int64, np.int64)
+            held = np.empty(len(name), _ELEMENT)
+            held["name"], held["times"] = name, times
+            found.append((width.astype(np.int64) * _ELEMENT.itemsize, held.tobytes(), least, least + more))
         else:
-            body = zstandard.ZstdDecompressor().decompress(p[1])
-        sizes.append(width)
-        bodies.append(body)
-        counts.append(len(width))
+            width, least, more = _unbundle(p[0], np.uint32, np.int64, np.int64)
+            found.append((width.astype(np.int64), zstandard.ZstdDecompressor().decompress(p[1]), least, least + more))
+    sizes, bodies, least, last = zip(*found)
     ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(bodies))]), np.array(counts)
+    keys = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(bodies))])
+    return keys, np.array([len(x) for x in sizes]), np.concatenate(least), np.concatenate(last)
 
 
 def _name(level: int):
@@ -274,16 +293,15 @@ def _name(level: int):
         """A number for each different key of the bucket that two documents share, 0 for others, and the least document."""
         asked = asked.sort_by("batch")
         parts = asked["parts"].to_pylist()
-        keys, counts = _keys(parts)
+        keys, counts, least, last = _keys(parts)
         coded = keys.dictionary_encode()
         of, count = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
-        least, last = (np.concatenate([unpack(p[k], np.int64) for p in parts]) for k in (-2, -1))
         least, last = _extremes(of, least, count)[0], _extremes(of, last, count)[1]
         shared = least < last
         names = np.where(shared, (level << 58) + (asked["bucket"][0].as_py() << 34) + np.cumsum(shared), 0).astype(np.uint64)
         least = np.where(shared, least, 0)
         ends = np.cumsum(counts)
-        out = [[pack(names[of[e - n : e]]), pack(least[of[e - n : e]])] for e, n in zip(ends, counts)]
+        out = [[_bundle(names[of[e - n : e]], least[of[e - n : e]])] for e, n in zip(ends, counts)]
         return pa.table({"batch": asked["batch"], "bucket": asked["bucket"], "parts": pa.array(out, pa.list_(pa.binary()))})
 
     return released(name)
@@ -293,19 +311,19 @@ def _wanted(asked: pa.Table) -> pa.Table:
     """For each batch's windows by hash: whether a later document asks for a window with this hash that an earlier one has."""
     asked = asked.sort_by("batch")
     parts = asked["parts"].to_pylist()
-    own, least, asks = ([unpack(p[k], t, k == 0) for p in parts] for k, t in enumerate((np.uint64, np.int64, np.int64)))
+    own, least, asks = zip(*[_unbundle(p[0], np.uint64, np.int64, np.int64) for p in parts])
     sizes = [len(x) for x in own]
-    _, of = np.unique(np.concatenate(own), return_inverse=True)
+    of, _ = pd.factorize(np.concatenate(own))
     first, last = _extremes(of, np.concatenate(least), int(of.max(initial=-1)) + 1)[0], _extremes(of, np.concatenate(asks), int(of.max(initial=-1)) + 1)[1]
     told = (last > first)[of]
     ends = np.cumsum(sizes)
-    out = [[pack(told[e - n : e].astype(np.uint8))] for e, n in zip(ends, sizes)]
+    out = [[_bundle(told[e - n : e].astype(np.uint8))] for e, n in zip(ends, sizes)]
     return pa.table({"batch": asked["batch"], "bucket": asked["bucket"], "parts": pa.array(out, pa.list_(pa.binary()))})
 
 
 def _told(answers: pa.Table, *kinds: type) -> list[np.ndarray]:
-    parts = answers.sort_by("bucket")["parts"].to_pylist()
-    return [np.concatenate([np.zeros(0, kind), *[unpack(p[k], kind) for p in parts]]) for k, kind in enumerate(kinds)]
+    parts = [_unbundle(p[0], *kinds) for p in answers.sort_by("bucket")["parts"].to_pylist()]
+    return [np.concatenate([np.zeros(0, kind), *[p[k] for p in parts]]) for k, kind in enumerate(kinds)]
 
 
 # ---- steps of a batch
@@ -334,7 +352,7 @@ def _read(docs: DataFrame, window: int, buckets: int, path: str) -> DataFrame:
             x.low, x.high, x.asks = np.zeros(len(x.win), np.uint16), np.full(len(x.win), window, np.uint16), np.ones(len(x.win), bool)
             least, last = _extremes(sym, x.doc_id[doc[held]], len(own))
             sizes, begin, body = np.diff(offsets_of(own)).astype(np.int64), offsets_of(own)[:-1].astype(np.int64), bytes_of(own)
-            parts = lambda some: [pack(sizes[some].astype(np.uint32)), zstandard.ZstdCompressor(level=1).compress(body[spread(begin[some], sizes[some])].tobytes()), pack(least[some]), pack(last[some])]
+            parts = lambda some: [_bundle(sizes[some].astype(np.uint32), least[some], last[some] - least[some]), zstandard.ZstdCompressor(level=1).compress(body[spread(begin[some], sizes[some])].tobytes())]
             x.ref = out.asks((mixed(hashed(own)) % np.uint64(buckets)).astype(np.int64), parts)[sym] if len(own) else np.zeros(0, np.int64)
             out.state(x)
             table = out.table().append_column("keys", pa.nulls(len(out.rows), pa.list_(rows.column("key").type)))
@@ -383,10 +401,10 @@ def _candidates(window: int, buckets: int):
         x, out = State.of(row["parts"][0].as_py()), Rows(row["batch"][0].as_py())
         x = settled(x, *_told(answers, np.uint64, np.int64), window)
         x.asks &= ~_inside(x.begin, x.end, x.win, x.win + window)
-        own, of = np.unique(_windows(x, window)[1], return_inverse=True)
+        of, own = pd.factorize(_windows(x, window)[1])
         doc = x.documents(x.win)
         least, asks = _extremes(of, doc, len(own))[0], _extremes(of, np.where(x.asks, doc, _NEVER), len(own))[1]
-        place = out.asks((own % np.uint64(buckets)).astype(np.int64), lambda some: [pack(own[some], True), pack(least[some]), pack(asks[some])])
+        place = out.asks((own % np.uint64(buckets)).astype(np.int64), lambda some: [_bundle(own[some], least[some], asks[some])])
         out.state(x, [pack(place[of])])
         return out.table()
 
