@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.blanks import strip
 from tessera.functions.text import frontmatter
 
 #: An article heading (fixed value).
-HEADING = r"(?m)^#{1,6}\s*(제\d+조(?:의\d+)?(?:\s*\([^)]+\))?)"
+HEADING = r"(?mU)^#{1,6}\s*(제\d+조(?:의\d+)?(?:\s*\([^)]+\))?)"
 NUMBER, TITLE = r"^(제\d+조(?:의\d+)?)", r"\(([^)]+)\)$"
 WHOLE = "전문"
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def articles(text: Column, keep_empty: bool = False, whole_limit: int | None = 4000) -> Column:
     """array<struct<number,title,content>> of a text's articles in order.
 
@@ -26,10 +23,10 @@ def articles(text: Column, keep_empty: bool = False, whole_limit: int | None = 4
     heads = F.regexp_extract_all(text, F.lit(HEADING), F.lit(1))
     bodies = F.slice(F.split(text, HEADING), 2, F.greatest(F.size(heads), F.lit(1)))
     entries = F.zip_with(heads, bodies, lambda h, b: F.struct(
-        F.regexp_extract(h, NUMBER, 1).alias("number"), F.regexp_extract(h, r"(\([^)]+\))$", 1).alias("title"), _strip(F.coalesce(b, F.lit(""))).alias("content")))
+        F.regexp_extract(h, NUMBER, 1).alias("number"), F.regexp_extract(h, r"(\([^)]+\))$", 1).alias("title"), strip(F.coalesce(b, F.lit(""))).alias("content")))
     entries = entries if keep_empty else F.filter(entries, lambda e: e["content"] != "")
     none = F.array().cast("array<struct<number:string,title:string,content:string>>")
-    whole = F.array(F.struct(F.lit(WHOLE).alias("number"), F.lit("").alias("title"), F.substring(_strip(text), 1, whole_limit).alias("content"))) if whole_limit is not None else none
+    whole = F.array(F.struct(F.lit(WHOLE).alias("number"), F.lit("").alias("title"), F.substring(strip(text), 1, whole_limit).alias("content"))) if whole_limit is not None else none
     return F.when(F.size(heads) > 0, entries).otherwise(whole)
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.blanks import strip
+
 # Kinds of statutes by code, and heading patterns.
 KINDS = {"A0002": "법률", "A0003": "시행령", "A0004": "시행규칙", "A0005": "고시"}
 ARTICLE_HEADING = r"##### (제\d+조(?:의\d+)?)"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return strip(F.coalesce(text, F.lit("")))
 
 
 def kind_of(code: Column, kinds: dict[str, str] = KINDS, default: str = "법률") -> Column:

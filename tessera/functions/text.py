@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.blanks import SPACE, lines, strip
+
 # Patterns and word lists that results depend on.
 TOKEN = r"[가-힣]+|[a-zA-Z0-9]{2,}"
 HANGUL_TOKEN = r"[가-힣]{2,}"
@@ -45,12 +47,12 @@ def filter_keyword(query: Column, name: Column) -> Column:
 
 def strip_html(html: Column) -> Column:
     """Line breaks for br tags, all other tags gone, no white space at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), "<[^>]+>", ""), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(F.regexp_replace(html, rf"(?i)<br{SPACE}*/?>", "\n"), "<[^>]+>", ""))
 
 
 def normal_date(date: Column) -> Column:
     """YYYY-MM-DD for eight digits with or without dots and dashes; anything else stays as it is."""
-    digits = F.regexp_replace(date, r"[.-]|^\s+|\s+$", "")
+    digits = F.regexp_replace(strip(date), "[.-]", "")
     return F.when(digits.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))).otherwise(date)
 
 
@@ -64,9 +66,8 @@ def shown_date(date: Column) -> Column:
 def frontmatter(text: Column) -> Column:
     """map<string,string> of the lines `key: value` between a leading --- and the next line that starts with ---; empty without both."""
     inner = F.regexp_extract(text, r"(?s)^---(.*?)\n---", 1)
-    lines = F.filter(F.split(inner, r"\r?\n"), lambda x: x.contains(":"))
-    clean = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    entries = F.transform(lines, lambda x: F.struct(clean(F.split(x, ":", 2)[0]).alias("k"), F.regexp_replace(clean(F.split(x, ":", 2)[1]), "^['\"]+|['\"]+$", "").alias("v")))
+    held = F.filter(lines(inner), lambda x: x.contains(":"))
+    entries = F.transform(held, lambda x: F.struct(strip(F.split(x, ":", 2)[0]).alias("k"), F.regexp_replace(strip(F.split(x, ":", 2)[1]), "^['\"]+|['\"]+$", "").alias("v")))
     last = F.filter(F.transform(entries, lambda e, i: F.when(F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]), F.lit(None)).otherwise(e)), lambda e: e.isNotNull())
     return F.map_from_entries(last)
 
@@ -83,7 +84,7 @@ def excerpt(document: Column, size: int = 400) -> Column:
 
 def article_label(number: Column) -> Column:
     """`제N조` around the number, without white space and, if it is a whole one, leading zeros; null for nothing."""
-    bare = F.nullif(F.regexp_replace(number, r"^\s+|\s+$", ""), F.lit(""))
+    bare = F.nullif(strip(number), F.lit(""))
     whole = F.when(bare.rlike(r"^[+-]?\d+$"), F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), r"^(-?)0+(?=\d)", "$1"))
     return F.concat(F.lit("제"), F.coalesce(whole, bare), F.lit("조"))
 
@@ -96,9 +97,8 @@ def token_estimate(text: Column) -> Column:
 
 def fenced_code(text: Column) -> Column:
     """What stands in the first python fence, else in the first fence, else the whole text; without white space at the ends."""
-    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    named, plain = r"(?s)```python\s*\n(.*?)```", r"(?s)```\s*\n(.*?)```"
-    return F.when(text.rlike(named), trim(F.regexp_extract(text, named, 1))).when(text.rlike(plain), trim(F.regexp_extract(text, plain, 1))).otherwise(trim(text))
+    named, plain = rf"(?s)```python{SPACE}*\n(.*?)```", rf"(?s)```{SPACE}*\n(.*?)```"
+    return F.when(text.rlike(named), strip(F.regexp_extract(text, named, 1))).when(text.rlike(plain), strip(F.regexp_extract(text, plain, 1))).otherwise(strip(text))
 
 
 def rank_list(reply: Column) -> Column:
@@ -157,7 +157,7 @@ def strip_line_number(line: Column) -> Column:
 
 def joined_excerpt(lines: Column, size: int = 400) -> Column:
     """The lines (one string) without what a search put before them, stripped, with a middle dot between those that aren't empty."""
-    bare = F.transform(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda x: F.regexp_replace(strip_line_number(x), r"^\s+|\s+$", ""))
+    bare = F.transform(F.split(F.coalesce(lines, F.lit("")), "\n"), lambda x: strip(strip_line_number(x)))
     return F.substring(F.concat_ws(" · ", F.filter(bare, lambda x: x != "")), 1, size)
 
 

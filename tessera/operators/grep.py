@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.blanks import SPACE, strip
+
 #: Queries that are sent to all tasks; more are an error.
 MOST_QUERIES = 10_000
 #: What stands for OR, and what a query may hold.
-OR_MARK = r"(?i)\s+(?:OR|또는)\s+|\s*\|\s*"
+OR_MARK = rf"(?i){SPACE}+(?:OR|또는){SPACE}+|{SPACE}*\|{SPACE}*"
 VALID = r"(?U)^[\w\s가-힣\-|]{1,200}$"
 
 
 def parse(query: Column) -> Column:
     """struct<cleaned,mode,keywords,error>: OR markers become blanks; an invalid query has an error and no keywords."""
     either = query.rlike(OR_MARK)
-    cleaned = F.trim(F.when(either, F.regexp_replace(query, OR_MARK, " ")).otherwise(query))
+    cleaned = strip(F.when(either, F.regexp_replace(query, OR_MARK, " ")).otherwise(query))
     valid = F.coalesce(query.rlike(VALID), F.lit(False))
-    words = F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(cleaned, f"{SPACE}+"), lambda w: w != "")
     return F.struct(cleaned.alias("cleaned"), F.when(either, "OR").otherwise("AND").alias("mode"), F.when(valid, words).otherwise(F.array().cast("array<string>")).alias("keywords"), F.when(~valid, "invalid query").alias("error"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.blanks import strip
+
 
 def first_of_each(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row for each key, the first by order; null keys go."""
@@ -67,7 +69,7 @@ def newest(rows: DataFrame, keep: int, time: str, *keys: str) -> DataFrame:
 
 def changed_folders(paths: DataFrame, folders: DataFrame, path: str = "path", folder: str = "folder", root: str = "kr", suffix: str = ".md") -> DataFrame:
     """(folder), each once: of changed paths like root/folder/file.md the folders that are there."""
-    clean = F.regexp_replace(F.col(path), r"^\s+|\s+$", "")
+    clean = strip(F.col(path))
     parts = F.split(F.regexp_replace(clean, "/+", "/"), "/")
     named = paths.where(F.endswith(clean, F.lit(suffix)) & (parts[0] == root) & (F.size(parts) >= 2)).select(parts[1].alias(folder)).distinct()
     return named.join(folders.select(folder), folder, "left_semi")

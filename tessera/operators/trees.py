@@ -2,37 +2,104 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import re
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.text import safe_identifier
 from tessera.sources.tables import written
 
-#: Names of heading depths (fixed values); deeper ones are h6 and so on.
+#: A heading, and names of heading depths (fixed values); deeper ones are h6 and so on.
+HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 LEVELS = {1: "law", 2: "chapter", 3: "section", 4: "subsection", 5: "article"}
 
 
+#: Spark's setting for the most rows of a recursion.
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+
+
 def level_name(level: Column) -> Column:
     names = F.create_map(*[x for k, v in LEVELS.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.try_element_at(names, level), F.concat(F.lit("h"), level.cast("string")))
 
 
+def _sections(text: str) -> tuple[list[tuple[int, int, str]], list[str]]:
+    """(line, level, title) of each heading of a text without its front matter, and the text up to the next one."""
+    if text.startswith("---") and (end := text.find("\n---", 3)) >= 0:
+        text = text[end + 4 :]
+    lines = text.splitlines()
+    marks = [(k, m) for k, line in enumerate(lines) if line[:1] == "#" and (m := HEADING.match(line))]
+    ends = [k for k, _ in marks[1:]] + [len(lines)]
+    return [(k, len(m[1]), m[2].strip()) for k, m in marks], ["\n".join(lines[k + 1 : end]).strip() for (k, _), end in zip(marks, ends)]
+
+
+def _placed(name: str, levels: list[int]) -> tuple[list[str], list[str], list[list[str]]]:
+    """Identifiers of a document's headings, of their parents, and the ancestors' identifiers with the own one.
+
+    A heading is numbered among those of its depth since the last shallower one; deeper numbers begin anew with it.
+    """
+    counts, open_ = np.zeros(8, np.int64), {0: (name, [])}
+    names, parents, paths = [], [], []
+    for level in levels:
+        counts[level] += 1
+        counts[level + 1 :] = 0
+        open_ = {d: v for d, v in open_.items() if d < level}
+        parent, path = open_[max(open_)]
+        own = f"{parent}.{LEVELS.get(level, f'h{level}')}{counts[level]}"
+        open_[level] = (own, [*path, own])
+        names.append(own)
+        parents.append(parent)
+        paths.append(open_[level][1])
+    return names, parents, paths
+
+
+def _parsed(docs: DataFrame, key: str, text: str, placed: bool) -> DataFrame:
+    """Headings of each document, with their places in the tree or without: a document is read in one go, and none moves."""
+    own = docs.schema[key]
+    kind = T.StructType([T.StructField(key, own.dataType), *T.StructType.fromDDL("line int, level int, title string, body string").fields])
+    if placed:
+        kind = T.StructType([*kind.fields, *T.StructType.fromDDL("node_id string, parent_id string, level_name string, preorder int, path array<string>").fields])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pc.cast(batch.column(2), pa.string())
+            rows, at, size = {f.name: [] for f in kind.fields[1:]}, [], 0
+            for k in range(batch.num_rows):
+                marks, bodies = _sections(batch.column(1)[k].as_py() or "")
+                line, level, title = zip(*marks) if marks else ((), (), ())
+                values = [line, level, title, bodies]
+                if placed:
+                    own, parents, paths = _placed(names[k].as_py() or "", list(level))
+                    values += [own, parents, [LEVELS.get(x, f"h{x}") for x in level], range(1, len(level) + 1), paths]
+                for c, v in zip(rows, values):
+                    rows[c].extend(v)
+                at += [k] * len(marks)
+                size += sum(map(len, bodies))
+                if size > 4 << 20 or k == batch.num_rows - 1:  # rows of a few MB leave at once
+                    arrow = to_arrow_schema(kind)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, arrow.field(c).type) for c, v in rows.items()]], [key, *rows])
+                    rows, at, size = {c: [] for c in rows}, [], 0
+
+    return docs.select(key, F.col(text).alias("text"), F.col(key).cast("string").alias("name")).mapInArrow(parse, kind)
+
+
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, level, title, body): the headings of each document with the text up to the next one.
 
-    Front matter and what stands before the first heading go. Null and heading-free texts have no rows.
+    Lines end as `functions.blanks` says. Front matter and what stands before the first heading go. Null and heading-free texts have
+    no rows. Repeated keys are documents of their own.
     """
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)\A---.*?\n---", "")
-    lines = docs.select(key, F.posexplode(F.split(bare, r"\r?\n")).alias("line", "s"))
-    mark = F.length(F.regexp_extract("s", r"^(#{1,6})\s+(.+?)\s*$", 1))
-    lines = lines.withColumn("level", F.when(mark > 0, mark)).withColumn("title", F.regexp_extract("s", r"^(#{1,6})\s+(.+?)\s*$", 2))
-    section = F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("line"))
-    lines = lines.withColumn("section", section).where("section > 0")
-    body = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line", "s")))), lambda x: x["s"]))
-    rows = lines.groupBy(key, "section").agg(F.min("line").alias("line"), F.max("level").alias("level"), F.max(F.when(F.col("level").isNotNull(), F.col("title"))).alias("title"), body.alias("body"))
-    return rows.select(key, "line", "level", "title", F.regexp_replace("body", r"^\s+|\s+$", "").alias("body"))
+    return _parsed(docs, key, text, placed=False)
 
 
 def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,28 +107,9 @@ def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     A heading's parent is the nearest earlier one of a smaller depth, the document else. Identifiers count headings of one depth
     since the last shallower heading, whatever their parents: parent.level+number. path holds the ancestors' identifiers and its own.
+    A document is parsed where it is read: nothing is shuffled.
     """
-    rows = headings(docs, key, text)
-    before = Window.partitionBy(key).orderBy("line")
-    for depth in range(1, 7):
-        # depth's count starts anew with every shallower heading
-        era = F.sum(F.when(F.col("level") < depth, 1).otherwise(0)).over(before)
-        rows = rows.withColumn("_era", era)
-        number = F.sum(F.when(F.col("level") == depth, 1).otherwise(0)).over(Window.partitionBy(key, "_era").orderBy("line"))
-        rows = rows.withColumn(f"_n{depth}", F.when(F.col("level") == depth, number))
-    own = F.coalesce(*[F.col(f"_n{d}") for d in range(1, 7)])
-    rows = rows.withColumn("_label", F.concat(level_name(F.col("level")), own.cast("string"))).drop("_era", *[f"_n{d}" for d in range(1, 7)])
-    for depth in range(1, 7):
-        # the open heading of that depth: the last one, unless a shallower one came after it
-        last = F.last(F.when(F.col("level") <= depth, F.struct("level", "_label")), ignorenulls=True).over(before)
-        rows = rows.withColumn(f"_open{depth}", F.when(last["level"] == depth, last["_label"]))
-    labels = F.filter(F.array(*[F.when(F.col("level") >= d, F.col(f"_open{d}")) for d in range(1, 7)]), lambda x: x.isNotNull())
-    path = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.col(key).cast("string"), F.slice(labels, 1, i)))
-    rows = rows.withColumn("path", path)
-    return rows.select(
-        key, F.element_at("path", -1).alias("node_id"), F.coalesce(F.try_element_at("path", F.lit(-2)), F.col(key).cast("string")).alias("parent_id"),
-        "level", level_name(F.col("level")).alias("level_name"), "title", "body", F.row_number().over(before).alias("preorder"), "path",
-    )
+    return _parsed(docs, key, text, placed=True).select(key, "node_id", "parent_id", "level", "level_name", "title", "body", "preorder", "path")
 
 
 def subtree(nodes: DataFrame, node_id: str | Column, levels: list[str] | None = None) -> DataFrame:
@@ -70,20 +118,36 @@ def subtree(nodes: DataFrame, node_id: str | Column, levels: list[str] | None =
     return inside.where(F.col("level_name").isin(levels)) if levels else inside
 
 
-def descendants(links: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
+def descendants(links: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """(root, node, depth) over a table of links (parent, child): every node that a root leads to, itself at depth 0.
 
-    One join for each level until nothing is new; more than `most` levels are an error, so a circle ends.
+    A recursion in the plan itself: one query, in which Spark joins the last level's nodes with the links until there are none. A
+    node that is reached over two ways stands there twice. More than `most` levels are an error, so a circle ends; there is no limit
+    of rows. The links are written once, for each level reads them, and so is the result, so that the error comes here.
     """
-    front = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")), "front")
-    fronts, links = [front], links.select(F.col("parent").alias("node"), "child")
-    for depth in range(1, most + 1):
-        # each level is written, so the next one's join doesn't repeat those before it
-        front = written(front.join(links, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")), "front")
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, fronts)
-        fronts.append(front)
-    raise ValueError(f"links lead over more than {most} levels")
+    held = f"links_{uuid.uuid4().hex}"
+    written(links.select("parent", "child"), "links").createOrReplaceTempView(held)
+    start = f"roots_{uuid.uuid4().hex}"
+    roots.select("root").createOrReplaceTempView(start)
+    spark = links.sparkSession
+    rows = spark.sql(f"""
+        WITH RECURSIVE down(root, node, depth) MAX RECURSION LEVEL {most} AS (
+            SELECT root, root, 0 FROM {start}
+            UNION ALL
+            SELECT root, child, depth + 1 FROM down JOIN {held} ON parent = node)
+        SELECT root, node, depth FROM down""")
+    before = spark.conf.get(ROW_LIMIT)
+    spark.conf.set(ROW_LIMIT, "-1")  # all of them
+    try:
+        return written(rows, "descendants")
+    except (PySparkException, Py4JJavaError) as error:
+        if "RECURSION_LEVEL_LIMIT_EXCEEDED" not in str(error):
+            raise
+        raise ValueError(f"links lead over more than {most} levels") from error
+    finally:
+        spark.conf.set(ROW_LIMIT, before)
+        spark.catalog.dropTempView(held)
+        spark.catalog.dropTempView(start)
 
 
 def under_root(nodes: DataFrame, root: str, title: str, key: str = "doc_id") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import chunking, documents, text as T
+from tessera.functions import blanks, chunking, documents, text as T
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees
 from tessera.plans import queries as base, search, trajectories
 from tessera.plans.registry import query, table
 from tessera.sources import envelopes, services
 from tessera.sources.tables import written
+from tessera.streaming import incremental
 
 
 def _choice(number: Column, *values) -> Column:
@@ -151,6 +152,40 @@ def heading_tree(spark: SparkSession, folder: str) -> DataFrame:
     return _nodes(spark, folder).select("node_id", "parent_id", "level", F.md5("title").alias("title_md5"), F.md5("body").alias("body_md5"), "preorder")
 
 
+@query(rf"""WITH {NODES} SELECT node_id, md5(title) AS title_md5, md5(CASE WHEN kind = 2 AND following IS NOT NULL THEN {blanks.sql_strip("'b ' || following")} ELSE '' END) AS body_md5, CAST((law - 1) * 3 + kind + 1 AS INTEGER) AS preorder FROM node""")
+def heading_tree_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The same trees from texts whose lines end in every way, with wide blanks after the marks of headings and at the ends of lines."""
+    marks = F.array(*map(F.lit, ("#\u3000h ", "##\xa0h ", "###\u2003 h ", "\u3000b ")))
+    ends = F.array(*[F.lit(e) for e in ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\u2028", "\u2029")])
+    line = lambda s, i: F.concat(F.element_at(marks, i % 4 + 1), s, F.lit("\u3000\xa0"), F.element_at(ends, i % F.size(ends) + 1))
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "")
+    found = trees.tree(table(spark, folder, "documents").select(_text("doc_id").alias("doc_id"), text.alias("text")))
+    return found.select("node_id", F.md5("title").alias("title_md5"), F.md5("body").alias("body_md5"), "preorder")
+
+
+@query(rf"""WITH p AS (SELECT page_id, chr(12288) || '<b>' || coalesce(html, '') || chr(160) || '</b><BR' || chr(12288) || '/>' || chr(133) AS h FROM pages)
+SELECT page_id, md5({blanks.sql_strip("regexp_replace(regexp_replace(h, '(?i)<br[' || chr(12288) || chr(160) || chr(5760) || '[:space:]]*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')")}) AS cleaned_md5 FROM p""")
+def html_clean_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Markup with wide blanks at the ends and inside a tag, which are white space like any other."""
+    html = F.concat(F.lit("\u3000<b>"), F.coalesce("html", F.lit("")), F.lit("\xa0</b><BR\u3000/>\x85"))
+    return table(spark, folder, "pages").select("page_id", F.md5(T.strip_html(html)).alias("cleaned_md5"))
+
+
+@query(rf"""WITH c AS (SELECT *, {blanks.sql_strip("CASE WHEN turn % 3 = 0 THEN chr(12288) || chr(8232) ELSE chr(12288) || coalesce(text, '') || chr(160) END")} AS body FROM conversations),
+m AS (SELECT conv_id, turn, concat_ws(chr(10) || chr(10), nullif(body, ''), CASE WHEN turn % 3 = 1 THEN 'Attachments:' || chr(10) || 'u' || turn END, CASE WHEN turn % 4 = 1 THEN 'Embed title: t' END) AS content FROM c)
+SELECT CAST(conv_id AS VARCHAR) AS agent_id, count(*) AS n, md5(string_agg(content, '|' ORDER BY content)) AS contents_md5 FROM m WHERE content != '' GROUP BY conv_id""")
+def message_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of wide blanks: those that say nothing else are none."""
+    turn, wide = F.col("turn"), lambda c: F.concat(F.lit("\u3000"), c, F.lit("\xa0"))
+    rows = table(spark, folder, "conversations").select(
+        "conv_id", F.when(turn % 3 == 0, "\u3000\u2028").otherwise(wide(F.coalesce("text", F.lit("")))).alias("content"), F.lit("2026-05-06T12:00:00+00:00").alias("timestamp"), F.struct(F.lit(False).alias("bot")).alias("author"),
+        F.array(F.struct(F.when(turn % 3 == 1, wide(F.concat(F.lit("u"), turn.cast("string")))).otherwise("\u2003").alias("url"))).alias("attachments"),
+        F.array(F.struct(F.when(turn % 4 == 1, "\u3000t\x85").otherwise("\x1f").alias("title"), F.lit("\u205f").alias("description"))).alias("embeds"),
+    )
+    found = incremental.message_rows(rows, F.col("conv_id").cast("string"))
+    return found.groupBy("agent_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("content")), "|")).alias("contents_md5"))
+
+
 @query(rf"""WITH {NODES},
 o AS (SELECT k, left('[root] ' || k || ' :: ' || k || chr(10) || string_agg(repeat('  ', kind + 1) || '[' || level_name || '] ' || node_id || ' :: ' || title, chr(10) ORDER BY i), 18000) AS t FROM node WHERE kind < 2 GROUP BY k),
 a AS (SELECT k, k || chr(10) || string_agg(repeat('  ', kind + 1) || '[' || level_name || '] ' || title, chr(10) ORDER BY i) AS t FROM node GROUP BY k),

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.blanks import strip
+
 
 def _text(value: Column) -> Column:
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", "")
+    return strip(F.coalesce(value, F.lit("")))
 
 
 def xml_items(payload: Column, tag: str, fields: dict[str, str]) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions.blanks import strip
+
 
 def above_mark(rows: DataFrame, marks: DataFrame, key: str, time: str) -> DataFrame:
     """Rows strictly later than their key's mark (marks: key, mark); keys without a mark keep all rows. Null times go where a mark is."""
@@ -20,7 +22,7 @@ def marks_of(rows: DataFrame, key: str, time: str) -> DataFrame:
 def message_content(content: Column, attachments: Column, embeds: Column) -> Column:
     """The stripped content, `Attachments:` with an address on each line, and lines for the embeds' titles and descriptions, with a blank line
     between these three parts; what is empty goes."""
-    clean = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
+    clean = lambda x: strip(F.coalesce(x, F.lit("")))
     full = lambda values: F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
     labelled = lambda label, x: F.when(clean(x) != "", F.concat(F.lit(label), clean(x))).otherwise("")
     urls = full(F.transform(attachments, lambda a: clean(a["url"])))
