@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.blanks import SPACE, strip
 
-#: Queries that are sent to all tasks; more are an error.
+#: Queries that are sent to all tasks at once.
 MOST_QUERIES = 10_000
 #: What stands for OR, and what a query may hold.
 OR_MARK = rf"(?i){SPACE}+(?:OR|또는){SPACE}+|{SPACE}*\|{SPACE}*"
@@ -25,20 +27,37 @@ def parse(query: Column) -> Column:
 
 def matches(text: Column, keywords: Column, mode: Column) -> Column:
     """Whether all keywords (AND) or any (OR) stand in the text, upper and lower case alike; no keywords match nothing."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    holds = lambda k: low.contains(F.lower(k))
+    return _holds(F.lower(F.coalesce(text, F.lit(""))), F.transform(keywords, lambda k: F.lower(k)), mode)
+
+
+def _holds(low: Column, keywords: Column, mode: Column) -> Column:
+    """`matches` of what is in lower case already."""
+    holds = lambda k: low.contains(k)
     return (F.size(keywords) > 0) & F.when(mode == "OR", F.exists(keywords, holds)).otherwise(F.forall(keywords, holds))
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "text", query_id: str = "query_id") -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "text", query_id: str = "query_id", folder: str | None = None) -> DataFrame:
     """(query_id, key, rank): the first `limit` documents by key that match each query (query_id, keywords, mode).
 
-    The queries are a small stated set of MOST_QUERIES at most: one array row that goes to all tasks. Documents are read once, and
-    each task keeps `limit` rows of a query before anything moves.
+    The queries are a stated set: an array row of MOST_QUERIES at most goes to all tasks, and more queries go in several passes.
+    Documents are read once for each pass and made lower case once, and each task keeps `limit` rows of a query before anything
+    moves. folder: a column of docs; queries then have `folders`, an array of those that they are held to, null for all. `grams`
+    finds the same rows without reading every text.
     """
-    packed = queries.limit(MOST_QUERIES + 1).agg(F.collect_list(F.struct(query_id, "keywords", "mode")).alias("packed"))
-    packed = packed.withColumn("packed", F.when(F.size("packed") <= MOST_QUERIES, F.col("packed")).otherwise(F.raise_error(F.lit(f"more than {MOST_QUERIES} queries at once"))))
-    hits = docs.select(key, text).crossJoin(F.broadcast(packed)).select(key, F.explode(F.filter("packed", lambda q: matches(F.col(text), q["keywords"], q["mode"]))[query_id]).alias(query_id))
+    count = queries.count()
+    passes = 1 if count <= MOST_QUERIES else -(-2 * count // MOST_QUERIES)
+    parts = [queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p) for p in range(passes)]
+    return reduce(DataFrame.unionByName, [_search(docs, p, limit, key, text, query_id, folder) for p in parts])
+
+
+def _search(docs: DataFrame, queries: DataFrame, limit: int, key: str, text: str, query_id: str, folder: str | None) -> DataFrame:
+    scope = F.col("folders") if folder else F.lit(None).cast("array<string>")
+    own = F.struct(query_id, F.transform("keywords", lambda k: F.lower(k)).alias("keywords"), "mode", scope.alias("folders"))
+    packed = queries.agg(F.collect_list(own).alias("packed"))
+    low = docs.select(key, (F.col(folder) if folder else F.lit(None).cast("string")).alias("_folder"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    inside = lambda q: q["folders"].isNull() | F.coalesce(F.array_contains(q["folders"], F.col("_folder")), F.lit(False))
+    found = F.filter("packed", lambda q: inside(q) & _holds(F.col("_low"), q["keywords"], q["mode"]))
+    hits = low.crossJoin(F.broadcast(packed)).select(key, F.explode(found[query_id]).alias(query_id))
     order = Window.partitionBy(query_id).orderBy(key)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 

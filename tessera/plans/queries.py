@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees, vectors
+from tessera.operators import bm25, cells, evaluation, fusion, grams, grep, ingest, names, trees, vectors
 from tessera.plans import search
 from tessera.plans.registry import query, table
 from tessera.sources.tables import new_path, shared_folder, written
@@ -103,6 +103,31 @@ def vector_top20(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, cells.Index]:
+    """Every hundredth vector as a query, all vectors, and their index of cells."""
+    rows = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = rows.where("doc_id % 100 = 0").select((F.col("doc_id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("qvec"))
+    return asked, rows, cells.build(rows, 64, key="doc_id")
+
+
+@query(f"WITH {DISTANCES} SELECT query_id, doc_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM near")
+def vector_cells_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of cells with every cell looked into: the exact result."""
+    asked, _, index = _cells(spark, folder)
+    return cells.nearest(asked, index, 20, len(index.centres)).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("SELECT count(*) AS queries, 20 AS k, TRUE AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the cells that `probes_for` settles on find nine tenths of the exact twenty nearest, measured over all queries."""
+    asked, rows, index = _cells(spark, folder)
+    probes, _ = cells.probes_for(asked, index, rows, 20)
+    right = vectors.nearest(asked, rows, 20, key="doc_id").select("query_id", "doc_id")
+    found = cells.nearest(asked, index, 20, probes).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    told = right.join(found, ["query_id", "doc_id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+    return asked.agg(F.count("*").alias("queries"), F.lit(20).alias("k")).crossJoin(told)  # one row each
+
+
 PREFERRED = """held AS (SELECT pairs.*, coalesce(contains(text, CASE WHEN query_id % 2 = 0 THEN 'tion' ELSE 'not in any text' END), FALSE) AS met FROM pairs LEFT JOIN documents d ON d.doc_id = pairs.doc_id),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, met ORDER BY round(distance, 9), doc_id) - 1 AS rank FROM held),
 kept_near AS (SELECT query_id, doc_id, distance, rank FROM firsts QUALIFY rank < 20 AND met = max(met) OVER (PARTITION BY query_id))"""
@@ -221,6 +246,30 @@ def grep_or(spark: SparkSession, folder: str) -> DataFrame:
     return _grep(spark, folder, " OR ")
 
 
+def _grams(spark: SparkSession, folder: str, sign: str, scoped: bool) -> DataFrame:
+    """`_grep` by the index of grams; scoped: held to folders, but for the second query."""
+    asked = spark.createDataFrame([(1, f"the{sign}CASINO", ["src1", "src2", "src3"]), (2, f"der{sign}keit{sign}und", None), (3, f"stupid{sign}de{sign}tion", ["src4", "no such"])], "query_id int, query string, folders array<string>")
+    parsed = asked.select("query_id", grep.parse(F.col("query")).alias("p"), F.col("folders") if scoped else F.lit(None).cast("array<string>").alias("folders")).select("query_id", "p.keywords", "p.mode", "folders")
+    docs = table(spark, folder, "documents")
+    return grams.search(grams.kept(docs, f"{shared_folder(spark)}/tessera", folder="source"), docs, parsed, 100)
+
+
+@query(_grep_sql("AND"))
+def grep_indexed_and(spark: SparkSession, folder: str) -> DataFrame:
+    return _grams(spark, folder, " ", False)
+
+
+@query(_grep_sql("OR"))
+def grep_indexed_or(spark: SparkSession, folder: str) -> DataFrame:
+    return _grams(spark, folder, " OR ", False)
+
+
+@query(_grep_sql("OR").replace("FROM q, documents d WHERE", "FROM q, documents d WHERE (query_id = 2 OR list_contains(CASE query_id WHEN 1 THEN ['src1', 'src2', 'src3'] ELSE ['src4'] END, d.source)) AND"))
+def grep_in_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Searches held to folders of the corpus, by the index of grams."""
+    return _grams(spark, folder, " OR ", True)
+
+
 @query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
 hits AS (SELECT *, contains(lower(s), 'stupid') OR contains(lower(s), 'casino') AS hit FROM lines),
 near AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS shown FROM hits),
