@@ -68,6 +68,25 @@ def articles_near(text: Column, keywords: Column, window: int = 2500, most: int
     return F.when(F.size(heads) > 0, F.slice(F.array_distinct(found), 1, most)).otherwise(none)
 
 
+def article_body(text: Column, article: Column) -> Column:
+    """The text from the first fifth-level heading of the article up to the next one, a section or a law, stripped; null where there is none.
+
+    `제1조` doesn't find `제1조의2`: a word must end after it.
+    """
+    pattern = F.concat(F.lit(r"(?sU)##### \Q"), F.replace(article, F.lit("\\E"), F.lit("")), F.lit(r"\E\b.*?(?=\n##### |\n## |\n# |\z)"))
+    found = F.regexp_substr(text, pattern)
+    return F.when(found.isNotNull(), _strip(found))
+
+
+def article_bodies(hits: Column, sources: Column) -> Column:
+    """`[label article]` and the body of each of hits (array<struct<label,article>>), in order, with a rule between; empty for none.
+
+    sources: map of label to the whole text. Labels without a text and articles that a text lacks are left out.
+    """
+    bodies = F.transform(hits, lambda h: F.concat(F.lit("["), h["label"], F.lit(" "), h["article"], F.lit("]\n"), article_body(F.try_element_at(sources, h["label"]), h["article"])))
+    return F.concat_ws("\n\n---\n\n", F.filter(bodies, lambda b: b.isNotNull()))
+
+
 def joined_bodies(bodies: Column) -> Column:
     """Bodies with a rule between them; `(no article matched)` for none."""
     return F.when(F.size(bodies) > 0, F.concat_ws("\n\n---\n\n", bodies)).otherwise("(no article matched)")

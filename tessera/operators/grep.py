@@ -59,7 +59,7 @@ def _search(docs: DataFrame, queries: DataFrame, limit: int, key: str, text: str
     found = F.filter("packed", lambda q: inside(q) & _holds(F.col("_low"), q["keywords"], q["mode"]))
     hits = low.crossJoin(F.broadcast(packed)).select(key, F.explode(found[query_id]).alias(query_id))
     order = Window.partitionBy(query_id).orderBy(key)
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(query_id, key, (F.col("rank") - 1).alias("rank"))
 
 
 def context(docs: DataFrame, keywords: Column, key: str = "doc_id", text: str = "text", around: int = 2, lines: int = 25, characters: int = 1500, name: Column | None = None) -> DataFrame:

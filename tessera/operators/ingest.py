@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.blanks import strip
@@ -25,6 +26,29 @@ def ingest_counts(incoming: DataFrame, existing: DataFrame, key: str) -> DataFra
     return marked.agg(fresh.alias("ingested"), (F.count("*") - fresh).alias("skipped"))
 
 
+def insert(incoming: DataFrame, existing: DataFrame, key: str, order: Column, path: str) -> dict[str, int]:
+    """Appends what `new_rows` gives to the Parquet table at path, and tells ingested and skipped, as `ingest_counts` does.
+
+    The counts are observed on the way of the one write: nothing is joined or read a second time. existing must not be that table
+    while it is written: Spark refuses to read what it overwrites, but not what it appends to, so give it a version that stays.
+    """
+    offered, added = Observation(), Observation()
+    rows = incoming.where(F.col(key).isNotNull()).observe(offered, F.count(F.lit(1)).alias("n"))
+    new_rows(rows, existing, key, order).observe(added, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    ingested = _observed(added)
+    return {"ingested": ingested, "skipped": _observed(offered) - ingested}
+
+
+def _observed(rows: Observation) -> int:
+    """The observed number; 0 where Spark saw before it ran that there are no rows, and so observed none."""
+    try:
+        return rows.get["n"]
+    except Py4JJavaError as none:
+        if "AssertionError" not in str(none.java_exception):
+            raise
+        return 0
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: Column) -> DataFrame:
     """existing with the rows of incoming in place of those with the same key; of repeated keys the first by order."""
     return existing.join(incoming.select(key), key, "left_anti").unionByName(first_of_each(incoming, key, order))

@@ -48,6 +48,15 @@ def override(detected: Column, laws: Column, mapping: Column) -> Column:
     return F.coalesce(F.get(known, F.lit(0)), detected)
 
 
+# Words that make a query one about the constitution.
+CONSTITUTION = ["헌법", "헌재", "위헌", "합헌", "헌법불합치", "한정합헌", "한정위헌", "헌법소원", "기본권", "탄핵", "정당해산", "권한쟁의"]
+
+
+def is_constitutional(query: Column) -> Column:
+    """Whether a query should go to the constitutional court's service too; null should not."""
+    return holds_any(query, CONSTITUTION)
+
+
 def holds_any(text: Column, words: list[str]) -> Column:
     """Whether any of the words stands in the text; null text holds none."""
     return F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)), F.lit(False))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import blanks, chunking, documents, text as T
+from tessera.functions import blanks, chunking, documents, named, text as T
 from tessera.operators import bm25, evaluation, fusion, grep, ingest, names, trees
 from tessera.plans import queries as base, search, trajectories
 from tessera.plans.registry import query, table
 from tessera.sources import envelopes, services
-from tessera.sources.tables import written
-from tessera.streaming import incremental
+from tessera.sources.tables import new_path, written
+from tessera.streaming import incremental, state
 
 
 def _choice(number: Column, *values) -> Column:
@@ -410,3 +410,135 @@ def trajectory_budgets(spark: SparkSession, folder: str) -> DataFrame:
     )
     back = trajectories.parsed(trajectories.lines(events))
     return trajectories.over_budget(back, {**trajectories.CAPS, "tokens_in": 300}).select("trajectory_id", "event_id", "tokens_in", "exceeded")
+
+
+# ---- the rest of the services, answers and functions by name
+
+
+@query("""WITH w AS (SELECT doc_id, ['헌법', '헌 법', '한정위헌', '위 헌', '기본권', '기본', '권한쟁의', '쟁의', '탄핵', '헌', '정당해산', '해산', ''][doc_id % 13 + 1] AS word, left(coalesce(text, ''), 40) AS t FROM documents)
+SELECT doc_id, len(list_filter(['헌법', '헌재', '위헌', '합헌', '헌법불합치', '한정합헌', '한정위헌', '헌법소원', '기본권', '탄핵', '정당해산', '권한쟁의'], lambda k: contains(t || word || t, k))) > 0 AS constitutional FROM w""")
+def constitution_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries that hold one of the twelve words somewhere, or nearly do."""
+    words = _choice(F.col("doc_id"), "헌법", "헌 법", "한정위헌", "위 헌", "기본권", "기본", "권한쟁의", "쟁의", "탄핵", "헌", "정당해산", "해산", "")
+    start = F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    return table(spark, folder, "documents").select("doc_id", names.is_constitutional(F.concat(start, words, start)).alias("constitutional"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, source, list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: 'x' || left(s, 50)) AS ls FROM documents),
+a AS (SELECT *, 'x' || regexp_replace(ls[2][2:], '\s+$', '') AS two, 'x' || regexp_replace(ls[3][2:], '\s+$', '') AS three FROM l)
+SELECT doc_id, md5(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), CASE WHEN len(ls) >= 2 THEN '[' || source || ' 제2조]' || chr(10) || '##### 제2조 (h)' || chr(10) || two END,
+    CASE WHEN len(ls) >= 3 THEN '[' || source || ' 제3조의2]' || chr(10) || '##### 제3조의2 (h)' || chr(10) || three END)) AS bodies_md5, len(ls) AS n FROM a""")
+def article_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies of hit articles out of whole laws: one whose longer namesake stands first, one that is there only by its prefix, one of an unknown source."""
+    ls = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.concat(F.lit("x"), F.substring(s, 1, 50)))
+    heads = F.transform(ls, lambda s, i: F.concat(F.when(i == 1, "##### 제2조의9 (longer)\nlost\n").otherwise(""), F.lit("##### 제"), (i + 1).cast("string"), F.when(i == 2, "조의2").otherwise("조"), F.lit(" (h)\n"), s, F.when(i % 2 == 1, "\n## next chapter\nlost").otherwise("")))
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.size(ls).cast("long").alias("n"), F.array_join(heads, "\n").alias("law"))
+    hit = lambda label, article: F.struct(label.alias("label"), F.lit(article).alias("article"))
+    hits = F.array(hit(F.col("source"), "제2조"), hit(F.lit("none"), "제1조"), hit(F.col("source"), "제3조의2"), hit(F.col("source"), "제3조"))
+    return docs.select("doc_id", F.md5(documents.article_bodies(hits, F.create_map("source", "law"))).alias("bodies_md5"), "n")
+
+
+@query("""WITH d AS (SELECT doc_id, left(coalesce(text, ''), 200) || ' 제' || (doc_id % 30) || '조의2 and 제' || (doc_id % 7) || '조 ' || source AS t, source FROM documents),
+k AS (SELECT doc_id, t, [['제' || (doc_id % 7) || '조 (목적)', '제' || (doc_id % 7) || '조'], ['제' || (doc_id % 30) || '조', '제' || (doc_id % 30) || '조'], ['제999조', '제999조'], [source, source], ['부칙', '부칙']] AS wanted FROM d)
+SELECT doc_id, array_to_string(list_transform(list_filter(wanted, lambda p: contains(t, p[2])), lambda p: p[1]), '|') AS hits FROM k""")
+def article_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold articles by the number in them, or by their whole name where they have none, in answers made of documents."""
+    a, b = (F.col("doc_id") % 7).cast("string"), (F.col("doc_id") % 30).cast("string")
+    text = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit(" 제"), b, F.lit("조의2 and 제"), a, F.lit("조 "), F.col("source"))
+    wanted = F.array(F.concat(F.lit("제"), a, F.lit("조 (목적)")), F.concat(F.lit("제"), b, F.lit("조")), F.lit("제999조"), F.col("source"), F.lit("부칙"))
+    return table(spark, folder, "documents").select("doc_id", F.concat_ws("|", T.hit_articles(text, wanted)).alias("hits"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN quality = 1 AND coalesce(text, '') != '' THEN text WHEN coalesce(source, '') != '' AND doc_id % 5 > 0 THEN source ELSE '' END) AS text_md5 FROM documents LEFT JOIN labels USING (doc_id)""")
+def detail_or_item(spark: SparkSession, folder: str) -> DataFrame:
+    """The detail's text where the detail came and has one, else the listed item's, else nothing."""
+    details = table(spark, folder, "labels").select("doc_id", "quality").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.when(F.col("quality") == 1, F.col("text")).otherwise("").alias("detail"))
+    items = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("item"))
+    return items.join(details, "doc_id", "left").select("doc_id", F.md5(envelopes.merged(F.col("detail"), F.col("item"))).alias("text_md5"))
+
+
+@query("""SELECT conv_id, count(*) AS cycles, CAST(sum(length(text)) AS BIGINT) AS tokens_in, CAST(sum(turn) FILTER (turn > 0) AS BIGINT) AS tokens_out, CAST(round_even(sum(CAST(length(text) AS DECIMAL(18, 6)) / 1000000 * 3), 4) AS DOUBLE) AS usd FROM conversations GROUP BY conv_id""")
+def tokens_per_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens and cost of each answer, over its cycles of model calls."""
+    rows = table(spark, folder, "conversations").select("conv_id", F.length("text").alias("tokens_in"), F.when(F.col("turn") > 0, F.col("turn")).alias("tokens_out"), (F.length("text").cast("decimal(18,6)") / 1_000_000 * 3).alias("usd"))
+    found = trajectories.answer_totals(rows, "conv_id")
+    return found.withColumn("tokens_out", F.nullif("tokens_out", F.lit(0)))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS reply, c_custkey AS k, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer)
+SELECT reply, CAST(k AS VARCHAR) AS law_id, CASE WHEN k % 3 = 0 THEN '' ELSE c_name END AS law_name, c_mktsegment AS law_type, CAST(CASE WHEN k % 4 = 0 THEN 0 ELSE k % 100 END AS INTEGER) AS score,
+    CASE WHEN k % 2 = 0 THEN 'l' || k || ':' || CASE WHEN k % 4 = 0 THEN '' ELSE 's' END ELSE '' END AS articles FROM c WHERE n <= 5 AND reply % 5 < 3""")
+def law_metas(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies of a metadata service: five of many results, missing scores and snippets, a flat payload, one that is cut off."""
+    k = F.col("c_custkey")
+    article = F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("l"), _text("c_custkey")).alias("label"), F.when(k % 4 != 0, "s").alias("snippet"))))
+    item = F.struct(k.alias("law_id"), F.when(k % 3 != 0, F.col("c_name")).alias("law_name"), F.col("c_mktsegment").alias("law_type"), F.when(k % 4 != 0, k % 100).alias("score"), article.alias("matched_articles"))
+    listed = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("reply")).agg(F.array_sort(F.collect_list(item)).alias("results"))  # by law_id
+    whole = F.to_json(F.struct(F.struct("results", F.lit(9).alias("total")).alias("data")))
+    payload = F.when(F.col("reply") % 5 < 3, whole).when(F.col("reply") % 5 == 3, F.to_json(F.struct("results"))).otherwise(F.substring(whole, 1, 30))
+    found = listed.select("reply", F.explode(envelopes.law_metas(payload, 5)).alias("x")).select("reply", "x.*")
+    shown = F.transform("articles", lambda a: F.concat(a["label"], F.lit(":"), a["snippet"]))
+    return found.select("reply", "law_id", "law_name", "law_type", "score", F.concat_ws(",", shown).alias("articles"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_name, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n, count(*) OVER (PARTITION BY s_nationkey) AS m FROM supplier)
+SELECT ['law', 'prec', 'expc', 'detc', 'decc', 'admrul', 'ordin'][s_nationkey % 7 + 1] AS target, CAST(k AS VARCHAR) AS id, s_name AS title, CASE WHEN k % 2 = 0 THEN s_nationkey || ' · b' ELSE 'b' END AS subtitle, '20260101' AS date,
+    CASE WHEN k % 3 = 0 THEN 'https://site/' || k ELSE 'http://x' END AS url FROM s WHERE (m > 1 OR s_nationkey % 2 = 0) AND s_nationkey % 9 < 7""")
+def search_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies of all seven services in one table, one item or many in each, some cut off: a parse for each payload, a plan for all."""
+    k, items = F.col("s_suppkey"), []
+    for t in envelopes.TARGETS.values():
+        fields = [_text("s_suppkey").alias(t.number), F.col("s_name").alias(t.title), F.when(k % 2 == 0, _text("s_nationkey")).otherwise("").alias(t.subtitle[0]), F.lit("b").alias(t.subtitle[1]), F.lit("20260101").alias(t.date),
+                  F.when(k % 3 == 0, F.concat(F.lit("/"), _text("s_suppkey"))).otherwise("http://x").alias(t.link)]
+        items.append(F.to_json(F.struct(*fields)))
+    number, own = F.col("s_nationkey") % 7, F.element_at(F.array(*items), (F.col("s_nationkey") % 7 + 1).cast("int"))
+    rows = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(own)).alias("own"))
+    inner = F.when((F.size("own") == 1) & (F.col("s_nationkey") % 2 == 0), F.col("own")[0]).when(F.size("own") == 1, F.lit('"none"')).otherwise(F.concat(F.lit("["), F.concat_ws(",", "own"), F.lit("]")))
+    front = _choice(number, *['{"' + '":{"'.join(t.path) + '":' for t in envelopes.TARGETS.values()])
+    payload = F.concat(front, inner, F.when(F.col("s_nationkey") % 9 < 7, F.repeat(F.lit("}"), _choice(number, *[len(t.path) for t in envelopes.TARGETS.values()]))).otherwise("]"))
+    return envelopes.search_mixed(rows.select(_choice(number, *envelopes.TARGETS).alias("target"), payload.alias("payload")), "https://site")
+
+
+@query(rf"""WITH {NODES} SELECT doc_id, md5(nfc_normalize(title)) AS title_md5, CAST(kind + 1 AS INTEGER) AS level FROM node""")
+def functions_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """A table function and a function of the registry, both called by name."""
+    marked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s, i: F.concat(F.element_at(F.array(*map(F.lit, ("# h ", "## h ", "### h ", "b "))), i % 4 + 1), s))
+    docs = table(spark, folder, "documents").select("doc_id", F.concat_ws("\n", marked).alias("text"))
+    return named.rows(spark, "headings_of", docs, "text", "doc_id").select("doc_id", F.md5(named.call("nfc", F.col("title"))).alias("title_md5"), "level")
+
+
+@query("SELECT (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) AS ingested, (SELECT count(*) FROM documents SEMI JOIN labels USING (doc_id)) AS skipped")
+def ingest_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """What an insert added and skipped, counted while it wrote."""
+    told = ingest.insert(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", F.col("doc_id"), new_path(spark, "inserted"))
+    return spark.createDataFrame([(told["ingested"], told["skipped"])], "ingested long, skipped long")
+
+
+def _parts(spark: SparkSession, folder: str, run, parts: list[Column]) -> DataFrame:
+    """Runs a stream over the events' parts, which come one after the other: run(stream, target, checkpoint) each time; then the target."""
+    base, events = new_path(spark, "stream"), table(spark, folder, "events")
+    for number, part in enumerate(parts):
+        events.where(part).write.parquet(f"{base}/in/{number}")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/in/*")
+        run(source, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{base}/out")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY ALL")
+def stream_unseen(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in three batches, of which two repeat a part of the others: each event once, and the target is never read."""
+    keys = [F.col("event_id") % 3 < 2, F.col("event_id") % 3 > 0, F.col("event_id") % 2 == 0]
+    found = _parts(spark, folder, lambda s, out, at: state.unseen_into(s, out, at, "event_id"), keys)
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("""WITH m AS (SELECT user_id, max(ts) AS mark FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+one AS (SELECT event_id, user_id, ts FROM events LEFT JOIN m USING (user_id) WHERE event_id % 2 = 0 AND (mark IS NULL OR ts > mark)),
+higher AS (SELECT user_id, max(ts) AS mark FROM (SELECT user_id, mark AS ts FROM m UNION ALL SELECT user_id, ts FROM one) GROUP BY ALL)
+SELECT event_id, user_id FROM one UNION ALL SELECT event_id, user_id FROM events LEFT JOIN higher USING (user_id) WHERE event_id % 2 = 1 AND (mark IS NULL OR ts > mark)""")
+def stream_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in two batches against marks that the first one raises: what comes late in the second is dropped."""
+    events = table(spark, folder, "events")
+    marks = incremental.marks_of(events.where("event_type = 'purchase'"), "user_id", "ts")
+    found = _parts(spark, folder, lambda s, out, at: state.start_newer(s, "user_id", "ts", out, at, marks), [F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1])
+    return found.select("event_id", "user_id")

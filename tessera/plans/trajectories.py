@@ -38,6 +38,12 @@ def totals(events: DataFrame) -> DataFrame:
     return events.groupBy("trajectory_id", "kind").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
 
+def answer_totals(cycles: DataFrame, answer: str = "trajectory_id", tokens_in: str = "tokens_in", tokens_out: str = "tokens_out", cost: str = "usd") -> DataFrame:
+    """(answer, cycles, tokens_in, tokens_out, usd): what each answer took over all its cycles; the cost to four places, halves to the even one."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return cycles.groupBy(answer).agg(F.count("*").alias("cycles"), total(tokens_in).alias("tokens_in"), total(tokens_out).alias("tokens_out"), F.bround(total(F.col(cost).cast("decimal(30,12)")), 4).cast("double").alias("usd"))
+
+
 def over_budget(events: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     """events in order with `exceeded`: the first cap that is crossed up to each event, or null. Use counts, then is judged."""
     so_far = Window.partitionBy("trajectory_id").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -48,6 +48,27 @@ def json_items(payload: Column, path: list[str], item: str) -> Column:
     return F.when(found.startswith("["), F.coalesce(many, empty)).when(found.startswith("{"), F.array(one)).otherwise(empty)
 
 
+def variant_items(parsed: Column, path: list[str] | tuple[str, ...], item: str) -> Column:
+    """`json_items` of a payload that `try_parse_json` has parsed already: one parse serves every path and shape asked of it."""
+    at = "$" + "".join(f".{p}" for p in path)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, at, "variant"))
+    many, one = F.try_variant_get(parsed, at, f"array<{item}>"), F.try_variant_get(parsed, at, item)
+    empty = F.array().cast(f"array<{item}>")
+    return F.when(kind.startswith("ARRAY"), F.coalesce(many, empty)).when(kind.startswith("OBJECT"), F.array(one)).otherwise(empty)
+
+
+def law_metas(payload: Column, most: int = 10) -> Column:
+    """array<struct<law_id,law_name,law_type,score,articles>> of data.results, the first `most`; missing strings are empty, a missing score is 0.
+
+    A payload without that envelope, a flat one of earlier days or one that doesn't parse has none.
+    """
+    item = "struct<law_id:string,law_name:string,law_type:string,score:double,matched_articles:array<struct<label:string,snippet:string>>>"
+    text = lambda c: F.coalesce(c, F.lit(""))
+    found = F.slice(variant_items(F.try_parse_json(payload), ("data", "results"), item), 1, most)
+    articles = lambda x: F.transform(F.coalesce(x["matched_articles"], F.array()), lambda a: F.struct(text(a["label"]).alias("label"), text(a["snippet"]).alias("snippet")))
+    return F.transform(found, lambda x: F.struct(text(x["law_id"]).alias("law_id"), text(x["law_name"]).alias("law_name"), text(x["law_type"]).alias("law_type"), F.coalesce(x["score"].cast("int"), F.lit(0)).alias("score"), articles(x).alias("articles")))
+
+
 @dataclass(frozen=True)
 class Target:
     """Where a search service puts its items, and which of their fields tell what."""
@@ -101,6 +122,23 @@ def search_results(replies: DataFrame, target: Target, site: str, payload: str =
     return rows.select(get(target.number).alias("id"), get(target.title).alias("title"), subtitle.alias("subtitle"), get(target.date).alias("date"), F.when(link.startswith("/"), F.concat(F.lit(site), link)).otherwise(link).alias("url"), F.to_json("x").alias("raw"))
 
 
+def search_mixed(replies: DataFrame, site: str, target: str = "target", payload: str = "payload") -> DataFrame:
+    """(target, id, title, subtitle, date, url) of replies of all services in one table: each payload is parsed once, then read by its own service's fields.
+
+    An item may be one object or many; replies of no known service, and payloads that don't parse, have no items.
+    """
+    parsed = replies.select(target, F.try_parse_json(payload).alias("v"))
+    chosen = F.lit(None)
+    for name, t in TARGETS.items():
+        names = list(dict.fromkeys([t.number, t.title, *t.subtitle, t.date, t.link]))
+        items = variant_items(F.col("v"), t.path, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
+        get = lambda x, n: F.coalesce(x[n], F.lit(""))
+        own = F.transform(items, lambda x: F.struct(get(x, t.number).alias("id"), get(x, t.title).alias("title"), F.concat_ws(" · ", F.filter(F.array(*[get(x, s) for s in t.subtitle]), lambda s: s != "")).alias("subtitle"), get(x, t.date).alias("date"), get(x, t.link).alias("link")))  # noqa: B023
+        chosen = F.when(F.col(target) == name, own).otherwise(chosen)
+    link = F.col("link")
+    return parsed.select(target, F.inline(chosen)).select(target, "id", "title", "subtitle", "date", F.when(link.startswith("/"), F.concat(F.lit(site), link)).otherwise(link).alias("url"))
+
+
 def merged(detail: Column, item: Column) -> Column:
     """The detail's text, or the item's where that is empty or null, or nothing."""
     return F.coalesce(F.nullif(detail, F.lit("")), F.nullif(item, F.lit("")), F.lit(""))
