@@ -14,27 +14,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the fixed limits and the boosted trees; all others go."""
+    """Rows that pass the fixed limits and the boosted trees; all others go.
+
+    Null, empty and short texts fail the limits and go. Repeated rows are judged alike, each by itself; a text of any length is
+    judged whole; other columns stay, whatever their names; an empty table stays empty. Without a labelled document in docs the
+    limits alone judge.
+    """
     return quality_rules.keep(docs, _table(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One row of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    The smallest doc_id of a group stays; of equal ones (repeated rows, ties) the row that is read first, and null ones give way to
+    any other. Rows with a null, empty or blank text link with nothing and stay. Texts of any length are compared whole; other
+    columns stay, whatever their names; an empty table stays empty.
+    """
     return jaccard.distinct(docs, size=5, percent=80)
 
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of passages of 200 bytes or more; n_chars follows the text. No row goes."""
-    return repeats.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts without the later copies of passages of 200 bytes or more; n_chars follows the text where it is there. No row goes.
+
+    The copy that is read first stays, in the same text too, so of repeated rows one keeps its text. Null texts become empty, short
+    ones stay; a text of any length up to 2**28 bytes is compared whole; other columns stay, whatever their names; an empty table
+    stays empty.
+    """
+    found = repeats.without_repeats(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any window of ten words of a benchmark item."""
+    """Rows without any window of ten words of a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go alike; a text of any length is searched whole; other columns
+    stay, whatever their names; without documents or items nothing changes.
+    """
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts' ids in sequences of 2048."""
+    """Pieces of the texts' ids in sequences of 2048.
+
+    A null or empty text is the end id alone; each repeated row has its own pieces; a text of any length is encoded whole and cut
+    where sequences end; only doc_id is kept of the columns; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
