@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
     """docs with the repeated passages cut out of their texts, by whole characters. Rows and other columns stay, whatever their names; null texts become empty."""
-    others = [c for c in docs.columns if c != text]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row") if others else F.lit(0).alias("row"), F.col(f"`{text}`").alias("text"))
-    found = repeated_spans(packed, "text", length, keep_first, whole_characters=True)
-    return found.select(*[F.col("kept").cast("string").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    names = {c: f"c{n}" for n, c in enumerate(docs.columns) if c != text}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(f"`{text}`").alias("text"))
+    found = repeated_spans(plain, "text", length, keep_first, whole_characters=True)
+    return found.select(*[F.col("kept").cast("string").alias(c) if c == text else F.col(names[c]).alias(c) for c in docs.columns])
