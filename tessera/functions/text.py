@@ -16,15 +16,21 @@ ARTICLE_NUMBER = r"제\d+조(의\d+)?"
 EMPTY_TOKEN = "_empty_"
 
 
+def words(text: Column) -> Column:
+    """The lower-case words of a text; null counts as empty."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case words and, after them, the two-character shingles of each; `_empty_` where there is none.
 
     Null counts as empty. A word of two characters appears twice, once as a word and once as its only shingle.
     """
-    pairs = lambda w: F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    all_ = lambda words: F.when(F.size(words) > 0, F.concat(words, F.flatten(F.transform(words, pairs)))).otherwise(F.array(F.lit(EMPTY_TOKEN)))
+    # shingles are looked for ahead of every place of the words in a row: no word holds a blank, so none crosses two
+    pairs = lambda own: F.regexp_extract_all(F.array_join(own, " "), F.lit("(?=([^ ]{2}))"), F.lit(1))
+    all_ = lambda own: F.when(F.size(own) > 0, F.concat(own, pairs(own))).otherwise(F.array(F.lit(EMPTY_TOKEN)))
     # an array of one list of words: the lambda's variable stands for it, so the pattern is looked for once a row
-    return F.transform(F.array(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))), all_)[0]
+    return F.transform(F.array(words(text)), all_)[0]
 
 
 def longest(values: Column) -> Column:

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import EMPTY_TOKEN, TOKEN, tokenize
+from tessera.functions.text import EMPTY_TOKEN, TOKEN, tokenize, words
 from tessera.sources.tables import new_path, snapshot, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries without enough hits that are sent to all tasks; more are an error.
 MOST_SHORT = 100_000
-#: Documents of a block, and documents and tokens among which a task looks for those of like lengths.
-BLOCK, SORTED, SORTED_TOKENS = 128, 4096, 2_000_000
+#: Documents of a block, and documents and words among which a task looks for those of like lengths.
+BLOCK, SORTED, SORTED_TOKENS = 128, 4096, 1_000_000
 #: Queries, and terms of them, that all tasks get at once. More go in several passes over the blocks.
 QUERY_BLOCK, QUERY_TERMS = 20_000, 4_000_000
 #: Of so many blocks one is searched first: the k-th best score in it is the others' threshold.
@@ -128,14 +128,36 @@ def _gathered(rows: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], n
         yield pa.Table.from_batches(held)
 
 
-def _tokens_to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What `tokenize` makes of each word: where its terms begin (and the end), their numbers, and the terms."""
+    numbers: dict[str, int] = {}
+    flat, begin = [], [0]
+    for w in words:
+        flat.append(numbers.setdefault(w, len(numbers)))
+        flat.extend(numbers.setdefault(w[k : k + 2], len(numbers)) for k in range(len(w) - 1))
+        begin.append(len(flat))
+    return np.array(begin), np.array(flat, np.int64), pa.array(list(numbers), pa.string())
+
+
+def _words_to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents given by their words. Shingles are made once for each different word of a group."""
     number = _numbers()
-    for rows in _gathered(batches, lambda b: np.asarray(pc.list_value_length(b.column("tokens"))).astype(np.int64)):
-        tokens = rows["tokens"].combine_chunks()
-        doc = np.repeat(np.arange(len(tokens)), np.asarray(pc.list_value_length(tokens)))
-        coded = tokens.flatten().dictionary_encode()
+    for rows in _gathered(batches, lambda b: np.asarray(pc.list_value_length(b.column("words"))).astype(np.int64)):
+        held = rows["words"].combine_chunks()
+        size = np.asarray(pc.list_value_length(held)).astype(np.int64)
+        doc = np.repeat(np.arange(len(held)), size)
+        coded = held.flatten().dictionary_encode()
         pairs, times = np.unique(np.asarray(coded.indices).astype(np.int64) << 32 | doc, return_counts=True)
-        yield from cut(rows["key"].combine_chunks(), rows["facets"].combine_chunks(), pairs & 0xFFFFFFFF, pairs >> 32, times, coded.dictionary, number)
+        begin, flat, terms = _shingles([*coded.dictionary.to_pylist()])
+        word, doc = pairs >> 32, pairs & 0xFFFFFFFF
+        each = begin[word + 1] - begin[word]
+        at = np.repeat(begin[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        own, of = np.unique(flat[at] << 32 | np.repeat(doc, each), return_inverse=True)
+        tf = np.bincount(of, np.repeat(times, each), len(own)).astype(np.int64)
+        none = np.flatnonzero(size == 0)  # documents without a word have one term that says so
+        own, tf = np.concatenate([own, len(terms) << 32 | none]), np.concatenate([tf, np.ones(len(none), np.int64)])
+        terms = pa.concat_arrays([terms, pa.array([EMPTY_TOKEN])])
+        yield from cut(rows["key"].combine_chunks(), rows["facets"].combine_chunks(), own & 0xFFFFFFFF, own >> 32, tf, terms, number)
 
 
 def _live(row: dict, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,9 +275,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
 def _fresh(docs: DataFrame, key: str, text: str, facets: list[str] | tuple[str, ...]) -> DataFrame:
     kept = F.struct(*[F.col(c) for c in facets]) if facets else F.struct(F.lit(0).alias("none"))
-    rows = _busy(docs.select(F.col(key).alias("key"), kept.alias("facets"), F.col(text).alias("text"))).select("key", "facets", tokenize(F.col("text")).alias("tokens"))
+    rows = _busy(docs.select(F.col(key).alias("key"), kept.alias("facets"), F.col(text).alias("text"))).select("key", "facets", words(F.col("text")).alias("words"))
     kind = rows.select(F.lit(0).cast("long").alias("block"), F.array("key").alias("keys"), F.array(F.lit(0).cast("long")).alias("dl"), F.array("facets").alias("facets"), F.array(F.lit("")).alias("terms"), *[F.array(F.lit(0)).alias(c) for c in ("counts", "at", "tf")]).schema
-    return rows.mapInArrow(_tokens_to_blocks, kind)
+    return rows.mapInArrow(_words_to_blocks, kind)
 
 
 def load(spark: SparkSession, path: str, key: str = "doc_id") -> Index:
