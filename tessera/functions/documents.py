@@ -68,7 +68,7 @@ def articles_near(text: Column, keywords: Column, window: int = 2500, most: int
     return F.when(F.size(heads) > 0, F.slice(F.array_distinct(found), 1, most)).otherwise(none)
 
 
-def article_body(text: Column, article: Column) -> Column:
+def found_body(text: Column, article: Column) -> Column:
     """The text from the first fifth-level heading of the article up to the next one, a section or a law, stripped; null where there is none.
 
     `제1조` doesn't find `제1조의2`: a word must end after it.
@@ -83,7 +83,7 @@ def article_bodies(hits: Column, sources: Column) -> Column:
 
     sources: map of label to the whole text. Labels without a text and articles that a text lacks are left out.
     """
-    bodies = F.transform(hits, lambda h: F.concat(F.lit("["), h["label"], F.lit(" "), h["article"], F.lit("]\n"), article_body(F.try_element_at(sources, h["label"]), h["article"])))
+    bodies = F.transform(hits, lambda h: F.concat(F.lit("["), h["label"], F.lit(" "), h["article"], F.lit("]\n"), found_body(F.try_element_at(sources, h["label"]), h["article"])))
     return F.concat_ws("\n\n---\n\n", F.filter(bodies, lambda b: b.isNotNull()))
 
 

@@ -67,7 +67,7 @@ def _raw_idf(documents: int) -> Column:
     return F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def _busy(docs: DataFrame) -> DataFrame:
+def busy(docs: DataFrame) -> DataFrame:
     """docs over all cores, where a small input comes in fewer partitions than that: making tokens is the work."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
@@ -275,7 +275,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
 def _fresh(docs: DataFrame, key: str, text: str, facets: list[str] | tuple[str, ...]) -> DataFrame:
     kept = F.struct(*[F.col(c) for c in facets]) if facets else F.struct(F.lit(0).alias("none"))
-    rows = _busy(docs.select(F.col(key).alias("key"), kept.alias("facets"), F.col(text).alias("text"))).select("key", "facets", words(F.col("text")).alias("words"))
+    rows = busy(docs.select(F.col(key).alias("key"), kept.alias("facets"), F.col(text).alias("text"))).select("key", "facets", words(F.col("text")).alias("words"))
     kind = rows.select(F.lit(0).cast("long").alias("block"), F.array("key").alias("keys"), F.array(F.lit(0).cast("long")).alias("dl"), F.array("facets").alias("facets"), F.array(F.lit("")).alias("terms"), *[F.array(F.lit(0)).alias(c) for c in ("counts", "at", "tf")]).schema
     return rows.mapInArrow(_words_to_blocks, kind)
 

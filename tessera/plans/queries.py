@@ -22,9 +22,8 @@ tokens AS (SELECT * EXCLUDE (ws), CASE WHEN len(ws) = 0 THEN ['_empty_'] ELSE ws
 
 @query(f"WITH src AS (SELECT doc_id, text FROM documents), {TOKENS} SELECT doc_id, CAST(len(ts) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(ts, lambda t: len(t))) AS BIGINT) AS n_chars FROM tokens")
 def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = T.tokenize(F.col("text"))
-    size = F.aggregate("ts", F.lit(0).cast("long"), lambda s, t: s + F.length(t))
-    return table(spark, folder, "documents").select("doc_id", tokens.alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_tokens"), size.alias("n_chars"))
+    rows = bm25.busy(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", T.tokenize(F.col("text")).alias("ts"))
+    return rows.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.length(F.array_join("ts", "")).cast("long").alias("n_chars"))
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
