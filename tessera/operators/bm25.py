@@ -17,13 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import EMPTY_TOKEN, TOKEN, tokenize, words
-from tessera.sources.tables import new_path, snapshot, written
+from tessera.sources.tables import exists, new_path, snapshot, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries without enough hits that are sent to all tasks; more are an error.
@@ -285,12 +284,7 @@ def load(spark: SparkSession, path: str, key: str = "doc_id") -> Index:
     state = spark.read.parquet(f"{path}/state")
     rows = state.where(F.col("version") == state.agg(F.max("version")).first()[0]).collect()
     version, segments = rows[0].version, {r.segment: (r.documents, r.tokens) for r in rows if r.segment}
-    try:
-        dead = spark.read.parquet(f"{path}/dead/version={version}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        dead = None
+    dead = spark.read.parquet(f"{path}/dead/version={version}") if exists(spark, f"{path}/dead/version={version}") else None
     n, tokens = (sum(x) for x in zip(*segments.values())) if segments else (0, 0)
     terms = _terms(spark, path, list(segments), version if dead is not None else None)
     return Index(path, key, version, segments, _read_blocks(spark, path, list(segments), dead), terms, n, tokens / max(n, 1), rows[0].mean_idf)
@@ -299,12 +293,7 @@ def load(spark: SparkSession, path: str, key: str = "doc_id") -> Index:
 def kept(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", facets: list[str] | tuple[str, ...] = ()) -> Index:
     """The index of these very files in the folder, built if it isn't there: named by the tokenizer and the files' sizes and times, never by a count of rows."""
     path = f"{folder.rstrip('/')}/bm25-{TOKENIZER}-{snapshot(docs)}-{'-'.join([key, text, *facets])}"
-    try:
-        return load(docs.sparkSession, path, key)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return build(docs, key, text, path, facets)
+    return load(docs.sparkSession, path, key) if exists(docs.sparkSession, f"{path}/state/version=0/_SUCCESS") else build(docs, key, text, path, facets)
 
 
 def update(index: Index, changed: DataFrame, gone: DataFrame | None = None, text: str = "text", facets: list[str] | tuple[str, ...] = ()) -> Index:
@@ -335,12 +324,9 @@ def update(index: Index, changed: DataFrame, gone: DataFrame | None = None, text
 
 
 def _dead_before(spark: SparkSession, index: Index) -> tuple[DataFrame, DataFrame] | None:
-    try:
-        return spark.read.parquet(f"{index.path}/dead/version={index.version}"), spark.read.parquet(f"{index.path}/gone/version={index.version}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return None
+    if not exists(spark, f"{index.path}/dead/version={index.version}"):
+        return None
+    return spark.read.parquet(f"{index.path}/dead/version={index.version}"), spark.read.parquet(f"{index.path}/gone/version={index.version}")
 
 
 def _terms_of_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,13 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.sources.tables import new_path, snapshot, written
+from tessera.sources.tables import exists, new_path, snapshot, written
 
 #: Documents and characters of a block, and buckets of grams.
 BLOCK, BLOCK_CHARACTERS, BUCKETS = 1024, 4_000_000, 64
@@ -62,8 +61,7 @@ def bucket_of(gram: np.ndarray) -> np.ndarray:
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, path: str | None = None) -> Index:
     """Reads the texts once and writes the index. Null texts count as empty. folder: a column that searches can be held to."""
     spark, path = docs.sparkSession, path or new_path(docs.sparkSession, "grams")
-    own = docs.schema[key].dataType
-    kind = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(own)), *T.StructType.fromDDL("folders array<string>, grams array<long>, counts array<int>, at array<int>").fields])
+    kind = _kind(docs, key)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, schema = TaskContext.get().partitionId() << 32, to_arrow_schema(kind)
@@ -100,26 +98,21 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     cores = spark.sparkContext.defaultParallelism
     rows = docs.select(F.col(key), (F.col(folder).cast("string") if folder else F.lit(None).cast("string")).alias("folder"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
     rows = rows.repartition(cores) if docs.rdd.getNumPartitions() < cores else rows
-    rows.mapInArrow(read, kind).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(read, kind).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
     return Index(spark.read.schema(kind).parquet(path), key)
 
 
 def kept(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text", folder: str | None = None) -> Index:
     """The index of these very files, built if it isn't there."""
     path = f"{place.rstrip('/')}/grams-1-{snapshot(docs)}-{key}-{text}-{folder}"
-    try:
-        rows = docs.sparkSession.read.parquet(path)
-        if _whole(docs.sparkSession, path):
-            return Index(rows.select("bucket", "block", "keys", "folders", "grams", "counts", "at"), key)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    if exists(docs.sparkSession, f"{path}/_SUCCESS"):
+        return Index(docs.sparkSession.read.schema(_kind(docs, key)).parquet(path), key)
     return build(docs, key, text, folder, path)
 
 
-def _whole(spark: SparkSession, path: str) -> bool:
-    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there))
+def _kind(docs: DataFrame, key: str) -> T.StructType:
+    lists = T.StructType.fromDDL("folders array<string>, grams array<long>, counts array<int>, at array<int>").fields
+    return T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), *lists])
 
 
 def candidates(index: Index, asked: list, after: dict, most: int) -> DataFrame:

@@ -52,6 +52,11 @@ def removed(spark: SparkSession, path: str) -> bool:
     return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there))
+
+
 def snapshot(df: DataFrame) -> str:
     """A checksum of the files that df is read from, their sizes and times; a new one for a table that has no files.
 
