@@ -27,6 +27,8 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT = 256
 #: Documents of a cell come in blocks of about this size; each two blocks are a cell of their own.
 BLOCK = 1024
+#: Bytes of vectors that go through a tree at once, or those of one cell.
+BOUND_BYTES = 16 << 20
 _LOWER = byte_table(lower=True)
 #: Bits of a shingle's hash that candidates are found by; the sets themselves are compared by all 64.
 _SHORT = np.uint64(16)
@@ -150,6 +152,7 @@ def _in_cells(cell: np.ndarray, node: np.ndarray, members: np.ndarray, block: in
 
 
 _CELLS = "bucket int, a binary, b binary, c binary, d binary, e binary"
+_POINTS = f"{_CELLS}, f binary"
 
 
 def _show(percent: int, buckets: int, frequent: int, block: int):
@@ -184,12 +187,14 @@ def _show(percent: int, buckets: int, frequent: int, block: int):
                 edges = runs(bucket[order], level[order])
                 for begin, end in zip(edges[:-1], edges[1:]):
                     part = order[begin:end]
-                    who, w = doc[some[part]], int(level[part[0]])
+                    part = part[np.argsort(doc[some[part]], kind="stable")]
+                    w = int(level[part[0]])
+                    who, which = np.unique(doc[some[part]], return_inverse=True)  # a document's vector goes once, however many cells here it is in
                     each = vectors[(position[who][:, None] + np.arange(1 << (w + lower))[None, :])]
                     each = each.reshape(len(who), 1 << w, -1).sum(axis=2).astype(np.uint16)
-                    out.append((int(bucket[part[0]]), pack(cell[part]), pack(own[who]), pack(n[who].astype(np.uint32)), pack(np.array([w], np.uint8)), pack(each.ravel())))
-        columns = list(zip(*out)) or [()] * 6
-        return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], ["bucket", "a", "b", "c", "d", "e"])
+                    out.append((int(bucket[part[0]]), pack(cell[part]), pack(own[who]), pack(n[who].astype(np.uint32)), pack(np.array([w], np.uint8)), pack(each.ravel()), pack(which.astype(np.uint32), True)))
+        columns = list(zip(*out)) or [()] * 7
+        return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], ["bucket", "a", "b", "c", "d", "e", "f"])
 
     return released(show)
 
@@ -201,23 +206,56 @@ def _edges(own: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _bound(percent: int):
+def _different(edges: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of members, one of each kind: runs of the same members are compared one by one, not by hashes alone."""
+    sizes = np.diff(edges)
+    if not len(sizes):
+        return sizes
+    sign = np.add.reduceat(mixed(members.astype(np.uint64) + np.uint64(1)), edges[:-1])
+    by = np.lexsort((sign, sizes))
+    like = np.flatnonzero((sizes[by][1:] == sizes[by][:-1]) & (sign[by][1:] == sign[by][:-1])) + 1
+    if not len(like):
+        return by
+    one, two = by[like], by[like - 1]
+    differ = members[spread(edges[one], sizes[one])] != members[spread(edges[two], sizes[two])]
+    same = np.zeros(len(by), bool)
+    same[like] = np.add.reduceat(differ, np.cumsum(sizes[one]) - sizes[one], dtype=np.int64) == 0
+    return by[~same]
+
+
+def _bound(percent: int, most: int = BOUND_BYTES):
     def bound(rows: pa.Table) -> pa.Table:
-        """Links that span, in each cell, the documents whose overlap may be large enough by their vectors."""
+        """Links that span, in each cell, the documents whose overlap may be large enough by their vectors.
+
+        Long near copies meet in very many cells: cells of the same documents are searched once, and cells go through the tree some
+        at a time, so that a document's vector is repeated within `most` bytes, or those of one cell.
+        """
         found = []
         width = np.array([int(unpack(x, np.uint8)[0]) for x in rows["d"].to_pylist()])
         for w in np.unique(width):
             held = rows.filter(pa.array(width == w))
-            cell, own = (np.concatenate([unpack(x, np.uint64) for x in held[c].to_pylist()]) for c in "ab")
+            owns = [unpack(x, np.uint64) for x in held["b"].to_pylist()]
+            own, first = np.concatenate(owns), np.cumsum([0, *(len(x) for x in owns[:-1])])
             n = np.concatenate([unpack(x, np.uint32) for x in held["c"].to_pylist()]).astype(np.int64)
             counts = np.concatenate([unpack(x, np.uint16) for x in held["e"].to_pylist()]).reshape(len(n), -1)
-            order = np.lexsort((own, n, cell))
+            cell = np.concatenate([unpack(x, np.uint64) for x in held["a"].to_pylist()])
+            doc = np.concatenate([unpack(x, np.uint32, True).astype(np.int64) + k for x, k in zip(held["f"].to_pylist(), first)])
+            order = np.lexsort((own[doc], n[doc], cell))
             edges = runs(cell[order])
             order = order[np.repeat(np.diff(edges) > 1, np.diff(edges))]
-            cell, own, n, counts = cell[order], own[order], n[order], counts[order]
-            found.append(_edges(own, CountTree(counts, n, cell, percent).connect()))
-        one, two = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"one": pa.array(one), "two": pa.array(two)})
+            cell, doc = cell[order], doc[order]
+            edges = runs(cell)
+            kept = np.sort(_different(edges, doc))
+            sizes = np.diff(edges)[kept]
+            turn = np.cumsum(sizes * counts.shape[1] * counts.itemsize) // most
+            for some in np.split(kept, np.flatnonzero(np.diff(turn)) + 1):
+                if not len(some):
+                    continue
+                at = spread(edges[some], np.diff(edges)[some])
+                d = doc[at]
+                found.append(_edges(own[d], CountTree(counts[d], n[d], cell[at], percent).connect()))
+        one, two = (np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0).T if found else np.zeros((2, 0), np.int64))
+        return pa.table({"one": pa.array(np.ascontiguousarray(one)), "two": pa.array(np.ascontiguousarray(two))})
 
     return released(bound)
 
@@ -305,7 +343,7 @@ def _join(docs: DataFrame, key: str, text: str, size: int, percent: int, frequen
     table = _read(rows, size, percent, buckets)
     told = materialize(table.where("kind != 'text'").select("kind", "bucket", "batch", "a", "b").groupBy("bucket").applyInArrow(_answer, "batch long, bucket int, kind string, told binary"), "jaccard-told")
     texts = table.where("kind = 'text'")
-    cells = texts.select("batch", "a", "b", "c", "d", "e").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_show(percent, buckets, frequent, block), _CELLS)
+    cells = texts.select("batch", "a", "b", "c", "d", "e").groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_show(percent, buckets, frequent, block), _POINTS)
     maybe = cells.groupBy("bucket").applyInArrow(_bound(percent), "one long, two long")
     clusters = components(maybe)
     # written first, so that the join stands alone in its stage and a large cluster's rows can be split

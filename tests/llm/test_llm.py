@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -615,6 +617,41 @@ def test_every_stage_on_its_own_input(spark):
 # ---- one text that is longer than a slice
 
 
+def _largest_worker(stop, out):
+    """The most memory that one Python worker has taken, in MB, looked at until stop is set."""
+    while not stop.wait(0.05):
+        for status in Path("/proc").glob("[0-9]*/status"):
+            try:
+                if b"pyspark" in (status.parent / "cmdline").read_bytes() and b"java" not in (status.parent / "cmdline").read_bytes():
+                    peak = next(x for x in status.read_text().splitlines() if x.startswith("VmRSS"))
+                    out[0] = max(out[0], int(peak.split()[1]) / 1024)
+            except (OSError, StopIteration):
+                continue
+
+
+def test_long_near_copies_take_little_memory(spark):
+    rng = random.Random(3)
+    one = [f"w{rng.randrange(50_000)}" for _ in range(600_000)]
+    two = [*one[:300_000], "another", *one[300_001:]]
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(one[::-1]))], "doc_id long, text string")
+    stop, peak = threading.Event(), [0.0]
+    watch = threading.Thread(target=_largest_worker, args=(stop, peak))
+    watch.start()
+    found = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    stop.set()
+    watch.join()
+    print("MB", peak[0])
+    assert found == {1: 1, 2: 1, 3: 3} and 0 < peak[0] < 1000
+
+
+def test_cells_of_the_same_members_are_searched_once():
+    members = np.array([1, 2, 3, 1, 2, 2, 3, 1, 2, 1, 2, 3])
+    edges = np.array([0, 3, 5, 7, 9, 12])  # 123, 12, 23, 12, 123
+    kept = jaccard._different(edges, members)
+    assert sorted(tuple(members[edges[k] : edges[k + 1]].tolist()) for k in kept) == [(1, 2), (1, 2, 3), (2, 3)]
+    assert len(jaccard._different(np.zeros(1, np.int64), members[:0])) == 0
+
+
 def test_a_text_longer_than_a_slice(spark):
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(3000)]
