@@ -3,7 +3,8 @@
 Each window of `length` bytes has an anchor: its 32-byte gram with the smallest hash. Equal windows have equal anchors at equal
 offsets, so windows are compared only with those whose anchor is the same gram. The windows of one anchor overlap, and travel as
 one stretch of text. Stretches that are equal as a whole are known by their hashes; where the stretches around one gram differ,
-one of each kind is brought together, and their suffixes' longest previous factors tell which windows occur again.
+one of each kind is brought together, and their suffixes' longest previous factors tell which windows occur again. Where very many
+differ around one gram, stretches are cut in parts that go by a longer gram: the bytes that all windows of a part have in common.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from tessera.llm.suffixes import longest_previous_factor
 from tessera.llm.text import bytes_of, mixed, offsets_of, utf8
 
 LENGTH, GRAM = 200, 32
-#: Stretches around one gram that are compared in suffix order in one task. Where there are more, each window goes by its own hashes.
+#: Different stretches around one gram that go to the gram's bucket whole. Of more, parts go to the buckets of their longer grams.
 SUFFIX_GROUP = 256
+#: Parts that a whole stretch is cut in then: the longer gram is so much of a window that parts are its windows' bytes and few others.
+PARTS = 8
+#: Bytes of text that are brought in suffix order at once: about 80 times as much memory.
+SUFFIX_BYTES = 2 << 20
 #: Bytes of text in a batch: a task needs about 80 times as much for the hashes of all places.
 BATCH_BYTES = 2 << 20
 REPEATED, OWNER, SHARED, CROWDED = 1, 2, 4, 8
@@ -88,15 +93,13 @@ def _content_hashes(hashes: np.ndarray, anchor: np.ndarray, first: np.ndarray, c
         return mixed(total * _ODD + hashes[first + size - GRAM])
 
 
-def _window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window's bytes."""
-    one, two = np.zeros(len(starts), np.uint64), np.full(len(starts), 77, np.uint64)
+def _wide_hashes(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes from each place on."""
+    total = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        for k in [*range(0, length - GRAM, GRAM), length - GRAM]:
-            own = gram_hashes(data, starts + k)
-            one = mixed(one * _ODD + own)
-            two = mixed((two ^ own) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k + 1))
-    return one, two
+        for k in [*range(0, size - GRAM, GRAM), size - GRAM]:
+            total = mixed(total * _ODD + gram_hashes(data, starts + k))
+    return total
 
 
 def _read(docs: DataFrame, length: int, buckets: int, batch_bytes: int) -> DataFrame:
@@ -177,71 +180,103 @@ class _Batch:
 _TOLD = "batch long, kinds binary, places binary"
 
 
+def _parts(anchor: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Stretches cut in parts by where the anchor is in their windows, so that equal windows are in equal parts.
+
+    For each part: the stretch's number, the first window's place, the number of windows, and where the bytes begin that all
+    windows of a part have in common; at last their size.
+    """
+    wide = max(1, (length - GRAM) // PARTS)
+    least, most = (anchor - first - count + 1) // wide, (anchor - first) // wide
+    stretch = np.repeat(np.arange(len(first)), most - least + 1)
+    core = anchor[stretch] - wide * spread(least, most - least + 1)
+    low = np.maximum(first[stretch], core - wide + 1)
+    return stretch, low, np.minimum((first + count)[stretch] - 1, core) - low + 1, core, length - wide + 1
+
+
 def _questions(buckets: int, length: int):
     def ask(row: pa.Table, answers: pa.Table) -> pa.Table:
-        """The first of each kind of stretch whose gram others share: its bytes, or its windows' hashes where they are too many."""
-        out = {c: [] for c in ("kind", "bucket", "batch", "a", "b", "c", "d")}
+        """The first of each kind of stretch whose gram others share: its bytes, or those of its parts where the gram has too many kinds."""
+        out = {c: [] for c in ("bucket", "batch", "a", "b", "c", "d", "e")}
         if row.num_rows:
             x = _Batch(row, answers)
-            for kind, wanted in (("bytes", (x.state & (OWNER | SHARED | CROWDED)) == OWNER | SHARED), ("hashes", (x.state & (OWNER | CROWDED)) == OWNER | CROWDED)):
-                held = x.lead[np.flatnonzero(wanted)]
-                held.sort()
-                if kind == "bytes":
-                    bucket = (gram_hashes(x.data, x.anchor[held]) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
-                    fields = [x.kind[held].astype(np.uint32), x.count[held].astype(np.uint16)]
-                else:
-                    windows = spread(x.first[held], x.count[held])
-                    one, two = _window_hashes(x.data, windows, length)
-                    bucket = one % np.uint64(buckets)
-                    fields = [np.repeat(x.kind[held], x.count[held]).astype(np.uint32), spread(np.zeros(len(held), np.int64), x.count[held]).astype(np.uint16), one, two]
-                order = np.argsort(bucket, kind="stable")
-                edges = runs(bucket[order])
-                for begin, end in zip(edges[:-1], edges[1:]):
-                    some = order[begin:end]
-                    if kind == "bytes":
-                        text = x.data[spread(x.first[held[some]], x.count[held[some]] + length - 1)]
-                        parts = [pack(fields[0][some]), pack(fields[1][some]), zstandard.ZstdCompressor(level=1).compress(text.tobytes()), None]
-                    else:
-                        parts = [pack(f[some]) for f in fields]
-                    for c, v in zip(out, (kind, int(bucket[some[0]]), row["batch"][0].as_py(), *parts)):
-                        out[c].append(v)
-        return pa.table({"kind": pa.array(out["kind"], pa.string()), "bucket": pa.array(out["bucket"], pa.int32()), "batch": pa.array(out["batch"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in "abcd"}})
+            held, crowd = (np.sort(x.lead[np.flatnonzero((x.state & (OWNER | SHARED | CROWDED)) == wanted)]) for wanted in (OWNER | SHARED, OWNER | SHARED | CROWDED))
+            part, low, count, core, size = _parts(x.anchor[crowd], x.first[crowd], x.count[crowd], length)
+            key = np.concatenate([gram_hashes(x.data, x.anchor[held]), _wide_hashes(x.data, core, size)])
+            own = np.concatenate([held, crowd[part]])
+            first, count = np.concatenate([x.first[held], low]), np.concatenate([x.count[held], count])
+            bucket = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = runs(bucket[order])
+            for begin, end in zip(edges[:-1], edges[1:]):
+                some = order[begin:end]
+                text = x.data[spread(first[some], count[some] + length - 1)]
+                parts = [pack(x.kind[own[some]].astype(np.uint32)), pack((first[some] - x.first[own[some]]).astype(np.uint16)), pack(count[some].astype(np.uint16)), pack(key[some]), zstandard.ZstdCompressor(level=1).compress(text.tobytes())]
+                for c, v in zip(out, (int(bucket[some[0]]), row["batch"][0].as_py(), *parts)):
+                    out[c].append(v)
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "batch": pa.array(out["batch"], pa.int64()), **{c: pa.array(out[c], pa.binary()) for c in "abcde"}})
 
     return released(ask)
 
 
-def _settle(length: int, keep_first: bool):
+def _again(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have an equal one before them, and which have one anywhere, by longest previous factors."""
+    shared, source = longest_previous_factor(data, starts, length)
+    later = shared >= length
+    either = later.copy()
+    either[np.searchsorted(starts, source[later])] = True
+    return later, either
+
+
+def _again_by_pieces(data: np.ndarray, starts: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for more windows than go in suffix order at once.
+
+    A hash deals the windows over pieces, so that equal ones meet; a piece takes its windows in turns, and only those without an
+    equal one before them stay for the next turn. Their bytes decide, in suffix order, as ever.
+    """
+    later, either = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    piece = _wide_hashes(data, starts, length) % np.uint64(-(-len(starts) * length // most))
+    order, step = np.argsort(piece, kind="stable"), max(1, most // length)
+    edges = runs(piece[order])
+    for begin, end in zip(edges[:-1], edges[1:]):
+        alone = order[:0]
+        for k in range(begin, end, step):
+            some = np.concatenate([alone, order[k : min(k + step, end)]])
+            text = data[spread(starts[some], np.full(len(some), length))]
+            after, any_ = _again(text, np.arange(len(some)) * length, length)
+            later[some[after]] = True
+            either[some[any_]] = True
+            alone = some[~after]
+    return later, either
+
+
+def _settle(length: int, keep_first: bool, most: int):
     def settle(asked: pa.Table) -> pa.Table:
         """Windows that stand elsewhere too (or earlier, if the first is kept), among different stretches around the same grams."""
-        flagged = {}
-        for kind in ("bytes", "hashes"):
-            rows = asked.filter(pa.compute.equal(asked["kind"], kind)).sort_by("batch")
-            if not rows.num_rows:
+        asked = asked.sort_by("batch")
+        held = [unpack(v, np.uint32) for v in asked["a"].to_pylist()]
+        batch = np.repeat(np.asarray(asked["batch"]), [len(h) for h in held])
+        kinds, key = np.concatenate(held), np.concatenate([unpack(v, np.uint64) for v in asked["d"].to_pylist()])
+        place, count = (np.concatenate([unpack(v, np.uint16) for v in asked[c].to_pylist()]).astype(np.int64) for c in "bc")
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(v) for v in asked["e"].to_pylist()), np.uint8)
+        size = count + length - 1
+        begin = np.cumsum(size) - size
+        order = np.argsort(key, kind="stable")  # earlier batches first
+        edges = runs(key[order])
+        turn = (np.cumsum(np.add.reduceat(size[order], edges[:-1])) if len(order) else edges[:-1]) // most
+        flagged = [(batch[:0], kinds[:0], place[:0])]
+        for groups in np.split(np.arange(len(turn)), np.flatnonzero(np.diff(turn)) + 1):
+            some = order[edges[groups[0]] : edges[groups[-1] + 1]] if len(groups) else order[:0]
+            if not len(some):
                 continue
-            held = [unpack(v, np.uint32) for v in rows["a"].to_pylist()]
-            batch = np.repeat(np.asarray(rows["batch"]), [len(h) for h in held])
-            kinds, place = np.concatenate(held), np.concatenate([unpack(v, np.uint16) for v in rows["b"].to_pylist()]).astype(np.int64)
-            if kind == "bytes":
-                data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(v) for v in rows["c"].to_pylist()), np.uint8)
-                count, begin = place, np.cumsum(place + length - 1) - (place + length - 1)
-                starts = spread(begin, count)
-                shared, source = longest_previous_factor(data, starts, length)
-                again = shared >= length
-                if not keep_first:
-                    again[np.searchsorted(starts, source[shared >= length])] = True
-                batch, kinds, place = np.repeat(batch, count), np.repeat(kinds, count), spread(np.zeros(len(count), np.int64), count)
+            if size[some].sum() <= 2 * most:
+                text = data[spread(begin[some], size[some])]
+                later, either = _again(text, spread(np.cumsum(size[some]) - size[some], count[some]), length)
             else:
-                one, two = (np.concatenate([unpack(v, np.uint64) for v in rows[c].to_pylist()]) for c in "cd")
-                order = np.lexsort((two, one))  # stable: earlier batches first
-                edges = runs(one[order], two[order])
-                times = np.diff(edges)
-                told = np.repeat(times > 1, times)
-                if keep_first:
-                    told[edges[:-1]] = False
-                again = np.empty(len(order), bool)
-                again[order] = told
-            flagged[kind] = (batch[again], kinds[again], place[again])
-        batch, kinds, place = (np.concatenate(x) for x in zip(*flagged.values())) if flagged else (np.zeros(0, np.int64),) * 3
+                later, either = _again_by_pieces(data, spread(begin[some], count[some]), length, most)
+            again = later if keep_first else either
+            flagged.append((np.repeat(batch[some], count[some])[again], np.repeat(kinds[some], count[some])[again], spread(place[some], count[some])[again]))
+        batch, kinds, place = (np.concatenate(x) for x in zip(*flagged))
         order = np.argsort(batch, kind="stable")
         edges = runs(batch[order])
         parts = [order[b:e] for b, e in zip(edges[:-1], edges[1:])]
@@ -303,7 +338,7 @@ def _cut(length: int, keep_first: bool, whole_characters: bool):
     return released(cut)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_first: bool = False, whole_characters: bool = False, suffix_group: int = SUFFIX_GROUP, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_first: bool = False, whole_characters: bool = False, suffix_group: int = SUFFIX_GROUP, batch_bytes: int = BATCH_BYTES, suffix_bytes: int = SUFFIX_BYTES) -> DataFrame:
     """Each row's other columns with n_bytes, spans (array of byte ranges, ends excluded) and kept (the bytes beyond the spans).
 
     The spans are all bytes covered by a string of `length` bytes that also starts elsewhere in any text, the same included;
@@ -322,8 +357,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     asked = table.where("kind = 'ask'").select("bucket", "batch", "a", "b", "c")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_states(suffix_group), "batch long, bucket int, state binary"), "repeats-states")
     texts = table.where("kind = 'text'").select("batch", "keys", "a", "b", "c", "d", "e", "body")
-    questions = texts.drop("keys").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_questions(buckets, length), "kind string, bucket int, batch long, a binary, b binary, c binary, d binary")
-    settled = materialize(questions.groupBy("bucket").applyInArrow(_settle(length, keep_first), _TOLD), "repeats-windows")
+    questions = texts.drop("keys").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_questions(buckets, length), "bucket int, batch long, a binary, b binary, c binary, d binary, e binary")
+    settled = materialize(questions.groupBy("bucket").applyInArrow(_settle(length, keep_first, suffix_bytes), _TOLD), "repeats-windows")
     told = answers.select("batch", "bucket", "state", F.lit(None).cast("binary").alias("kinds"), F.lit(None).cast("binary").alias("places"))
     told = told.unionByName(settled.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("state"), "kinds", "places"))
     out = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL("n_bytes long, spans array<struct<begin:long,end:long>>, kept binary").fields])

@@ -385,6 +385,28 @@ def test_the_first_occurrence_stays(spark, group):
     assert sorted((repr(r.doc_id), bytes(r.kept)) for r in found) == want
 
 
+@pytest.mark.parametrize("keep_first,suffix_bytes", [(False, repeats.SUFFIX_BYTES), (True, repeats.SUFFIX_BYTES), (False, 30_000), (True, 5_000)])
+def test_more_stretches_round_one_gram_than_go_whole(spark, keep_first, suffix_bytes):
+    rng = random.Random(4)
+
+    def some(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    commons, left, right = [some(140) for _ in range(2)], [some(60) for _ in range(40)], [some(60) for _ in range(30)]
+    texts = [some(150) + rng.choice(left) + commons[k % 2] + rng.choice(right) + some(150) for k in range(900)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hashes = repeats.gram_hashes(data)
+    anchor, first, count = repeats.stretches(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), hashes, 200)
+    kinds = defaultdict(set)
+    for a, b, n in zip(hashes[anchor].tolist(), first.tolist(), count.tolist()):
+        kinds[a].add(data[b : b + n + 199].tobytes())
+    assert max(map(len, kinds.values())) > repeats.SUFFIX_GROUP
+    whole, gone = brute_cut(texts, 200, keep_first)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: [tuple(x) for x in r.spans] for r in repeats.repeated_spans(table, keep_first=keep_first, batch_bytes=100_000, suffix_bytes=suffix_bytes).collect()}
+    assert found == {k: spans_of(g) for k, g in enumerate(gone)} and sum(map(bool, found.values())) > 100
+
+
 def test_repeats_query_and_whole_characters(spark, docs, none):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     data, gone = brute_cut([t for _, t in rows], 200, False)
