@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import EMPTY_TOKEN, TOKEN, tokenize, words
-from tessera.sources.tables import exists, new_path, snapshot, written
+from tessera.sources.tables import batches_of, exists, new_path, snapshot, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries without enough hits that are sent to all tasks; more are an error.
@@ -33,6 +33,8 @@ BLOCK, SORTED, SORTED_TOKENS = 128, 4096, 1_000_000
 QUERY_BLOCK, QUERY_TERMS = 20_000, 4_000_000
 #: Of so many blocks one is searched first: the k-th best score in it is the others' threshold.
 FIRST = 16
+#: Blocks that a task holds at once, in a file's row group and in a batch for Python, and documents in a batch that become blocks.
+HELD, DOCUMENTS_HELD = 16, 1024
 #: Terms that are added up between two looks at what is left.
 STEP = 8
 #: Segments of about one size that become one, and the share of dead documents from which a segment is written anew.
@@ -148,15 +150,26 @@ def _words_to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         coded = held.flatten().dictionary_encode()
         pairs, times = np.unique(np.asarray(coded.indices).astype(np.int64) << 32 | doc, return_counts=True)
         begin, flat, terms = _shingles([*coded.dictionary.to_pylist()])
+        terms, none = pa.concat_arrays([terms, pa.array([EMPTY_TOKEN])]), len(terms)  # documents without a word have one term that says so
         word, doc = pairs >> 32, pairs & 0xFFFFFFFF
         each = begin[word + 1] - begin[word]
-        at = np.repeat(begin[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        own, of = np.unique(flat[at] << 32 | np.repeat(doc, each), return_inverse=True)
-        tf = np.bincount(of, np.repeat(times, each), len(own)).astype(np.int64)
-        none = np.flatnonzero(size == 0)  # documents without a word have one term that says so
-        own, tf = np.concatenate([own, len(terms) << 32 | none]), np.concatenate([tf, np.ones(len(none), np.int64)])
-        terms = pa.concat_arrays([terms, pa.array([EMPTY_TOKEN])])
-        yield from cut(rows["key"].combine_chunks(), rows["facets"].combine_chunks(), own & 0xFFFFFFFF, own >> 32, tf, terms, number)
+        length = np.maximum(np.bincount(doc, times * each, len(held)).astype(np.int64), 1)
+        order = np.argsort(length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[doc] // BLOCK, kind="stable")
+        edges = np.searchsorted(place[doc[by]] // BLOCK, np.arange(-(-len(held) // BLOCK) + 1))
+        for n, (low, high) in enumerate(zip(edges[:-1], edges[1:])):  # a word's shingles are spelled out for one block at a time
+            own, some = order[n * BLOCK : (n + 1) * BLOCK], by[low:high]
+            first, count = begin[word[some]], each[some]
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            found, of = np.unique(flat[at] << 32 | np.repeat(place[doc[some]] % BLOCK, count), return_inverse=True)
+            tf = np.bincount(of, np.repeat(times[some], count), len(found)).astype(np.int64)
+            bare = np.flatnonzero(size[own] == 0)
+            found, tf = np.concatenate([found, none << 32 | bare]), np.concatenate([tf, np.ones(len(bare), np.int64)])
+            yield from cut(rows["key"].combine_chunks().take(pa.array(own)), rows["facets"].combine_chunks().take(pa.array(own)), found & 0xFFFFFFFF, found >> 32, tf, terms, number)
+        del rows, held, coded, pairs, times, word, doc, each, by, flat
+        pa.default_memory_pool().release_unused()
 
 
 def _live(row: dict, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,10 +220,11 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- segments
 
 
-def _segment(path: str, blocks: DataFrame) -> str:
-    """Writes a segment: its blocks, and how many documents hold each term."""
+def _segment(path: str, blocks: DataFrame, held: int = DOCUMENTS_HELD) -> str:
+    """Writes a segment: its blocks, and how many documents hold each term. held: rows, of what becomes blocks, in a batch."""
     name = uuid.uuid4().hex
-    blocks.write.option("compression", "zstd").parquet(f"{path}/segments/{name}/blocks")
+    with batches_of(blocks.sparkSession, held):
+        blocks.write.options(**{"compression": "zstd", "parquet.block.row.count.limit": HELD}).parquet(f"{path}/segments/{name}/blocks")
     held = blocks.sparkSession.read.parquet(f"{path}/segments/{name}/blocks")
     pairs = held.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.terms", "x.counts")
     pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("df")).write.option("compression", "zstd").parquet(f"{path}/segments/{name}/terms")
@@ -319,7 +333,7 @@ def update(index: Index, changed: DataFrame, gone: DataFrame | None = None, text
         segments[r.segment] = (segments[r.segment][0] - r.n, segments[r.segment][1] - r.t)
     name = _segment(path, _fresh(changed, key, text, facets))
     segments[name] = _numbers_of(spark, path, name)
-    _publish(spark, path, index.version + 1, segments, written(dead, "dead"), written(lost, "gone"))
+    _publish(spark, path, index.version + 1, segments, written(dead, "dead"), written(lost, "gone", batch=HELD))
     return _merged(load(spark, path, key))
 
 
@@ -356,8 +370,8 @@ def _merged(index: Index) -> Index:
         return index
     kind = index.blocks.select(*_NAMES).schema
     some = index.blocks.where(F.col("segment").isin(sorted(anew)))
-    name = _segment(index.path, some.mapInArrow(_blocks_to_blocks, kind))
-    back = written(some.where(F.size("dead") > 0).withColumn("some", F.col("dead")).mapInArrow(_terms_of_some, "term string, df long"), "back")
+    name = _segment(index.path, some.mapInArrow(_blocks_to_blocks, kind), HELD)
+    back = written(some.where(F.size("dead") > 0).withColumn("some", F.col("dead")).mapInArrow(_terms_of_some, "term string, df long"), "back", batch=HELD)
     gone = gone.unionByName(back).groupBy("term").agg(F.sum("df").alias("df")).where("df != 0")
     segments = {s: v for s, v in index.segments.items() if s not in anew} | {name: _numbers_of(spark, index.path, name)}
     _publish(spark, index.path, index.version + 1, segments, written(dead.where(~F.col("segment").isin(sorted(anew))), "dead"), written(gone, "gone"))
@@ -488,9 +502,9 @@ def top(queries: DataFrame, index: Index, k: int, query_id: str = "query_id", te
         part = known if passes == 1 else known.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         part = part if equal else part.drop("want")
         look = lambda some, least: ranked(_searched(some, part, k, index.mean_length, kind, equal[0] if equal else None, where, least), k, "query_id", "key")  # noqa: B023, E731
-        first = written(look(index.blocks.where(F.pmod(F.xxhash64("segment", "block"), F.lit(FIRST)) == 0), {}), "first")
+        first = written(look(index.blocks.where(F.pmod(F.xxhash64("segment", "block"), F.lit(FIRST)) == 0), {}), "first", batch=HELD)
         least = {r.query_id: r.score for r in first.where(F.col("rank") == k - 1).select("query_id", "score").collect()}
-        found += [first, look(index.blocks.where(F.pmod(F.xxhash64("segment", "block"), F.lit(FIRST)) != 0), least)]
+        found += [first, written(look(index.blocks.where(F.pmod(F.xxhash64("segment", "block"), F.lit(FIRST)) != 0), least), "others", batch=HELD)]
     rows = reduce(DataFrame.unionByName, [f.select("query_id", "key", "score") for f in found])
     rows = ranked(rows, k, "query_id", "key")
     return rows.select(F.col("query_id").alias(query_id), F.col("key").alias(key), "score", "rank")

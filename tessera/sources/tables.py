@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting for removing the shuffle files of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Its setting for the most rows of a batch that goes to Python.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,18 +33,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, by: str | None = None, path: str | None = None) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What is run inside hands Python at most so many rows at once: for rows that are large. None leaves it as it is."""
+    before = spark.conf.get(BATCH)
+    if rows is not None and not 0 < int(before) <= rows:
+        spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def written(df: DataFrame, label: str, by: str | None = None, path: str | None = None, batch: int | None = None) -> DataFrame:
     """df written once as Parquet and read back: lineage ends here, and a lost executor costs no recomputation beyond it.
 
     by: a column with few values; rows with another value are not read when it is filtered for one.
-    path: where, else a new folder. The write's own shuffle files go when it is done: nothing reads them after that.
+    path: where, else a new folder. batch: the most rows that Python gets at once. The write's own shuffle files go when it is done: nothing reads them after that.
     """
     conf, path = df.sparkSession.conf, path or new_path(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        with batches_of(df.sparkSession, batch):
+            (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

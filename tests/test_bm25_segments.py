@@ -1,8 +1,11 @@
 """The block index of BM25: what it skips, how it follows changes, and filters by facets, against scoring everything."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,24 @@ def test_the_tokenizer_is_part_of_a_kept_index(spark, tmp_path, monkeypatch):
     assert bm25.kept(docs, str(tmp_path / "kept")).path == first.path
     monkeypatch.setattr(bm25, "TOKENIZER", "other")
     assert bm25.kept(docs, str(tmp_path / "kept")).path != first.path
+
+
+def test_blocks_are_made_and_held_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Many words of many shingles in one batch: what they come to is spelled out for one block at a time, and no file's row group holds more than a few blocks."""
+    rng = np.random.default_rng(7)
+    vocabulary = np.array([f"{chr(97 + n % 26)}{n:011d}" for n in range(3000)])
+    own = pa.array([vocabulary[rng.integers(0, 3000, 300)] for _ in range(3000)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([{"none": 0}] * 3000), own], ["key", "facets", "words"])
+    with monkeypatch.context() as alone:
+        alone.setattr(bm25, "_numbers", lambda: iter(range(1 << 30)).__next__)
+        tracemalloc.start()
+        blocks = sum(b.num_rows for b in bm25._words_to_blocks(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert blocks == -(-3000 // bm25.BLOCK) and most < 150 << 20
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text")).coalesce(1)
+    monkeypatch.setattr(bm25, "busy", lambda rows: rows)
+    index = bm25.build(docs, path=str(tmp_path / "index"))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.blocks.inputFiles()]
+    sizes = [m.row_group(n).num_rows for m in files for n in range(m.num_row_groups)]
+    assert sum(sizes) >= 40 and max(sizes) <= bm25.HELD
