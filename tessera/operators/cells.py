@@ -6,12 +6,11 @@ with all cells the result is `vectors.nearest`'s. How many cells are enough is m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +22,8 @@ from tessera.sources.tables import new_path, written
 SAMPLE, ROUNDS, MOST_CELLS = 64, 12, 16_384
 #: Folders that the cells are dealt over, and queries that all tasks get at once.
 SHARDS, QUERY_BLOCK = 32, 10_000
+#: Distances between points and centres that are held at once.
+TABLE = 1 << 21
 
 
 @dataclass
@@ -34,23 +35,28 @@ class Index:
     key: str
 
 
-def _distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def _distances(one: np.ndarray, two: np.ndarray, product: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.matmul) -> np.ndarray:
     """Squared distances of all pairs, good enough to tell cells by."""
-    return np.maximum((one * one).sum(axis=1)[:, None] - 2 * one @ two.T + (two * two).sum(axis=1), 0)
+    return np.maximum((one * one).sum(axis=1)[:, None] - 2 * product(one, two.T) + (two * two).sum(axis=1), 0)
 
 
 def fit(sample: np.ndarray, cells: int) -> np.ndarray:
     """Centres of a sample: its first vectors, moved to the means of those nearest to them. A centre without vectors stays."""
     at = sample[:cells].copy()
     for _ in range(ROUNDS):
-        own = _distances(sample, at).argmin(axis=1)
-        sums = np.zeros_like(at)
-        np.add.at(sums, own, sample)
-        count = np.bincount(own, minlength=len(at))
-        at[count > 0] = sums[count > 0] / count[count > 0, None]
+        own = nearest_centre(sample, at)
+        order = np.argsort(own, kind="stable")
+        held, begin, count = np.unique(own[order], return_index=True, return_counts=True)
+        at[held] = np.add.reduceat(sample[order], begin) / count[:, None]
     return at
 
 
+def nearest_centre(points: np.ndarray, centres: np.ndarray, product: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.matmul) -> np.ndarray:
+    """The centre of each point; so many points at once that their table of distances stays small."""
+    some = max(1, TABLE // max(len(centres), 1))
+    return np.concatenate([_distances(points[p : p + some], centres, product).argmin(axis=1) for p in range(0, len(points), some)] or [np.zeros(0, np.int64)])
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(-1, size)
 
@@ -72,11 +78,11 @@ def build(vectors: DataFrame, size: int, cells: int | None = None, key: str = "v
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = _distances(_matrix(batch.column("vector"), size), sent.value).argmin(axis=1) if batch.num_rows else np.zeros(0, int)
+            cell = nearest_centre(_matrix(batch.column("vector"), size), sent.value, exact.product)
             yield pa.RecordBatch.from_arrays([pa.array(cell % SHARDS, pa.int32()), pa.array(cell, pa.int32()), batch.column("key"), batch.column("vector")], ["shard", "cell", "key", "vector"])
 
     kind = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("cell", T.IntegerType()), *rows.schema.fields])
-    rows.mapInArrow(assign, kind).sortWithinPartitions("shard", "cell").write.partitionBy("shard").parquet(f"{path}/rows")
+    rows.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(assign, kind).sortWithinPartitions("shard", "cell").write.partitionBy("shard").parquet(f"{path}/rows")
     spark.createDataFrame([(n, c.tolist()) for n, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
     return load(spark, path, key)
 
@@ -101,7 +107,7 @@ def nearest(queries: DataFrame, index: Index, k: int, probes: int, query_id: str
         part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p)
         one = _nearest(part, index, k, probes, query_id, spark)
         found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy(query_id).orderBy("distance", index.key)
+    order = Window.partitionBy(query_id).orderBy(F.round("distance", 9), index.key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
@@ -116,50 +122,54 @@ def _nearest(queries: DataFrame, index: Index, k: int, probes: int, query_id: st
         return spark.createDataFrame([], kind)
     points = _matrix(own, size)
     probes = min(probes, len(index.centres))
-    looked = np.argpartition(_distances(points, index.centres), probes - 1, axis=1)[:, :probes]
-    by_cell: dict[int, np.ndarray] = {int(c): np.flatnonzero((looked == c).any(axis=1)) for c in np.unique(looked)}
-    sent, name = spark.sparkContext.broadcast((points, by_cell, ids)), index.key
+    bits = None if probes == len(index.centres) else _looked(points, index.centres, probes)
+    sent, name = spark.sparkContext.broadcast((points, bits, ids)), index.key
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, by_cell, ids = sent.value
-        worst = np.full(len(points), np.inf)  # the k-th distance that this task has met
-        best = np.full((len(points), k), np.inf)
+        points, bits, ids = sent.value
+        best, every = exact.Best(len(points), k), np.arange(len(points))
         for batch in batches:
-            cell = np.asarray(batch.column("cell"))
+            cell = np.asarray(batch.column("cell")) if bits is not None else np.zeros(batch.num_rows, np.int64)  # all cells are as one
             order = np.argsort(cell, kind="stable")
             edges = np.flatnonzero(np.diff(cell[order], prepend=-1))
             matrix = _matrix(batch.column("vector"), size)
             for begin, end in zip(edges, [*edges[1:], len(order)]):
-                for q in by_cell.get(int(cell[order[begin]]), ()):
-                    rows = order[begin:end]
-                    gap = matrix[rows] - points[q]
-                    distance = (gap * gap).cumsum(axis=1)[:, -1]  # in order, as a row's sum is made elsewhere
-                    near = np.flatnonzero(distance <= worst[q])
-                    if not len(near):
-                        continue
-                    if len(near) > k:
-                        cut = np.partition(distance[near], k - 1)[k - 1]
-                        ties = near[distance[near] == cut]
-                        near = near[distance[near] < cut]
-                        names = batch.column("key").take(pa.array(rows[ties]))
-                        near = np.concatenate([near, ties[np.asarray(pc.sort_indices(names))[: k - len(near)]]])
-                    best[q] = np.sort(np.concatenate([best[q], distance[near]]))[:k]
-                    worst[q] = best[q, -1]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(near), q))), batch.column("key").take(pa.array(rows[near])), pa.array(distance[near])], [query_id, name, "distance"])
-
-    shards = sorted({c % SHARDS for c in by_cell})
+                rows = order[begin:end]
+                own = every if bits is None else np.flatnonzero(np.unpackbits(bits[cell[rows[0]]], count=len(points)))
+                if len(own):
+                    best.add(own, points[own], np.zeros(len(own), bool), matrix[rows], np.zeros(len(rows), bool), batch.column("key").take(pa.array(rows)))
+        found = best.cut()
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[0])), found[2], pa.array(found[1])], [query_id, name, "distance"])
+
+    shards = sorted({int(c) % SHARDS for c in (range(len(index.centres)) if bits is None else np.flatnonzero(bits.any(axis=1)))})
     return index.rows.where(F.col("shard").isin(shards)).select("cell", "key", "vector").mapInArrow(look, kind)
 
 
+def _looked(points: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """For each cell, a bit for each point that looks into it."""
+    bits, some = np.zeros((len(centres), -(-len(points) // 8)), np.uint8), max(8, TABLE // len(centres) // 8 * 8)
+    for p in range(0, len(points), some):
+        near = np.argpartition(_distances(points[p : p + some], centres), probes - 1, axis=1)[:, :probes]
+        held = np.zeros((len(centres), len(near)), bool)
+        held[near, np.arange(len(near))[:, None]] = True
+        packed = np.packbits(held, axis=1)
+        bits[:, p // 8 : p // 8 + packed.shape[1]] = packed
+    return bits
+
+
 def recall(found: DataFrame, right: DataFrame, key: str = "vec_id", query_id: str = "query_id") -> float:
     """The share of the right rows (query_id, key) that were found; 1 for none."""
     row = right.select(query_id, key).join(found.select(query_id, key, F.lit(1).alias("hit")), [query_id, key], "left").agg(F.count("*").alias("n"), F.count("hit").alias("h")).first()
     return row.h / row.n if row.n else 1.0
 
 
-def probes_for(queries: DataFrame, index: Index, vectors: DataFrame, k: int, least: float = 0.9, vector: str = "embedding", query_id: str = "query_id") -> tuple[int, float]:
-    """The smallest power of two of cells (all at most) with which the queries' measured recall is `least` or more, and that recall."""
-    right = written(exact.nearest(queries, vectors, k, key=index.key, query_id=query_id, vector=vector), "right")
+def probes_for(queries: DataFrame, index: Index, vectors: DataFrame, k: int, least: float = 0.9, vector: str = "embedding", query_id: str = "query_id", right: DataFrame | None = None) -> tuple[int, float]:
+    """The smallest power of two of cells (all at most) with which the queries' measured recall is `least` or more, and that recall.
+
+    right: what `vectors.nearest` gave for these queries, if it is there already.
+    """
+    right = written(exact.nearest(queries, vectors, k, key=index.key, query_id=query_id, vector=vector), "right") if right is None else right
     probes = 1
     while True:
         told = recall(nearest(queries, index, k, probes, query_id), right, index.key, query_id)

@@ -120,8 +120,8 @@ def vector_cells_all(spark: SparkSession, folder: str) -> DataFrame:
 def vector_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the cells that `probes_for` settles on find nine tenths of the exact twenty nearest, measured over all queries."""
     asked, rows, index = _cells(spark, folder)
-    probes, _ = cells.probes_for(asked, index, rows, 20)
-    right = vectors.nearest(asked, rows, 20, key="doc_id").select("query_id", "doc_id")
+    right = written(vectors.nearest(asked, rows, 20, key="doc_id").select("query_id", "doc_id"), "right")
+    probes, _ = cells.probes_for(asked, index, rows, 20, right=right)
     found = cells.nearest(asked, index, 20, probes).select("query_id", "doc_id", F.lit(1).alias("hit"))
     told = right.join(found, ["query_id", "doc_id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
     return asked.agg(F.count("*").alias("queries"), F.lit(20).alias("k")).crossJoin(told)  # one row each
@@ -143,7 +143,7 @@ def _near_with_word(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
     flags = table(spark, folder, "documents").select("doc_id", F.array(*[F.col("text").contains(w) for w in words]).alias("flags"))
     asked = rows.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("qvec")).withColumn("word", (F.col("query_id") % 2).cast("int"))
     held = rows.withColumnRenamed("vec_id", "doc_id").join(flags, "doc_id", "left")
-    return vectors.nearest(asked, held, k, key="doc_id", prefer=F.get("flags", F.col("word")))
+    return vectors.nearest(asked, held, k, key="doc_id", flag=("flags", "word"))
 
 
 FUSED = f"""{BM25}, {_ranks('scored', 20, 'lexical')}, {DISTANCES},

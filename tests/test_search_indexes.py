@@ -1,7 +1,9 @@
 """Grams and cells against searches that read everything; functions by name; counts of an insert; wide blanks."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,3 +175,30 @@ def test_bodies_of_articles(spark):
     hits = spark.createDataFrame([(law, [("l", "제1조"), ("l", "제2조"), ("l", "제3조"), ("m", "제1조")]), (law, []), (None, [("l", "제1조")])], T.StructType([T.StructField("law", T.StringType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("article", T.StringType())])))]))
     got = [r.x for r in hits.select(documents.article_bodies(F.col("hits"), F.create_map(F.lit("l"), F.col("law"))).alias("x")).collect()]
     assert got == ["[l 제1조]\n##### 제1조 (a)\ntext 　\n\nmore\n\n---\n\n[l 제2조]\n##### 제2조\nlast", "", ""]
+
+
+def test_products_of_matrices_give_what_pairs_give(spark, monkeypatch):
+    """Copies, other lengths, nulls, NaN and infinite components, in pieces of a few rows: as the differences of each pair give it, and as a flag prefers."""
+    monkeypatch.setattr(vectors, "SIDE", 16)
+    monkeypatch.setattr(vectors, "PAIRS", 64)
+    rng = random.Random(5)
+    held = [(f"v{n:04d}", [float(rng.choice([0, 1, 2, 7])) for _ in range(3)], [n % 3 == 0, False, None]) for n in range(400)]
+    held += [("w1", None, None), ("w2", [1.0], [True]), ("w3", [None, 1.0, 2.0], [False]), ("w4", [float("nan"), 1.0, 2.0], []), ("w5", [float("inf"), 1.0, 2.0], [True, True, True]), ("w6", [], None)]
+    rows = spark.createDataFrame(held, "vec_id string, embedding array<double>, flags array<boolean>")
+    asked = [(n, [float(rng.choice([0, 1, 5])) for _ in range(3)], n % 4) for n in range(40)] + [(50, None, 0), (51, [1.0], 0), (52, [1.0, None, 0.0], 0), (53, [float("nan"), 1.0, 1.0], 1), (54, [], 0), (55, [2.0, 2.0, 2.0], None)]
+    asked = spark.createDataFrame(asked, "query_id int, qvec array<double>, place int")
+    shown = lambda df: sorted((r.query_id, r.vec_id, r["rank"], repr(r.distance)) for r in df.collect())
+    assert shown(vectors.nearest(asked, rows, 5)) == shown(vectors.nearest(asked, rows, 5, prefer=F.lit(True)))
+    assert shown(vectors.nearest(asked, rows, 5, flag=("flags", "place"))) == shown(vectors.nearest(asked, rows, 5, prefer=F.get("flags", F.col("place"))))
+
+
+def test_tables_of_distances_stay_small(monkeypatch):
+    """Many points and many cells: what is fitted, and which cells are looked into, is found a piece at a time."""
+    points, most = np.random.default_rng(3).random((20_000, 4)), 300 * 20_000 * 8
+    tracemalloc.start()
+    centres = cells.fit(points, 300)
+    bits = cells._looked(points, centres, 150)
+    assert tracemalloc.get_traced_memory()[1] < 2 * most
+    tracemalloc.stop()
+    own = cells._distances(points[:50], centres).argsort(axis=1)[:, :150]
+    assert all(set(np.flatnonzero(np.unpackbits(bits, axis=1)[:, q])) == set(own[q]) for q in range(50))
