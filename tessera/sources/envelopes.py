@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,29 +15,50 @@ def _text(value: Column) -> Column:
     return strip(F.coalesce(value, F.lit("")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for each row: a parse that an expression names for each of its fields would be made again for each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _listed(tag: str, fields: dict[str, str]) -> str:
+    """The type of the elements `tag` below a root, for `from_xml`."""
+    schema = ", ".join(f"`{e}`: string" for e in dict.fromkeys(fields.values()))
+    return f"`{tag}` array<struct<{schema}>>"
+
+
+def _items(found: Column, fields: dict[str, str]) -> Column:
+    return F.transform(F.filter(F.coalesce(found, F.array()), lambda x: x.isNotNull()), lambda x: F.struct(*[_text(x[e]).alias(n) for n, e in fields.items()]))
+
+
+def _total(found: Column) -> Column:
+    return F.coalesce(F.try_to_number(found, F.lit("999999999")).cast("int"), F.lit(0))
+
+
 def xml_items(payload: Column, tag: str, fields: dict[str, str]) -> Column:
     """array<struct> of the elements `tag` below the root: the fields (name to element) as stripped strings, missing ones empty.
 
     A payload that isn't XML, is null or has no such element gives an empty array. One element and many are alike.
     """
-    schema = ", ".join(f"`{e}` string" for e in dict.fromkeys(fields.values()))
-    parsed = F.from_xml(payload, f"`{tag}` array<struct<{schema.replace('` string', '`: string')}>>", {"mode": "PERMISSIVE"})
-    items = F.coalesce(parsed[tag], F.array())
-    return F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.struct(*[_text(x[e]).alias(n) for n, e in fields.items()]))
+    return _items(F.from_xml(payload, _listed(tag, fields), {"mode": "PERMISSIVE"})[tag], fields)
 
 
 def xml_total(payload: Column, tag: str = "totalCnt") -> Column:
-    return F.coalesce(F.try_to_number(F.from_xml(payload, f"`{tag}` string")[tag], F.lit("999999999")).cast("int"), F.lit(0))
+    return _total(F.from_xml(payload, f"`{tag}` string")[tag])
+
+
+def xml_page(payload: Column, tag: str, fields: dict[str, str], total: str = "totalCnt") -> Column:
+    """struct(total, items): `xml_total` and `xml_items` of one parse."""
+    parsed = F.from_xml(payload, f"`{total}` string, {_listed(tag, fields)}", {"mode": "PERMISSIVE"})
+    return once(parsed, lambda p: F.struct(_total(p[total]).alias("total"), _items(p[tag], fields).alias("items")))
 
 
 def xml_detail(payload: Column, fields: dict[str, str], refused: str | None = "Law") -> Column:
     """struct of the root's own elements; null where the root's tag, if one is given, says that there is no such document, or nothing parses."""
     schema = ", ".join(f"`{e}` string" for e in dict.fromkeys(fields.values()))
-    parsed = F.from_xml(payload, schema)
-    good = parsed.isNotNull()
+    found = F.from_xml(payload, schema)
     if refused is not None:
-        good &= ~F.coalesce(payload, F.lit("")).rlike(rf"^\s*(<\?[^>]*\?>\s*)?<{refused}[\s>/]")
-    return F.when(good, F.struct(*[_text(parsed[e]).alias(n) for n, e in fields.items()]))
+        found = F.when(~F.coalesce(payload, F.lit("")).rlike(rf"^\s*(<\?[^>]*\?>\s*)?<{refused}[\s>/]"), found)
+    return once(found, lambda parsed: F.when(parsed.isNotNull(), F.struct(*[_text(parsed[e]).alias(n) for n, e in fields.items()])))
 
 
 def json_items(payload: Column, path: list[str], item: str) -> Column:

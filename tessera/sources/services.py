@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_html
-from tessera.sources.envelopes import xml_detail, xml_items, xml_total
+from tessera.sources.envelopes import once, xml_detail, xml_page
 
 
 @dataclass(frozen=True)
@@ -77,19 +77,22 @@ SERVICES = {
 
 def page(payload: Column, service: Service) -> Column:
     """struct(total, items) of a search reply; 0 and no items where it isn't XML. Items without the field that is needed go."""
-    items = xml_items(payload, service.tag, service.listed)
-    if service.needed is not None:
-        items = F.filter(items, lambda x: x[service.needed] != "")
-    return F.struct(xml_total(payload).alias("total"), items.alias("items"))
+    found = xml_page(payload, service.tag, service.listed)
+    if service.needed is None:
+        return found
+    return once(found, lambda p: F.struct(p["total"].alias("total"), F.filter(p["items"], lambda x: x[service.needed] != "").alias("items")))
 
 
 def detail(payload: Column, service: Service, asked: Column | None = None) -> Column:
     """struct of a detail reply's fields; null where the service refuses or nothing parses. An empty id of those needed becomes the one asked for."""
-    found = xml_detail(payload, service.detail, service.refused)
-    for name in service.cleaned:
-        found = found.withField(f"`{name}`", strip_html(found[name]))
-    for name in service.bare:
-        found = found.withField(f"`{name}`", F.translate(found[name], ".-", ""))
-    if asked is not None and service.needed is not None:
-        found = found.withField(service.needed, F.coalesce(F.nullif(found[service.needed], F.lit("")), asked))
-    return found
+    def finished(found: Column) -> Column:
+        own = {n: found[n] for n in service.detail}
+        for n in service.cleaned:
+            own[n] = strip_html(own[n])
+        for n in service.bare:
+            own[n] = F.translate(own[n], ".-", "")
+        if asked is not None and service.needed is not None:
+            own[service.needed] = F.coalesce(F.nullif(own[service.needed], F.lit("")), asked)
+        return F.when(found.isNotNull(), F.struct(*[c.alias(n) for n, c in own.items()]))
+
+    return once(xml_detail(payload, service.detail, service.refused), finished)

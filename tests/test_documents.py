@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import documents as D
 from tessera.functions.embedding import embedded, hashed_frequencies
 from tessera.plans import trajectories
-from tessera.sources import markdown, paged, services
+from tessera.sources import envelopes, markdown, paged, services
 
 
 def value(spark, c):
@@ -125,6 +125,27 @@ def test_pages_and_details_of_decisions(spark):
     assert value(spark, services.detail(lit("<Law>none</Law>"), supreme, lit("9"))) is None
 
 
+
+def test_a_reply_is_parsed_once_for_all_its_fields(spark):
+    """However many fields of a page and of a detail are asked for; and one parse tells what a parse for each told."""
+    item = "<{0}><사건번호>n</사건번호><판례일련번호> 7 </판례일련번호><안건번호>k</안건번호></{0}>"
+    kinds = {"prec": item.format("prec"), "Detc": item.format("Detc"), "expc": item.format("expc")}
+    payloads = [None, "", "not XML", "<r><prec>", "<r/>", "<Law>none</Law>", "<?xml version='1.0'?><Law>none</Law>", "<r>text</r>", "<r><totalCnt>x</totalCnt></r>", "<r><totalCnt></totalCnt></r>", "<r><totalCnt>7</totalCnt><totalCnt>8</totalCnt></r>"]
+    for tag, one in kinds.items():
+        payloads += [f"<r><totalCnt> 12 </totalCnt>{one}{one}</r>", f"<r>{one}<totalCnt>3</totalCnt></r>", f"<r><totalCnt>2</totalCnt><{tag}/>{one}</r>", f"<r><totalCnt>2</totalCnt><{tag}>text</{tag}></r>", f"<r><totalCnt>2</totalCnt>{one}<{tag}>", f"<r><totalCnt><x>1</x></totalCnt>{one}</r>", f"<r><totalCnt>4</totalCnt><{tag}><사건번호><b>1</b></사건번호></{tag}></r>"]
+    rows = spark.createDataFrame([(p,) for p in payloads], "t string").repartition(2)
+    for service in services.SERVICES.values():
+        page, detail = services.page(F.col("t"), service), services.detail(F.col("t"), service)
+        read = rows.select(page.alias("page"), detail.alias("detail"))
+        told = read.select("page.total", F.size("page.items").alias("n"), F.get("page.items", F.lit(0))["case_number"].alias("a"), F.get("page.items", F.lit(0))["decision_date"].alias("b"), *[F.col("detail")[n].alias(f"d{k}") for k, n in enumerate(service.detail)])
+        assert told._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 2
+        items = envelopes.xml_items(F.col("t"), service.tag, service.listed)
+        if service.needed:
+            items = F.filter(items, lambda x: x[service.needed] != "")  # noqa: B023
+        apart = rows.select("t", envelopes.xml_total(F.col("t")).alias("total"), items.alias("items"))
+        assert sorted(map(repr, rows.select("t", page.alias("p")).select("t", "p.total", "p.items").collect())) == sorted(map(repr, apart.collect()))
+
+
 def test_trajectories(spark):
     rows = [("t", "a", None, "root_prompt", 0, 1.0, '{"x":1}', 10, 0), ("t", "b", "a", "sub_llm_request", 1, 2.0, "{}", 60, 5), ("t", "c", "b", "sub_llm_response", 4, 3.0, None, 60, 5)]
     events = spark.createDataFrame(rows, trajectories.SCHEMA)
