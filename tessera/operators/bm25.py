@@ -34,7 +34,9 @@ QUERY_BLOCK, QUERY_TERMS = 20_000, 4_000_000
 #: Of so many blocks one is searched first: the k-th best score in it is the others' threshold.
 FIRST = 16
 #: Blocks that a task holds at once, in a file's row group and in a batch for Python, and documents in a batch that become blocks.
-HELD, DOCUMENTS_HELD = 16, 1024
+HELD, DOCUMENTS_HELD = 4, 256
+#: Documents whose words are numbered at once, and shingles that are spelled out at once; a document stays whole.
+ENCODED, SPELLED = 256, 1 << 18
 #: Terms that are added up between two looks at what is left.
 STEP = 8
 #: Segments of about one size that become one, and the share of dead documents from which a segment is written anew.
@@ -123,8 +125,8 @@ def _gathered(rows: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], n
                 docs, tokens = docs + end - begin, tokens + int(sizes[end - 1] - (sizes[begin - 1] if begin else 0))
             begin = end
             if docs >= SORTED or tokens >= SORTED_TOKENS:
-                yield pa.Table.from_batches(held)
-                held, docs, tokens = [], 0, 0
+                full, held, docs, tokens = [pa.Table.from_batches(held)], [], 0, 0
+                yield full.pop()  # nothing here holds it any longer
     if held:
         yield pa.Table.from_batches(held)
 
@@ -140,35 +142,66 @@ def _shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.array(begin), np.array(flat, np.int64), pa.array(list(numbers), pa.string())
 
 
+def _coded(batch: pa.RecordBatch, number: dict[str, int], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's words (word << 32 | document, counted from base), how often each stands there, and the documents' words. number: of the words so far; it gets the new ones."""
+    held = batch.column("words")
+    size = np.asarray(pc.list_value_length(held)).astype(np.int64)
+    coded = held.flatten().dictionary_encode()
+    to = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int64)
+    pairs = to[np.asarray(coded.indices)]
+    pairs <<= 32
+    pairs |= np.repeat(np.arange(base, base + len(size)), size)
+    pairs, times = np.unique(pairs, return_counts=True)
+    return pairs, times.astype(np.int32), size
+
+
+def _pieces(pairs: np.ndarray, times: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """pairs and times, ordered by document, in pieces of whole documents with about SPELLED shingles."""
+    count = begin[(pairs >> 32) + 1] - begin[pairs >> 32]
+    starts = np.flatnonzero(np.diff(pairs & 0xFFFFFFFF, prepend=-1))
+    piece = (np.cumsum(count) - count)[starts] // SPELLED
+    edges = [*starts[np.flatnonzero(np.diff(piece, prepend=-1))], len(pairs)]
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield pairs[low:high], times[low:high]
+
+
 def _words_to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents given by their words. Shingles are made once for each different word of a group."""
+    """Blocks of documents given by their words. Shingles are made once for each different word of a group; its texts go as soon as their words are counted."""
     number = _numbers()
     for rows in _gathered(batches, lambda b: np.asarray(pc.list_value_length(b.column("words"))).astype(np.int64)):
-        held = rows["words"].combine_chunks()
-        size = np.asarray(pc.list_value_length(held)).astype(np.int64)
-        doc = np.repeat(np.arange(len(held)), size)
-        coded = held.flatten().dictionary_encode()
-        pairs, times = np.unique(np.asarray(coded.indices).astype(np.int64) << 32 | doc, return_counts=True)
-        begin, flat, terms = _shingles([*coded.dictionary.to_pylist()])
+        known: dict[str, int] = {}
+        parts, base = [], 0
+        for batch in rows.to_batches(max_chunksize=ENCODED):
+            parts.append(_coded(batch, known, base))
+            base += batch.num_rows
+        keys, facets = rows["key"].combine_chunks(), rows["facets"].combine_chunks()
+        del rows, batch
+        pairs, times, size = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        begin, flat, terms = _shingles([*known])
+        del known
         terms, none = pa.concat_arrays([terms, pa.array([EMPTY_TOKEN])]), len(terms)  # documents without a word have one term that says so
-        word, doc = pairs >> 32, pairs & 0xFFFFFFFF
-        each = begin[word + 1] - begin[word]
-        length = np.maximum(np.bincount(doc, times * each, len(held)).astype(np.int64), 1)
-        order = np.argsort(length, kind="stable")
+        length = np.bincount(pairs & 0xFFFFFFFF, times * (begin[(pairs >> 32) + 1] - begin[pairs >> 32]), len(size)).astype(np.int64)
+        order = np.argsort(np.maximum(length, 1), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        by = np.argsort(place[doc] // BLOCK, kind="stable")
-        edges = np.searchsorted(place[doc[by]] // BLOCK, np.arange(-(-len(held) // BLOCK) + 1))
-        for n, (low, high) in enumerate(zip(edges[:-1], edges[1:])):  # a word's shingles are spelled out for one block at a time
-            own, some = order[n * BLOCK : (n + 1) * BLOCK], by[low:high]
-            first, count = begin[word[some]], each[some]
-            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            found, of = np.unique(flat[at] << 32 | np.repeat(place[doc[some]] % BLOCK, count), return_inverse=True)
-            tf = np.bincount(of, np.repeat(times[some], count), len(found)).astype(np.int64)
-            bare = np.flatnonzero(size[own] == 0)
-            found, tf = np.concatenate([found, none << 32 | bare]), np.concatenate([tf, np.ones(len(bare), np.int64)])
-            yield from cut(rows["key"].combine_chunks().take(pa.array(own)), rows["facets"].combine_chunks().take(pa.array(own)), found & 0xFFFFFFFF, found >> 32, tf, terms, number)
-        del rows, held, coded, pairs, times, word, doc, each, by, flat
+        by = np.argsort(place[pairs & 0xFFFFFFFF], kind="stable")
+        pairs, times = pairs[by], times[by]
+        edges = np.searchsorted(place[pairs & 0xFFFFFFFF] // BLOCK, np.arange(-(-len(size) // BLOCK) + 1))
+        del by
+        for n, (low, high) in enumerate(zip(edges[:-1], edges[1:])):  # a word's shingles are spelled out for some documents of one block at a time
+            own, bare = order[n * BLOCK : (n + 1) * BLOCK], np.flatnonzero(size[order[n * BLOCK : (n + 1) * BLOCK]] == 0)
+            found, tf = [none << 32 | bare], [np.ones(len(bare), np.int64)]
+            for some, often in _pieces(pairs[low:high], times[low:high], begin):
+                first, count = begin[some >> 32], begin[(some >> 32) + 1] - begin[some >> 32]
+                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                one, of = np.unique(flat[at] << 32 | np.repeat(place[some & 0xFFFFFFFF] % BLOCK, count), return_inverse=True)
+                found.append(one)
+                tf.append(np.bincount(of, np.repeat(often, count), len(one)).astype(np.int64))
+                del at, of, one
+            found, tf = np.concatenate(found), np.concatenate(tf)
+            yield from cut(keys.take(pa.array(own)), facets.take(pa.array(own)), found & 0xFFFFFFFF, found >> 32, tf, terms, number)
+        del pairs, times, size, keys, facets, begin, flat, terms, found, tf
         pa.default_memory_pool().release_unused()
 
 

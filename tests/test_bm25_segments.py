@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +144,36 @@ def test_blocks_are_made_and_held_a_few_at_a_time(spark, tmp_path, monkeypatch):
     files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.blocks.inputFiles()]
     sizes = [m.row_group(n).num_rows for m in files for n in range(m.num_row_groups)]
     assert sum(sizes) >= 40 and max(sizes) <= bm25.HELD
+
+
+def test_long_documents_of_one_block_are_spelled_out_apart(monkeypatch):
+    """The longest documents of a group share a block: their shingles are made for some of them at a time, and what comes out doesn't depend on how many."""
+    monkeypatch.setattr(bm25, "_numbers", lambda: iter(range(1 << 30)).__next__)
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"{chr(97 + n % 26)}{n:011d}" for n in range(3000)])
+
+    def batch(sizes):
+        own = pa.array([vocabulary[rng.integers(0, 3000, n)] for n in sizes], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([{"none": 0}] * len(sizes)), own], ["key", "facets", "words"])
+
+    long = batch([20] * 500 + [6000] * 128)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in bm25._words_to_blocks(iter([long]))) == 5
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    mixed = batch([*rng.integers(0, 40, 300)])
+    whole = [b.to_pylist() for b in bm25._words_to_blocks(iter([mixed]))]
+    monkeypatch.setattr(bm25, "ENCODED", 7)
+    monkeypatch.setattr(bm25, "SPELLED", 50)
+    assert [b.to_pylist() for b in bm25._words_to_blocks(iter([mixed]))] == whole
+    words = {k: w for k, w in zip(mixed["key"].to_pylist(), mixed["words"].to_pylist())}
+    for row in (b[0] for b in whole):
+        counted = [Counter() for _ in row["keys"]]
+        begin = 0
+        for term, n in zip(row["terms"], row["counts"]):
+            for k in range(begin, begin + n):
+                counted[row["at"][k]][term] += row["tf"][k]
+            begin += n
+        for key, found in zip(row["keys"], counted):
+            assert found == (Counter([t for w in words[key] for t in [w, *(w[k : k + 2] for k in range(len(w) - 1))]]) or Counter(["_empty_"]))
